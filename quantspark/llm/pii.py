@@ -206,12 +206,20 @@ def find_pii(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
 
 def listed(kinds: tuple[str, ...]) -> Column:
     """``kind:start:end`` by kind as listed, then start, comma-joined."""
-    return F.concat_ws(",", *[F.transform(F.col(f"pii.{k}"), lambda s, k=k: F.concat_ws(":", F.lit(k), s["start"], s["end"])) for k in kinds])
+
+    def one(kind: str) -> Column:
+        return F.transform(F.col(f"pii.{kind}"), lambda s: F.concat_ws(":", F.lit(kind), s["start"], s["end"]))
+
+    return F.concat_ws(",", *map(one, kinds))
 
 
 def redact(text: Column, pii: Column) -> Column:
     """The text with each span replaced by its kind in brackets; of overlapping spans the first one's kind stands for all."""
-    spans = F.array_sort(F.concat(*[F.transform(pii[k], lambda s, k=k: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(k).alias("kind"))) for k in KINDS]))
+
+    def named(kind: str) -> Column:
+        return F.transform(pii[kind], lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("kind")))
+
+    spans = F.array_sort(F.concat(*map(named, KINDS)))
     zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
