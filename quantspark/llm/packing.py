@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
-from .tokens import token_ids, tokenizer_path
+from .tokens import encoded, token_ids, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces that one task packs; each group leaves at most a few bins underfull.
@@ -133,8 +133,8 @@ def _pieces(path_of, name: str, end_id: int, capacity: int):
         encoder, end = token_ids(path_of(name), False), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc, ids in encoded(b, encoder):
+                ids += end
                 for k, at in enumerate(range(0, len(ids), 4 * capacity)):
                     own = ids[at : at + 4 * capacity]
                     out.append((doc, k, at // 4, len(own) // 4, zlib.crc32(own)))

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpoint, shuffle_partitions, table
-from .tokens import token_ids, tokenizer_path
+from .tokens import encoded, token_ids, tokenizer_path
 
 MAGIC = b"EFT1"
 #: Ids after which a writer closes its block.
@@ -130,8 +130,8 @@ def _write(path_of, name: str, end_id: int):
             return pa.record_batch([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([total], pa.int64()), pa.array([data], pa.binary())], ["part", "seq", "n_ids", "block"])
 
         for b in batches:
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                ids = encoder.encode(text or "") + end
+            for doc, ids in encoded(b, encoder):
+                ids += end
                 docs.append(doc)
                 lengths.append(len(ids) // 4)
                 held.append(ids)

@@ -3,23 +3,30 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 
+#: Letters (Latin) end where white space or a stop follows, and so do stops before white space: both tokenizers split there.
+_LETTERS, _AFTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"(?=[ \t-\r.,!?]|$)"
+_STOPS = r"[.,!?]+(?=[ \t-\r]|$)"
 #: Byte-level BPE splits at white space so that a single space joins the word after it.
-_BYTE_PIECES = re.compile(r" ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
-_WORD_PIECES = re.compile(r"[^ \t-\r]+")
+_BYTE_PIECES = re.compile(f" ?{_LETTERS}{_AFTER}|{_STOPS}| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
+_WORD_PIECES = re.compile(f"{_LETTERS}{_AFTER}|{_STOPS}|[^ \t-\r]+")
 #: White space beyond ASCII may join ASCII white space in one token, and special tokens may span spaces: such texts go whole to the library.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-CACHE_ENTRIES = 300_000
+#: Pieces remembered by a worker, and texts encoded together.
+CACHE_ENTRIES, TOGETHER = 900_000, 256
 
 
 class TokenIds:
-    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
+    """``encode_all(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
 
-    ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. The cache holds at most
-    ``CACHE_ENTRIES`` pieces and starts anew when full.
+    ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. New pieces of some texts are encoded in one
+    call, each followed by a separator that the tokenizers keep apart and that has one id; the first CACHE_ENTRIES
+    pieces are remembered.
     """
 
     def __init__(self, path: str, byte_level: bool):
@@ -29,23 +36,43 @@ class TokenIds:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.pieces = _BYTE_PIECES if byte_level else _WORD_PIECES
+        self.mark, self.separator = ("\n", "\n") if byte_level else ("\x01", " \x01 ")
+        (self.separator_id,) = self._ids(self.mark)
         self.cache: dict[str, bytes] = {}
 
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def encode(self, text: str) -> bytes:
-        if _ODD.search(text):
-            return self._whole(text)
-        pieces = self.pieces.findall(text)
-        cache = self.cache
-        if new := list({p for p in pieces if p not in cache}):
-            if len(cache) + len(new) > CACHE_ENTRIES:
-                cache.clear()
-                new = list(set(pieces))
-            for p, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-                cache[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, pieces))
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
+
+    def _new(self, pieces: list[str]) -> dict[str, bytes]:
+        alone = [p for p in pieces if self.mark in p or p.isspace()]
+        out = {p: np.array(self._ids(p), "<u4").tobytes() for p in alone}
+        pieces = [p for p in pieces if p not in out]
+        for at in range(0, len(pieces), 4096):
+            some = pieces[at : at + 4096]
+            ids = np.array(self._ids("".join(p + self.separator for p in some)), "<u4")
+            ends = np.flatnonzero(ids == self.separator_id)
+            if len(ends) != len(some):
+                raise ValueError("the separator was not kept apart")
+            raw, a = ids.tobytes(), 0
+            for p, b in zip(some, ends.tolist(), strict=True):
+                out[p] = raw[4 * a : 4 * b]
+                a = b + 1
+        return out
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        out: list[bytes] = []
+        for at in range(0, len(texts), TOGETHER):
+            some = texts[at : at + TOGETHER]
+            split = [None if _ODD.search(t) else self.pieces.findall(t) for t in some]
+            known = self.cache
+            new = list({p for pieces in split if pieces for p in pieces if p not in known})
+            found = self._new(new) if new else {}
+            if len(known) + len(found) <= CACHE_ENTRIES:
+                known.update(found)
+            elif found:
+                known = {p: known[p] if p in known else found[p] for pieces in split if pieces for p in set(pieces)}
+            out += [np.array(self._ids(t), "<u4").tobytes() if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(some, split, strict=True)]
+        return out
 
 
 @lru_cache(maxsize=4)
@@ -57,6 +84,13 @@ def token_ids(path: str, byte_level: bool) -> TokenIds:
     return TokenIds(path, byte_level)
 
 
+def encoded(batch: pa.RecordBatch, encoder: TokenIds) -> Iterator[tuple[int | None, bytes]]:
+    """(doc_id, ids) of a batch's rows, some at a time; a null text is empty."""
+    for at in range(0, batch.num_rows, TOGETHER):
+        b = batch.slice(at, TOGETHER)
+        yield from zip(b.column(0).to_pylist(), encoder.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True)
+
+
 def tokenizer_path(name: str) -> str:
     """The installed file's place; asked for where the task runs."""
     import public_tokenizers
