@@ -24,6 +24,8 @@ LENGTH, SEED_BYTES = 50, 20
 #: Windows in one piece at most, so that pieces stay short where one minimizer holds on.
 PIECE_WINDOWS = 64
 SEGMENT = 2 << 20
+#: Shares of a bucket, which are indexed some at a time, up to about so many bytes.
+SHARES, INDEX_BYTES = 256, 1 << 20
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
 
 
@@ -88,6 +90,22 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
+class RankBits:
+    """Marked rows as a bit vector; ``rank(rows)`` counts the marked rows up to each row, itself included."""
+
+    def __init__(self, marked: np.ndarray, total: int):
+        bits = np.zeros(-(-total // 64) * 64, np.uint8)
+        bits[marked] = 1
+        self.words = np.packbits(bits, bitorder="little").view("<u8")
+        ones = np.bitwise_count(self.words).astype(np.int32)
+        self.before = np.cumsum(ones, dtype=np.int32) - ones
+
+    def rank(self, rows: np.ndarray) -> np.ndarray:
+        at = rows >> 6
+        own = self.words[at] << (~rows & 63).astype(np.uint64)
+        return self.before[at] + np.bitwise_count(own)
+
+
 class RunLengthIndex:
     """Run-compressed Burrows-Wheeler index of strings, each closed by a terminator of its own (in order, below all bytes).
 
@@ -105,55 +123,54 @@ class RunLengthIndex:
         text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
         text[ends] = 0
         total = len(text)
+        ends_at = np.repeat(ends, self.sizes + 1)
+        left = ends_at - np.arange(total)
         key = np.zeros(total, np.uint64)
         for j in range(7):  # seven characters of nine bits
             key[: total - j] |= text[j:] << np.uint64(9 * (6 - j))
-        ends_at = np.repeat(ends, self.sizes + 1)
-        left = ends_at - np.arange(total)
         for j in range(7):  # nothing beyond the terminator counts
-            short = left == j
+            short = np.flatnonzero(left == j)
             key[short] &= ~np.uint64((1 << (9 * (7 - j))) - 1)
-        sa = np.argsort(key, kind="stable")
-        rank = np.empty(total, np.int64)
-        head = np.r_[True, key[sa[1:]] != key[sa[:-1]]]
-        del key
+        sa = np.argsort(key)
+        sorted_key = key[sa]
+        head = np.r_[True, sorted_key[1:] != sorted_key[:-1]]
+        del key, sorted_key
         start = np.flatnonzero(head)[np.cumsum(head) - 1]
         start[: self.n] = np.arange(self.n)
         sa[: self.n] = ends  # terminators are the least, in order
-        head[: self.n] = True
-        if total > self.n:
-            head[self.n] = True
+        head[: self.n + 1] = True
+        rank = np.empty(total, np.int64)
         rank[sa] = start
         depth, at28 = 7, None
+        todo = np.flatnonzero(~(head & np.r_[head[1:], True]))
         while True:
             if depth == 28:
                 at28 = rank.copy()
-            single = head & np.r_[head[1:], True]
-            todo = np.flatnonzero(~single)
             if not len(todo):
                 break
             s = sa[todo]
-            s = s[np.lexsort((s, rank[np.minimum(s + depth, ends_at[s])], rank[s]))]
+            both = rank[s] << 32 | rank[np.minimum(s + depth, ends_at[s])]
+            order = np.argsort(both)
+            s, both = s[order], both[order]
             sa[todo] = s
-            a, b = rank[s], rank[np.minimum(s + depth, ends_at[s])]
-            fresh = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])]
-            head[todo] = fresh
+            fresh = np.r_[True, both[1:] != both[:-1]]
             rank[s] = todo[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
+            todo = todo[~(fresh & np.r_[fresh[1:], True])]
             depth *= 2
         at28 = rank if at28 is None else at28
         # repeated strings of `length` bytes: neighbours that agree in their first 28 bytes and in the 28 that end them
-        tail = np.minimum(sa + length - 28, total - 1)
-        same = (at28[sa[1:]] == at28[sa[:-1]]) & (at28[tail[1:]] == at28[tail[:-1]]) & (left[sa[1:]] >= length)
+        head28, tail28 = at28[sa], at28[np.minimum(sa + length - 28, total - 1)]
+        same = (head28[1:] == head28[:-1]) & (tail28[1:] == tail28[:-1]) & (left[sa[1:]] >= length)
         string = np.repeat(np.arange(self.n), self.sizes + 1)[sa]
-        group = np.flatnonzero(np.r_[True, ~same])
-        least = np.minimum.reduceat(labels[string], group)
-        size = np.diff(np.r_[group, total])
-        many = size > 1
-        self.lo, self.hi, self.least = group[many], (group + size)[many], least[many]
+        inside = np.r_[False, same] | np.r_[same, False]
+        rows = np.flatnonzero(inside)
+        first = rows[~np.r_[False, same][rows]]
+        self.least = np.minimum.reduceat(labels[string[rows]], np.searchsorted(rows, first)) if len(rows) else np.zeros(0, np.int64)
+        self.repeated, self.group = RankBits(rows, total), RankBits(first, total)
         bwt = text[sa - 1].astype(np.int16)
         bwt[sa == 0] = 0
         new = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        self.heads, self.chars = new, bwt[new]
+        self.heads, self.chars, self.run = new, bwt[new], RankBits(new, total)
         self.ends_at = sa[np.r_[new[1:], total] - 1]  # sampled text positions of run ends
         counts = np.bincount(text.astype(np.int64), minlength=257)
         base = np.r_[0, np.cumsum(counts)[:-1]]
@@ -162,13 +179,13 @@ class RunLengthIndex:
         before = np.cumsum(lengths[order]) - lengths[order]
         first = np.searchsorted(self.chars[order], np.arange(257))
         inside = before - before[np.minimum(first[self.chars[order]], len(order) - 1)]
-        self.targets = np.empty(len(new), np.int64)
-        self.targets[order] = base[self.chars[order]] + inside
+        targets = np.empty(len(new), np.int64)
+        targets[order] = base[self.chars[order]] + inside
+        self.shift = targets - new
 
     def step(self, rows: np.ndarray) -> np.ndarray:
         """LF: the rows of the suffixes one character longer."""
-        run = np.searchsorted(self.heads, rows, side="right") - 1
-        return self.targets[run] + rows - self.heads[run]
+        return self.shift[self.run.rank(rows) - 1] + rows
 
     def least_labels(self) -> tuple[np.ndarray, np.ndarray]:
         """For every string and window start: the least label of any string that holds the window; windows end to end.
@@ -180,15 +197,16 @@ class RunLengthIndex:
         first = np.cumsum(windows) - windows
         out = np.repeat(self.labels, windows)
         live = np.argsort(-self.sizes, kind="stable")
+        down = -self.sizes[live]
+        place = (first + self.sizes)[live]
         rows = live.copy()
         for read in range(1, int(self.sizes.max(initial=0)) + 1):
-            k = int(np.searchsorted(-self.sizes[live], -read, side="right"))
-            live, rows = live[:k], self.step(rows[:k])
-            if read >= self.length and len(self.lo):
-                at = np.searchsorted(self.lo, rows, side="right") - 1
-                hit = (at >= 0) & (rows < self.hi[at])
-                place = first[live[hit]] + self.sizes[live[hit]] - read
-                out[place] = np.minimum(out[place], self.least[at[hit]])
+            k = int(np.searchsorted(down, -read, side="right"))
+            rows = self.step(rows[:k])
+            if read >= self.length and len(self.least):
+                hit = np.flatnonzero(self.repeated.words[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1))
+                at = place[hit] - read
+                out[at] = np.minimum(out[at], self.least[self.group.rank(rows[hit]) - 1])
         return out, first
 
 
@@ -339,48 +357,64 @@ def _pieces(buckets: int):
             doc, h = doc[rep], h[rep]
             count, first = np.minimum(count[rep] - k * PIECE_WINDOWS, PIECE_WINDOWS), first[rep] + k * PIECE_WINDOWS
             group = int(docs.column("g")[0].as_py())
+            share = (h >> np.uint64(40)) % np.uint64(SHARES)
             for bucket, part in _split((h % np.uint64(buckets)).astype(np.int64)):
+                part = part[np.argsort(share[part], kind="stable")]
                 size = count[part] + LENGTH - 1
                 data = b"".join(texts[d][a : a + n] for d, a, n in zip(doc[part].tolist(), first[part].tolist(), size.tolist(), strict=True))
                 base, off = _docs32(ids[doc[part]])
-                out.append((bucket, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[doc[part]].astype("<u2"), first[part].astype("<u4"), size.astype("<u2"), np.array([group], "<i8"), np.frombuffer(data, np.uint8))))
+                out.append((bucket, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[doc[part]].astype("<u2"), first[part].astype("<u4"), size.astype("<u2"), share[part].astype("u1"), np.array([group], "<i8"), np.frombuffer(data, np.uint8))))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
 def _marks(bucket: int, parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Pass 4: one index; intervals of each document's bytes that a smaller doc_id holds too."""
-    number: dict[bytes, int] = {}
-    piece, doc, ordinal, first, group = [], [], [], [], []
+    """Pass 4: indexes over a bucket's shares; intervals of each document's bytes that a smaller doc_id holds too."""
+    text, doc, ordinal, first, size, share, group, at = [], [], [], [], [], [], [], []
     for p in parts:
-        base, width, off, o, f, size, g, data = _load(p, "<i8", "<u1", "u1", "<u2", "<u4", "<u2", "<i8", "u1")
-        raw, ends = data.tobytes(), np.cumsum(size.astype(np.int64))
-        piece += [number.setdefault(raw[b - n : b], len(number)) for b, n in zip(ends.tolist(), size.tolist(), strict=True)]
+        base, width, off, o, f, n, k, g, data = _load(p, "<i8", "<u1", "u1", "<u2", "<u4", "<u2", "u1", "<i8", "u1")
+        n = n.astype(np.int64)
+        at.append(np.cumsum(n) - n + sum(map(len, text)))
+        text.append(data.tobytes())
         doc.append(off.view(f"<u{width[0]}").astype(np.int64) + base[0])
-        ordinal.append(o)
-        first.append(f.astype(np.int64))
+        ordinal.append(o), first.append(f.astype(np.int64)), size.append(n), share.append(k)
         group.append(np.full(len(o), g[0]))
-    piece, doc, ordinal, first, group = np.array(piece), np.concatenate(doc), np.concatenate(ordinal), np.concatenate(first), np.concatenate(group)
+    data = b"".join(text)
+    del text
+    order = np.argsort(np.concatenate(share), kind="stable")
+    doc, ordinal, first, size, share, group, at = (np.concatenate(x)[order] for x in (doc, ordinal, first, size, share, group, at))
+    ends = np.r_[np.flatnonzero(np.diff(share)) + 1, len(share)]
+    bytes_to = np.cumsum(size)
+    found: list[tuple] = []
+    a = 0
+    while a < len(share):
+        full = int(np.searchsorted(bytes_to, (bytes_to[a - 1] if a else 0) + INDEX_BYTES, side="right"))
+        b = int(ends[max(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, full, side="right")) - 1)])
+        found.append(_covered(data, *(x[a:b] for x in (doc, ordinal, first, size, group, at))))
+        a = b
+    doc, ordinal, first, size, group = (np.concatenate(x) for x in zip(*found, strict=True))
+    for g, part in _split(group):
+        base, off = _docs32(doc[part])
+        yield g, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[part].astype("<u2"), first[part].astype("<u4"), size[part].astype("<u2"))
+
+
+def _covered(data: bytes, doc, ordinal, first, size, group, at) -> tuple[np.ndarray, ...]:
+    """One index over the distinct pieces; (doc, ordinal, first byte, bytes, group) of covered stretches of all pieces."""
+    number: dict[bytes, int] = {}
+    piece = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
     label = np.full(len(number), np.iinfo(np.int64).max)
     np.minimum.at(label, piece, doc)
-    index = RunLengthIndex(list(number), label)
-    least, start = index.least_labels()
-    windows = index.sizes - LENGTH + 1
-    for at in range(0, len(piece), 1 << 16):
-        own = slice(at, at + (1 << 16))
-        n = windows[piece[own]]
-        which = np.repeat(np.arange(len(n)), n)
-        step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-        cover = least[start[piece[own]][which] + step] < doc[own][which]
-        edge = np.r_[True, which[1:] != which[:-1]]
-        opens = np.flatnonzero(cover & (edge | np.r_[True, ~cover[:-1]]))
-        closes = np.flatnonzero(cover & (np.r_[edge[1:], True] | np.r_[~cover[1:], True]))
-        w, a, b = which[opens], step[opens], step[closes] + LENGTH
-        f = first[own][w]
-        for g, part in _split(group[own][w]):
-            base, off = _docs32(doc[own][w][part])
-            yield g, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[own][w][part].astype("<u2"), (f + a)[part].astype("<u4"), (b - a)[part].astype("<u2"))
+    least, start = RunLengthIndex(list(number), label).least_labels()
+    n = size - LENGTH + 1
+    which = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
+    cover = least[start[piece][which] + step] < doc[which]
+    edge = np.r_[True, which[1:] != which[:-1]]
+    opens = np.flatnonzero(cover & (edge | np.r_[True, ~cover[:-1]]))
+    closes = np.flatnonzero(cover & (np.r_[edge[1:], True] | np.r_[~cover[1:], True]))
+    w = which[opens]
+    return doc[w], ordinal[w], first[w] + step[opens], step[closes] - step[opens] + LENGTH, group[w]
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -443,12 +477,12 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     A byte goes if a LENGTH-byte string over it also starts in a document with a smaller doc_id. Rows of one doc_id do
     not remove each other's bytes; a row without doc_id neither loses bytes nor takes any; a null text is empty; texts
-    shorter than LENGTH stay. Rows sent between tasks are packed arrays: buckets number four to a shuffle partition,
-    so what one task holds follows the input over the partitions. A passage that many documents share is one string
+    shorter than LENGTH stay. Rows sent between tasks are packed arrays: there are as many buckets as shuffle partitions,
+    so what one task holds follows the input over the partitions; an index takes about INDEX_BYTES of a bucket at a time. A passage that many documents share is one string
     of its index.
     """
-    n = 4 * shuffle_partitions(docs.sparkSession)
-    buckets, groups = n, _prime(max(3, n))
+    buckets = shuffle_partitions(docs.sparkSession)
+    groups = _prime(max(3, buckets))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
     schema = "bucket int, data binary"
