@@ -1,6 +1,44 @@
-"""Queries by name, and their SQL oracles. Modules of ``plans`` add theirs."""
+"""Queries by name, and their SQL oracles."""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+
+from .functions.dialect import DUCK, SPARK, Dialect
+from .sources.tables import views
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+
+
+def plan(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
+    """Register a plan that both dialects can state. Catalyst gets the whole relational plan; nothing is collected."""
+    name = build.__name__
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        views(spark, sf_dir)
+        return spark.sql(build(SPARK))
+
+    QUERIES[name], ORACLES[name] = run, build(DUCK)
+    return build
+
+
+def query(oracle: str | None = None):
+    """Register a DataFrame query, with its oracle where SQL has one."""
+
+    def add(f: Callable[[SparkSession, str], DataFrame]):
+        QUERIES[f.__name__] = f
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+def load() -> None:
+    from .plans import events, pricing, signals, simulation, validation  # noqa: F401
+
+
+load()
