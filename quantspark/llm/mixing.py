@@ -100,9 +100,9 @@ tgt AS (SELECT s, source_size, least(w * max(level) OVER (), cap) AS target FROM
 x AS (
   SELECT q.doc_id, q.size, t.source_size, t.target,
          CASE WHEN t.source_size > 0 THEN CAST(floor(t.target / t.source_size) AS BIGINT) ELSE 0 END AS epochs,
-         coalesce(CAST(sum(q.size) OVER (PARTITION BY q.s ORDER BY q.k, q.doc_id, q.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS at
+         coalesce(CAST(sum(q.size) OVER (PARTITION BY q.s ORDER BY q.k, q.doc_id, q.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS pre
   FROM q JOIN tgt t ON q.s IS NOT DISTINCT FROM t.s)
 SELECT doc_id, size, source_size, target,
-       CAST(epochs * size + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - at)) AS BIGINT) AS taken
+       CAST(epochs * size + greatest(0, least(size, CAST(round(target - epochs * source_size) AS BIGINT) - pre)) AS BIGINT) AS taken
 FROM x
 """
