@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from functools import lru_cache
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -17,62 +18,51 @@ _BYTE_PIECES = re.compile(f" ?{_LETTERS}{_AFTER}|{_STOPS}| ?[^ \t-\r]+|[ \t-\r]+
 _WORD_PIECES = re.compile(f"{_LETTERS}{_AFTER}|{_STOPS}|[^ \t-\r]+")
 #: White space beyond ASCII may join ASCII white space in one token, and special tokens may span spaces: such texts go whole to the library.
 _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]|<\\|")
-#: Pieces remembered by a worker, and texts encoded together.
+#: How byte-level vocabularies write bytes: printable ones as themselves, the others as letters from 256 on, in order.
+_PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
+_SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
+#: Pieces remembered by a worker, and texts taken from a batch together.
 CACHE_ENTRIES, TOGETHER = 900_000, 256
 
 
-class TokenIds:
-    """``encode_all(texts)`` gives each text's ids as little-endian unsigned 32-bit bytes.
+class TokenIds(dict):
+    """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
-    ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. New pieces of some texts are encoded in one
-    call, each followed by a separator that the tokenizers keep apart and that has one id; the first CACHE_ENTRIES
-    pieces are remembered.
+    ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. The object is the cache of pieces: looking
+    up a new one encodes it, and the first CACHE_ENTRIES are remembered.
     """
 
     def __init__(self, path: str, byte_level: bool):
+        super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
+        self.model, self.byte_level = self.tokenizer.model, byte_level
         self.pieces = _BYTE_PIECES if byte_level else _WORD_PIECES
-        self.mark, self.separator = ("\n", "\n") if byte_level else ("\x01", " \x01 ")
-        (self.separator_id,) = self._ids(self.mark)
-        self.cache: dict[str, bytes] = {}
+        self.letters = re.compile(f" ?{_LETTERS}" if byte_level else _LETTERS)
+
+    def __missing__(self, piece: str) -> bytes:
+        """A piece of letters is one word to both tokenizers: the library's model takes it without splitting it again."""
+        if self.letters.fullmatch(piece):
+            word = piece if self.byte_level else piece.lower()
+            word = word.replace(" ", "\u0120") if word.isascii() else word.encode().decode("latin-1").translate(_SHOWN)
+            ids = [t.id for t in self.model.tokenize(word)]
+        else:
+            ids = self._whole(piece)
+        out = pack(f"<{len(ids)}I", *ids)
+        if len(self) < CACHE_ENTRIES:
+            self[piece] = out
+        return out
 
-    def _ids(self, text: str) -> list[int]:
+    def _whole(self, text: str) -> list[int]:
         return self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids
 
-    def _new(self, pieces: list[str]) -> dict[str, bytes]:
-        alone = [p for p in pieces if self.mark in p or p.isspace()]
-        out = {p: np.array(self._ids(p), "<u4").tobytes() for p in alone}
-        pieces = [p for p in pieces if p not in out]
-        for at in range(0, len(pieces), 4096):
-            some = pieces[at : at + 4096]
-            ids = np.array(self._ids("".join(p + self.separator for p in some)), "<u4")
-            ends = np.flatnonzero(ids == self.separator_id)
-            if len(ends) != len(some):
-                raise ValueError("the separator was not kept apart")
-            raw, a = ids.tobytes(), 0
-            for p, b in zip(some, ends.tolist(), strict=True):
-                out[p] = raw[4 * a : 4 * b]
-                a = b + 1
-        return out
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        out: list[bytes] = []
-        for at in range(0, len(texts), TOGETHER):
-            some = texts[at : at + TOGETHER]
-            split = [None if _ODD.search(t) else self.pieces.findall(t) for t in some]
-            known = self.cache
-            new = list({p for pieces in split if pieces for p in pieces if p not in known})
-            found = self._new(new) if new else {}
-            if len(known) + len(found) <= CACHE_ENTRIES:
-                known.update(found)
-            elif found:
-                known = {p: known[p] if p in known else found[p] for pieces in split if pieces for p in set(pieces)}
-            out += [np.array(self._ids(t), "<u4").tobytes() if pieces is None else b"".join(map(known.__getitem__, pieces)) for t, pieces in zip(some, split, strict=True)]
-        return out
+    def encode(self, text: str) -> bytes:
+        if _ODD.search(text):
+            return np.array(self._whole(text), "<u4").tobytes()
+        return b"".join(map(self.__getitem__, self.pieces.findall(text)))
 
 
 @lru_cache(maxsize=4)
@@ -88,7 +78,8 @@ def encoded(batch: pa.RecordBatch, encoder: TokenIds) -> Iterator[tuple[int | No
     """(doc_id, ids) of a batch's rows, some at a time; a null text is empty."""
     for at in range(0, batch.num_rows, TOGETHER):
         b = batch.slice(at, TOGETHER)
-        yield from zip(b.column(0).to_pylist(), encoder.encode_all([t or "" for t in b.column(1).to_pylist()]), strict=True)
+        for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            yield doc, encoder.encode(text or "")
 
 
 def tokenizer_path(name: str) -> str:
