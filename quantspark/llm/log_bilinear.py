@@ -22,6 +22,8 @@ from .common import checkpoint, shuffle_partitions, slices, table, utf8
 #: Vocabulary, dimensions, words of context, shared noise words a batch, positions a batch, learning rate, rounds.
 VOCABULARY, DIM, CONTEXT, NOISE, BATCH, RATE, ROUNDS = 1024, 24, 2, 32, 4096, 0.08, 1
 END, UNK = 0, 1
+#: Most frequent words whose counts every task knows; only rarer ones are asked for.
+COUNTED = 16384
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -267,7 +269,7 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _score(words: list[bytes], counts: list[int], end: int, params: bytes, n: int, buckets: int):
-    """What a row's own task finds (kind 0: doc_key and figures) and what it asks the count tables (kind 1)."""
+    """``words`` and their counts: the model's vocabulary (numbers below n) and more. What a row's own task finds (kind 0: doc_key and figures) and what it asks the count tables (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words)
@@ -279,26 +281,29 @@ def _score(words: list[bytes], counts: list[int], end: int, params: bytes, n: in
                 out: list[tuple] = []
                 asked: list[bytes] = []
                 owner, times = [], []
-                held = []
+                held, every = [], []
                 for i, text in enumerate(utf8(b.column(1))):
                     t = tokens(text)
                     x = vocabulary.numbers(t)
-                    held.append(x)
+                    held.append(np.where(x < n, x, UNK))
+                    every.append(x[CONTEXT:])
                     rare = Counter(w for w, k in zip(t, x[CONTEXT:-1].tolist(), strict=True) if k == UNK)
                     asked += rare
                     times += rare.values()
                     owner += [i] * len(rare)
                 logs = model.log10(np.concatenate(held)) if len(held) == 1 else np.concatenate([model.log10(x) for x in held])
                 size = np.array([len(x) - CONTEXT for x in held])
-                word = np.concatenate([x[CONTEXT:] for x in held])
+                word = np.concatenate(every)
                 at = np.cumsum(size) - size
                 lm = np.add.reduceat(logs, at)
                 own = np.where(word == UNK, 0.0, np.log10(known[word] + 1))
                 base = np.add.reduceat(own, at)
                 n_known = np.add.reduceat((known[word] > 0).astype(np.int64), at)
-                n_rare = np.add.reduceat((word == UNK).astype(np.int64), at)
-                for row in zip(keys.tolist(), size.tolist(), n_known.tolist(), n_rare.tolist(), base.tolist(), lm.tolist(), strict=True):
-                    out.append((-1, 0, struct.pack("<qqqqdd", *row)))
+                outside = (word == UNK) | (word >= n)
+                n_rare = np.add.reduceat(outside.astype(np.int64), at)
+                local = np.add.reduceat(np.where(outside, own, 0.0), at)
+                for row in zip(keys.tolist(), size.tolist(), n_known.tolist(), n_rare.tolist(), base.tolist(), lm.tolist(), local.tolist(), strict=True):
+                    out.append((-1, 0, struct.pack("<qqqqddd", *row)))
                 owner, times = np.array(owner, np.int64), np.array(times, np.int64)
                 for bucket, part in _by_bucket(asked, buckets):
                     docs, back = np.unique(owner[part], return_inverse=True)
@@ -308,33 +313,57 @@ def _score(words: list[bytes], counts: list[int], end: int, params: bytes, n: in
     return run
 
 
-def _answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A bucket's count table (kind 0) answers its questions (kind 1): per document sums of log10(c + 1) and known tokens."""
+def _answer(groups: int):
+    """A bucket's count table (kind 0) answers its questions (kind 1): packed sums of log10(c + 1) and known tokens by document."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, parts in _gathered(batches):
+            counts: dict[bytes, int] = {}
+            for kind, data in parts:
+                if kind == 0 and data:
+                    words, n = _unpack(data, "words", "<i8")
+                    counts.update(zip(words, n.tolist(), strict=True))
+            keys, base, known = [], [], []
+            for kind, data in parts:
+                if kind == 1:
+                    words, times, own, back = _unpack(data, "words", "<u4", "<i8", "u1")
+                    back = back.view("<u2" if len(back) == 2 * len(times) else "<u4")
+                    c = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
+                    keys.append(own)
+                    base.append(np.bincount(back, times * np.log10(c + 1), len(own)))
+                    known.append(np.bincount(back, times * (c > 0), len(own)))
+            if keys:
+                key, sums, n = _summed(*(np.concatenate(x) for x in (keys, base, known)))
+                group = key % groups
+                order = np.argsort(group, kind="stable")
+                cut = np.split(order, np.flatnonzero(np.diff(group[order])) + 1)
+                yield _blobs([(int(group[k[0]]), 2, b"".join(x[k].tobytes() for x in (key, sums, n))) for k in cut])
+
+    return run
+
+
+def _summed(key: np.ndarray, base: np.ndarray, known: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    key, at = np.unique(key, return_inverse=True)
+    return key, np.bincount(at, base, len(key)), np.bincount(at, known, len(key))
+
+
+def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of a group's documents over all buckets."""
     for _, parts in _gathered(batches):
-        counts: dict[bytes, int] = {}
-        for kind, data in parts:
-            if kind == 0 and data:
-                words, n = _unpack(data, "words", "<i8")
-                counts.update(zip(words, n.tolist(), strict=True))
-        for kind, data in parts:
-            if kind == 1:
-                (size,) = struct.unpack_from("<Q", data)
-                words, times, keys, back = _unpack(data, "words", "<u4", "<i8", "u1")
-                back = back.view("<u2" if len(back) == 2 * len(times) else "<u4")
-                c = np.fromiter((counts.get(w, 0) for w in words), np.float64, len(words))
-                base = np.bincount(back, times * np.log10(c + 1), len(keys))
-                known = np.bincount(back, times * (c > 0), len(keys))
-                yield pa.record_batch([pa.array(keys), pa.array(base), pa.array(known.astype(np.int64))], ["doc_key", "rare_base", "rare_known"])
+        columns = [np.frombuffer(d, np.uint8).reshape(3, -1) for _, d in parts]
+        keys, base, known = (np.concatenate([c[i].view(t) for c in columns]) for i, t in enumerate(("<i8", "<f8", "<f8")))
+        key, sums, n = _summed(keys, base, known)
+        yield pa.record_batch([pa.array(key), pa.array(sums), pa.array(n.astype(np.int64))], ["doc_key", "rare_base", "rare_known"])
 
 
-OWN = "doc_key long, n_tokens long, n_known long, n_rare long, base double, lm double"
+OWN = "doc_key long, n_tokens long, n_known long, n_rare long, base double, lm double, local double"
 
 
 def _own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64())
+    kinds = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.float64())
     for b in batches:
-        rows = [struct.unpack("<qqqqdd", d) for d in b.column(2).to_pylist()]
-        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 6, kinds, strict=True)], [c.split()[0] for c in OWN.split(", ")])
+        rows = [struct.unpack("<qqqqddd", d) for d in b.column(2).to_pylist()]
+        yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, kinds, strict=True)], [c.split()[0] for c in OWN.split(", ")])
 
 
 def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> DataFrame:
@@ -351,12 +380,14 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int =
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), held_out.alias("held_out"))
     training = rows.where("not held_out").select("text")
     meet = lambda df: df.repartition("bucket").sortWithinPartitions("bucket", "kind")
-    merged = meet(training.mapInArrow(_count(buckets), _KIND)).mapInArrow(_merge_counts(vocabulary), "bucket int, v long, n long, words array<binary>, counts array<long>, data binary")
+    merged = meet(training.mapInArrow(_count(buckets), _KIND)).mapInArrow(_merge_counts(max(vocabulary, COUNTED)), "bucket int, v long, n long, words array<binary>, counts array<long>, data binary")
     merged = checkpoint(merged)
     stats = merged.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum(F.when(F.col("bucket") == -1, F.col("n"))).alias("docs")).first()
     n_docs, total, distinct = stats["docs"] or 0, stats["n"] or 0, (stats["v"] or 0) + (1 if stats["docs"] else 0)
-    best = merged.select(F.inline(F.arrays_zip("words", "counts"))).orderBy(F.desc("counts"), "words").limit(vocabulary).collect()
-    words, counts = [bytes(r[0]) for r in best], [r[1] for r in best]
+    best = merged.select(F.inline(F.arrays_zip("words", "counts"))).orderBy(F.desc("counts"), "words").limit(max(vocabulary, COUNTED))
+    best = checkpoint(best).collect()  # COUNTED rows; cut down on executors, not on the driver
+    counted, times = [bytes(r[0]) for r in best], [r[1] for r in best]
+    words, counts = counted[:vocabulary], times[:vocabulary]
     rare_n, rare_v = total - n_docs - sum(counts), distinct - len(words) - 1
     mass = np.array([n_docs, rare_n, *counts], np.float64) + 1
     unigram = mass / mass.sum()
@@ -366,17 +397,17 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int =
         got = found.repartition(1).mapInArrow(_average, "n long, data binary").first()
         params = bytes(got["data"]) if got else params
     keyed = rows.withColumn("doc_key", F.xxhash64("doc_id", "text"))
-    both = checkpoint(keyed.select("doc_key", "text").mapInArrow(_score(words, counts, n_docs, params, len(unigram), buckets), _KIND))
+    both = checkpoint(keyed.select("doc_key", "text").mapInArrow(_score(counted, times, n_docs, params, len(unigram), buckets), _KIND))
     tables = merged.where("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "data")
-    answers = meet(both.where("bucket >= 0").unionAll(tables)).mapInArrow(_answer, "doc_key long, rare_base double, rare_known long")
-    answers = answers.groupBy("doc_key").agg(F.sum("rare_base").alias("rare_base"), F.sum("rare_known").alias("rare_known"))
-    own = both.where("bucket = -1").mapInArrow(_own, OWN).groupBy("doc_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "n_rare", "base", "lm")])
+    answers = meet(both.where("bucket >= 0").unionAll(tables)).mapInArrow(_answer(buckets), _KIND)
+    answers = meet(answers).mapInArrow(_sum_up, "doc_key long, rare_base double, rare_known long")
+    own = both.where("bucket = -1").mapInArrow(_own, OWN).groupBy("doc_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("n_tokens", "n_known", "n_rare", "base", "lm", "local")])
     x = keyed.select("doc_id", "held_out", "doc_key").join(own.join(answers, "doc_key", "left"), "doc_key")
     rare = F.coalesce(F.col("rare_base") / F.col("copies"), F.lit(0.0))
     log = lambda v: F.lit(float(np.log10(v)))
     return x.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce(F.col("rare_known") / F.col("copies"), F.lit(0))).cast("long").alias("n_known"), F.lit(total).cast("long").alias("train_tokens"),
-        (F.col("base") + rare - F.col("n_tokens") * log(total + distinct + 1)).alias("base_score"), (F.col("lm") + rare - F.col("n_rare") * log(max(1, rare_n + rare_v + 1))).alias("score"),
+        (F.col("base") + rare - F.col("n_tokens") * log(total + distinct + 1)).alias("base_score"), (F.col("lm") + F.col("local") + rare - F.col("n_rare") * log(max(1, rare_n + rare_v + 1))).alias("score"),
     )
 
 
