@@ -22,7 +22,7 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Pieces remembered by a worker, and texts taken from a batch together.
-CACHE_ENTRIES, TOGETHER = 900_000, 256
+CACHE_ENTRIES, TOGETHER = 500_000, 256
 
 
 class TokenIds(dict):
