@@ -30,6 +30,26 @@ class Dialect:
         return f"(exp(-({x}) * ({x}) / 2) / sqrt(2 * pi()))"
 
 
+    @staticmethod
+    def ppf(u: str) -> str:
+        """Inverse of the normal distribution function by Acklam's rational approximation; relative error below 1.2e-9."""
+        # The published coefficients.
+        a = (-3.969683028665376e01, 2.209460984245205e02, -2.759285104469687e02, 1.383577518672690e02, -3.066479806614716e01, 2.506628277459239e00)
+        b = (-5.447609879822406e01, 1.615858368580409e02, -1.556989798598866e02, 6.680131188771972e01, -1.328068155288572e01, 1.0)
+        c = (-7.784894002430293e-03, -3.223964580411365e-01, -2.400758277161838e00, -2.549732539343734e00, 4.374664141464968e00, 2.938163982698783e00)
+        d = (7.784695709041462e-03, 3.224671290700398e-01, 2.445134137142996e00, 3.754408661907416e00, 1.0)
+
+        def horner(x: str, k) -> str:
+            out = f"CAST({k[0]!r} AS DOUBLE)"
+            for v in k[1:]:
+                out = f"(({out}) * {x} + CAST({v!r} AS DOUBLE))"
+            return out
+
+        tail = lambda p: f"{horner(p, c)} / {horner(p, d)}"
+        low, high, q = f"sqrt(-2 * ln({u}))", f"sqrt(-2 * ln(1 - {u}))", f"({u} - 0.5E0)"
+        return f"(CASE WHEN {u} < 0.02425E0 THEN {tail(low)} WHEN {u} > 0.97575E0 THEN -{tail(high)} ELSE {q} * {horner(f'({q} * {q})', a)} / {horner(f'({q} * {q})', b)} END)"
+
+
 class Spark(Dialect):
     name = "spark"
 
@@ -57,6 +77,22 @@ class Spark(Dialect):
     def seconds(self, x: str) -> str:
         return f"unix_seconds(CAST({x} AS TIMESTAMP))"
 
+    def size(self, x: str) -> str:
+        return f"size({x})"
+
+    def item(self, x: str, index: str) -> str:
+        return f"element_at({x}, CAST({index} AS INT))"
+
+    def xor(self, a: str, b: str) -> str:
+        return f"({a} ^ {b})"
+
+    def fold(self, name: str, source: str, state: dict, move: dict, steps: int, keep: list[str]) -> str:
+        """Relation ``name`` of the state after all steps: a fold within the row."""
+        read = {k: f"a.{k}" for k in state}
+        init = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in state.items())
+        after = ", ".join(f"'{k}', CAST({move[k].format(**read, step='step')} AS DOUBLE)" for k in state)
+        return f"{name} AS (SELECT path, f.* FROM (SELECT path, aggregate(sequence(1, {steps}), named_struct({init}), (a, step) -> named_struct({after})) AS f FROM {source} q) w)"
+
 
 class Duck(Dialect):
     name = "duckdb"
@@ -85,5 +121,23 @@ class Duck(Dialect):
     def seconds(self, x: str) -> str:
         return f"CAST(floor(epoch({x})) AS BIGINT)"
 
+    def size(self, x: str) -> str:
+        return f"len({x})"
+
+    def item(self, x: str, index: str) -> str:
+        return f"list_extract({x}, CAST({index} AS BIGINT))"
+
+    def xor(self, a: str, b: str) -> str:
+        return f"xor({a}, {b})"
+
+    def fold(self, name: str, source: str, state: dict, move: dict, steps: int, keep: list[str]) -> str:
+        """The same by a recursive relation."""
+        read = {k: k for k in state}
+        kept = "".join(f", {k}" for k in keep)
+        init = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in state.items())
+        after = ", ".join(f"CAST({move[k].format(**read, step='(step + 1)')} AS DOUBLE) AS {k}" for k in state)
+        walk = f"SELECT path, 0 AS step{kept}, {init} FROM {source} q UNION ALL SELECT path, step + 1 AS step{kept}, {after} FROM {name}_r WHERE step < {steps}"
+        return f"{name}_r AS ({walk}), {name} AS (SELECT path, {', '.join(state)} FROM {name}_r WHERE step = {steps})"
+
 
 SPARK, DUCK = Spark(), Duck()

@@ -41,12 +41,24 @@ SELECT k.event_id, round(CASE WHEN trend = 'neutral' THEN 0E0 ELSE coalesce(mu,
 
 @plan
 def confluence(d: Dialect) -> str:
-    """Roles of alerts vote on a stance; disagreement halves the size, and halvings stack."""
-    return f"""WITH {ALERTS}, r AS (SELECT ticker, CASE WHEN event_id % 3 = 0 THEN 'trend' WHEN event_id % 3 = 1 THEN 'entry' ELSE 'context' END AS role, trend, ts, event_id FROM av),
-l AS (SELECT *, row_number() OVER (PARTITION BY ticker, role ORDER BY ts DESC, event_id DESC) AS k FROM r),
-p AS (SELECT ticker, max(CASE WHEN role = 'trend' THEN trend END) AS a, max(CASE WHEN role = 'entry' THEN trend END) AS b, max(CASE WHEN role = 'context' THEN trend END) AS c FROM l WHERE k = 1 GROUP BY ticker)
-SELECT ticker, a, b, c, CASE WHEN a IS NULL OR a = 'neutral' THEN 'stand_aside' WHEN a = b THEN CASE a WHEN 'bullish' THEN 'long' ELSE 'short' END ELSE 'wait' END AS stance,
-       (CASE WHEN b IS NULL OR b = 'neutral' THEN 0.5E0 ELSE 1E0 END) * (CASE WHEN c IS NULL OR c <> a THEN 0.5E0 ELSE 1E0 END) AS size_factor FROM p"""
+    """Charts by role, the first of each: a stance and an action, flat and when holding; gates in order, halvings stack.
+
+    Alerts stand in for charts: the role by event_id, the confidence by the payload. Flat: missing charts, doubtful reads,
+    differing symbols, a bearish week, then the day's timing. Holding keeps the position unless the week turns bearish
+    or the day and the ratio both are.
+    """
+    role = "CASE event_id % 4 WHEN 0 THEN 'weekly' WHEN 1 THEN 'daily' WHEN 2 THEN 'ratio' ELSE 'hourly' END"
+    pick = lambda r, c: f"max(CASE WHEN role = '{r}' THEN {c} END)"
+    return f"""WITH {ALERTS}, r AS (SELECT ticker, {role} AS role, trend, rsi, 0.3E0 + 0.007E0 * rsi AS confidence, CASE WHEN event_id % 97 = 0 THEN 'OTHER' ELSE ticker END AS symbol, ts, event_id FROM av),
+l AS (SELECT *, row_number() OVER (PARTITION BY ticker, role ORDER BY ts, event_id) AS k FROM r WHERE role <> 'hourly'),
+p AS (SELECT ticker, {pick("weekly", "trend")} AS weekly, {pick("daily", "trend")} AS daily, {pick("ratio", "trend")} AS ratio, {pick("daily", "rsi")} AS rsi, {pick("weekly", "symbol")} AS ws, {pick("daily", "symbol")} AS ds, min(confidence) AS confidence
+      FROM l WHERE k = 1 GROUP BY ticker),
+g AS (SELECT *, weekly IS NULL OR daily IS NULL AS missing, coalesce(confidence, 0E0) < 0.45E0 AS doubtful FROM p),
+s AS (SELECT *, CASE WHEN missing THEN 'INCOMPLETE' WHEN doubtful OR ws <> ds OR weekly = 'bearish' THEN 'NO_TRADE' WHEN daily <> 'bullish' THEN 'MIXED' ELSE 'ALIGNED_LONG' END AS stance,
+      NOT missing AND NOT doubtful AND (ws = ticker OR ds = ticker) AND (weekly = 'bearish' OR daily = 'bearish' AND coalesce(ratio = 'bearish', false)) AS sell FROM g)
+SELECT ticker, weekly, daily, ratio, round(confidence, 6) AS min_confidence, stance, CASE stance WHEN 'INCOMPLETE' THEN 'UPLOAD_MORE' WHEN 'NO_TRADE' THEN 'AVOID' WHEN 'MIXED' THEN 'WAIT' ELSE 'BUY' END AS action,
+       CASE WHEN stance = 'ALIGNED_LONG' THEN (CASE WHEN weekly = 'neutral' THEN 0.5E0 ELSE 1E0 END) * (CASE WHEN rsi > 75 THEN 0.5E0 ELSE 1E0 END) * (CASE WHEN ratio = 'bearish' THEN 0.5E0 ELSE 1E0 END) ELSE 0E0 END AS size_multiplier,
+       CASE WHEN sell THEN 'EXIT' ELSE 'HOLDING' END AS holding_stance, CASE WHEN sell THEN 'SELL' ELSE 'HOLD' END AS holding_action FROM s"""
 
 
 @plan

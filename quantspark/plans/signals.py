@@ -6,8 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect
+from ..operators.garch import garch_parameters
 from ..operators.recurrences import with_recurrences
 from ..registry import plan, query
+from ..sources.reports import matrix
 from ..sources.tables import BARS, views
 
 #: Features that need no recurrence: trend by averages, a tercile of the 14-bar share of gains.
@@ -135,3 +137,21 @@ def heston_moments(d: Dialect) -> str:
     return f"""WITH {BARS}, v AS (SELECT ticker, t, r, 252 * var_pop(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING) AS v FROM rets WHERE r IS NOT NULL),
 w AS (SELECT ticker, t, r, v, v - lag(v) OVER (PARTITION BY ticker ORDER BY t) AS dv, lag(v) OVER (PARTITION BY ticker ORDER BY t) AS lv FROM v WHERE t > 22)
 SELECT ticker, round(avg(v), 8) AS theta, round(corr(v, lv), 6) AS persistence, round(-covar_samp(dv, lv) / var_samp(lv) * 252, 4) AS kappa, round(stddev_samp(dv) / sqrt(avg(v)), 6) AS xi, round(corr(dv, r), 6) AS rho FROM w GROUP BY ticker"""
+
+
+@query()
+def garch_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    views(spark, sf_dir)
+    x = garch_parameters(spark.sql(f"WITH {BARS} SELECT ticker, t, r FROM rets WHERE r IS NOT NULL"))
+    return x.select("ticker", "n", F.round("omega", 10).alias("omega"), F.round("alpha", 6).alias("alpha"), F.round("beta", 6).alias("beta"), F.round("loglik", 4).alias("loglik"), "method")
+
+
+@query(f"""WITH {BARS}, k AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY t DESC) AS k FROM rets WHERE r IS NOT NULL),
+c AS (SELECT a.ticker AS a, b.ticker AS b, corr(a.r, b.r) AS rho FROM k a JOIN k b ON a.k = b.k GROUP BY a.ticker, b.ticker)
+SELECT a AS ticker, {", ".join(f"round(max(CASE WHEN b = '{t}' THEN rho END), 6) AS \"{t}\"" for t in ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"))} FROM c GROUP BY a""")
+def corr_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations of returns, aligned from the end, as the matrix that the report writes."""
+    views(spark, sf_dir)
+    pairs = spark.sql(f"""WITH {BARS}, k AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY t DESC) AS k FROM rets WHERE r IS NOT NULL)
+SELECT a.ticker AS ticker, b.ticker AS other, round(corr(a.r, b.r), 6) AS rho FROM k a JOIN k b ON a.k = b.k GROUP BY a.ticker, b.ticker""")
+    return matrix(pairs, "ticker", "other", "rho")

@@ -4,9 +4,13 @@ from __future__ import annotations
 
 from itertools import combinations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
 from ..functions.dialect import Dialect
-from ..registry import plan
-from ..sources.tables import BARS
+from ..operators.meta_label import meta_labels
+from ..registry import plan, query
+from ..sources.tables import BARS, views
 from .signals import FEATURES
 
 
@@ -29,6 +33,29 @@ x AS (SELECT h.path, h.step, h.why, h.s AS x, 100E0 AS e FROM h JOIN f ON h.path
 SELECT why AS exit_reason, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(step AS DOUBLE)), 6) AS mean_days, round(avg({_PNL} / e), 6) AS mean_pnl, round(avg(CASE WHEN {_PNL} > 1E-12 THEN 1E0 ELSE 0E0 END), 6) AS win_rate FROM x GROUP BY why"""
 
 
+@plan
+def rule_reentry(d: Dialect) -> str:
+    """Up to three trades a path: after an exit the search goes on with the next bar; entries after a bar of falling price.
+
+    Stop, target, trailing stop and holding limit are checked in this order; a bar without a day after it opens nothing.
+    """
+    n, hold = 30, 6
+    z = d.normal(45, "'re'", "path", "{step}")
+    entry, s = "exp({e})", f"{{x}} + 0.0003E0 + 0.02E0 * {z}"
+    now = f"({s})"
+    ext = f"greatest({{m}}, {now})"
+    out = f"({now} <= {{e}} + ln(0.97E0) OR {now} >= {{e}} + ln(1.05E0) OR {now} <= {ext} + ln(0.975E0) OR {{step}} - {{d}} >= {hold} OR {{step}} = {n})"
+    opens = f"{{o}} = 0 AND {{k}} < 3 AND {now} < {{x}} AND {{step}} < {n}"
+    closes = f"{{o}} = 1 AND {out}"
+    pnl = f"(exp({now}) * (1 - 0.0005E0) - {entry} * (1 + 0.0005E0)) / {entry}"
+    move = {
+        "x": s, "o": f"CASE WHEN {closes} THEN 0 WHEN {opens} THEN 1 ELSE {{o}} END", "e": f"CASE WHEN {opens} THEN {now} ELSE {{e}} END", "m": f"CASE WHEN {opens} THEN {now} ELSE {ext} END",
+        "d": f"CASE WHEN {opens} THEN {{step}} ELSE {{d}} END", "k": f"CASE WHEN {opens} THEN {{k}} + 1 ELSE {{k}} END", "p": f"CASE WHEN {closes} THEN {{p}} + {pnl} ELSE {{p}} END", "b": f"CASE WHEN {closes} THEN {{b}} + {{step}} - {{d}} ELSE {{b}} END",
+    }
+    f = d.fold("f", d.rows(400, "path"), {k: "0" for k in move}, move, n, [])
+    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{f} SELECT CAST(k AS BIGINT) AS trades, CAST(count(*) AS BIGINT) AS n, round(avg(p), 8) AS mean_pnl, round(avg(CASE WHEN p > 0 THEN 1E0 ELSE 0E0 END), 6) AS win_rate, round(avg(b / nullif(k, 0)), 6) AS mean_days FROM f GROUP BY k"""
+
+
 @plan
 def rule_structures(d: Dialect) -> str:
     """Every pair of stop and target over the same paths: one path relation joined to the grid."""
@@ -188,3 +215,13 @@ s AS (SELECT k.cb, x.cfg, avg(CASE WHEN c.blk IS NOT NULL THEN r END) / stddev_s
 w AS (SELECT cb, cfg, b, row_number() OVER (PARTITION BY cb ORDER BY a DESC, cfg) AS k FROM s),
 o AS (SELECT w.cb, avg(CASE WHEN w.b >= s.b THEN 1E0 ELSE 0E0 END) AS rank FROM w JOIN s ON w.cb = s.cb WHERE w.k = 1 GROUP BY w.cb)
 SELECT CAST(count(*) AS BIGINT) AS splits, round(avg(CASE WHEN rank < 0.5E0 THEN 1E0 ELSE 0E0 END), 6) AS pbo, round(avg(rank), 6) AS mean_rank FROM o"""
+
+
+@query()
+def meta_label_oos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chances, out of sample, that a trade of the walk-forward side ends positive net of cost, and whether it passes 0.6."""
+    views(spark, sf_dir)
+    rows = spark.sql(f"""WITH {TRADES} SELECT t.ticker, t.t, CAST(t.r > 0.001E0 AS INT) AS label, CAST(t.side AS DOUBLE) AS side, f.osc, ln(f.fast / f.slow) AS trend, f.r AS last, t.side * f.mom AS mom
+FROM trades t JOIN feat f ON f.ticker = t.ticker AND f.t = t.t""")
+    out = meta_labels(rows, ["side", "osc", "trend", "last", "mom"])
+    return out.select("ticker", "t", "label", "fold", F.round("p", 6).alias("p"), (F.col("p") >= 0.6).alias("taken"))
