@@ -6,7 +6,9 @@ them. Models with state are folds within a path's row, so no step is shuffled.
 
 from __future__ import annotations
 
+from ..config import Simulation
 from ..functions.dialect import Dialect
+from ..operators.simulate import relation
 from ..registry import plan
 from ..sources.tables import BARS
 
@@ -139,13 +141,9 @@ def mc_garch(d: Dialect) -> str:
 
 @plan
 def mc_regime(d: Dialect) -> str:
-    """Three regimes; the transition is drawn first and the new regime drives the step."""
-    u = d.uniform(9, "'u'", "path", "{step}")
-    row = "(CASE WHEN {k} = 0 THEN %s WHEN {k} = 1 THEN %s ELSE %s END)"
-    k = f"(CASE WHEN {u} < {row % ('0.95E0', '0.04E0', '0.02E0')} THEN 0 WHEN {u} < {row % ('0.99E0', '0.95E0', '0.12E0')} THEN 1 ELSE 2 END)"
-    s = f"(0.25E0 * (CASE {k} WHEN 0 THEN 0.7E0 WHEN 1 THEN 1E0 ELSE 2E0 END))"
-    x = f"{{x}} + (0.08E0 - {s} * {s} / 2) * {_DT} + {s} * sqrt({_DT}) * {d.normal(9, repr('z'), 'path', '{step}')}"
-    return f"WITH {'RECURSIVE ' if d.name == 'duckdb' else ''}{_fold(d, {'x': '0', 'k': '0'}, {'x': x, 'k': k}, paths=300)} {_summary(d)}"
+    """Normal, volatile and crash regimes; the transition is drawn first and the new regime drives the step."""
+    c = Simulation(model="regime", mu=0.08, sigma=0.25, paths=300, horizon=STEPS, seed=9)
+    return f"WITH {'RECURSIVE ' if d.name == 'duckdb' else ''}{relation(d, c, name='term')} {_summary(d)}"
 
 
 @plan
