@@ -8,6 +8,7 @@ from ..functions.dialect import Dialect
 from ..registry import plan, query
 from ..sources.tables import BARS, views
 from ..streaming.dedupe import dedupe
+from .signals import _SHRINK, FEATURES, _newey_west
 
 #: Events as alerts: user as ticker, event type as trend, value as a clipped oscillator.
 ALERTS = """
@@ -31,12 +32,19 @@ def latest_signal(d: Dialect) -> str:
 SELECT ticker, event_id, trend, tercile, round(({d.seconds("now")} - {d.seconds("ts")}) / 3600E0, 6) AS age_hours, {d.seconds("now")} - {d.seconds("ts")} <= 108000 AS fresh FROM k WHERE rn = 1"""
 
 
+#: Alerts name an instrument by their user; every sixth has none that was ever calibrated.
+_NAMED = "CASE user_id % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'NONE' END"
+
+
 @plan
 def signal_to_drift(d: Dialect) -> str:
-    """Calibrated drift by bucket, looked up by ticker class; a miss is zero with its reason."""
-    return f"""WITH {ALERTS}, tab AS (SELECT event_type AS bucket, avg(value) - 50 AS mu, count(*) AS n FROM events GROUP BY event_type HAVING count(*) > 100),
-k AS (SELECT av.event_id, av.trend, e.event_type AS bucket FROM av JOIN events e ON av.event_id = e.event_id)
-SELECT k.event_id, round(CASE WHEN trend = 'neutral' THEN 0E0 ELSE coalesce(mu, 0E0) END, 6) AS mu, CASE WHEN trend = 'neutral' THEN 'no side' WHEN mu IS NULL THEN 'no calibration' ELSE 'calibrated' END AS reason FROM k LEFT JOIN tab ON k.bucket = tab.bucket"""
+    """Calibrated, shrunk drift by instrument and bucket of trend and oscillator; any miss is zero with its first reason."""
+    return f"""WITH {ALERTS}, {FEATURES.lstrip()}, smp AS (SELECT ticker, bucket, t, fwd AS x FROM buck WHERE fwd IS NOT NULL), {_newey_west("smp", "ticker, bucket")},
+tab AS (SELECT ticker, bucket, n, m, m / se AS ts, {_SHRINK} AS mu FROM smp_nw), known AS (SELECT DISTINCT ticker FROM tab),
+k AS (SELECT av.event_id, {_NAMED} AS name, CASE WHEN av.trend IN ('bullish', 'bearish') THEN concat(av.trend, '_', av.tercile) END AS bucket FROM av JOIN events e ON av.event_id = e.event_id)
+SELECT k.event_id, k.name, k.bucket, CASE WHEN k.bucket IS NULL THEN 'undefined bucket' WHEN known.ticker IS NULL THEN 'no calibration table' WHEN tab.n IS NULL THEN 'no usable samples' WHEN tab.mu = 0 THEN 'shrunk to zero' ELSE '' END AS reason,
+       CASE WHEN tab.n IS NULL THEN 'none' ELSE 'calibration' END AS source, round(coalesce(tab.mu, 0E0), 8) AS mu, round(coalesce(252 / 5E0 * tab.mu, 0E0), 6) AS mu_annual, round(tab.ts, 5) AS t_stat
+FROM k LEFT JOIN known ON known.ticker = k.name LEFT JOIN tab ON tab.ticker = k.name AND tab.bucket = k.bucket"""
 
 
 @plan
@@ -93,12 +101,20 @@ SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN net > 0 THEN 1E0 ELSE
 
 @plan
 def snapshot(d: Dialect) -> str:
-    """States of the monitored sections and the worst of them."""
-    return f"""WITH {ALERTS}, s AS (
-  SELECT 'signal' AS section, CASE WHEN count(*) = 0 THEN 2 WHEN count(DISTINCT ticker) < 10 THEN 1 ELSE 0 END AS level FROM av
-  UNION ALL SELECT 'bridge', CASE WHEN max(ts) IS NULL THEN 2 ELSE 0 END FROM av
-  UNION ALL SELECT 'log', CASE WHEN count(*) < 20 THEN 1 ELSE 0 END FROM orders)
-SELECT section, CASE level WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'fail' END AS state, CASE max(level) OVER () WHEN 0 THEN 'ok' WHEN 1 THEN 'warn' ELSE 'fail' END AS worst FROM s"""
+    """States of the monitored sections by rank good, info, warn, critical, with their figures, and the worst of them.
+
+    The latest alert is stale after 30 hours; the record is critical once the last twenty settled trades lose on average;
+    the calibration warns after 30 days. The time is the end of the alerts.
+    """
+    return f"""WITH {ALERTS}, {LOG.lstrip()},
+now AS (SELECT max(ts) AS now FROM av), r AS (SELECT net, row_number() OVER (ORDER BY id DESC) AS k FROM settled),
+rec AS (SELECT count(*) AS n, avg(CASE WHEN net > 0 THEN 1E0 ELSE 0E0 END) AS hit, avg(CASE WHEN k <= 20 THEN net END) AS tail FROM r),
+sig AS (SELECT count(*) AS n, max(CASE WHEN trend <> 'neutral' THEN {d.seconds("ts")} END) AS seen FROM av), cal AS (SELECT max(d) AS d FROM bars),
+s AS (
+  SELECT 'signal' AS section, CASE WHEN n = 0 THEN 2 WHEN seen IS NULL OR {d.seconds("now.now")} - seen > 108000 THEN 2 ELSE 0 END AS level, ({d.seconds("now.now")} - seen) / 3600E0 AS figure FROM sig CROSS JOIN now
+  UNION ALL SELECT 'record', CASE WHEN n >= 20 AND tail < 0 THEN 3 WHEN n = 0 THEN 1 ELSE 0 END, hit FROM rec
+  UNION ALL SELECT 'calibration', CASE WHEN {d.seconds("now.now")} - {d.seconds("CAST(cal.d AS TIMESTAMP)")} > 2592000 THEN 2 ELSE 0 END, NULL FROM cal CROSS JOIN now)
+SELECT section, CASE level WHEN 0 THEN 'good' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'critical' END AS state, round(figure, 6) AS figure, CASE max(level) OVER () WHEN 0 THEN 'good' WHEN 1 THEN 'info' WHEN 2 THEN 'warn' ELSE 'critical' END AS worst FROM s"""
 
 
 _WALK = f"""WITH RECURSIVE {ALERTS},
@@ -117,12 +133,3 @@ def dedupe_signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Alerts equal to the stored latest of their ticker within 600 seconds; a duplicate does not move the stored one."""
     views(spark, sf_dir)
     return dedupe(spark.sql(f"WITH {ALERTS} SELECT event_id, ts, ticker, trend, tercile FROM av"))
-
-
-@plan
-def vision_score(d: Dialect) -> str:
-    """Level extraction scored by nearest match within two per cent: precision, recall, F1 by brand."""
-    return """WITH t AS (SELECT p_brand AS b, p_size AS z, avg(p_retailprice) AS px FROM part GROUP BY p_brand, p_size), p AS (SELECT p_brand AS b, p_size AS z, max(p_retailprice) AS px FROM part GROUP BY p_brand, p_size),
-m AS (SELECT t.b, t.z, abs(p.px / t.px - 1) <= 0.02E0 AS hit FROM t JOIN p ON t.b = p.b AND t.z = p.z),
-s AS (SELECT b, avg(CASE WHEN hit THEN 1E0 ELSE 0E0 END) AS pr, CAST(sum(CASE WHEN hit THEN 1 ELSE 0 END) AS DOUBLE) / 50 AS rc FROM m GROUP BY b)
-SELECT b AS brand, round(pr, 6) AS precision_, round(rc, 6) AS recall_, round(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0E0 END, 6) AS f1 FROM s"""

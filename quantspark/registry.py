@@ -38,7 +38,7 @@ def query(oracle: str | None = None):
 
 
 def load() -> None:
-    from .plans import events, pricing, quasi, signals, simulation, validation  # noqa: F401
+    from .plans import decisions, events, pricing, quasi, signals, simulation, validation  # noqa: F401
 
 
 load()
