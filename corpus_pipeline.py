@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quantspark.llm import kneser_ney, mixing, packing, pii, simhash, token_store
+from quantspark.llm import jaccard, kneser_ney, mixing, packing, pii, token_store
 from quantspark.llm.common import SPACE, table
 
 #: No SQL says what the quality model, the fingerprints or the tokenizer do; tests hold the stages against plain versions.
@@ -23,9 +23,9 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the row whose doc_id names the group. Rows without doc_id stay.
 
-    Of repeated rows of that doc_id one stays, the one with the least text.
+    Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs join. Of repeated rows of that doc_id one stays, the one with the least text.
     """
-    found = simhash.simhash_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
+    found = jaccard.jaccard_components(docs.select("doc_id", "text")).where("doc_id = component_id").select("doc_id").distinct()
     chosen = docs.where("doc_id is not null").join(found, "doc_id", "left_semi")
     least = chosen.groupBy("doc_id").agg(F.count("*").alias("n"))
     twice = chosen.join(least.where("n > 1"), "doc_id", "left_semi")
@@ -70,7 +70,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack_pieces(packing.token_pieces(docs.select("doc_id", "text")))
 
 
-STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
+STAGES = [("quality classifier", quality), ("near-dedup", near_dedup), ("PII", personal_data), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
