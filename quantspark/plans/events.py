@@ -76,14 +76,23 @@ def position_size(d: Dialect) -> str:
        round(greatest(0E0, 2 * {d.cdf("((p_size - 25) / 12.5E0)")} - 1), 5) AS conviction FROM part"""
 
 
-#: Orders as logged verdicts: a long entry on the first close after the order date, held five bars with a stop.
+_LAST = 5
+_HIT = [f"x{k} <= 0.98E0 * e" for k in range(1, _LAST + 1)]
+_HELD = f"CASE {' '.join(f'WHEN {h} THEN {k}' for k, h in enumerate(_HIT, 1))} WHEN x{_LAST} IS NOT NULL THEN {_LAST} END"
+
+#: Every order as a logged verdict: a long entry on the first close after the order date, held five bars with a stop.
+#: An outcome depends on the entry's bar alone, so it is found once a bar, from the closes that follow it; orders take the bar that follows their date.
 LOG = f"""{BARS},
-lg AS (SELECT o_orderkey AS id, o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders WHERE o_orderkey % 20 = 0),
-st AS (SELECT lg.id, lg.ticker, min(b.t) AS t FROM lg JOIN bars b ON b.ticker = lg.ticker AND b.d > lg.d AND b.d <= lg.d + INTERVAL 15 DAY GROUP BY lg.id, lg.ticker),
-en AS (SELECT st.id, st.ticker, st.t, b.close AS e FROM st JOIN bars b ON b.ticker = st.ticker AND b.t = st.t),
-hx AS (SELECT en.id, en.e, b.t - en.t AS k, b.close AS x, b.close <= 0.98E0 * e AS hit FROM en JOIN bars b ON b.ticker = en.ticker AND b.t BETWEEN en.t + 1 AND en.t + 5),
-fx AS (SELECT id, min(k) AS k FROM hx WHERE hit OR k = 5 GROUP BY id),
-settled AS (SELECT hx.id, hx.e, hx.x, hx.k, hx.hit, hx.x / hx.e - 1 - 0.001E0 AS net FROM hx JOIN fx ON hx.id = fx.id AND hx.k = fx.k)"""
+lg AS (SELECT o_orderkey AS id, o_orderpriority AS ticker, CAST(o_orderdate AS DATE) AS d FROM orders),
+days AS (SELECT ticker, d, max(t) AS t FROM (SELECT DISTINCT ticker, d, CAST(NULL AS INT) AS t FROM lg UNION ALL SELECT ticker, d, t FROM bars) u GROUP BY ticker, d),
+st AS (SELECT ticker, d, min(t) OVER (PARTITION BY ticker ORDER BY d ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS t FROM days),
+ahead AS (SELECT ticker, t, close AS e, {", ".join(f"lead(close, {k}) OVER (PARTITION BY ticker ORDER BY t) AS x{k}" for k in range(1, _LAST + 1))} FROM bars),
+hx AS (SELECT *, {_HELD} AS k FROM ahead),
+fx AS (SELECT ticker, t, e, k, CASE k {" ".join(f"WHEN {k} THEN x{k}" for k in range(1, _LAST + 1))} END AS x FROM hx WHERE k IS NOT NULL),
+settled AS (SELECT lg.id, fx.e, fx.x, fx.k, fx.x <= 0.98E0 * fx.e AS hit, fx.x / fx.e - 1 - 0.001E0 AS net FROM lg JOIN st ON st.ticker = lg.ticker AND st.d = lg.d JOIN fx ON fx.ticker = st.ticker AND fx.t = st.t)"""
+
+#: The last twenty settled trades in log order.
+_TAIL = "tl AS (SELECT avg(net) AS tail, sum(net) AS total FROM (SELECT net FROM settled ORDER BY id DESC LIMIT 20) z)"
 
 
 @plan
@@ -95,8 +104,8 @@ def settle(d: Dialect) -> str:
 @plan
 def kill_switch(d: Dialect) -> str:
     """Hit rate and mean of the last twenty settled trades in log order, and the state that they give."""
-    return f"""WITH {LOG}, r AS (SELECT net, row_number() OVER (ORDER BY id DESC) AS k FROM settled)
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN net > 0 THEN 1E0 ELSE 0E0 END), 6) AS hit_rate, round(avg(CASE WHEN k <= 20 THEN net END), 8) AS trailing, sum(CASE WHEN k <= 20 THEN net ELSE 0 END) < 0 AND count(*) >= 20 AS killed FROM r"""
+    return f"""WITH {LOG}, {_TAIL}, r AS (SELECT count(*) AS n, avg(CASE WHEN net > 0 THEN 1E0 ELSE 0E0 END) AS hit FROM settled)
+SELECT CAST(n AS BIGINT) AS n, round(hit, 6) AS hit_rate, round(tail, 8) AS trailing, total < 0 AND n >= 20 AS killed FROM r CROSS JOIN tl"""
 
 
 @plan
@@ -107,8 +116,8 @@ def snapshot(d: Dialect) -> str:
     the calibration warns after 30 days. The time is the end of the alerts.
     """
     return f"""WITH {ALERTS}, {LOG.lstrip()},
-now AS (SELECT max(ts) AS now FROM av), r AS (SELECT net, row_number() OVER (ORDER BY id DESC) AS k FROM settled),
-rec AS (SELECT count(*) AS n, avg(CASE WHEN net > 0 THEN 1E0 ELSE 0E0 END) AS hit, avg(CASE WHEN k <= 20 THEN net END) AS tail FROM r),
+now AS (SELECT max(ts) AS now FROM av), {_TAIL},
+rec AS (SELECT n, hit, tail FROM (SELECT count(*) AS n, avg(CASE WHEN net > 0 THEN 1E0 ELSE 0E0 END) AS hit FROM settled) r CROSS JOIN tl),
 sig AS (SELECT count(*) AS n, max(CASE WHEN trend <> 'neutral' THEN {d.seconds("ts")} END) AS seen FROM av), cal AS (SELECT max(d) AS d FROM bars),
 s AS (
   SELECT 'signal' AS section, CASE WHEN n = 0 THEN 2 WHEN seen IS NULL OR {d.seconds("now.now")} - seen > 108000 THEN 2 ELSE 0 END AS level, ({d.seconds("now.now")} - seen) / 3600E0 AS figure FROM sig CROSS JOIN now
