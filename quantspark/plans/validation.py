@@ -176,9 +176,10 @@ SELECT round(avg(m), 8) AS mean, round({d.quantile("m", 0.025)}, 8) AS lo, round
 
 @plan
 def reshuffle_dd(d: Dialect) -> str:
-    """Drawdowns of the trades in random orders, one keyed order a replicate."""
-    return f"""WITH {TRADES}, w AS (SELECT CAST(row_number() OVER (ORDER BY d, ticker) AS BIGINT) AS k, ln(1 + r) AS l FROM trades WHERE ticker = '1-URGENT'),
-o AS (SELECT b, k, sum(l) OVER (PARTITION BY b ORDER BY {d.uniform(44, "'rs'", "b", "k")} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, {d.uniform(44, "'rs'", "b", "k")} AS u FROM w CROSS JOIN {d.rows(100, "b")} r),
+    """Drawdowns of the weekly returns of all tickers in 5,000 random orders, one keyed order a replicate."""
+    return f"""WITH {TRADES}, wr AS (SELECT CAST(date_trunc('week', d) AS DATE) AS wk, avg(r) AS r FROM trades GROUP BY 1),
+w AS (SELECT CAST(row_number() OVER (ORDER BY wk) AS BIGINT) AS k, ln(1 + r) AS l FROM wr),
+o AS (SELECT b, k, sum(l) OVER (PARTITION BY b ORDER BY {d.uniform(44, "'rs'", "b", "k")} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS e, {d.uniform(44, "'rs'", "b", "k")} AS u FROM w CROSS JOIN {d.rows(5000, "b")} r),
 q AS (SELECT b, e - greatest(0E0, max(e) OVER (PARTITION BY b ORDER BY u ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS dd FROM o),
 m AS (SELECT b, exp(min(dd)) - 1 AS dd FROM q GROUP BY b)
 SELECT round(avg(dd), 6) AS mean_dd, round({d.quantile("dd", 0.05)}, 6) AS p05, round(min(dd), 6) AS worst FROM m"""
