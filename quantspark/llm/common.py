@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,13 +17,16 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-#: Rows in one Arrow batch: whole texts are long, and the default of 10,000 rows may not fit a worker.
-BATCH_ROWS = 1000
+#: Bounds of one Arrow batch: whole texts are long, and the defaults may not fit a worker.
+BATCH_ROWS, BATCH_BYTES = 1000, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """An input table of a query; from then on the session sends texts to Python in small batches."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """An input table of a query; from then on the session sends texts to Python in batches of bounded rows and bytes."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        now = spark.conf.get(f"spark.sql.execution.arrow.{key}").rstrip("b")
+        if not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(f"spark.sql.execution.arrow.{key}", str(most))
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -35,15 +39,35 @@ def words_col(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that ``spark.checkpoint.dir`` names; a temporary one where none is set and all tasks run in this process."""
+    sc = spark.sparkContext
+    if sc._jsc.sc().getCheckpointDir().isEmpty():
+        own = spark.conf.get("spark.checkpoint.dir", None)
+        if not own and not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(own or tempfile.mkdtemp(prefix="checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared folder."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """Cut lineage in the shared folder named by ``spark.checkpoint.dir``; a temporary one is set only where none is."""
-    spark = df.sparkSession
-    if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        own = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint")
-        spark.sparkContext.setCheckpointDir(own)
+    """Cut lineage in the shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a Parquet table in the shared folder: cut off from their lineage, and read column by column."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -66,6 +90,29 @@ def slices(batch: pa.RecordBatch, column: int, most: int = 8 << 20) -> Iterator[
         at = to
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: int, least: int) -> Iterator[pa.Table]:
+    """Rows that arrive sorted by their first ``keys`` columns, as tables of whole groups with about ``least`` rows."""
+    held, rows = [], 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        held.append(b)
+        rows += b.num_rows
+        if rows < least:
+            continue
+        t, other = pa.Table.from_batches(held), np.zeros(rows, bool)
+        for k in range(keys):
+            other |= ~pc.equal(t.column(k), t.column(k)[rows - 1]).to_numpy()
+        at = int(np.flatnonzero(other)[-1]) + 1 if other.any() else 0
+        if at:
+            yield t.slice(0, at)
+        t = t.slice(at)
+        held, rows = t.combine_chunks().to_batches(), t.num_rows
+        least = max(least, 2 * rows)
+    if rows:
+        yield pa.Table.from_batches(held)
+
+
 def union_roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """For links a-b among 0..n-1: the smallest index reachable from each, by minimum labels and pointer jumping."""
     label = np.arange(n)

@@ -8,7 +8,6 @@ ascending doc_id order, so that Spark's commit protocol guards them and any stor
 from __future__ import annotations
 
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -18,7 +17,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpoint, shuffle_partitions, table
+from .common import shared_path, shuffle_partitions, table
 from .tokens import encoded, token_ids, tokenizer_path
 
 MAGIC = b"EFT1"
@@ -78,14 +77,6 @@ class EliasFano:
         place = 8 * byte + (word & -word).bit_length() - 1
         return (place - i) << self.low_bits | self._low(i)
 
-    def decode(self) -> np.ndarray:
-        places = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n]
-        out = (places - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
-        if self.low_bits:
-            b = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(-1, self.low_bits)
-            out |= (b.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(axis=1, dtype=np.uint64)
-        return out.astype(np.int64)
-
 
 def encode_block(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """Documents in ascending doc_id order, those without a doc_id first."""
@@ -105,12 +96,13 @@ class Block:
             raise ValueError("not a token block")
         width, self.n, self.unnamed, self.n_ids, a, b = struct.unpack_from("<6Q", data, 4)
         self.ends = EliasFano.load(data[52 : 52 + a])
-        self._names = data[52 + a : 52 + a + b]
+        self.base = struct.unpack_from("<q", data, 52 + a)[0]
+        self.names = EliasFano.load(data[60 + a : 52 + a + b])
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, 52 + a + b)
 
-    def doc_ids(self) -> list[int | None]:
-        base = struct.unpack_from("<q", self._names)[0]
-        return [None] * self.unnamed + (EliasFano.load(self._names[8:]).decode() + base).tolist()
+    def doc_id(self, i: int) -> int | None:
+        """Documents without a doc_id come first."""
+        return None if i < self.unnamed else self.base + self.names.select(i - self.unnamed)
 
     def offset(self, i: int) -> int:
         return self.ends.select(i - 1) if i else 0
@@ -149,24 +141,26 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
         for part, seq, data in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
             block = Block(data)
-            ends = block.ends.decode()
-            starts = np.r_[0, ends[:-1]]
-            crc = [zlib.crc32(block.ids[s:e].astype("<u4").tobytes()) for s, e in zip(starts, ends, strict=True)]
-            yield pa.record_batch(
-                [pa.array([part] * block.n, pa.int32()), pa.array([seq] * block.n, pa.int32()), pa.array(block.doc_ids(), pa.int64()), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())],
-                ["part", "seq", "doc_id", "own_start", "n_tokens", "ids_crc32"],
-            )
+            rows, start = [], 0
+            for i in range(block.n):  # a boundary is selected when its document is read
+                end = block.offset(i + 1)
+                rows.append((part, seq, block.doc_id(i), start, end - start, zlib.crc32(block.ids[start:end].astype("<u4").tobytes())))
+                start = end
+            kinds = (pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.record_batch([pa.array(x, k) for x, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["part", "seq", "doc_id", "own_start", "n_tokens", "ids_crc32"])
 
 
 def write_tokens(docs: DataFrame, path: str, tokenizer: str = "byte_bpe_50k.json", end_id: int = 0, path_of=tokenizer_path) -> str:
     """Write the whole texts of ``docs(doc_id, text)`` as blocks in ascending doc_id order below ``path``.
 
     A null or empty text is the end id alone; rows without doc_id come first; rows of one doc_id lie in order of their
-    texts. Rows are dealt by ranges of doc_id, so no task holds more than its range, and a block closes after
-    BLOCK_IDS ids, or after the document that passes them.
+    texts' hashes. Rows are dealt by ranges of doc_id, hash and place in the input, so that no task holds more than its
+    range, though a third of the rows have one doc_id or none; a block closes after BLOCK_IDS ids, or after the document
+    that passes them.
     """
     n = shuffle_partitions(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange(n, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange(n, "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "at").select("doc_id", "text")
     rows.mapInArrow(_write(path_of, tokenizer, end_id), "part int, seq int, n_ids long, block binary").write.mode("overwrite").parquet(path)
     return path
 
@@ -184,14 +178,6 @@ def read_tokens(spark, path: str) -> DataFrame:
     return docs.join(base, ["part", "seq"]).select("doc_id", (F.col("own_start") + F.col("in_part") + F.col("of_part")).alias("start"), "n_tokens", "ids_crc32")
 
 
-def shared_path(spark, name: str) -> str:
-    """A new folder below the shared checkpoint folder."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        checkpoint(spark.range(1))
-    return f"{sc._jsc.sc().getCheckpointDir().get()}/{name}-{uuid.uuid4().hex}"
-
-
 def op8_tokens(spark, sf_dir: str) -> DataFrame:
     path = write_tokens(table(spark, sf_dir, "documents").select("doc_id", "text"), shared_path(spark, "tokens"))
     return read_tokens(spark, path)
