@@ -1,17 +1,19 @@
 """Personal data by weak supervision: base patterns, voting labelers, reliabilities by expectation-maximisation, a span classifier.
 
-DataFrame and SQL functions only. Candidate spans beyond the base patterns are rare tokens; labelers vote on each, the
-votes' patterns (at most 3^L) are counted over the corpus, and the EM steps run as a fold over that one row of counts.
+DataFrame and SQL functions only. Candidate spans beyond the base patterns are runs of key-like characters; labelers vote
+on each, and one aggregation counts patterns of votes and features over all documents. What comes back is bounded by
+the number of patterns (3^L) and feature groups, whatever the corpus; EM and the classifier's weights are sums over it.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from math import log
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, text_col
+from .common import table, text_col
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns. A match can only begin where its first run of characters does, or where the match
@@ -23,14 +25,18 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: A candidate: a run of key-like characters with a digit, or a name and its value.
-CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]{0,200}[0-9])[A-Za-z0-9+/_=-]{9,}+"
+CANDIDATE = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*+[0-9])[A-Za-z0-9+/_=-]{9,}+"
 #: Gazetteer of words that go before secrets and personal numbers.
 NAMES_OF_SECRETS = ("password", "passwd", "pwd", "secret", "token", "apikey", "api_key", "access_key", "key", "credential", "auth", "bearer", "ssn", "iban", "account", "passport", "private")
 #: Known shapes of keys and numbers.
 KNOWN = r"^(?:AKIA[A-Z0-9]{12,}|ASIA[A-Z0-9]{12,}|gh[pousr]_[A-Za-z0-9]{20,}|sk-[A-Za-z0-9-]{16,}|xox[abprs]-[A-Za-z0-9-]{10,}|AIza[A-Za-z0-9_-]{30,}|eyJ[A-Za-z0-9_=-]{16,}|[A-Za-z_-]{2,24}=[A-Za-z0-9+/_=-]{8,}|[0-9]{3}-[0-9]{2}-[0-9]{4}|[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30})$"
 CONTEXT = 32
 ROUNDS, ACCEPT = 25, 0.5
-LABELERS = ("shape", "gazetteer", "mixture", "length")
+LABELERS = ("regex", "gazetteer", "context", "mixture")
+#: What stands before an assigned value, and before a word of prose.
+ASSIGNED, PROSE = r"(?:[:=]|\bis)\s*[\"']?$", r"[A-Za-z,;.]\s$"
+#: Spans gathered before they are put aside together, so that long lists are not copied for every span.
+TOGETHER = 128
 _SPAN = "array<struct<start:int,end:int>>"
 
 
@@ -41,15 +47,19 @@ def match_spans(text: Column, pattern: str) -> Column:
     """
     found = F.regexp_extract_all(text, F.lit(pattern), 0)
     parts = F.arrays_zip(F.transform(F.split(text, pattern, -1), lambda g: F.length(g)).alias("g"), found.alias("m"))
-    zero = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<text:string,start:int,end:int>>").alias("out"))
+    span = "struct<text:string,start:int,end:int>"
+    zero = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<{span}>").alias("near"), F.array().cast(f"array<array<{span}>>").alias("far"))
 
     def step(acc: Column, p: Column) -> Column:
         start = acc["at"] + p["g"]
         end = start + F.coalesce(F.length(p["m"]), F.lit(0))
-        out = F.when(p["m"].isNull(), acc["out"]).otherwise(F.array_append(acc["out"], F.struct(p["m"].alias("text"), start.alias("start"), end.alias("end"))))
-        return F.struct(end.alias("at"), out.alias("out"))
+        own = F.struct(p["m"].alias("text"), start.alias("start"), end.alias("end"))
+        full = F.size(acc["near"]) >= TOGETHER
+        near = F.when(p["m"].isNull(), acc["near"]).when(full, F.array(own)).otherwise(F.array_append(acc["near"], own))
+        far = F.when(p["m"].isNotNull() & full, F.array_append(acc["far"], acc["near"])).otherwise(acc["far"])
+        return F.struct(end.alias("at"), near.alias("near"), far.alias("far"))
 
-    return F.aggregate(parts, zero, step, lambda acc: acc["out"])
+    return F.aggregate(parts, zero, step, lambda acc: F.flatten(F.array_append(acc["far"], acc["near"])))
 
 
 def _digits(s: Column) -> Column:
@@ -94,8 +104,8 @@ def _votes(value: Column, before: Column) -> list[Column]:
     return [
         F.when(value.rlike(KNOWN), 1).when(turns == 0, -1).otherwise(0),
         F.when(F.concat(before, F.lit(" "), value).rlike(named), 1).otherwise(0),
-        F.when((turns >= 3) & (digits >= 3) & (letters >= 3), 1).when((turns <= 1) & ~value.rlike(KNOWN), -1).otherwise(0),
-        F.when((F.length(value) >= 16) & (turns >= 2), 1).when(F.length(value) < 12, -1).otherwise(0),
+        F.when(F.concat(before, value).rlike("[A-Za-z_]=[A-Za-z0-9+/_-]{8,}$") | before.rlike(ASSIGNED), 1).when(before.rlike(PROSE), -1).otherwise(0),
+        F.when((turns >= 3) & (digits >= 3) & (letters >= 3) & (F.length(value) >= 12), 1).when((turns <= 1) & ~value.rlike(KNOWN), -1).otherwise(0),
     ]
 
 
@@ -125,68 +135,68 @@ def candidate_spans(text: Column) -> Column:
     return F.when(text.rlike("[0-9]"), F.transform(match_spans(text, CANDIDATE), view)).otherwise(F.array().cast("array<struct<start:int,end:int,pattern:int,features:array<int>>>"))
 
 
-def _em(counts: DataFrame) -> DataFrame:
-    """``counts(pattern, n)`` -> one row ``posterior: array<double>`` by pattern, by ROUNDS of EM as a fold.
+@dataclass(frozen=True)
+class Model:
+    """The span classifier: log odds of its prior and of each feature; and what EM says of the labelers."""
 
-    State: the share of personal spans, and for class c, labeler j and vote v the chance theta[c][6j + ...] of the vote
-    (add-one smoothing). It starts from labelers that are right in 8 of 10 votes.
+    prior: float
+    weights: tuple[float, ...]
+    reliability: tuple[tuple[tuple[float, ...], tuple[float, ...]], ...]  # by labeler: chances of votes -1, 0, 1 among personal spans, and among others
+
+
+def expectation_maximisation(counts: dict[int, int], rounds: int = ROUNDS) -> tuple[dict[int, float], list]:
+    """Chance of being personal by pattern of votes, and each labeler's chances of votes by class.
+
+    Votes are taken as independent given the class, with add-one smoothing; it starts from labelers that are right in
+    7 of 10 votes.
     """
-    size = 3 ** len(LABELERS)
-    every = F.sequence(F.lit(0), F.lit(size - 1))
-    vote = lambda p, j: F.pmod(F.floor(p / 3**j).cast("int"), F.lit(3))
-    row = counts.agg(F.map_from_entries(F.collect_list(F.struct("pattern", "n"))).alias("m"))  # at most 3^L entries
-    row = row.select(F.transform(every, lambda p: F.coalesce(F.try_element_at(F.col("m"), p), F.lit(0)).cast("double")).alias("n"))
-
-    def posterior(s: Column) -> Column:
-        def one(p: Column) -> Column:
-            a, b = s["prior"], 1 - s["prior"]
-            for j in range(len(LABELERS)):
-                at = F.lit(3 * j) + vote(p, j)
-                a, b = a * F.get(s["good"], at), b * F.get(s["bad"], at)
-            return a / (a + b)
-
-        return F.transform(every, one)
-
-    def chances(mass: Column) -> Column:
-        def one(k: Column) -> Column:
-            j, v = F.floor(k / 3).cast("int"), F.pmod(k, F.lit(3))
-            own = lambda p: F.pmod(F.floor(p / F.pow(F.lit(3), j)).cast("int"), F.lit(3)) == v
-            hit = F.aggregate(every, F.lit(0.0), lambda acc, p: acc + F.when(own(p), F.get(mass, p)).otherwise(0.0))
-            return (hit + 1) / (F.aggregate(mass, F.lit(0.0), lambda acc, x: acc + x) + 3)
-
-        return F.transform(F.sequence(F.lit(0), F.lit(3 * len(LABELERS) - 1)), one)
-
-    def step(s: Column, _: Column) -> Column:
-        good = F.zip_with(posterior(s), F.col("n"), lambda q, n: q * n)
-        bad = F.zip_with(posterior(s), F.col("n"), lambda q, n: (1 - q) * n)
-        total = lambda a: F.aggregate(a, F.lit(0.0), lambda acc, x: acc + x)
-        return F.struct(((total(good) + 1) / (total(F.col("n")) + 2)).alias("prior"), chances(good).alias("good"), chances(bad).alias("bad"))
-
-    right, wrong = [0.1, 0.2, 0.7], [0.6, 0.3, 0.1]
-    start = F.struct(F.lit(0.5).alias("prior"), F.array(*[F.lit(x) for x in right * len(LABELERS)]).alias("good"), F.array(*[F.lit(x) for x in wrong * len(LABELERS)]).alias("bad"))
-    for _ in range(ROUNDS):  # each round's state is a column of the one row, so that nothing is expanded twice
-        row = row.select("n", start.alias("s"))
-        row = row.select("n", step(F.col("s"), None).alias("s"))
-        start = F.col("s")
-    return row.select(posterior(F.col("s")).alias("posterior"))
-
-
-def train(docs: DataFrame) -> DataFrame:
-    """One row ``(prior, weights)``: a naive Bayes span classifier fitted to the EM posteriors of all candidates."""
-    spans = checkpoint(docs.select(F.explode(candidate_spans(text_col())).alias("c")).select("c.pattern", "c.features"))
-    counts = spans.groupBy("pattern").agg(F.count("*").alias("n"))
-    post = checkpoint(_em(counts)).select(F.posexplode("posterior").alias("pattern", "p"))
-    grouped = spans.groupBy("pattern", "features").agg(F.count("*").alias("n")).join(post, "pattern")  # both bounded by construction
-    by = grouped.select(F.explode("features").alias("f"), (F.col("p") * F.col("n")).alias("good"), ((1 - F.col("p")) * F.col("n")).alias("bad"))
-    by = by.groupBy("f").agg(F.sum("good").alias("good"), F.sum("bad").alias("bad"))
-    total = grouped.agg(F.coalesce(F.sum(F.col("p") * F.col("n")), F.lit(0.0)).alias("g"), F.coalesce(F.sum((1 - F.col("p")) * F.col("n")), F.lit(0.0)).alias("b"))
-    ratio = F.struct("f", F.col("good").alias("good"), F.col("bad").alias("bad"))
-    row = by.agg(F.map_from_entries(F.collect_list(F.struct(F.col("f"), ratio))).alias("m")).join(F.broadcast(total), F.lit(True))  # two single rows
-    weight = lambda f: F.log((F.coalesce(F.try_element_at(F.col("m"), f)["good"], F.lit(0.0)) + 1) / (F.col("g") + 4)) - F.log((F.coalesce(F.try_element_at(F.col("m"), f)["bad"], F.lit(0.0)) + 1) / (F.col("b") + 4))
-    return checkpoint(row.select(F.log((F.col("g") + 1) / (F.col("b") + 1)).alias("prior"), F.transform(F.sequence(F.lit(0), F.lit(N_FEATURES - 1)), weight).alias("weights")))
-
-
-def find_pii(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
+    names = range(len(LABELERS))
+    vote = {p: [p // 3**j % 3 for j in names] for p in counts}
+    total = sum(counts.values())
+    share, good, bad = 0.5, [[0.1, 0.2, 0.7] for _ in names], [[0.6, 0.3, 0.1] for _ in names]
+
+    def posterior() -> dict[int, float]:
+        out = {}
+        for p, v in vote.items():
+            a, b = share, 1 - share
+            for j in names:
+                a, b = a * good[j][v[j]], b * bad[j][v[j]]
+            out[p] = a / (a + b)
+        return out
+
+    for _ in range(rounds):
+        q = posterior()
+        mass = sum(q[p] * n for p, n in counts.items())
+        new_good = [[(sum(q[p] * n for p, n in counts.items() if vote[p][j] == v) + 1) / (mass + 3) for v in range(3)] for j in names]
+        new_bad = [[(sum((1 - q[p]) * n for p, n in counts.items() if vote[p][j] == v) + 1) / (total - mass + 3) for v in range(3)] for j in names]
+        share, good, bad = (mass + 1) / (total + 2), new_good, new_bad
+    return posterior(), [(tuple(good[j]), tuple(bad[j])) for j in names]
+
+
+def fit(counts: dict[tuple[int, tuple[int, ...]], int]) -> Model:
+    """A naive Bayes span classifier fitted to the EM posteriors of ``counts`` of (pattern of votes, features)."""
+    by: dict[int, int] = {}
+    for (pattern, _), n in counts.items():
+        by[pattern] = by.get(pattern, 0) + n
+    q, reliability = expectation_maximisation(by)
+    good, bad = [0.0] * N_FEATURES, [0.0] * N_FEATURES
+    g = b = 0.0
+    for (pattern, features), n in sorted(counts.items()):
+        g, b = g + q[pattern] * n, b + (1 - q[pattern]) * n
+        for f in features:
+            good[f] += q[pattern] * n
+            bad[f] += (1 - q[pattern]) * n
+    weights = tuple(log((x + 1) / (g + 4)) - log((y + 1) / (b + 4)) for x, y in zip(good, bad, strict=True))
+    return Model(log((g + 1) / (b + 1)), weights, tuple(reliability))
+
+
+def train(docs: DataFrame) -> Model:
+    """The classifier of all candidates of ``docs(text)``: one aggregation, whose rows are bounded by construction."""
+    spans = docs.select(F.explode(candidate_spans(text_col())).alias("c")).groupBy("c.pattern", "c.features").count()
+    return fit({(r["pattern"], tuple(r["features"])): r["count"] for r in spans.collect()})  # at most 3^L * 5 * 4 * 4 * 4 rows
+
+
+def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     """All columns of ``docs`` and ``pii``: an array of structs by kind (email, ip, card, phone, secret), each an array of spans.
 
     Base spans always stay; a candidate is added as a secret if the classifier's odds pass ACCEPT and it overlaps no base
@@ -195,13 +205,13 @@ def find_pii(docs: DataFrame, model: DataFrame | None = None) -> DataFrame:
     model = train(docs) if model is None else model
     text = text_col()
     x = docs.withColumns({f"__{k}": base_spans(text, k) for k in KINDS[:4]} | {"__c": candidate_spans(text)})
-    x = x.join(F.broadcast(model.select(F.col("prior").alias("__prior"), F.col("weights").alias("__w"))), F.lit(True))  # the model's one row
     base = F.concat(*[F.col(f"__{k}") for k in KINDS[:4]])
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
-    odds = lambda c: F.aggregate(c["features"], F.col("__prior"), lambda acc, f: acc + F.get(F.col("__w"), f))
+    weights = F.array(*map(F.lit, model.weights))
+    odds = lambda c: F.aggregate(c["features"], F.lit(model.prior), lambda acc, f: acc + F.get(weights, f))
     chosen = F.filter("__c", lambda c: (odds(c) > log(ACCEPT / (1 - ACCEPT))) & free(c))
     secret = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
-    return x.withColumn("pii", F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS[:4]], secret.alias("secret"))).drop("__prior", "__w", "__c", *[f"__{k}" for k in KINDS[:4]])
+    return x.withColumn("pii", F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS[:4]], secret.alias("secret"))).drop("__c", *[f"__{k}" for k in KINDS[:4]])
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
@@ -233,4 +243,4 @@ def redact(text: Column, pii: Column) -> Column:
 def op2_pii(spark, sf_dir: str) -> DataFrame:
     found = find_pii(table(spark, sf_dir, "documents").select("doc_id", "text"))
     n = [F.size(f"pii.{k}").cast("long").alias(f"n_{k}") for k in KINDS]
-    return found.select("doc_id", *n, F.sha2(listed(KINDS[:4]), 256).alias("base_sha256"), listed(KINDS).alias("spans"))
+    return found.select("doc_id", *n[:4], F.sha2(listed(KINDS[:4]), 256).alias("base_sha256"), listed(KINDS).alias("spans"), *n[4:])
