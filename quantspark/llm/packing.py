@@ -46,35 +46,66 @@ def best_fit(sizes: np.ndarray, capacity: int) -> list[list[int]]:
 class SwapSearch:
     """Local search over underfull bins: moves, one-for-one and two-for-one exchanges that raise the sum of squared fills.
 
-    The emptiest bin gives first. An exchange lets a fuller bin trade an item for a larger one (or for two) of the
-    giver; each raises the squared fill, so the search ends. A giver without items is gone. Search stops at the lower
-    bound of bins, or when ``patience`` givers in a row could not be emptied.
+    The emptiest bin gives. An exchange lets a fuller bin trade an item for a larger one (or for two) of the giver; each
+    raises the squared fill, so the search ends. A few wide gaps are tried first, then all items of all underfull bins
+    at once. A giver without items is gone. The search stops at the lower bound of bins, or when a sweep over all
+    givers, each until nothing more can leave it, has emptied none.
     """
 
-    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, tries: int = 48, patience: int = 64):
-        self.capacity, self.tries, self.patience = capacity, tries, patience
+    def __init__(self, sizes: np.ndarray, bins: list[list[int]], capacity: int, tries: int = 48):
+        self.capacity, self.tries = capacity, tries
+        self.sizes = np.asarray(sizes, np.int64)
+        self.of = np.zeros(len(self.sizes), np.int64)
+        for b, items in enumerate(bins):
+            self.of[items] = b
         self.bins = {b: sorted((int(sizes[i]), i) for i in items) for b, items in enumerate(bins)}
-        self.fill = {b: sum(s for s, _ in items) for b, items in self.bins.items()}
-        self.least = -(-sum(self.fill.values()) // capacity)
-        self.gaps = sorted((capacity - f, b) for b, f in self.fill.items() if f < capacity)
+        self.fill = np.array([sum(s for s, _ in self.bins[b]) for b in range(len(bins))], np.int64)
+        self.least = -(-int(self.fill.sum()) // capacity)
+        self.gaps = sorted((capacity - f, b) for b, f in enumerate(self.fill.tolist()) if f < capacity)
+        self._seen: tuple | None = None
 
     def _set(self, b: int, fill: int) -> None:
-        if (gap := self.capacity - self.fill[b]) > 0:
+        if (gap := self.capacity - int(self.fill[b])) > 0:
             self.gaps.pop(bisect_left(self.gaps, (gap, b)))
         self.fill[b] = fill
         if 0 < fill < self.capacity:
             insort(self.gaps, (self.capacity - fill, b))
 
     def _trade(self, a: int, give: list, b: int, take: list) -> None:
-        for x in give:
-            self.bins[a].remove(x)
-            insort(self.bins[b], x)
-        for x in take:
-            self.bins[b].remove(x)
-            insort(self.bins[a], x)
+        for source, items, goal in ((a, give, b), (b, take, a)):
+            for x in items:
+                self.bins[source].remove(x)
+                insort(self.bins[goal], x)
+                self.of[x[1]] = goal
         d = sum(s for s, _ in give) - sum(s for s, _ in take)
-        self._set(a, self.fill[a] - d)
-        self._set(b, self.fill[b] + d)
+        self._set(a, int(self.fill[a]) - d)
+        self._set(b, int(self.fill[b]) + d)
+        self._seen = None
+
+    def _everywhere(self, a: int) -> bool:
+        """The exchange that moves most out of ``a``, of all with any item of a fuller bin; both bins keep their order of fill."""
+        if self._seen is None:
+            fill = self.fill[self.of]
+            u = np.flatnonzero(fill < self.capacity)
+            self._seen = u, self.sizes[u], self.sizes[u] + self.capacity - fill[u], fill[u], self.of[u]
+        u, size, reach, fill, of = self._seen
+        items, offers = self.bins[a], {}
+        for i, x in enumerate(items):
+            offers.setdefault(x[0], [x])
+            for y in items[:i]:
+                offers.setdefault(x[0] + y[0], [x, y])
+        gain, best = 0, None
+        open_ = (fill >= self.fill[a]) & (of != a)
+        for s in sorted(offers):
+            fits = np.flatnonzero(open_ & (size < s - gain) & (reach >= s))
+            if len(fits):
+                k = fits[np.argmin(size[fits])]
+                gain, best = s - int(size[k]), (s, k)
+        if best is None:
+            return False
+        s, k = best
+        self._trade(a, offers[s], int(of[k]), [(int(size[k]), int(u[k]))])
+        return True
 
     def _step(self, a: int) -> bool:
         items = self.bins[a]
@@ -95,21 +126,24 @@ class SwapSearch:
                 if at < len(self.bins[b]) and self.bins[b][at][0] < s:
                     self._trade(a, give, b, [self.bins[b][at]])
                     return True
-        return False
+        return self._everywhere(a)
 
     def run(self) -> list[list[int]]:
         failed: set[int] = set()
-        alive = sum(f > 0 for f in self.fill.values())
-        while alive > self.least and len(failed) < self.patience:
-            a = next((b for gap, b in reversed(self.gaps) if b not in failed), None)
+        alive, emptied = int((self.fill > 0).sum()), False
+        while alive > self.least:
+            a = next((b for _, b in reversed(self.gaps) if b not in failed), None)
             if a is None:
-                break
+                if not emptied:
+                    break
+                failed, emptied = set(), False
+                continue
             while self.fill[a] and self._step(a):
                 pass
             if self.fill[a]:
                 failed.add(a)
             else:
-                alive -= 1
+                alive, emptied = alive - 1, True
         return [[i for _, i in items] for items in self.bins.values() if items]
 
 

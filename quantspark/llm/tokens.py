@@ -11,7 +11,8 @@ import numpy as np
 import pyarrow as pa
 
 #: Letters (Latin) end where white space or a stop follows, and so do stops before white space: both tokenizers split there.
-_LETTERS, _AFTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f]+", r"(?=[ \t-\r.,!?]|$)"
+#: U+0130 is not among them, since its lower case is two characters.
+_LETTERS, _AFTER = "[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f]+", r"(?=[ \t-\r.,!?]|$)"
 _STOPS = r"[.,!?]+(?=[ \t-\r]|$)"
 #: Byte-level BPE splits at white space so that a single space joins the word after it.
 _BYTE_PIECES = re.compile(f" ?{_LETTERS}{_AFTER}|{_STOPS}| ?[^ \t-\r]+|[ \t-\r]+(?![^ \t-\r])|[ \t-\r]")
@@ -21,15 +22,16 @@ _ODD = re.compile("[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f
 #: How byte-level vocabularies write bytes: printable ones as themselves, the others as letters from 256 on, in order.
 _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
-#: Pieces remembered by a worker, and texts taken from a batch together.
-CACHE_ENTRIES, TOGETHER = 500_000, 256
+#: Bytes of the pieces that a worker remembers (a piece counts its characters, its ids and what Python's objects take), and
+#: texts taken from a batch together.
+CACHE_BYTES, ENTRY_BYTES, TOGETHER = 48 << 20, 220, 256
 
 
 class TokenIds(dict):
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
     ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. The object is the cache of pieces: looking
-    up a new one encodes it, and the first CACHE_ENTRIES are remembered.
+    up a new one encodes it, and pieces are remembered until they take CACHE_BYTES.
     """
 
     def __init__(self, path: str, byte_level: bool):
@@ -39,7 +41,7 @@ class TokenIds(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.model, self.byte_level = self.tokenizer.model, byte_level
+        self.model, self.byte_level, self.held = self.tokenizer.model, byte_level, 0
         self.pieces = _BYTE_PIECES if byte_level else _WORD_PIECES
         self.letters = re.compile(f" ?{_LETTERS}" if byte_level else _LETTERS)
 
@@ -52,7 +54,8 @@ class TokenIds(dict):
         else:
             ids = self._whole(piece)
         out = pack(f"<{len(ids)}I", *ids)
-        if len(self) < CACHE_ENTRIES:
+        if self.held < CACHE_BYTES:
+            self.held += ENTRY_BYTES + 2 * len(piece) + len(out)
             self[piece] = out
         return out
 
