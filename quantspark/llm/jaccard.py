@@ -1,4 +1,4 @@
-"""Near copies by word shingles: MinHash bands name candidates, exact Jaccard similarities decide, connected components."""
+"""Exact Jaccard similarity of word shingle sets, checked among the near fingerprints that SimHash names."""
 
 from __future__ import annotations
 
@@ -15,11 +15,8 @@ from .common import checkpoint, utf8
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 5, 0.8
-#: A pair of similarity s shares a band with probability 1 - (1 - s^ROWS)^BANDS: all but 3 in 10^6 at 0.8.
-BANDS, ROWS = 32, 5
-#: Members of a group that one task compares at once; larger groups are split into pairs of chunks.
+#: Members of a group that one task compares at once.
 CHUNK = 256
-_FACTORS = np.random.default_rng(SEED).integers(0, 1 << 64, BANDS * ROWS, np.uint64) | np.uint64(1)
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -38,64 +35,51 @@ def set_key(h: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh64_intdigest(h.tobytes(), SEED)).view(np.int64))
 
 
-def band_keys(h: np.ndarray) -> np.ndarray:
-    """A key for each band of ROWS minima; the band is part of the key."""
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, len(h), 1024):
-        np.minimum(low, (h[None, at : at + 1024] * _FACTORS[:, None]).min(axis=1), out=low)
-    return np.array([xxhash.xxh64_intdigest(low[b * ROWS : (b + 1) * ROWS].tobytes(), b) for b in range(BANDS)], np.uint64).view(np.int64)
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     """Jaccard similarity of two sorted sets; two empty ones are equal."""
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
-def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        sets = [shingles(x) for x in utf8(b.column(1))]
-        bands = pa.array([band_keys(h) for h in sets], pa.list_(pa.int64()))
-        yield pa.record_batch([b.column(0), pa.array([set_key(h) for h in sets], pa.int64()), bands], ["doc_id", "key", "bands"])
-
-
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 64):
-            part = b.slice(at, 64)
-            sets = [shingles(x) for x in utf8(part.column(1))]
-            yield pa.record_batch([part.column(0), pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["rep", "key", "members"])
+def linked(sets: list[np.ndarray], prints: np.ndarray, label: np.ndarray, side: np.ndarray | None, radius: int, threshold: float) -> np.ndarray:
+    """For each member the smallest index that links join it to, beginning with members of equal label as joined.
 
-
-def linked(node: np.ndarray, sets: list[np.ndarray], bands: np.ndarray, side: np.ndarray | None, threshold: float) -> list[tuple[int, int]]:
-    """Links of a group that join all its members whose similarity reaches the threshold and that share a band.
-
-    Members that links already join are not compared again. With ``side``, only pairs of different sides are.
+    A link is a pair whose fingerprints (rows of ``prints``) differ in at most ``radius`` bits and whose sets reach the
+    threshold. Members that are joined already are not compared again. With ``side``, only pairs of different sides are.
     """
     n = len(sets)
     size = np.array([len(h) for h in sets])
-    of = np.arange(n)  # the smallest index joined to each
-    out = []
+    _, first, back = np.unique(label, return_index=True, return_inverse=True)
+    of = first[back]
     for x in range(1, n):
-        near = np.flatnonzero((bands[:x] == bands[x]).any(axis=1) & (of[:x] != of[x]) & (np.minimum(size[:x], size[x]) >= threshold * np.maximum(size[:x], size[x]) - 1e-9))
+        small, large = np.minimum(size[:x], size[x]), np.maximum(size[:x], size[x])
+        near = (of[:x] != of[x]) & (small >= threshold * large - 1e-9)
         if side is not None:
-            near = near[side[near] != side[x]]
+            near &= side[:x] != side[x]
+        near = np.flatnonzero(near)
+        near = near[np.bitwise_count(prints[near] ^ prints[x]).sum(axis=1) <= radius]
         while len(near):
             j, near = near[0], near[1:]
             if similarity(sets[j], sets[x]) >= threshold - 1e-12:
-                out.append((int(node[j]), int(node[x])))
                 a, b = sorted((of[j], of[x]))
                 of[of == b] = a
                 near = near[of[near] != of[x]]
-    return out
+    return of
+
+
+_GROUP = "component long, lo int, hi int, side int, node long, label long, fp binary, members binary"
 
 
-def _verify(threshold: float):
-    def group(held: list[tuple]) -> pa.RecordBatch:
-        held.sort(key=lambda r: (r[4], r[5]))
-        sides = np.array([r[3] for r in held])
-        links = linked(np.array([r[4] for r in held]), [np.frombuffer(r[7], np.uint64) for r in held], np.array([r[6] for r in held]), sides if held[0][1] != held[0][2] else None, threshold)
-        return pa.record_batch([pa.array([u for u, _ in links], pa.int64()), pa.array([v for _, v in links], pa.int64())], ["u", "v"])
+def _verify(radius: int, threshold: float):
+    """Rows of _GROUP, sorted by group: an edge from each member to the member that it is joined to."""
+
+    def group(rows: list[tuple]) -> pa.RecordBatch:
+        rows.sort(key=lambda r: (r[3], r[4]))
+        node, label, side = (np.array([r[k] for r in rows]) for k in (4, 5, 3))
+        prints = np.frombuffer(b"".join(r[6] for r in rows), "<u8").reshape(len(rows), -1)
+        of = linked([np.frombuffer(r[7], "<u8") for r in rows], prints, label, side if rows[0][1] != rows[0][2] else None, radius, threshold)
+        moved = np.flatnonzero(of != np.arange(len(rows)))
+        return pa.record_batch([pa.array(node[moved], pa.int64()), pa.array(node[of[moved]], pa.int64())], ["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
@@ -112,38 +96,51 @@ def _verify(threshold: float):
     return run
 
 
-def jaccard_edges(docs: DataFrame, distinct: DataFrame, threshold: float = THRESHOLD, chunk: int = CHUNK) -> DataFrame:
-    """``distinct(key, rep, bands)`` -> links ``(u, v)`` between representatives that join all near copies.
+def _sets(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for at in range(0, b.num_rows, 64):
+                sets = [shingles(x, size) for x in utf8(b.column(0).slice(at, 64))]
+                yield pa.record_batch([pa.array([set_key(h) for h in sets], pa.int64()), pa.array([h.tobytes() for h in sets], pa.binary())], ["node", "members"])
 
-    Sets that share a band are joined to candidate groups first, so that each set is made again and sent only to its own
-    group. Groups over ``chunk`` members are split by a hash, and every pair of chunks meets in a group of its own.
-    """
-    rows = distinct.select("rep", F.explode("bands").alias("band"))
-    least = rows.groupBy("band").agg(F.min("rep").alias("v"), F.count("*").alias("n")).where("n > 1").select("band", "v")
-    found = connected_components(rows.join(least, "band").select(F.col("rep").alias("u"), "v"))
-    groups = checkpoint(found.unionAll(found.select(F.col("component").alias("node"), "component").distinct()).withColumnRenamed("node", "rep"))
-    wide = distinct.join(groups, "rep")
-    hot = groups.groupBy("component").count().where(F.col("count") > chunk).select("component", F.ceil(F.col("count") / chunk).cast("int").alias("g"))
-    wide = wide.join(hot, "component", "left").withColumn("c", F.when(F.col("g").isNull(), 0).otherwise(F.pmod(F.xxhash64("key"), "g")).cast("int"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.select("rep"), "rep", "left_semi")
-    sets = texts.mapInArrow(_sets, "rep long, key long, members binary")
-    wide = wide.join(sets, ["rep", "key"])
-    wide = wide.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g") - 1, F.lit(0)))))
-    wide = wide.select("component", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "c", "rep", "key", "bands", "members")
-    wide = wide.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi")
-    return wide.mapInArrow(_verify(threshold), "u long, v long")
-
-
-def jaccard_components(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``(doc_id, component_id)`` of every row of ``docs(doc_id, text)``; component_id is the smallest doc_id reachable.
-
-    Links join texts whose sets of five-word shingles have a Jaccard similarity of at least ``threshold``. Words are cut at
-    ASCII white space, without case; a text of up to five words is one shingle, and texts without words are equal. Equal
-    sets are collapsed before they are compared. A row whose doc_id is null gets the component of its set, null if no row
-    with a doc_id has that set.
+    return run
+
+
+def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold: float = THRESHOLD, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
+    """``groups(node, component, fp)`` and ``texts(text)`` -> ``(node, component)`` by exact similarity, roots left out.
+
+    A node is the ``set_key`` of a text's shingles; any text that has it will do, and others are passed over. Links are searched within the given components only. Components over ``chunk`` members are compared in three steps:
+    chunk by chunk; the first member of each part that was found, among one another; and what is still apart. In the last
+    step a component's largest part is not compared with itself, so each of its members is sent once for each chunk of
+    members outside it: groups of copies cost in proportion to their size. No pair that might join two parts is left out.
     """
-    prints = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_prints, "doc_id long, key long, bands array<long>"))
-    distinct = prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.any_value("bands").alias("bands"))
-    found = connected_components(jaccard_edges(docs, distinct.where("rep is not null"), threshold))
-    of = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("key", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "key").select("doc_id", "component_id")
+    sets = texts.mapInArrow(_sets(size), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
+    whole = checkpoint(groups.join(sets, "node"))
+    count = groups.groupBy("component").agg(F.count("*").alias("n"))
+    large = count.where(F.col("n") > chunk).select("component", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
+
+    def compared(rows: DataFrame) -> DataFrame:
+        rows = rows.select(*[c.split()[0] for c in _GROUP.split(", ")])
+        return checkpoint(rows.repartition("component", "lo", "hi").sortWithinPartitions("component", "lo", "hi").mapInArrow(_verify(radius, threshold), "u long, v long"))
+
+    def dealt(rows: DataFrame, by: DataFrame, seed: int) -> DataFrame:
+        c = F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("g", F.lit(1))).cast("int")
+        return compared(rows.join(by, "component", "left").select("component", c.alias("lo"), c.alias("hi"), c.alias("side"), "node", F.col("node").alias("label"), "fp", "members"))
+
+    links = dealt(whole, large, 1)
+    if large.isEmpty():
+        return connected_components(links)
+    wide = whole.join(large.select("component"), "component", "left_semi")
+    heads = wide.join(links.select(F.col("u").alias("node")), "node", "left_anti")
+    by = heads.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("g"))
+    links = links.unionAll(dealt(heads, by, 2))
+    found = connected_components(links)
+    parts = checkpoint(wide.select("node", "component").join(found.withColumnRenamed("component", "label"), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")))
+    sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).where("n > inside")
+    main = main.select("component", "main", F.ceil((F.col("n") - F.col("inside")) / chunk).cast("int").alias("few"), F.ceil(F.col("inside") / chunk).cast("int").alias("many"))
+    x = wide.join(parts.select("node", "label"), "node").join(main, "component")
+    h = F.xxhash64("node", F.lit(3))
+    x = x.withColumn("side", F.when(F.col("label") != F.col("main"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")).cast("int"))
+    x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("label") != F.col("main"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
+    return connected_components(links.unionAll(compared(x.withColumn("lo", F.least("side", "o")).withColumn("hi", F.greatest("side", "o")))))

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from .common import WORD, checkpoint, table, text_col
 
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
-#: Slices of the key range of each source; a source of any size is sorted in so many parts.
-SLICES = 256
+#: Rows in a slice of a source's key range on average, and slices at least.
+SLICE_ROWS, SLICES = 100_000, 256
 #: Characters that lower a document's quality weight.
 NOISE = "#*$%&|<>!"
 
@@ -20,9 +20,9 @@ def quality_weight(text: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.lit(10.0) * noise / F.greatest(F.length(text), F.lit(1)))
 
 
-def uniform(doc_id: Column) -> Column:
-    """A number in (0, 1) that depends on the doc_id only."""
-    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("null"))), 1, 12)
+def uniform(doc_id: Column, text: Column) -> Column:
+    """A number in (0, 1) that depends on the doc_id only, or on the text where there is no doc_id."""
+    digits = F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.md5(text))), 1, 12)
     return (F.conv(digits, 16, 10).cast("double") + 0.5) / F.lit(float(1 << 48))
 
 
@@ -44,20 +44,21 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return x.select("s", "source_size", F.least(F.col("w") * F.max("level").over(every), F.col("cap")).alias("target"))
 
 
-def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, slices: int = SLICES) -> DataFrame:
-    """``(doc_id, size, source_size, target, taken)`` for each row of ``docs(doc_id, text, source)``.
+def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``(doc_id, size, source_size, target, taken)`` for each row of ``docs(doc_id, text, source)``; columns of ``keep`` come first.
 
     Each document draws an exponential key -ln(u) / quality weight, u from its doc_id, so reruns agree. A source's target
     holds floor(target / source_size) complete epochs; the rest goes to documents by ascending key while their sizes'
     prefix sum stays within it, and the document on the border gives the words still missing. Keys are cut into slices
     by a monotone map: sums of slices give each slice's offset, and sorting happens within a slice, so a source with
-    most of the rows is sorted in parts. A null text has size 0; a null source is a source of its own; equal rows draw
+    most of the rows is sorted in parts. Their number follows the number of rows. A null text has size 0; a null source is a source of its own; equal rows draw
     equal keys and follow one another; an empty table gives no rows.
     """
     text = text_col()
-    key = -F.log(uniform(F.col("doc_id"))) / quality_weight(text)
-    rows = docs.select("doc_id", F.col("source").alias("s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("k"))
-    rows = checkpoint(rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("k"))) * slices), F.lit(slices - 1)).cast("int")))
+    key = -F.log(uniform(F.col("doc_id"), text)) / quality_weight(text)
+    rows = checkpoint(docs.select(*keep, "doc_id", F.col("source").alias("s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("k")))
+    slices = max(SLICES, rows.count() // SLICE_ROWS)
+    rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("k"))) * slices), F.lit(slices - 1)).cast("int"))
     parts = rows.groupBy("s", "slice").agg(F.sum("size").alias("n"))
     targets = source_targets(parts.groupBy("s").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = F.sum("n").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
@@ -70,7 +71,7 @@ def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: in
     own = F.sum("size").over(Window.partitionBy("s", "slice").orderBy("k", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1))
     x = x.withColumn("at", F.col("before") + F.coalesce(own, F.lit(0)))
     part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("at")))
-    return x.select("doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
+    return x.select(*keep, "doc_id", "size", "source_size", "target", (F.col("epochs") * F.col("size") + part).cast("long").alias("taken"))
 
 
 def op4_mixing(spark, sf_dir: str) -> DataFrame:
@@ -81,7 +82,7 @@ SQL = r"""
 WITH d AS (
   SELECT doc_id, source AS s, coalesce(text, '') AS t,
          CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-         (CAST(CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), 'null')), 1, 12)) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
+         (CAST(CAST(concat('0x', substr(md5(coalesce(CAST(doc_id AS VARCHAR), md5(coalesce(text, '')))), 1, 12)) AS BIGINT) AS DOUBLE) + 0.5) / 281474976710656.0 AS u
   FROM documents),
 q AS (
   SELECT doc_id, s, size, -ln(u) / (CAST(1 AS DOUBLE) / (CAST(1 AS DOUBLE) + CAST(10 AS DOUBLE)

@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import accumulate, repeat
+from itertools import accumulate, combinations, repeat
+from math import acos, ceil, comb, log, log2, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -11,12 +12,17 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, union_roots, utf8
+from .common import checkpoint, table, union_roots, utf8, whole_groups
 from .components import connected_components
+from .jaccard import exact_components, set_key, shingles
 
 SEED, SHINGLE, RADIUS, BITS = 42, 4, 4, 64
 #: Members of a block that one task compares at once; larger blocks are split into pairs of chunks.
 CHUNK = 1024
+#: Distinct fingerprints that blocks of one table may hold on average, by which keys are made longer.
+SPREAD = 1024
+#: Bits of the fingerprints that name pairs for an exact check of similarity.
+WIDE = 128
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -49,27 +55,36 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_fingerprints, "doc_id long, fp long")
 
 
-def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+def _sum3(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Carry-save adder: bitwise sum and carry of three words."""
+    u = a ^ b
+    return u ^ c, (a & b) | (u & c)
+
+
+def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, most: int = 1 << 15) -> tuple[np.ndarray, np.ndarray]:
     """Index pairs i < j of one group (groups are contiguous) whose fingerprints differ in at most ``radius`` bits.
 
-    Each group's fingerprints lie vertically: word w of plane b holds bit b of 64 members. A query is compared with a
-    word's 64 members at once: its bit, spread over a word, is xored with the plane and added to bit-sliced counters by
-    carries. Words of which all 64 counters have passed the radius are abandoned every eight planes.
+    ``fp`` has a row of 64-bit words for each member. A group's fingerprints lie vertically: word w of plane b holds bit
+    b of 64 members. A query is compared with a word's 64 members at once: its bit, spread over a word, is xored with the
+    plane. Eight planes at a time go through carry-save adders into bitwise counters, and words of which all 64 counters
+    have passed the radius are abandoned.
     """
     n = len(fp)
-    fp = fp.view(np.uint64) if fp.dtype != np.uint64 else fp
+    fp = fp.view(np.uint64).reshape(n, -1) if n else np.zeros((0, 1), np.uint64)
+    bits = 64 * fp.shape[1]
     first = np.flatnonzero(np.r_[True, group[1:] != group[:-1]]) if n else np.zeros(0, int)
     size = np.diff(np.r_[first, n])
     words = -(-size // 64)
     word0 = np.r_[0, np.cumsum(words)]
     which = np.repeat(np.arange(len(first)), size)
     rank = np.arange(n) - first[which]
-    lane = np.zeros((word0[-1], 64), np.uint64)
+    lane = np.zeros((word0[-1], 64, fp.shape[1]), np.uint64)
     lane[word0[which] + rank // 64, rank % 64] = fp
-    planes = np.empty((BITS, word0[-1]), np.uint64)
-    for b in range(BITS):
-        planes[b] = np.packbits(((lane >> np.uint64(b)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
-    counters = radius.bit_length()
+    planes = np.empty((bits, word0[-1]), np.uint64)
+    for b in range(bits):
+        planes[b] = np.packbits(((lane[:, :, b // 64] >> np.uint64(b % 64)) & np.uint64(1)).astype(np.uint8), axis=1, bitorder="little").view("<u8").ravel()
+    del lane
+    high = max(1, radius.bit_length() - 3) + 1  # counters above the three low ones
     pairs = words[which] - rank // 64  # words from the query's own one on
     found: list[tuple[np.ndarray, np.ndarray]] = []
     at = 0
@@ -84,18 +99,26 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, mo
         alive = np.where(left >= 64, _ONES, (np.uint64(1) << np.minimum(left, 63).astype(np.uint64)) - np.uint64(1))
         own = (rank[q] % 64).astype(np.uint64)
         alive &= np.where(step == 0, ~((np.uint64(2) << own) - np.uint64(1)), _ONES)
-        count = [np.zeros(len(q), np.uint64) for _ in range(counters)]
+        count = [np.zeros(len(q), np.uint64) for _ in range(3 + high)]
         over = np.zeros(len(q), np.uint64)
-        for b in range(BITS):
-            carry = planes[b][w] ^ (np.uint64(0) - ((fp[q] >> np.uint64(b)) & np.uint64(1)))
-            for c in count:
-                c_old = c.copy()
-                c ^= carry
-                carry &= c_old
+        for b in range(0, bits, 8):
+            mine = fp[q, b // 64] >> np.uint64(b % 64)
+            d = [planes[b + i][w] ^ (np.uint64(0) - ((mine >> np.uint64(i)) & np.uint64(1))) for i in range(8)]
+            ones, twos, fours = count[:3]
+            ones, t1 = _sum3(ones, d[0], d[1])
+            ones, t2 = _sum3(ones, d[2], d[3])
+            twos, f1 = _sum3(twos, t1, t2)
+            ones, t1 = _sum3(ones, d[4], d[5])
+            ones, t2 = _sum3(ones, d[6], d[7])
+            twos, f2 = _sum3(twos, t1, t2)
+            fours, carry = _sum3(fours, f1, f2)
+            count[:3] = ones, twos, fours
+            for i in range(3, 3 + high):
+                count[i], carry = count[i] ^ carry, count[i] & carry
             over |= carry
-            if b % 8 == 7:
+            if b + 8 > radius:
                 above, same = np.zeros(len(q), np.uint64), np.full(len(q), _ONES)
-                for i in reversed(range(counters)):
+                for i in reversed(range(3 + high)):
                     if radius >> i & 1:
                         same &= count[i]
                     else:
@@ -103,13 +126,13 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, mo
                         same &= ~count[i]
                 alive &= ~(over | above)
                 keep = np.flatnonzero(alive)
-                if len(keep) < len(q):
+                if len(keep) < 0.75 * len(q):
                     q, w, alive, over, count = q[keep], w[keep], alive[keep], over[keep], [c[keep] for c in count]
                 if not len(q):
                     break
         if len(q):
-            bits = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-            i, lane_no = np.nonzero(bits)
+            hit = np.unpackbits(alive.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+            i, lane_no = np.nonzero(hit)
             found.append((q[i], first[which[q[i]]] + 64 * (w[i] - word0[which[q[i]]]) + lane_no))
         at = to
     if not found:
@@ -117,25 +140,24 @@ def bit_sliced_links(fp: np.ndarray, group: np.ndarray, radius: int = RADIUS, mo
     return np.concatenate([x for x, _ in found]), np.concatenate([y for _, y in found])
 
 
-def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """All blocks of a partition, which are sorted by (key, lo, hi): edges from members to the smallest member they reach."""
-    held = [b for b in batches if b.num_rows]
-    if not held:
-        return
-    key, lo, hi, fp, rep = (np.concatenate([b.column(i).to_numpy(zero_copy_only=False) for b in held]) for i in range(5))
-    order = np.lexsort((rep, hi, lo, key))
-    key, lo, hi, fp, rep = key[order], lo[order], hi[order], fp[order], rep[order]
-    group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
-    ends = np.r_[np.flatnonzero(np.diff(group)) + 1, len(group)]
-    at = 0
-    while at < len(group):  # some groups at a time, so that links of large ones fit in memory
-        to = max(int(ends[np.searchsorted(ends, at, side="right")]), int(ends[max(0, np.searchsorted(ends, at + 4096, side="right") - 1)]))
-        a, b = bit_sliced_links(fp[at:to], group[at:to])
-        root = union_roots(to - at, a, b)
-        moved = np.flatnonzero(root != np.arange(to - at))
-        if len(moved):
-            yield pa.record_batch([pa.array(rep[at:to][moved]), pa.array(rep[at:to][root[moved]])], ["u", "v"])
-        at = to
+def _compare(radius: int):
+    """Blocks of a partition, sorted by (key, lo, hi): edges from members to the smallest member they reach in their block."""
+
+    def links(t: pa.Table) -> pa.RecordBatch:
+        key, lo, hi, rep = (t.column(i).to_numpy() for i in (0, 1, 2, 4))
+        fp = np.frombuffer(b"".join(t.column(3).to_pylist()), "<u8").reshape(len(rep), -1)
+        order = np.lexsort((rep, hi, lo, key))
+        key, lo, hi, rep, fp = key[order], lo[order], hi[order], rep[order], fp[order]
+        group = np.cumsum(np.r_[0, (key[1:] != key[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])])
+        root = union_roots(len(rep), *bit_sliced_links(fp, group, radius))
+        moved = np.flatnonzero(root != np.arange(len(rep)))
+        return pa.record_batch([pa.array(rep[moved]), pa.array(rep[root[moved]])], ["u", "v"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in whole_groups(batches, 3, 8192):
+            yield links(t)
+
+    return run
 
 
 def block_widths(blocks: int) -> list[tuple[int, int]]:
@@ -144,20 +166,71 @@ def block_widths(blocks: int) -> list[tuple[int, int]]:
     return [(a, b - a) for a, b in zip(cuts, cuts[1:])]  # noqa: B905
 
 
-def simhash_edges(distinct: DataFrame, radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
-    """``distinct(fp, rep)`` -> star edges ``(u, v)`` between representatives that lose no link.
+def pigeonhole_masks(radius: int, n: int, bits: int = BITS) -> list[list[int]]:
+    """Bit sets, of which fingerprints that differ in at most ``radius`` of 64 bits agree on at least one.
+
+    Of radius + k blocks at least k agree, so each choice of k blocks is a key. k grows with the number of fingerprints,
+    so that blocks of one key hold some SPREAD of them.
+    """
+    k = 1
+    while k < 4 and bits * k // (radius + k) < log2(max(2, n / SPREAD)):
+        k += 1
+    blocks = block_widths(radius + k)
+    return [[p for i in chosen for p in range(blocks[i][0], sum(blocks[i]))] for chosen in combinations(range(radius + k), k)]
+
+
+def disagreement(threshold: float) -> float:
+    """Chance that a bit differs between sets of that Jaccard similarity (of one size: the angle between them over pi)."""
+    return acos(2 * threshold / (1 + threshold)) / pi
+
+
+def wide_radius(threshold: float, bits: int = WIDE) -> int:
+    """So many bits that four deviations above the mean distance at the threshold are within."""
+    p = disagreement(threshold)
+    return ceil(bits * p + 4 * sqrt(bits * p * (1 - p)))
+
+
+def sampled_masks(threshold: float, n: int, bits: int = WIDE, miss: float = 0.01) -> list[list[int]]:
+    """Random bit sets as keys: a pair two deviations farther apart than the mean at the threshold misses all by ``miss``."""
+    width = min(28, max(7, ceil(log2(max(2, n / (SPREAD / 2))))))
+    p = disagreement(threshold)
+    far = ceil(bits * p + 2 * sqrt(bits * p * (1 - p)))
+    agree = comb(bits - far, width) / comb(bits, width)
+    rng = np.random.default_rng(SEED)
+    return [sorted(rng.choice(bits, width, replace=False).tolist()) for _ in range(ceil(log(miss) / log(1 - agree)))]
+
 
-    Two fingerprints that differ in at most ``radius`` bits agree in one of ``radius + 1`` blocks (pigeonhole), so each
-    goes to radius + 1 blocks. Blocks over ``chunk`` members are split by a hash, and every pair of chunks meets in a
-    task of its own.
+def _keyed(masks: list[list[int]]):
+    """``(node, fp)`` -> a row for each mask: a key of the fingerprint's bits in it, which no other mask's keys equal but by chance."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if pa.types.is_integer(b.column(1).type):
+                fp = b.column(1).to_numpy().view("<u8").reshape(-1, 1)
+                raw = pa.array([x.tobytes() for x in fp], pa.binary())
+            else:
+                raw = b.column(1)
+                fp = np.frombuffer(b"".join(raw.to_pylist()), "<u8").reshape(b.num_rows, -1)
+            for i, mask in enumerate(masks):
+                key = np.zeros(b.num_rows, np.uint64)
+                for j, p in enumerate(mask):
+                    key |= ((fp[:, p // 64] >> np.uint64(p % 64)) & np.uint64(1)) << np.uint64(j)
+                yield pa.record_batch([pa.array((key ^ np.uint64(i << 48)).view(np.int64)), raw, b.column(0)], ["key", "fp", "node"])
+
+    return run
+
+
+def simhash_edges(distinct: DataFrame, masks: list[list[int]], radius: int = RADIUS, chunk: int = CHUNK) -> DataFrame:
+    """``distinct(node long, fp)`` (fp a long or binary) -> star edges ``(u, v)`` that join all pairs within ``radius`` that agree on a mask.
+
+    Blocks over ``chunk`` members are split by a hash, and every pair of chunks meets in a task of its own.
     """
-    keys = F.array(*[F.lit(i << 32) + F.shiftrightunsigned("fp", a).bitwiseAND(F.lit((1 << w) - 1)) for i, (a, w) in enumerate(block_widths(radius + 1))])
-    rows = distinct.select("fp", "rep", F.explode(keys).alias("key"))
+    rows = distinct.select("node", "fp").mapInArrow(_keyed(masks), "key long, fp binary, node long")
     hot = rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("g"))
     rows = rows.join(hot, "key", "left").withColumn("c", F.when(F.col("g").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "g")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g") - 1, F.lit(0)))))
-    rows = rows.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "fp", "rep")
-    return rows.repartition("key", "lo", "hi").mapInArrow(_compare, "u long, v long")
+    rows = rows.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "fp", "node")
+    return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(radius), "u long, v long")
 
 
 def simhash_components(docs: DataFrame) -> DataFrame:
@@ -166,13 +239,70 @@ def simhash_components(docs: DataFrame) -> DataFrame:
     Links join fingerprints of at most RADIUS differing bits; component_id is the smallest doc_id reachable. A null or
     empty text has fingerprint 0 and is linked like any other; repeated rows stay; a row whose doc_id is null gets
     the component of its fingerprint, null if no row with a doc_id has that fingerprint. Copies are collapsed before
-    they are compared, so a large group of them is one row of the search.
+    they are compared, so a large group of them is one row of the search. No link is lost (pigeonhole).
     """
     prints = checkpoint(fingerprints(docs))
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    found = connected_components(simhash_edges(distinct.where("rep is not null")))
-    of = distinct.join(found.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(of, "fp").select("doc_id", "fp", "component_id")
+    distinct = checkpoint(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")))
+    known = distinct.where("rep is not null").select(F.col("fp").alias("node"), "fp", "rep")
+    found = connected_components(simhash_edges(known, pigeonhole_masks(RADIUS, known.count())))
+    return prints.join(_least(known, found).withColumnRenamed("node", "fp"), "fp", "left").select("doc_id", "fp", "component_id")
+
+
+def _least(known: DataFrame, found: DataFrame) -> DataFrame:
+    """``known(node, rep)`` and ``found(node, component)`` -> ``(node, component_id)``: the least rep of each node's component."""
+    of = known.join(found, "node", "left").select("node", "rep", F.coalesce("component", "node").alias("component"))
+    least = of.join(found.select("component").distinct(), "component").groupBy("component").agg(F.min("rep").alias("least"))
+    return of.join(least, "component", "left").select("node", F.coalesce("least", "rep").alias("component_id"))
+
+
+def wide_fingerprint(h: np.ndarray, bits: int = WIDE) -> bytes:
+    """SimHash of a set of 64-bit hashes in ``bits`` bits: every further word of bits takes the hashes mixed once more."""
+    out = np.zeros(bits // 8, np.uint8)
+    for word in range(bits // 64):
+        if word:
+            h = h * np.uint64(0x9E3779B97F4A7C15) + np.uint64(word)
+            h = (h ^ (h >> np.uint64(31))) * np.uint64(0xBF58476D1CE4E5B9)
+            h ^= h >> np.uint64(29)
+        ones = np.zeros(64, np.int64)
+        for at in range(0, len(h), 1 << 15):
+            ones += np.unpackbits(h[at : at + (1 << 15)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        out[8 * word : 8 * word + 8] = np.packbits(2 * ones > len(h), bitorder="little")
+    return out.tobytes()
+
+
+def _wide_prints(size: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            keys, prints = [], []
+            for x in utf8(b.column(1)):
+                h = shingles(x, size)
+                keys.append(set_key(h))
+                prints.append(wide_fingerprint(h))
+            yield pa.record_batch([b.column(0), pa.array(keys, pa.int64()), pa.array(prints, pa.binary())], ["doc_id", "key", "fp"])
+
+    return run
+
+
+def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataFrame:
+    """``(doc_id, component_id)`` of every row of ``docs(doc_id, text)``: groups of texts that are alike by word shingles.
+
+    Links join texts whose sets of ``size``-word shingles have a Jaccard similarity of at least ``threshold``. SimHash
+    fingerprints of WIDE bits name the candidates: those that agree on a sampled key and differ in at most
+    ``wide_radius`` bits; their sets are compared exactly. component_id is the smallest doc_id reachable. Words are cut
+    at ASCII white space, without case; a text of up to ``size`` words is one shingle, and texts without words are equal.
+    Equal sets are collapsed before anything is compared. A row whose doc_id is null gets the component of its set, null
+    if no row with a doc_id has that set; repeated rows stay; an empty table gives none.
+    """
+    prints = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_wide_prints(size), "doc_id long, key long, fp binary"))
+    distinct = checkpoint(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+    known = distinct.where("rep is not null").select(F.col("key").alias("node"), "fp", "rep")
+    radius = wide_radius(threshold)
+    near = connected_components(simhash_edges(known, sampled_masks(threshold, known.count()), radius))
+    near = near.unionAll(near.select(F.col("component").alias("node"), "component").distinct())
+    groups = checkpoint(near.join(known, "node"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.select("rep").distinct(), "rep", "left_semi")
+    found = exact_components(groups.select("node", "component", "fp"), texts.select("text"), radius, threshold, size)
+    return prints.join(_least(known, found).withColumnRenamed("node", "key"), "key", "left").select("doc_id", "component_id")
 
 
 def op5_simhash(spark, sf_dir: str) -> DataFrame:

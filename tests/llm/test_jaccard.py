@@ -2,6 +2,8 @@
 
 import random
 
+import numpy as np
+
 import corpus_pipeline
 from quantspark.llm import jaccard, simhash
 
@@ -21,9 +23,8 @@ def test_stage_joins_near_copies_of_any_fingerprint(spark):
     assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()) == list(range(0, 60, 2))
 
 
-def test_components_against_all_pairs(spark, docs, monkeypatch):
-    kept = docs.where("doc_id is not null").select("doc_id", "text")
-    sets = [(r.doc_id, jaccard.shingles((r.text or "").encode())) for r in kept.collect()]
+def plain_components(rows, threshold=0.8):
+    sets = [(d, jaccard.shingles((t or "").encode())) for d, t in rows]
     root = {d: d for d, _ in sets}
 
     def top(d):
@@ -33,10 +34,40 @@ def test_components_against_all_pairs(spark, docs, monkeypatch):
 
     for i, (u, a) in enumerate(sets):
         for v, b in sets[:i]:
-            if min(len(a), len(b)) >= 0.8 * max(len(a), len(b)) and jaccard.similarity(a, b) >= 0.8:
+            if min(len(a), len(b)) >= threshold * max(len(a), len(b)) and jaccard.similarity(a, b) >= threshold:
                 x, y = sorted((top(u), top(v)))
                 root[y] = x
-    want = {d: top(d) for d in root}
-    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(kept).collect()} == want
-    monkeypatch.setattr(jaccard.jaccard_edges, "__defaults__", (jaccard.THRESHOLD, 2))
-    assert {r.doc_id: r.component_id for r in jaccard.jaccard_components(kept).collect()} == want
+    return {d: top(d) for d in root}
+
+
+def test_components_against_all_pairs(spark, docs):
+    rows = [(r.doc_id, r.text) for r in docs.where("doc_id is not null").dropDuplicates(["doc_id"]).collect()]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert {r.doc_id: r.component_id for r in simhash.near_copies(df).collect()} == plain_components(rows)
+
+
+def test_large_groups_in_three_steps(spark):
+    """Chains and clusters whose members meet in different chunks only."""
+    rng = random.Random(6)
+    rows = []
+    for g in range(3):
+        words = [f"g{g}w{k}" for k in range(300)]
+        for i in range(60):
+            own = list(words)
+            for k in rng.sample(range(300), 4 if g == 0 else 2):
+                own[k] = f"r{rng.randrange(10**6)}"
+            rows.append((1000 * g + i, " ".join(own if g < 2 else words[5 * i :] + [f"t{k}" for k in range(5 * i)])))
+    sets = [jaccard.shingles(t.encode()) for _, t in rows]
+    prints = np.array([np.frombuffer(simhash.wide_fingerprint(h), "<u8") for h in sets])
+    radius = 128  # every pair of a group is a candidate here
+    nodes = [jaccard.set_key(h) for h in sets]
+    groups = spark.createDataFrame([(k, d // 1000, bytearray(p.tobytes())) for k, (d, _), p in zip(nodes, rows, prints, strict=True)], "node long, component long, fp binary")
+    texts = spark.createDataFrame([(t,) for _, t in rows], "text string").repartition(3)
+    want = plain_components(rows)
+    name = dict(zip(nodes, (d for d, _ in rows), strict=True))
+    for chunk in (7, 25, 1000):
+        found = {r.node: r.component for r in jaccard.exact_components(groups, texts, radius, chunk=chunk).collect()}
+        parts = {}
+        for k in nodes:
+            parts.setdefault(found.get(k, k), []).append(name[k])
+        assert sorted(map(sorted, parts.values())) == sorted(sorted(d for d in want if want[d] == r) for r in set(want.values()))

@@ -5,6 +5,7 @@ import math
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import cache
 
 import numpy as np
 import pytest
@@ -12,6 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from quantspark.llm import kneser_ney, log_bilinear, lsh, mixing, packing, pii, rules, simhash, substrings, token_store, tokens
+from quantspark.llm.common import shared_path
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 
@@ -69,13 +71,55 @@ def test_pii_patterns(spark, text):
         assert [tuple(r) for r in got] == [(a, b) for _, a, b in plain_spans(text, kind)]
 
 
-def test_pii_reliabilities(spark):
+def test_pii_reliabilities():
     votes = {"agree": (2, 2, 2, 2), "against": (0, 1, 0, 0), "mixed": (2, 1, 2, 2)}
     code = {k: sum(v * 3**i for i, v in enumerate(x)) for k, x in votes.items()}
-    counts = spark.createDataFrame([(code["agree"], 50), (code["against"], 400), (code["mixed"], 60)], "pattern int, n long")
-    p = pii._em(counts).first().posterior
+    p, reliability = pii.expectation_maximisation({code["agree"]: 50, code["against"]: 400, code["mixed"]: 60})
     assert p[code["agree"]] > 0.99 and p[code["mixed"]] > 0.9 and p[code["against"]] < 0.01
-    assert all(0 <= x <= 1 for x in p)
+    assert all(math.isclose(sum(x), 1) for both in reliability for x in both) and reliability[0][0][2] > 0.9 and reliability[0][1][0] > 0.9
+
+
+def plain_candidates(text):
+    """(start, end, votes, features) of each candidate, span by span."""
+    low = r"(?i)(?:^|[^a-z])(?:" + "|".join(pii.NAMES_OF_SECRETS) + ")(?:[^a-z]|$)"
+    for m in re.finditer(r"[A-Za-z0-9+/_=-]+", text):
+        v, before = m[0], text[max(0, m.start() - 32) : m.start()]
+        if len(v) < 9 or not re.search("[0-9]", v):
+            continue
+        n, turns = len(v), len(re.findall("[A-Za-z][0-9]|[0-9][A-Za-z]", v))
+        known, digits, letters = bool(re.search(pii.KNOWN, v)), len(re.findall("[0-9]", v)), len(re.findall("[A-Za-z]", v))
+        votes = [
+            1 if known else -1 if not turns else 0,
+            1 if re.search(low, before + " " + v) else 0,
+            1 if re.search("[A-Za-z_]=[A-Za-z0-9+/_-]{8,}$", before + v) or re.search(pii.ASSIGNED, before) else -1 if re.search(pii.PROSE, before) else 0,
+            1 if turns >= 3 and digits >= 3 and letters >= 3 and n >= 12 else -1 if turns <= 1 and not known else 0,
+        ]
+        features = (
+            sum(n >= k for k in (12, 16, 24, 48)), 5 + min(turns // 2, 3), 9 if "=" in v else 10 if before[-1:] in ("'", '"') else 11 if before[-1:] == " " else 12,
+            13 if re.fullmatch("[A-Z0-9]+", v) else 14 if re.fullmatch("[0-9+/=-]+", v) else 15 if re.fullmatch("[a-z0-9=_-]+", v) else 16,
+        )
+        yield m.start(), m.end(), sum((x + 1) * 3**i for i, x in enumerate(votes)), features
+
+
+def test_pii_classifier(spark, docs, rows):
+    """Candidates, counts, the fitted model and the added spans, one by one in plain Python."""
+    extra = [(900_001, "x" * 300 + "1a2b3c and token = " + "A" * 250 + "9f8e7d6c end"), (900_002, "id=12345678 " * 400), (900_003, "")]
+    more = docs.select("doc_id", "text").unionAll(spark.createDataFrame(extra, "doc_id long, text string"))
+    texts = [*rows, *extra]
+    counts = Counter((c[2], c[3]) for _, t in texts for c in plain_candidates(t))
+    model = pii.train(more)
+    assert model == pii.fit(dict(counts)) and sum(counts.values()) > 400
+    want = []
+    for d, t in texts:
+        base = [(a, b) for kind in PLAIN for _, a, b in plain_spans(t, kind)]
+        own = [(a, b) for a, b, _, f in plain_candidates(t) if model.prior + sum(model.weights[k] for k in f) > math.log(pii.ACCEPT / (1 - pii.ACCEPT)) and all(b <= x or y <= a for x, y in base)]
+        want.append((d, t, ",".join(f"secret:{a}:{b}" for a, b in own)))
+    got = pii.find_pii(more, model).select("doc_id", F.coalesce("text", F.lit("")), pii.listed(("secret",)))
+    same(got.collect(), want)
+
+
+def test_pii_columns(spark, sf):
+    assert pii.op2_pii(spark, sf).columns[:7] == ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"]
 
 
 # -- mixing ----------------------------------------------------------------------------------------------------------------
@@ -181,12 +225,23 @@ def test_bit_slices():
 def test_simhash_split_blocks(spark):
     rng = np.random.default_rng(2)
     fp = np.unique(np.uint64(12345) ^ (np.uint64(1) << rng.integers(0, 60, 400).astype(np.uint64)) ^ (np.uint64(1) << rng.integers(0, 60, 400).astype(np.uint64)))
-    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fp.tolist())], "fp long, rep long")
+    df = spark.createDataFrame([(int(f), i) for i, f in enumerate(fp.tolist())], "fp long, node long")
     from quantspark.llm.components import connected_components
 
-    found = {r.node: r.component for r in connected_components(simhash.simhash_edges(df, chunk=16)).collect()}
     links = [(i, j) for i in range(len(fp)) for j in range(i) if int(fp[i] ^ fp[j]).bit_count() <= 4]
-    assert [found.get(i, i) for i in range(len(fp))] == components(len(fp), links)
+    for n in (400, 10**8, 10**11):  # one, two and three agreeing blocks as keys
+        found = {r.node: r.component for r in connected_components(simhash.simhash_edges(df, simhash.pigeonhole_masks(4, n), chunk=16)).collect()}
+        assert [found.get(i, i) for i in range(len(fp))] == components(len(fp), links)
+
+
+def test_simhash_repeated_ids(spark):
+    """Texts of one doc_id are compared each for itself."""
+    a, b, c = (" ".join(f"{w}{i}" for i in range(40)) for w in "abc")
+    df = spark.createDataFrame([(1, a), (1, b), (2, a), (3, b), (4, c), (None, c), (None, a + b)], "doc_id long, text string")
+    for found in (simhash.simhash_components(df), simhash.near_copies(df)):
+        same(found.select("doc_id", "component_id").collect(), [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (None, 4), (None, None)])
+    df = spark.createDataFrame([(5, a), (5, b), (2, a), (3, b)], "doc_id long, text string")
+    same(simhash.simhash_components(df).select("doc_id", "component_id").collect(), [(5, 2), (5, 3), (2, 2), (3, 3)])
 
 
 # -- rules -----------------------------------------------------------------------------------------------------------------
@@ -249,34 +304,68 @@ def test_embeddings(spark):
 def test_embedding_chunks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.01).tolist(), 1) for i in range(300)]
-    df = spark.createDataFrame([(str(1), r[0], 1, r[1]) for r in rows], "label string, vec_id long, n long, embedding array<double>")
-    links = lsh.embedding_links(df, chunk=40).groupBy("vec_id").agg(F.sum("links").alias("n")).collect()
+    df = spark.createDataFrame([(str(1), r[0], 1, r[1]) for r in rows], "label string, node long, n long, embedding array<double>")
+    links = lsh.embedding_links(df, chunk=40).groupBy("node").agg(F.sum("links").alias("n")).collect()
     assert {r.n for r in links} == {299}
 
 
+def test_embeddings_repeated_ids(spark):
+    """Two different vectors of one vec_id do not join what each of them is near."""
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    rows = [(1, a.tolist(), 1), (1, b.tolist(), 1), (2, (a + 0.05 * b).tolist(), 1), (3, (b + 0.05 * a).tolist(), 1)]
+    got = lsh.embedding_components(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int"))
+    same(got.select("vec_id", "n_links", "component_id", "kept").collect(), [(1, 1, 1, True), (1, 1, 1, True), (2, 1, 1, False), (3, 1, 1, False)])
+
+
 # -- token files and packing -----------------------------------------------------------------------------------------------
 
 
-def plain_ids(name, text):
+@cache
+def tokenizer(name):
     from tokenizers import Tokenizer
 
-    t = plain_ids.__dict__.setdefault(name, Tokenizer.from_file(tokens.tokenizer_path(name)))
-    return [*t.encode(text, add_special_tokens=False).ids, 0]
+    return Tokenizer.from_file(tokens.tokenizer_path(name))
+
+
+def plain_ids(name, text):
+    return [*tokenizer(name).encode(text, add_special_tokens=False).ids, 0]
 
 
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 
 
+def test_pieces_give_the_library_s_ids():
+    """Every letter that pieces are made of, and random texts of letters, stops, spaces and rarer characters."""
+    rng = np.random.default_rng(8)
+    alphabet = [*"abcXYZ  .,!?\n\t-'0", *"äÉßøİıŞĞœǆǅŉĳſÿ", "İ", "i\u0307", "\u00a0", "\u3000", "é", "Σς", "日", "<|", "\u200b"]
+    letters = [chr(c) for c in (*range(0x41, 0x5B), *range(0x61, 0x7B), *range(0xC0, 0x250))]
+    texts = [f"{c} a{c}b {c}{c}, x{c}" for c in letters] + ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(6000)] + ["İstanbul güzel", "İzmir ve İstanbul.", "ŞİMDİ gel"]
+    for name, byte_level in (("word_bpe_49k.json", False), ("byte_bpe_50k.json", True)):
+        encoder = tokens.TokenIds(tokens.tokenizer_path(name), byte_level)
+        for t in texts:
+            assert np.frombuffer(encoder.encode(t), "<u4").tolist() == plain_ids(name, t)[:-1], (name, t)
+
+
+def test_token_ranges_split_one_id(spark):
+    """Rows of one doc_id, or of none, are dealt to all tasks."""
+    df = spark.createDataFrame([(None if i % 2 else 7, f"text {i % 5}") for i in range(4000)], "doc_id long, text string").repartition(4)
+    path = token_store.write_tokens(df, shared_path(spark, "t"))
+    sizes = [r.n for r in spark.read.parquet(path).groupBy("part").agg(F.sum("n_ids").alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 0.5 * sum(sizes)
+    got = sorted(token_store.read_tokens(spark, path).collect(), key=lambda r: r.start)
+    assert [r.doc_id for r in got] == [None] * 2000 + [7] * 2000
+
+
 def test_token_files(spark, docs, rows, monkeypatch):
-    path = token_store.write_tokens(docs, token_store.shared_path(spark, "t"))
+    path = token_store.write_tokens(docs, shared_path(spark, "t"))
     got = token_store.read_tokens(spark, path).collect()
-    at, want = 0, []
-    for d, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1])):
-        ids = plain_ids("byte_bpe_50k.json", t)
-        want.append((d, at, len(ids), crc(ids)))
-        at += len(ids)
-    assert sorted(map(tuple, got), key=lambda r: r[1]) == want
+    ids = [(d, plain_ids("byte_bpe_50k.json", t)) for d, t in rows]
+    same([(r[0], *r[2:]) for r in map(tuple, got)], [(d, len(x), crc(x)) for d, x in ids])
+    at, last = 0, None
+    for d, start, n, _ in sorted(map(tuple, got), key=lambda r: r[1]):
+        assert start == at and (last is None or d is not None and d >= last)
+        at, last = at + n, d
 
 
 def test_elias_fano():
@@ -284,7 +373,6 @@ def test_elias_fano():
     for values in ([], [0], [0, 0, 0], [5], np.cumsum(rng.integers(0, 4000, 3000)), np.sort(rng.integers(0, 1 << 40, 2000)), np.arange(1000)):
         v = np.asarray(values, np.int64)
         e = token_store.EliasFano.load(token_store.EliasFano.encode(v).dump())
-        assert e.decode().tolist() == v.tolist()
         assert [e.select(i) for i in range(len(v))] == v.tolist()
         if len(v) > 100:
             assert 8 * len(e.dump()) <= len(v) * (3 + math.log2(max(2, v[-1] / len(v)))) + 300
@@ -293,7 +381,7 @@ def test_elias_fano():
 def test_token_block():
     ids = np.arange(70_000, dtype=np.int64) % 66_000
     b = token_store.Block(token_store.encode_block([None, -5, 3, 3, 9], [10, 0, 40_000, 0, 29_990], ids))
-    assert b.doc_ids() == [None, -5, 3, 3, 9] and b.document(2).tolist() == ids[10:40_010].tolist() and len(b.document(1)) == 0
+    assert [b.doc_id(i) for i in range(b.n)] == [None, -5, 3, 3, 9] and b.document(2).tolist() == ids[10:40_010].tolist() and len(b.document(1)) == 0
 
 
 def test_packing(docs, rows):
@@ -315,6 +403,18 @@ def test_packing(docs, rows):
     assert len(bins) <= 1.02 * -(-sum(w[3] for w in want) // 2048) + len(got) / 150
 
 
+def test_swaps_over_many_underfull_bins():
+    """All pieces of middling length: the search goes through every giver, keeps all items and ends."""
+    rng = np.random.default_rng(9)
+    for sizes, slack in ((rng.integers(700, 1300, 2000), 1.05), (rng.integers(300, 900, 2000), 1.01), (rng.integers(1, 2048, 2000), 1.01)):
+        first = packing.best_fit(sizes, 2048)
+        bins = packing.SwapSearch(sizes, first, 2048).run()
+        assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
+        assert max(int(sizes[b].sum()) for b in bins) <= 2048 and len(bins) <= len(first)
+        pairs = sum(sizes > 1024)  # no two of these share a bin
+        assert len(bins) <= slack * max(pairs, -(-int(sizes.sum()) // 2048)) + 2
+
+
 def test_swaps_empty_bins():
     sizes = np.array([6, 6, 3, 3, 3, 3, 2, 2, 2, 4, 4, 4, 5, 5, 7])
     bins = packing.best_fit(sizes, 12)
@@ -376,10 +476,49 @@ def test_quality_odd_rows(spark, odd):
     assert all(r.kept and r.perplexity is None for r in kneser_ney.classify(odd, labels.limit(0)).select("quality.*").collect())
 
 
+def plain_kneser_ney(texts):
+    """Chance of a class after its context, as the formulas say."""
+    grams = Counter(g for t in texts for s in [kneser_ney.symbols(t, False).tolist()] for g in zip(s, s[1:], s[2:], s[3:], strict=False))
+    counts = {4: grams}
+    for n in (3, 2, 1):
+        counts[n] = Counter(g[1:] for g in counts[n + 1])
+    discount = {}
+    for n, c in counts.items():
+        r = Counter(c.values())
+        y = r[1] / (r[1] + 2 * r[2]) if r[1] + 2 * r[2] else 0
+        discount[n] = [min(k - 0.05, max(0.05, k - (k + 1) * y * r[k + 1] / r[k])) if r[k] and r[k + 1] else 0.5 * k for k in (1, 2, 3)]
+    followers = {n: defaultdict(list) for n in counts}
+    for n, c in counts.items():
+        for g, k in c.items():
+            followers[n][g[:-1]].append(k)
+
+    def chance(g):
+        if not g:
+            return 1 / kneser_ney.CLASSES
+        n, of = len(g), followers[len(g)].get(tuple(g[:-1]))
+        if not of:
+            return chance(g[1:])
+        d = lambda k: min(k, discount[n][min(k, 3) - 1])
+        k = counts[n].get(tuple(g), 0)
+        return ((k - d(k)) / sum(of) if k else 0) + sum(map(d, of)) / sum(of) * chance(g[1:])
+
+    return chance
+
+
+def test_kneser_ney_against_formulas(spark):
+    texts = ["the cat sat on the mat. " * 5, "a dog, a log and the fog", "Ünïcode, die 7 Öfen!", "кот и пёс"]
+    docs = spark.createDataFrame([(t,) for t in texts], "text string")
+    table, chance = kneser_ney.log_table(kneser_ney.train(docs)), plain_kneser_ney(texts)
+    for t in (*texts, "the dog sat; 99 кот", ""):
+        s = kneser_ney.symbols(t, False).tolist()
+        want = [-math.log10(chance(g)) for g in zip(s, s[1:], s[2:], s[3:], strict=False)]
+        assert np.allclose(table[kneser_ney.codes(t, False)] / kneser_ney.SCALE, want, atol=0.6 / kneser_ney.SCALE)
+
+
 def test_kneser_ney_chances_add_up(spark):
     docs = spark.createDataFrame([("the cat sat on the mat. " * 5,), ("a dog, a log and the fog",)], "text string")
-    p = 10 ** kneser_ney.log_table(kneser_ney.train(docs)).reshape(-1, 64).astype(np.float64)
-    assert np.allclose(p.sum(axis=1), 1, atol=2e-4)
+    p = 10 ** (-kneser_ney.log_table(kneser_ney.train(docs)).reshape(-1, 64).astype(np.float64) / kneser_ney.SCALE)
+    assert np.allclose(p.sum(axis=1), 1, atol=1e-3)
     seen = kneser_ney.codes("the cat sat")
     assert p.reshape(-1)[seen].mean() > 0.4
 
@@ -421,7 +560,7 @@ def test_log_bilinear_is_normalised():
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
-    path = token_store.write_tokens(none, token_store.shared_path(spark, "t"))
+    path = token_store.write_tokens(none, shared_path(spark, "t"))
     for df in (kneser_ney.classify(none, labels), pii.find_pii(none), log_bilinear.score_documents(none), mixing.mix_sources(none), simhash.simhash_components(none), rules.apply_policy(rules.rule_ledger(none)), token_store.read_tokens(spark, path), packing.pack_pieces(packing.token_pieces(none)), substrings.remove_repeated(none), lsh.embedding_components(spark.createDataFrame([], "vec_id long, embedding array<float>, label int"))):
         assert df.count() == 0
 
