@@ -68,6 +68,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers that may be sent to every executor: some 30 MB.
+SENT_ROWS = 1_000_000
+
+
+def sent_if_small(df: DataFrame) -> DataFrame:
+    """A side of a join, to be broadcast if it has few rows (counted here) and shuffled otherwise."""
+    return F.broadcast(df) if df.limit(SENT_ROWS + 1).count() <= SENT_ROWS else df
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

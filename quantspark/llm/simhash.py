@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, table, union_roots, utf8, whole_groups
+from .common import checkpoint, sent_if_small, table, union_roots, utf8, whole_groups
 from .components import connected_components
 from .jaccard import exact_components, set_key, shingles
 
@@ -226,8 +226,9 @@ def simhash_edges(distinct: DataFrame, masks: list[list[int]], radius: int = RAD
     Blocks over ``chunk`` members are split by a hash, and every pair of chunks meets in a task of its own.
     """
     rows = distinct.select("node", "fp").mapInArrow(_keyed(masks), "key long, fp binary, node long")
-    hot = rows.groupBy("key").count().where(F.col("count") > chunk).select("key", F.ceil(F.col("count") / chunk).cast("int").alias("g"))
-    rows = rows.join(hot, "key", "left").withColumn("c", F.when(F.col("g").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "g")).cast("int"))
+    hot = rows.groupBy("key").count().where(F.col("count") > chunk).select(F.col("key").alias("block"), F.ceil(F.col("count") / chunk).cast("int").alias("g"))
+    hot = checkpoint(hot.unionAll(hot.sparkSession.range(1).select(F.lit(-1).cast("long"), F.lit(1))))  # no mask's keys are below 0
+    rows = rows.join(sent_if_small(hot), F.col("key") == F.col("block"), "left").withColumn("c", F.when(F.col("g").isNull(), 0).otherwise(F.pmod(F.xxhash64("fp"), "g")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g") - 1, F.lit(0)))))
     rows = rows.select("key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), "fp", "node")
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(radius), "u long, v long")
@@ -300,7 +301,8 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     near = connected_components(simhash_edges(known, sampled_masks(threshold, known.count()), radius))
     near = near.unionAll(near.select(F.col("component").alias("node"), "component").distinct())
     groups = checkpoint(near.join(known, "node"))
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(groups.select("rep").distinct(), "rep", "left_semi")
+    reps = checkpoint(groups.select("rep").distinct())
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent_if_small(reps), "rep", "left_semi")
     found = exact_components(groups.select("node", "component", "fp"), texts.select("text"), radius, threshold, size)
     return prints.join(_least(known, found).withColumnRenamed("node", "key"), "key", "left").select("doc_id", "component_id")
 
