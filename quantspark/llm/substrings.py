@@ -2,9 +2,10 @@
 
 Strings of LENGTH bytes meet by content: each is dealt by the least hash of its SEED_BYTES-grams (a minimizer), so equal
 strings reach the same index. A first pass finds the minimizers that several documents hold; only text around those
-goes on. Each index is built over the distinct pieces of its share, run-length compressed, and streamed backwards with
-the LF mapping, all pieces side by side; every row whose LENGTH-byte match also occurs elsewhere learns the smallest
-doc_id of its interval.
+goes on, and equal pieces of a group of documents go on once, with the least doc_id that has them. Each index is a
+run-compressed transform of the distinct pieces of its share with text positions sampled at run ends. From the samples
+alone follow, in text order, each position's predecessor among the sorted suffixes and the length of their match; long
+matches form chains, and a chain's least doc_id decides.
 """
 
 from __future__ import annotations
@@ -24,6 +25,8 @@ LENGTH, SEED_BYTES = 50, 20
 #: Windows in one piece at most, so that pieces stay short where one minimizer holds on.
 PIECE_WINDOWS = 64
 SEGMENT = 2 << 20
+#: Text of one group of documents, and what one bucket of minimizers stands for, on average.
+GROUP_BYTES = 24 << 20
 #: Shares of a bucket, which are indexed some at a time, up to about so many bytes.
 SHARES, INDEX_BYTES = 256, 1 << 20
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -90,40 +93,22 @@ def runs(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(x) for x in zip(*out, strict=True))
 
 
-class RankBits:
-    """Marked rows as a bit vector; ``rank(rows)`` counts the marked rows up to each row, itself included."""
-
-    def __init__(self, marked: np.ndarray, total: int):
-        bits = np.zeros(-(-total // 64) * 64, np.uint8)
-        bits[marked] = 1
-        self.words = np.packbits(bits, bitorder="little").view("<u8")
-        ones = np.bitwise_count(self.words).astype(np.int32)
-        self.before = np.cumsum(ones, dtype=np.int32) - ones
-
-    def rank(self, rows: np.ndarray) -> np.ndarray:
-        at = rows >> 6
-        own = self.words[at] << (~rows & 63).astype(np.uint64)
-        return self.before[at] + np.bitwise_count(own)
-
-
 class RunLengthIndex:
-    """Run-compressed Burrows-Wheeler index of strings, each closed by a terminator of its own (in order, below all bytes).
+    """Run-compressed Burrows-Wheeler transform of strings, each closed by a terminator of its own (in order, below all bytes).
 
-    Kept are the run heads' rows, characters and LF targets, the text position at each run's end, and the row intervals
-    of repeated ``length``-byte strings with the least label among them; neither text nor suffix array stays.
+    Kept of the suffix array are its values at the run ends only: ``heads`` and ``tails``, the text positions of each
+    run's first and last row.
     """
 
-    def __init__(self, strings: list[bytes], labels: np.ndarray, length: int = LENGTH):
-        if not 28 <= length <= 56:
-            raise ValueError("length must be 28 to 56")
-        self.n, self.length = len(strings), length
+    def __init__(self, strings: list[bytes]):
+        self.n = len(strings)
         self.sizes = np.array([len(s) for s in strings], np.int64)
-        self.labels = labels
-        ends = np.cumsum(self.sizes + 1) - 1
-        text = np.frombuffer(b"\0".join(strings) + b"\0", np.uint8).astype(np.uint64) + np.uint64(1)
-        text[ends] = 0
+        raw = b"\0".join(strings) + b"\0"
+        self.ends = np.cumsum(self.sizes + 1) - 1
+        text = np.frombuffer(raw, np.uint8).astype(np.uint64) + np.uint64(1)
+        text[self.ends] = 0
         total = len(text)
-        ends_at = np.repeat(ends, self.sizes + 1)
+        ends_at = np.repeat(self.ends, self.sizes + 1)
         left = ends_at - np.arange(total)
         key = np.zeros(total, np.uint64)
         for j in range(7):  # seven characters of nine bits
@@ -137,17 +122,12 @@ class RunLengthIndex:
         del key, sorted_key
         start = np.flatnonzero(head)[np.cumsum(head) - 1]
         start[: self.n] = np.arange(self.n)
-        sa[: self.n] = ends  # terminators are the least, in order
+        sa[: self.n] = self.ends  # terminators are the least, in order
         head[: self.n + 1] = True
         rank = np.empty(total, np.int64)
         rank[sa] = start
-        depth, at28 = 7, None
-        todo = np.flatnonzero(~(head & np.r_[head[1:], True]))
-        while True:
-            if depth == 28:
-                at28 = rank.copy()
-            if not len(todo):
-                break
+        depth, todo = 7, np.flatnonzero(~(head & np.r_[head[1:], True]))
+        while len(todo):
             s = sa[todo]
             both = rank[s] << 32 | rank[np.minimum(s + depth, ends_at[s])]
             order = np.argsort(both)
@@ -157,57 +137,60 @@ class RunLengthIndex:
             rank[s] = todo[np.flatnonzero(fresh)[np.cumsum(fresh) - 1]]
             todo = todo[~(fresh & np.r_[fresh[1:], True])]
             depth *= 2
-        at28 = rank if at28 is None else at28
-        # repeated strings of `length` bytes: neighbours that agree in their first 28 bytes and in the 28 that end them
-        head28, tail28 = at28[sa], at28[np.minimum(sa + length - 28, total - 1)]
-        same = (head28[1:] == head28[:-1]) & (tail28[1:] == tail28[:-1]) & (left[sa[1:]] >= length)
-        string = np.repeat(np.arange(self.n), self.sizes + 1)[sa]
-        inside = np.r_[False, same] | np.r_[same, False]
-        rows = np.flatnonzero(inside)
-        first = rows[~np.r_[False, same][rows]]
-        self.least = np.minimum.reduceat(labels[string[rows]], np.searchsorted(rows, first)) if len(rows) else np.zeros(0, np.int64)
-        self.repeated, self.group = RankBits(rows, total), RankBits(first, total)
-        bwt = text[sa - 1].astype(np.int16)
+        bwt = text[sa - 1]
         bwt[sa == 0] = 0
-        new = np.flatnonzero(np.r_[True, bwt[1:] != bwt[:-1]])
-        self.heads, self.chars, self.run = new, bwt[new], RankBits(new, total)
-        self.ends_at = sa[np.r_[new[1:], total] - 1]  # sampled text positions of run ends
-        counts = np.bincount(text.astype(np.int64), minlength=257)
-        base = np.r_[0, np.cumsum(counts)[:-1]]
-        lengths = np.diff(np.r_[new, total])
-        order = np.argsort(self.chars, kind="stable")
-        before = np.cumsum(lengths[order]) - lengths[order]
-        first = np.searchsorted(self.chars[order], np.arange(257))
-        inside = before - before[np.minimum(first[self.chars[order]], len(order) - 1)]
-        targets = np.empty(len(new), np.int64)
-        targets[order] = base[self.chars[order]] + inside
-        self.shift = targets - new
-
-    def step(self, rows: np.ndarray) -> np.ndarray:
-        """LF: the rows of the suffixes one character longer."""
-        return self.shift[self.run.rank(rows) - 1] + rows
-
-    def least_labels(self) -> tuple[np.ndarray, np.ndarray]:
-        """For every string and window start: the least label of any string that holds the window; windows end to end.
-
-        The second array has each string's first window's place. Strings are streamed backwards from their
-        terminators, all at once; the match at a row is at least ``length`` long where that many bytes have been read.
+        new = np.flatnonzero(np.r_[True, (bwt[1:] != bwt[:-1]) | (bwt[1:] == 0)])  # terminators differ from one another
+        self.chars, self.heads, self.tails = (bwt[new].astype(np.int16) - 1), sa[new], sa[np.r_[new[1:], total] - 1]
+        self.raw, self.total = raw, total
+
+    def matches(self) -> tuple[np.ndarray, np.ndarray]:
+        """For every text position: the position of the suffix sorted before its own, and the length of their match.
+
+        Only the first row of a run is compared with its predecessor, the last row of the run before. Any other
+        position's predecessor is one after that of the position before it, and their match is one shorter.
+        """
+        order = np.argsort(self.heads)
+        at = self.heads[order]
+        before = np.where(order > 0, self.tails[order - 1], at)
+        left = np.repeat(self.ends, self.sizes + 1)
+        most = np.minimum(left[at] - at, left[before] - before)
+        most[before == at] = 0
+        raw = np.frombuffer(self.raw + b"\0" * 8, np.uint8)
+        eight = np.ndarray((self.total + 1,), "<u8", raw, strides=(1,))
+        length = np.zeros(len(at), np.int64)
+        todo = np.flatnonzero(most > 0)
+        while len(todo):
+            i, j = at[todo] + length[todo], before[todo] + length[todo]
+            x = eight[i] ^ eight[j]
+            same = np.where(x == 0, 8, (np.bitwise_count((x & (~x + np.uint64(1))) - np.uint64(1)) >> 3).astype(np.int64))
+            length[todo] += same
+            todo = todo[(same == 8) & (length[todo] < most[todo])]
+        length = np.minimum(length, most)
+        mark = np.zeros(self.total, np.int64)
+        mark[at] = 1
+        run = np.cumsum(mark) - 1
+        step = np.arange(self.total) - at[run]
+        return before[run] + step, np.maximum(length[run] - step, 0)
+
+    def least_labels(self, labels: np.ndarray, length: int = LENGTH) -> np.ndarray:
+        """For every text position: the least label of any string that holds the ``length`` bytes from there on.
+
+        Positions of equal bytes are neighbours among the sorted suffixes, so long matches chain them together. A
+        position from which fewer bytes are left has its own string's label.
         """
-        windows = np.maximum(self.sizes - self.length + 1, 0)
-        first = np.cumsum(windows) - windows
-        out = np.repeat(self.labels, windows)
-        live = np.argsort(-self.sizes, kind="stable")
-        down = -self.sizes[live]
-        place = (first + self.sizes)[live]
-        rows = live.copy()
-        for read in range(1, int(self.sizes.max(initial=0)) + 1):
-            k = int(np.searchsorted(down, -read, side="right"))
-            rows = self.step(rows[:k])
-            if read >= self.length and len(self.least):
-                hit = np.flatnonzero(self.repeated.words[rows >> 6] >> (rows & 63).astype(np.uint64) & np.uint64(1))
-                at = place[hit] - read
-                out[at] = np.minimum(out[at], self.least[self.group.rank(rows[hit]) - 1])
-        return out, first
+        before, match = self.matches()
+        least = np.repeat(labels, self.sizes + 1)
+        own = least.copy()
+        again = np.flatnonzero(match >= length)
+        first = np.arange(self.total)
+        first[again] = before[again]
+        while len(again):  # to the first of each chain, by doubling
+            jumped = first[first[again]]
+            if np.array_equal(jumped, first[again]):
+                break
+            first[again] = jumped
+        np.minimum.at(least, first[again], own[again])
+        return least[first]
 
 
 # -- what tasks send to one another: arrays packed into one binary value, so that rows stay few ----------------------------
@@ -258,43 +241,74 @@ def _rows(found: list[tuple[int, bytes]]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([b for b, _ in found], pa.int32()), pa.array([x for _, x in found], pa.binary())], _ROW)
 
 
-def _seeds(buckets: int):
-    """Pass 1: the minimizers of each document, 40 bits each, dealt to buckets."""
+def _packed_docs(doc: np.ndarray) -> tuple[np.ndarray, ...]:
+    base, off = _docs32(doc)
+    return base, np.array([off.itemsize], "<u1"), off
+
+
+def _seeds(buckets: int, groups: int):
+    """Pass 1: the minimizers of each document, 40 bits each, dealt to buckets.
+
+    What several documents of a slice hold is known to be shared at once: those documents' groups are told (buckets from
+    ``buckets`` on), and the minimizer's bucket gets one entry for all of them. So a common minimizer's bucket grows with
+    the slices, not with the documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for b in slices(batch, 1, 4 << 20):
                 ids = b.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
                 doc, _, _, h = runs(utf8(b.column(1)))
+                d = ids[doc]
+                order = np.lexsort((d, h))
+                d, h = d[order], h[order]
+                keep = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
+                d, h = d[keep], h[keep]
+                again = h[1:] == h[:-1]
+                many, first = np.r_[False, again] | np.r_[again, False], np.r_[True, ~again]
+                if not len(h):
+                    continue
                 out = []
                 for bucket, part in _split((h % np.uint64(buckets)).astype(np.int64)):
-                    base, off = _docs32(ids[doc[part]])
-                    out.append((bucket, _dump(_u40(h[part] >> np.uint64(24)), base, np.array([off.itemsize], "<u1"), off)))
+                    one, all_ = part[~many[part]], part[many[part] & first[part]]
+                    out.append((bucket, _dump(_u40(h[one] >> np.uint64(24)), _u40(h[all_] >> np.uint64(24)), *_packed_docs(d[one]))))
+                told = np.flatnonzero(many)
+                for g, part in _split(d[told] % groups):
+                    part = told[part]
+                    out.append((buckets + g, _dump(_key(h[part], buckets), *_packed_docs(d[part]))))
                 yield _rows(out)
 
     return run
 
 
-def _shared(doc_buckets: int):
-    """Pass 2: minimizers that several documents hold, sent back to those documents."""
+def _key(h: np.ndarray, buckets: int) -> np.ndarray:
+    """What a minimizer is known by: 40 bits of it and its bucket."""
+    return ((h >> np.uint64(24)) << np.uint64(24)) | h % np.uint64(buckets)
+
+
+def _shared(buckets: int, groups: int):
+    """Pass 2: minimizers that several documents hold, sent back to those documents' groups."""
 
     def one(bucket: int, parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-        key, doc = [], []
+        if bucket >= buckets:
+            yield from ((bucket - buckets, p) for p in parts)
+            return
+        key, doc, many = [], [], []
         for p in parts:
-            raw, base, width, off = _load(p, "u1", "<i8", "<u1", "u1")
+            raw, common, base, width, off = _load(p, "u1", "u1", "<i8", "<u1", "u1")
             key.append(_from_u40(raw))
+            many.append(_from_u40(common))
             doc.append(off.view(f"<u{width[0]}").astype(np.int64) + base[0])
-        key, doc = np.concatenate(key), np.concatenate(doc)
+        key, doc, many = np.concatenate(key), np.concatenate(doc), np.unique(np.concatenate(many))
         order = np.lexsort((doc, key))
         key, doc = key[order], doc[order]
-        keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])]
+        keep = np.r_[True, (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])][: len(key)]
         key, doc = key[keep], doc[keep]
         again = key[1:] == key[:-1]
-        many = np.r_[False, again] | np.r_[again, False]
-        key, doc = key[many], doc[many]
-        for g, part in _split(doc % doc_buckets):
-            base, off = _docs32(doc[part])
-            yield g, _dump(_u40(key[part]), np.array([bucket], "<i8"), base, np.array([off.itemsize], "<u1"), off)
+        shared = (np.r_[False, again] | np.r_[again, False])[: len(key)] | np.isin(key, many)
+        key, doc = key[shared], doc[shared]
+        for g, part in _split(doc % groups):
+            yield g, _dump(key[part] << np.uint64(24) | np.uint64(bucket), *_packed_docs(doc[part]))
 
     return _by_bucket(one)
 
@@ -334,87 +348,108 @@ def _mix(doc: np.ndarray, key: np.ndarray) -> np.ndarray:
 
 
 def _pieces(buckets: int):
-    """Pass 3: of a bucket of documents, the pieces of text whose minimizer is shared, dealt to indexes."""
+    """Pass 3: of a group of documents, the pieces of text whose minimizer is shared.
+
+    Each distinct piece goes to its index once, with the least and greatest doc_id that have it here; where it occurs
+    goes to the group itself (buckets from ``buckets`` on).
+    """
 
     def run(docs: pa.Table, shared: pa.Table) -> pa.Table:
-        out = []
-        if docs.num_rows and shared.num_rows:
-            wanted = []
-            for p in shared.column("data").to_pylist():
-                raw, bucket, base, width, off = _load(p, "u1", "<i8", "<i8", "<u1", "u1")
-                doc = off.view(f"<u{width[0]}").astype(np.int64) + base[0]
-                wanted.append(_mix(doc, _from_u40(raw) << np.uint64(24) | bucket.astype(np.uint64)))
-            wanted = np.unique(np.concatenate(wanted))
-            texts, ids = utf8(docs.column("text")), docs.column("doc_id").to_numpy()
-            ordinal = _ordinals(ids, texts)
-            doc, first, count, h = runs(texts)
-            key = (h >> np.uint64(24)) << np.uint64(24) | h % np.uint64(buckets)
-            keep = np.isin(_mix(ids[doc], key), wanted)
-            doc, first, count, h = doc[keep], first[keep], count[keep], h[keep]
-            cut = -(-count // PIECE_WINDOWS)
-            rep = np.repeat(np.arange(len(doc)), cut)
-            k = np.arange(len(rep)) - np.repeat(np.cumsum(cut) - cut, cut)
-            doc, h = doc[rep], h[rep]
-            count, first = np.minimum(count[rep] - k * PIECE_WINDOWS, PIECE_WINDOWS), first[rep] + k * PIECE_WINDOWS
-            group = int(docs.column("g")[0].as_py())
-            share = (h >> np.uint64(40)) % np.uint64(SHARES)
-            for bucket, part in _split((h % np.uint64(buckets)).astype(np.int64)):
-                part = part[np.argsort(share[part], kind="stable")]
-                size = count[part] + LENGTH - 1
-                data = b"".join(texts[d][a : a + n] for d, a, n in zip(doc[part].tolist(), first[part].tolist(), size.tolist(), strict=True))
-                base, off = _docs32(ids[doc[part]])
-                out.append((bucket, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[doc[part]].astype("<u2"), first[part].astype("<u4"), size.astype("<u2"), share[part].astype("u1"), np.array([group], "<i8"), np.frombuffer(data, np.uint8))))
+        if not docs.num_rows or not shared.num_rows:
+            return pa.Table.from_batches([_rows([])])
+        wanted = []
+        for p in shared.column("data").to_pylist():
+            key, base, width, off = _load(p, "<u8", "<i8", "<u1", "u1")
+            wanted.append(_mix(off.view(f"<u{width[0]}").astype(np.int64) + base[0], key))
+        wanted = np.unique(np.concatenate(wanted))
+        texts, ids = utf8(docs.column("text")), docs.column("doc_id").to_numpy()
+        doc, first, count, h = runs(texts)
+        keep = np.isin(_mix(ids[doc], _key(h, buckets)), wanted)
+        doc, first, count, h = doc[keep], first[keep], count[keep], h[keep]
+        if not len(doc):
+            return pa.Table.from_batches([_rows([])])
+        cut = -(-count // PIECE_WINDOWS)
+        rep = np.repeat(np.arange(len(doc)), cut)
+        k = np.arange(len(rep)) - np.repeat(np.cumsum(cut) - cut, cut)
+        doc, h = doc[rep], h[rep]
+        count, first = np.minimum(count[rep] - k * PIECE_WINDOWS, PIECE_WINDOWS), first[rep] + k * PIECE_WINDOWS
+        size = count + LENGTH - 1
+        number: dict[bytes, int] = {}
+        piece = np.array([number.setdefault(texts[d][a : a + n], len(number)) for d, a, n in zip(doc.tolist(), first.tolist(), size.tolist(), strict=True)], np.int64)
+        strings = list(number)
+        del number
+        one = np.zeros(len(strings), np.int64)
+        one[piece] = np.arange(len(piece))
+        least, most = np.full(len(strings), np.iinfo(np.int64).max), np.full(len(strings), np.iinfo(np.int64).min)
+        np.minimum.at(least, piece, ids[doc])
+        np.maximum.at(most, piece, ids[doc])
+        group, own = int(docs.column("g")[0].as_py()), h[one]
+        share = (own >> np.uint64(40)) % np.uint64(SHARES)
+        out = [(buckets + group, _dump(np.array([0], "u1"), *_packed_docs(ids[doc]), _ordinals(ids, texts)[doc].astype("<u4"), first.astype("<u4"), piece.astype("<u4")))]
+        for bucket, part in _split((own % np.uint64(buckets)).astype(np.int64)):
+            part = part[np.argsort(share[part], kind="stable")]
+            data = np.frombuffer(b"".join([strings[i] for i in part.tolist()]), np.uint8)
+            out.append((bucket, _dump(np.array([group], "<i8"), part.astype("<u4"), least[part], most[part], size[one[part]].astype("<u2"), share[part].astype("u1"), data)))
         return pa.Table.from_batches([_rows(out)])
 
     return run
 
 
-def _marks(bucket: int, parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
-    """Pass 4: indexes over a bucket's shares; intervals of each document's bytes that a smaller doc_id holds too."""
-    text, doc, ordinal, first, size, share, group, at = [], [], [], [], [], [], [], []
-    for p in parts:
-        base, width, off, o, f, n, k, g, data = _load(p, "<i8", "<u1", "u1", "<u2", "<u4", "<u2", "u1", "<i8", "u1")
-        n = n.astype(np.int64)
-        at.append(np.cumsum(n) - n + sum(map(len, text)))
-        text.append(data.tobytes())
-        doc.append(off.view(f"<u{width[0]}").astype(np.int64) + base[0])
-        ordinal.append(o), first.append(f.astype(np.int64)), size.append(n), share.append(k)
-        group.append(np.full(len(o), g[0]))
-    data = b"".join(text)
-    del text
-    order = np.argsort(np.concatenate(share), kind="stable")
-    doc, ordinal, first, size, share, group, at = (np.concatenate(x)[order] for x in (doc, ordinal, first, size, share, group, at))
-    ends = np.r_[np.flatnonzero(np.diff(share)) + 1, len(share)]
-    bytes_to = np.cumsum(size)
-    found: list[tuple] = []
-    a = 0
-    while a < len(share):
-        full = int(np.searchsorted(bytes_to, (bytes_to[a - 1] if a else 0) + INDEX_BYTES, side="right"))
-        b = int(ends[max(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, full, side="right")) - 1)])
-        found.append(_covered(data, *(x[a:b] for x in (doc, ordinal, first, size, group, at))))
-        a = b
-    doc, ordinal, first, size, group = (np.concatenate(x) for x in zip(*found, strict=True))
-    for g, part in _split(group):
-        base, off = _docs32(doc[part])
-        yield g, _dump(base, np.array([off.itemsize], "<u1"), off, ordinal[part].astype("<u2"), first[part].astype("<u4"), size[part].astype("<u2"))
-
-
-def _covered(data: bytes, doc, ordinal, first, size, group, at) -> tuple[np.ndarray, ...]:
-    """One index over the distinct pieces; (doc, ordinal, first byte, bytes, group) of covered stretches of all pieces."""
+def _marks(buckets: int):
+    """Pass 4: indexes over a bucket's shares; for each group's pieces, windows that a smaller doc_id than its greatest holds."""
+
+    def one(bucket: int, parts: list[bytes]) -> Iterator[tuple[int, bytes]]:
+        if bucket >= buckets:
+            yield from ((bucket - buckets, p) for p in parts)
+            return
+        text, group, piece, least, most, size, share, at = [], [], [], [], [], [], [], []
+        done = 0
+        for p in parts:
+            g, i, a, z, n, k, data = _load(p, "<i8", "<u4", "<i8", "<i8", "<u2", "u1", "u1")
+            n = n.astype(np.int64)
+            at.append(np.cumsum(n) - n + done)
+            done += len(data)
+            text.append(data.tobytes())
+            group.append(np.full(len(i), g[0])), piece.append(i), least.append(a), most.append(z), size.append(n), share.append(k)
+        data = b"".join(text)
+        del text
+        order = np.argsort(np.concatenate(share), kind="stable")
+        group, piece, least, most, size, share, at = (np.concatenate(x)[order] for x in (group, piece, least, most, size, share, at))
+        ends = np.r_[np.flatnonzero(np.diff(share)) + 1, len(share)]
+        bytes_to = np.cumsum(size)
+        found: list[tuple] = []
+        a = 0
+        while a < len(share):
+            full = int(np.searchsorted(bytes_to, (bytes_to[a - 1] if a else 0) + INDEX_BYTES, side="right"))
+            b = int(ends[max(int(np.searchsorted(ends, a, side="right")), int(np.searchsorted(ends, full, side="right")) - 1)])
+            found.append(_repeated(data, *(x[a:b] for x in (group, piece, least, most, size, at))))
+            a = b
+        group, piece, start, n, least = (np.concatenate(x) for x in zip(*found, strict=True))
+        for g, part in _split(group):
+            yield g, _dump(np.array([1], "u1"), *_packed_docs(least[part]), piece[part].astype("<u4"), start[part].astype("<u2"), n[part].astype("<u2"))
+
+    return _by_bucket(one)
+
+
+def _repeated(data: bytes, group, piece, least, most, size, at) -> tuple[np.ndarray, ...]:
+    """One index over the distinct pieces; (group, piece, first window, windows, least doc_id) where that is below ``most``."""
     number: dict[bytes, int] = {}
-    piece = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
+    string = np.array([number.setdefault(data[a : a + n], len(number)) for a, n in zip(at.tolist(), size.tolist(), strict=True)], np.int64)
     label = np.full(len(number), np.iinfo(np.int64).max)
-    np.minimum.at(label, piece, doc)
-    least, start = RunLengthIndex(list(number), label).least_labels()
+    np.minimum.at(label, string, least)
+    index = RunLengthIndex(list(number))
+    found = index.least_labels(label)
     n = size - LENGTH + 1
     which = np.repeat(np.arange(len(n)), n)
     step = np.arange(len(which)) - np.repeat(np.cumsum(n) - n, n)
-    cover = least[start[piece][which] + step] < doc[which]
-    edge = np.r_[True, which[1:] != which[:-1]]
-    opens = np.flatnonzero(cover & (edge | np.r_[True, ~cover[:-1]]))
-    closes = np.flatnonzero(cover & (np.r_[edge[1:], True] | np.r_[~cover[1:], True]))
+    value = found[(index.ends - index.sizes)[string][which] + step]
+    good = value < most[which]
+    turn = np.r_[True, (which[1:] != which[:-1]) | (value[1:] != value[:-1]) | (good[1:] != good[:-1])]
+    opens = np.flatnonzero(turn)
+    length = np.diff(np.r_[opens, len(which)])
+    opens, length = opens[good[opens]], length[good[opens]]
     w = which[opens]
-    return doc[w], ordinal[w], first[w] + step[opens], step[closes] - step[opens] + LENGTH, group[w]
+    return group[w], piece[w], step[opens], length, value[opens]
 
 
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
@@ -440,20 +475,34 @@ def _result(ids, texts: list[bytes], cover: dict) -> pa.Table:
 
 
 def _apply(docs: pa.Table, marks: pa.Table) -> pa.Table:
-    """Pass 5: removed intervals of each document of a bucket, merged."""
+    """Pass 5: where a group's pieces occur meets what the indexes say of them; removed intervals, merged."""
     texts, ids = utf8(docs.column("text")) if docs.num_rows else [], docs.column("doc_id").to_numpy()
     cover: dict[int, tuple] = {}
-    if docs.num_rows and marks.num_rows:
-        doc, ordinal, a, n = [], [], [], []
-        for p in marks.column("data").to_pylist():
-            base, width, off, o, f, size = _load(p, "<i8", "<u1", "u1", "<u2", "<u4", "<u2")
-            doc.append(off.view(f"<u{width[0]}").astype(np.int64) + base[0])
-            ordinal.append(o.astype(np.int64)), a.append(f.astype(np.int64)), n.append(size.astype(np.int64))
-        doc, ordinal, a, n = (np.concatenate(x) for x in (doc, ordinal, a, n))
+    where, said = [], []
+    for p in marks.column("data").to_pylist() if marks.num_rows else []:
+        if p[8]:  # the first array is the kind
+            _, base, width, off, *rest = _load(p, "u1", "<i8", "<u1", "u1", "<u4", "<u2", "<u2")
+            into = said
+        else:
+            _, base, width, off, *rest = _load(p, "u1", "<i8", "<u1", "u1", "<u4", "<u4", "<u4")
+            into = where
+        into.append((off.view(f"<u{width[0]}").astype(np.int64) + base[0], *(x.astype(np.int64) for x in rest)))
+    if len(texts) and where and said:
+        doc, ordinal, first, piece = (np.concatenate(x) for x in zip(*where, strict=True))
+        least, of, start, windows = (np.concatenate(x) for x in zip(*said, strict=True))
+        order = np.argsort(of, kind="stable")
+        least, of, start, windows = least[order], of[order], start[order], windows[order]
+        low = np.searchsorted(of, piece)
+        times = np.searchsorted(of, piece, side="right") - low
+        i = np.repeat(np.arange(len(piece)), times)
+        j = low[i] + np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times)
+        good = least[j] < doc[i]
+        i, j = i[good], j[good]
+        doc, ordinal, a, n = doc[i], ordinal[i], first[i] + start[j], windows[j] + LENGTH - 1
         order = np.lexsort((a, ordinal, doc))
         doc, ordinal, a, n = doc[order], ordinal[order], a[order], n[order]
-        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ordinal[1:] != ordinal[:-1])])
-        at = {(int(doc[i]), int(ordinal[i])): (i, j) for i, j in zip(cut, np.r_[cut[1:], len(doc)], strict=True)}
+        cut = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (ordinal[1:] != ordinal[:-1])][: len(doc)])
+        at = {(int(doc[i]), int(ordinal[i])): (i, j) for i, j in zip(cut, np.r_[cut[1:], len(doc)], strict=False)}
         for i, key in enumerate(zip(ids.tolist(), _ordinals(ids, texts).tolist(), strict=True)):
             if key in at:
                 x, y = at[key]
@@ -477,20 +526,22 @@ def remove_repeated(docs: DataFrame) -> DataFrame:
 
     A byte goes if a LENGTH-byte string over it also starts in a document with a smaller doc_id. Rows of one doc_id do
     not remove each other's bytes; a row without doc_id neither loses bytes nor takes any; a null text is empty; texts
-    shorter than LENGTH stay. Rows sent between tasks are packed arrays: there are as many buckets as shuffle partitions,
-    so what one task holds follows the input over the partitions; an index takes about INDEX_BYTES of a bucket at a time. A passage that many documents share is one string
-    of its index.
+    shorter than LENGTH stay. Rows sent between tasks are packed arrays. Buckets and groups of documents follow the bytes
+    of all texts, GROUP_BYTES each, and are never fewer than the shuffle partitions; an index takes about INDEX_BYTES of a
+    bucket at a time. A passage that many documents share is sent once a group and is one string of its index.
     """
-    buckets = shuffle_partitions(docs.sparkSession)
-    groups = _prime(max(3, buckets))
+    spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     known = rows.where("doc_id is not null")
+    size = known.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(shuffle_partitions(spark), -(-size // GROUP_BYTES))
+    groups = _prime(max(3, buckets))
     schema = "bucket int, data binary"
-    meet = lambda df: df.repartition("bucket").sortWithinPartitions("bucket")
-    shared = meet(known.mapInArrow(_seeds(buckets), schema)).mapInArrow(_shared(groups), schema)
+    meet = lambda df: (df.repartition("bucket") if buckets == shuffle_partitions(spark) else df.repartition(2 * buckets, "bucket")).sortWithinPartitions("bucket")
+    shared = meet(known.mapInArrow(_seeds(buckets, groups), schema)).mapInArrow(_shared(buckets, groups), schema)
     held = known.select("doc_id", "text", F.pmod("doc_id", F.lit(groups)).cast("int").alias("g")).groupBy("g")
     pieces = held.cogroup(shared.groupBy("bucket")).applyInArrow(_pieces(buckets), schema)
-    marks = meet(pieces).mapInArrow(_by_bucket(_marks), schema)
+    marks = meet(pieces).mapInArrow(_marks(buckets), schema)
     done = held.cogroup(marks.groupBy("bucket")).applyInArrow(_apply, OUT)
     return done.unionAll(rows.where("doc_id is null").mapInArrow(_alone, OUT))
 

@@ -458,6 +458,39 @@ def test_substrings_hard_cases(spark):
     same(substrings.remove_repeated(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect(), list(plain_removal(rows)))
 
 
+def test_run_length_index():
+    """Predecessors, match lengths and least labels against sorted suffixes."""
+    rng = np.random.default_rng(10)
+    for n in (1, 3, 40):
+        strings = list(dict.fromkeys(bytes(rng.integers(0, 3, rng.integers(1, 60)).astype(np.uint8)) * rng.integers(1, 3) for _ in range(n)))
+        labels = rng.integers(0, 20, len(strings))
+        index = substrings.RunLengthIndex(strings)
+        before, match = index.matches()
+        assert len(index.heads) <= index.total
+        suffixes = sorted((tuple(c + 1000 for c in s[i:]) + (k,), p, s[i:]) for k, (s, e) in enumerate(zip(strings, index.ends.tolist(), strict=True)) for i, p in enumerate(range(e - len(s), e + 1)))
+        for (_, q, y), (_, p, x) in zip(suffixes, suffixes[1:], strict=False):
+            want = next((i for i, (a, b) in enumerate(zip(x, y, strict=False)) if a != b), min(len(x), len(y)))
+            assert match[p] == want and (not x or before[p] == q)
+        least = index.least_labels(labels, 5)
+        for k, (s, e) in enumerate(zip(strings, index.ends.tolist(), strict=True)):
+            for i in range(len(s) - 4):
+                assert least[e - len(s) + i] == min(labels[j] for j, t in enumerate(strings) if s[i : i + 5] in t)
+
+
+def test_substrings_common_passages(spark):
+    """A passage in most documents, copies by the hundred, and more buckets than shuffle partitions."""
+    rng = np.random.default_rng(11)
+    passage = "".join(chr(97 + c) for c in rng.integers(0, 26, 160))
+    rows = [(i, "".join(chr(97 + c) for c in rng.integers(0, 26, 90)) + (passage if i % 3 else passage[:120]) + str(i)) for i in range(400)] + [(1000 + i, passage) for i in range(200)] + [(5, f"{i} {passage[i % 7 :]}") for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    for size in (substrings.GROUP_BYTES, 4096):
+        keep, substrings.GROUP_BYTES = substrings.GROUP_BYTES, size
+        try:
+            same(substrings.remove_repeated(df).collect(), list(plain_removal(rows)))
+        finally:
+            substrings.GROUP_BYTES = keep
+
+
 # -- language models -------------------------------------------------------------------------------------------------------
 
 
