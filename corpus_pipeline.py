@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quantspark.llm import kneser_ney, mixing, packing, pii, simhash
-from quantspark.llm.common import SPACE, shared_path, stored, table
+from quantspark.llm.common import SPACE, checkpoint, sent_if_small, shared_path, stored, table
 
 #: No SQL says what the quality model, the fingerprints or the tokenizer do; tests hold the stages against plain versions.
 ORACLE_SQL = None
@@ -44,14 +44,15 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies: the one with the smallest doc_id, of equal ones an arbitrary one.
 
     Near copies are texts whose five-word shingles have a Jaccard similarity of 0.8 or more, and what such pairs join:
-    SimHash fingerprints name the pairs, and an exact check follows. Decisions are made on row numbers; texts are joined
-    with them once.
+    SimHash fingerprints name the pairs, and an exact check follows. Decisions are made on row numbers; texts meet those of
+    the rows that go.
     """
     rows = stored(docs.select(_row(docs), F.monotonically_increasing_id().alias("r")), "rows")
     found = simhash.near_copies(rows.select(F.col("r").alias("doc_id"), "row.text"))
     names = rows.select("r", "row.doc_id").join(found.select(F.col("doc_id").alias("r"), "component_id"), "r")
-    kept = names.groupBy("component_id").agg(F.min_by("r", F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("r"))
-    return rows.join(kept.select("r"), "r", "left_semi").select("row.*")
+    kept = names.groupBy("component_id").agg(F.min_by("r", F.struct(F.col("doc_id").isNull(), "doc_id", "r")).alias("stays"))
+    gone = checkpoint(names.join(kept, "component_id").where("r <> stays").select("r"))
+    return rows.join(sent_if_small(gone), "r", "left_anti").select("row.*")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
