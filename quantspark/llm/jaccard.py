@@ -15,8 +15,8 @@ from .common import checkpoint, utf8
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 5, 0.8
-#: Members of a group that one task compares at once.
-CHUNK = 256
+#: Members that a chunk has at most, and bytes of their sets on average at most; a task compares two chunks at once.
+CHUNK, CHUNK_BYTES = 2048, 8 << 20
 
 
 def shingles(text: bytes, size: int = SHINGLE) -> np.ndarray:
@@ -109,15 +109,16 @@ def _sets(size: int):
 def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold: float = THRESHOLD, size: int = SHINGLE, chunk: int = CHUNK) -> DataFrame:
     """``groups(node, component, fp)`` and ``texts(text)`` -> ``(node, component)`` by exact similarity, roots left out.
 
-    A node is the ``set_key`` of a text's shingles; any text that has it will do, and others are passed over. Links are searched within the given components only. Components over ``chunk`` members are compared in three steps:
+    A node is the ``set_key`` of a text's shingles; any text that has it will do, and others are passed over. Links are searched within the given components only. Components of more than one chunk are compared in three steps:
     chunk by chunk; the first member of each part that was found, among one another; and what is still apart. In the last
     step a component's largest part is not compared with itself, so each of its members is sent once for each chunk of
     members outside it: groups of copies cost in proportion to their size. No pair that might join two parts is left out.
     """
     sets = texts.mapInArrow(_sets(size), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    whole = checkpoint(groups.join(sets, "node"))
-    count = groups.groupBy("component").agg(F.count("*").alias("n"))
-    large = count.where(F.col("n") > chunk).select("component", F.ceil(F.col("n") / chunk).cast("int").alias("g"))
+    whole = checkpoint(groups.join(sets, "node").withColumn("bytes", F.octet_length("members").cast("long")))
+    chunks = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / CHUNK_BYTES)).cast("int")
+    count = lambda rows: rows.groupBy("component").agg(chunks(F.count("*"), F.sum("bytes")).alias("g"))
+    large = checkpoint(count(whole).where("g > 1"))
 
     def compared(rows: DataFrame) -> DataFrame:
         rows = rows.select(*[c.split()[0] for c in _GROUP.split(", ")])
@@ -132,13 +133,12 @@ def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold
         return connected_components(links)
     wide = whole.join(large.select("component"), "component", "left_semi")
     heads = wide.join(links.select(F.col("u").alias("node")), "node", "left_anti")
-    by = heads.groupBy("component").agg(F.ceil(F.count("*") / chunk).cast("int").alias("g"))
-    links = links.unionAll(dealt(heads, by, 2))
+    links = links.unionAll(dealt(heads, count(heads), 2))
     found = connected_components(links)
-    parts = checkpoint(wide.select("node", "component").join(found.withColumnRenamed("component", "label"), "node", "left").select("node", "component", F.coalesce("label", "node").alias("label")))
-    sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("component").agg(F.max_by("label", F.struct("n", "label")).alias("main"), F.max("n").alias("inside"), F.sum("n").alias("n")).where("n > inside")
-    main = main.select("component", "main", F.ceil((F.col("n") - F.col("inside")) / chunk).cast("int").alias("few"), F.ceil(F.col("inside") / chunk).cast("int").alias("many"))
+    parts = checkpoint(wide.select("node", "component", "bytes").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    main = sizes.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
+    main = main.select("component", "main.label", chunks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("few"), chunks(F.col("main.n"), F.col("main.bytes")).alias("many")).withColumnRenamed("label", "main")
     x = wide.join(parts.select("node", "label"), "node").join(main, "component")
     h = F.xxhash64("node", F.lit(3))
     x = x.withColumn("side", F.when(F.col("label") != F.col("main"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")).cast("int"))
