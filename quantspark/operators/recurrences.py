@@ -7,14 +7,23 @@ import pandas as pd
 from pyspark.sql import DataFrame
 
 
+BLOCK = 128
+
+
 def _run(x: np.ndarray, seed: float, at: int, alpha: float) -> np.ndarray:
-    """Exponential recurrence from ``seed`` at index ``at``; undefined before."""
+    """Exponential recurrence y += alpha * (x - y) from ``seed`` at index ``at``; undefined before. A block is one product."""
     out = np.full(len(x), np.nan)
-    if len(x) > at:
-        out[at] = value = seed
-        for i in range(at + 1, len(x)):
-            value += alpha * (x[i] - value)
-            out[i] = value
+    if len(x) <= at:
+        return out
+    out[at] = seed
+    keep = (1 - alpha) ** np.arange(BLOCK + 1)
+    age = np.arange(BLOCK)[:, None] - np.arange(BLOCK)[None, :]
+    weight = np.where(age >= 0, alpha * keep[np.maximum(age, 0)], 0.0)
+    for i in range(at + 1, len(x), BLOCK):
+        n = min(BLOCK, len(x) - i)
+        own = np.zeros(BLOCK)  # always whole blocks, so that later values change nothing in earlier ones
+        own[:n] = x[i : i + n]
+        out[i : i + n] = (weight @ own)[:n] + keep[1 : n + 1] * out[i - 1]
     return out
 
 
@@ -39,13 +48,9 @@ def rsi(x: np.ndarray, length: int = 14) -> np.ndarray:
 
 def ewma_variance(returns: np.ndarray, lam: float = 0.94, seed: int = 20) -> np.ndarray:
     """Seeded by the population variance of the first returns; the update begins with the return after them."""
-    out = np.full(len(returns), np.nan)
-    if len(returns) >= seed:
-        out[seed - 1] = value = float(np.var(returns[:seed]))
-        for i in range(seed, len(returns)):
-            value = lam * value + (1 - lam) * returns[i] ** 2
-            out[i] = value
-    return out
+    if len(returns) < seed:
+        return np.full(len(returns), np.nan)
+    return _run(returns**2, float(np.var(returns[:seed])), seed - 1, 1 - lam)
 
 
 def with_recurrences(bars: DataFrame) -> DataFrame:

@@ -13,7 +13,7 @@ from ..operators.simulate import relation
 from ..registry import plan, query
 from ..sources.tables import BARS, views
 from .signals import _SHRINK, FEATURES, _newey_west
-from .validation import TRADES
+from .validation import TRADES, autocovariance, running_sums, shrunk_drift
 
 # Limits of stops and targets, and their defaults; the tolerances' caps on large losses; tax rates.
 STOP_RANGE, TARGET_RANGE, DEFAULT_STOP, DEFAULT_TARGET, ATR_MULTIPLE = (0.005, 0.08), (0.005, 0.15), 0.02, 0.03, 2.0
@@ -115,7 +115,7 @@ rk AS (SELECT s.ticker, s.t, lv.px, (lv.kind = 'support') = (s.side = 'long') AS
        FROM side s JOIN lv ON lv.ticker = s.ticker AND lv.t = s.t WHERE s.side <> 'flat' AND (lv.kind = 'support' AND lv.px < s.close OR lv.kind = 'resistance' AND lv.px > s.close)),
 pk AS (SELECT ticker, t, max(CASE WHEN is_stop THEN px END) AS sp, max(CASE WHEN NOT is_stop THEN px END) AS tp FROM rk WHERE k = 1 GROUP BY ticker, t),
 st AS (SELECT s.ticker, s.t, s.side, s.close, s.osc, s.conf, pk.tp, CASE WHEN sp IS NOT NULL THEN {_clip("greatest(abs(close - sp) / close * (1 + (1 - conf) * 0.5E0), coalesce(atr / close, 0E0))", STOP_RANGE)} WHEN atr > 0 THEN {_clip(f"{ATR_MULTIPLE}E0 * atr / close", STOP_RANGE)} ELSE {DEFAULT_STOP}E0 END AS stop
-       FROM side s LEFT JOIN pk ON pk.ticker = s.ticker AND pk.t = s.t WHERE s.t % 5 = 0),
+       FROM side s LEFT JOIN pk ON pk.ticker = s.ticker AND pk.t = s.t),
 z AS (SELECT *, {_clip(f"CASE WHEN tp IS NOT NULL THEN abs(tp - close) / close ELSE greatest({DEFAULT_TARGET}E0, 1.5E0 * stop) END", TARGET_RANGE)} AS target,
       least(100000 * 0.01E0 / stop * conf, 20000E0, 100000 * 0.25E0) AS notional FROM st)
 SELECT ticker, t, side, round(stop, 8) AS stop, round(target, 8) AS target, round(CASE side WHEN 'long' THEN close * (1 - stop) WHEN 'short' THEN close * (1 + stop) END, 6) AS stop_price,
@@ -148,7 +148,7 @@ def lens_agreement(d: Dialect) -> str:
     one = "CASE WHEN both_lenses THEN r END"
     return f"""WITH {TRADES},
 l AS (SELECT ticker, count(*) AS n, corr(fast / slow - 1, mom) AS rho, avg(CASE WHEN sign(fast - slow) = sign(mom) THEN 1E0 ELSE 0E0 END) AS same FROM buck WHERE mom IS NOT NULL GROUP BY ticker),
-x AS (SELECT t.ticker, t.r, coalesce(sign(f.mom) = t.side, false) AS both_lenses FROM trades t JOIN buck f ON f.ticker = t.ticker AND f.t = t.t),
+x AS (SELECT ticker, r, both_lenses FROM favoured),
 a AS (SELECT ticker, count(*) AS trades, count({one}) AS agreed, avg(r) AS m, avg({one}) AS ma, avg(CASE WHEN r > 0 THEN 1E0 ELSE 0E0 END) AS h, avg(CASE WHEN both_lenses THEN CASE WHEN r > 0 THEN 1E0 ELSE 0E0 END END) AS ha FROM x GROUP BY ticker)
 SELECT l.ticker, CAST(l.n AS BIGINT) AS n, CASE WHEN l.n >= 30 THEN round(rho, 6) END AS pearson, CASE WHEN l.n >= 30 THEN round(same, 6) END AS sign_agreement, CAST(coalesce(trades, 0) AS BIGINT) AS trades, CAST(coalesce(agreed, 0) AS BIGINT) AS agreed,
        round(ma - m, 8) AS mean_lift, round(ha - h, 6) AS hit_lift FROM l LEFT JOIN a ON a.ticker = l.ticker"""
@@ -165,20 +165,30 @@ SELECT CAST(n AS BIGINT) AS n, round(v, 10) AS variance, round(mean, 8) AS edge,
        round(0.25E0 * mean / v, 6) AS quarter, CASE WHEN mean > 0 THEN 2E0 END AS overbet_if_half FROM n CROSS JOIN c WHERE n >= 5"""
 
 
-def _sweep(horizons, thresholds=(0.0005,)) -> str:
-    """Relation ``swept(h, th, ticker, t, d, side, r, raw)``: walk-forward decisions at several horizons in one pass.
+def _sweep(horizons, thresholds=(0,)) -> str:
+    """Relation ``swept(h, th, ticker, t, d, side, r, taken)``: walk-forward decisions at several horizons in one pass.
 
-    An outcome of horizon h is known h + 1 bars later. Outcomes and decisions are put on one clock, outcomes first, and a
-    decision reads running sums of its bucket: one window over rows, with no join of decisions to their past.
+    The rule of ``TRADES`` with the shrunk drift above a threshold, next-open fills. An outcome of horizon h is known h + 1
+    bars later. Outcomes and decisions are put on one clock, outcomes first, and a decision reads running sums of its
+    bucket: one window over rows, with no join of decisions to their past. Up to six bars errors are Newey-West's with
+    h - 1 lags; beyond, the long-run variance is that of overlapping sums, (2 h^2 + 1) / (3 h) times the variance.
     """
+    lags = min(6, max(horizons)) - 1
     over = "PARTITION BY hz.h, b.ticker ORDER BY b.t"
     later = " ".join(f"WHEN {h} THEN lead(ln(b.close), {h}) OVER ({over})" for h in horizons)
+    fill = " ".join(f"WHEN {h} THEN lead(o.open, {h + 1}) OVER ({over})" for h in horizons)
     w = "OVER (PARTITION BY h, ticker, bucket ORDER BY clock, kind ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    bartlett = "g0 + " + " + ".join(f"2 * greatest(0E0, 1 - {l}E0 / h) * {autocovariance(l)}" for l in range(1, lags + 1))
+    lagged = ", ".join(f"lag(x, {l}) OVER (PARTITION BY h, ticker, bucket ORDER BY t) AS x{l}" for l in range(1, lags + 1))
+    names = ", ".join(f"x{l}" for l in range(1, lags + 1))
     return f"""hz AS {_values([(h,) for h in horizons], "h")}, ths AS {_values([(t,) for t in thresholds], "th")},
-fw AS (SELECT hz.h, b.ticker, b.bucket, b.t, b.d, CASE hz.h {later} END - ln(b.close) AS x FROM buck b CROSS JOIN hz),
-clk AS (SELECT h, ticker, bucket, t + h + 1 AS clock, 0 AS kind, x, t, d FROM fw WHERE x IS NOT NULL UNION ALL SELECT h, ticker, bucket, t, 1, x, t, d FROM fw WHERE x IS NOT NULL AND t % h = 0),
-past AS (SELECT *, sum(CASE WHEN kind = 0 THEN x END) {w} AS sx, count(CASE WHEN kind = 0 THEN x END) {w} AS n FROM clk),
-swept AS (SELECT h, th, ticker, t, d, CASE WHEN sx > 0 THEN 1 ELSE -1 END AS side, CASE WHEN sx > 0 THEN exp(x) - 1 ELSE 1 - exp(x) END AS r, abs(sx / n) > th AS taken FROM past CROSS JOIN ths WHERE kind = 1 AND n >= 30)"""
+fw AS (SELECT hz.h, b.ticker, b.bucket, b.t, b.d, CASE WHEN b.fast > b.slow THEN 1 ELSE -1 END AS side, b.mom, CASE hz.h {later} END - ln(b.close) AS x, CASE hz.h {fill} END / lead(o.open, 1) OVER ({over}) - 1 AS rx
+       FROM buck b JOIN ohlc o ON o.ticker = b.ticker AND o.t = b.t CROSS JOIN hz),
+lx AS (SELECT *, {lagged} FROM fw WHERE x IS NOT NULL),
+clk AS (SELECT h, ticker, bucket, t + h + 1 AS clock, 0 AS kind, x AS y, {names}, t, d, side, mom, rx FROM lx UNION ALL SELECT h, ticker, bucket, t, 1, CAST(NULL AS DOUBLE), {", ".join(["CAST(NULL AS DOUBLE)"] * lags)}, t, d, side, mom, rx FROM lx WHERE rx IS NOT NULL AND t >= 313 AND (t - 313) % h = 0),
+past AS (SELECT *, {running_sums(lags, w, "y")} FROM clk),
+sd AS {shrunk_drift("past", "h, ticker, t, d, side, mom, rx, kind", f"CASE WHEN h <= 6 THEN {bartlett} ELSE g0 * (2E0 * h * h + 1) / (3E0 * h) END")},
+swept AS (SELECT h, th, ticker, t, d, side, side * rx AS r, side * mu > th AND coalesce(sign(mom) = side, false) AS taken FROM sd CROSS JOIN ths WHERE kind = 1)"""
 
 
 @plan
@@ -202,11 +212,11 @@ def gauntlet_gates(d: Dialect) -> str:
 
     The last fifth of the weeks is the holdout and is used by the sixth gate alone. The plateau reruns labels at
     neighbouring holding times and thresholds; each must keep 0.6 of the base's Sharpe. Overfitting is measured over the
-    nine settings by halvings of four blocks, weeks without trades counting zero. ``ready`` needs every gate.
+    nine settings by halvings of eight blocks in a row, weeks without trades counting zero. ``ready`` needs every gate.
     """
     thresholds = (0.0004, 0.0005, 0.0006)
     base = "h = 5 AND th = 0.0005E0"
-    halves = [(i, b) for i, c in enumerate(combinations(range(4), 2)) for b in c]
+    halves = [(i, b) for i, c in enumerate(combinations(range(8), 4)) for b in c]
     sharpe = lambda x: f"avg({x}) / nullif(stddev_samp({x}), 0E0)"
     return f"""WITH {FEATURES}, {_sweep((4, 5, 6), thresholds)},
 wks AS (SELECT DISTINCT CAST(date_trunc('week', d) AS DATE) AS w FROM swept),
@@ -220,7 +230,8 @@ mo AS (SELECT avg(pow((f - m) / sd, 3)) AS sk, avg(pow((f - m) / sd, 4)) AS ku F
 ds AS (SELECT {d.cdf("q.z")} AS dsr FROM (SELECT (m / sd - sqrt(1 / (n - 1)) * ((1 - 0.5772156649E0) * 1.2206403488E0 + 0.5772156649E0 * 1.7425071E0)) * sqrt(n - 1) / sqrt(greatest(1E-12, 1 - sk * m / sd + (ku - 1) / 4 * m / sd * m / sd)) AS z FROM b CROSS JOIN mo) q),
 pl AS (SELECT min(CASE WHEN b.sr > 0 AND (s.sr IS NULL OR s.sr < 0.6E0 * b.sr) THEN 0 ELSE 1 END) AS ok, min(s.sr) AS worst FROM s CROSS JOIN b WHERE s.h = 5 OR s.th = 0.0005E0),
 cf AS (SELECT DISTINCT h, th FROM wr), cb AS {_values(halves, "cb, blk")},
-mx AS (SELECT cf.h, cf.th, CAST((dev.k - 1) % 4 AS INT) AS blk, coalesce(wr.f, 0E0) AS f FROM cf CROSS JOIN dev LEFT JOIN wr ON wr.h = cf.h AND wr.th = cf.th AND wr.w = dev.w WHERE NOT dev.holdout),
+db AS (SELECT w, CAST(ntile(8) OVER (ORDER BY w) - 1 AS INT) AS blk FROM dev WHERE NOT holdout),
+mx AS (SELECT cf.h, cf.th, db.blk, coalesce(wr.f, 0E0) AS f FROM cf CROSS JOIN db LEFT JOIN wr ON wr.h = cf.h AND wr.th = cf.th AND wr.w = db.w),
 io AS (SELECT c.cb, mx.h, mx.th, {sharpe("CASE WHEN cb.blk IS NOT NULL THEN f END")} AS a, {sharpe("CASE WHEN cb.blk IS NULL THEN f END")} AS o FROM mx CROSS JOIN (SELECT DISTINCT cb FROM cb) c LEFT JOIN cb ON cb.cb = c.cb AND cb.blk = mx.blk GROUP BY c.cb, mx.h, mx.th),
 wn AS (SELECT cb, o, row_number() OVER (PARTITION BY cb ORDER BY round(coalesce(a, -1E9), 9) DESC, h, th) AS k FROM io),
 rk AS (SELECT wn.cb, avg(CASE WHEN wn.o >= io.o THEN 1E0 ELSE 0E0 END) AS rank FROM wn JOIN io ON io.cb = wn.cb WHERE wn.k = 1 GROUP BY wn.cb),
@@ -280,10 +291,10 @@ def research_verdict(d: Dialect) -> str:
     """Survival after costs and tax against buy and hold, evidence in falling markets, and the decay from close to open fills."""
     net = "(r - 0.004E0)"
     return f"""WITH {TRADES},
-n AS (SELECT t.ticker, t.t, t.d, t.side, t.r, {net} AS net, CASE WHEN {net} > 0 THEN {net} * (1 - {SHORT_TAX}E0) ELSE {net} END AS after FROM trades t),
-ol AS (SELECT ticker, t, d, close / max(close) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd, lead(open, 6) OVER (PARTITION BY ticker ORDER BY t) / lead(open, 1) OVER (PARTITION BY ticker ORDER BY t) - 1 AS ro FROM ohlc),
-e AS (SELECT n.*, ol.dd, n.side * ol.ro AS rx FROM n JOIN ol ON ol.ticker = n.ticker AND ol.t = n.t),
-a AS (SELECT count(*) AS trades, 252E0 / 5 * avg(after) AS edge, avg(CASE WHEN dd < -0.1E0 THEN net END) AS down, 52 * avg(CASE WHEN rx IS NOT NULL THEN r - rx END) AS decay FROM e),
+n AS (SELECT t.ticker, t.t, t.d, t.side, t.r, t.rc, {net} AS net, CASE WHEN {net} > 0 THEN {net} * (1 - {SHORT_TAX}E0) ELSE {net} END AS after FROM trades t),
+ol AS (SELECT ticker, t, d, close / max(close) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - 1 AS dd FROM ohlc),
+e AS (SELECT n.*, ol.dd FROM n JOIN ol ON ol.ticker = n.ticker AND ol.t = n.t),
+a AS (SELECT count(*) AS trades, 252E0 / 5 * avg(after) AS edge, avg(CASE WHEN dd < -0.1E0 THEN net END) AS down, 52 * avg(rc - r) AS decay FROM e),
 w AS (SELECT CAST(date_trunc('week', d) AS DATE) AS wk, avg(after) AS r FROM n GROUP BY 1), s AS (SELECT avg(r) / stddev_samp(r) * sqrt(52E0) AS sharpe FROM w),
 bm AS (SELECT avg(b) / stddev_samp(b) * sqrt(252E0) AS bench FROM (SELECT d, avg(r) AS b FROM rets WHERE r IS NOT NULL GROUP BY d) q)
 SELECT CAST(trades AS BIGINT) AS trades, round(edge, 6) AS after_tax_annual_edge, round(sharpe, 6) AS strategy_sharpe, round(bench, 6) AS benchmark_sharpe, coalesce(sharpe > bench, false) AS beats_benchmark, coalesce(edge > 0 AND sharpe > bench, false) AS survives,

@@ -28,8 +28,8 @@ def ingest_normalize(d: Dialect) -> str:
 @plan
 def latest_signal(d: Dialect) -> str:
     """The last alert of each ticker, its age at the end of the data and whether it is fresh (30 hours)."""
-    return f"""WITH {ALERTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS rn, max(ts) OVER () AS now FROM av)
-SELECT ticker, event_id, trend, tercile, round(({d.seconds("now")} - {d.seconds("ts")}) / 3600E0, 6) AS age_hours, {d.seconds("now")} - {d.seconds("ts")} <= 108000 AS fresh FROM k WHERE rn = 1"""
+    return f"""WITH {ALERTS}, k AS (SELECT *, row_number() OVER (PARTITION BY ticker ORDER BY ts DESC, event_id DESC) AS rn FROM av), z AS (SELECT max(ts) AS now FROM av)
+SELECT ticker, event_id, trend, tercile, round(({d.seconds("now")} - {d.seconds("ts")}) / 3600E0, 6) AS age_hours, {d.seconds("now")} - {d.seconds("ts")} <= 108000 AS fresh FROM k CROSS JOIN z WHERE rn = 1"""
 
 
 #: Alerts name an instrument by their user; every sixth has none that was ever calibrated.

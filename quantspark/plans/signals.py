@@ -7,26 +7,20 @@ from pyspark.sql import functions as F
 
 from ..functions.dialect import Dialect
 from ..operators.garch import garch_parameters
-from ..operators.recurrences import with_recurrences
 from ..registry import plan, query
 from ..sources.reports import matrix
 from ..sources.tables import BARS, views
 
-#: Features that need no recurrence: trend by averages, a tercile of the 14-bar share of gains.
+#: Trend by exponential averages of 9 and 21 bars, tercile of Wilder's oscillator, momentum from 252 to 21 bars back.
 FEATURES = f"""{BARS},
-mv AS (SELECT ticker, t, d, close, r, greatest(r, 0) AS up, greatest(-r, 0) AS dn FROM rets),
 feat AS (
-  SELECT ticker, t, d, close, r, avg(close) OVER w9 AS fast, avg(close) OVER w21 AS slow,
-         CASE WHEN sum(up + dn) OVER w14 > 0 THEN 100 * sum(up) OVER w14 / sum(up + dn) OVER w14 ELSE 50E0 END AS osc,
-         lead(ln(close), 5) OVER o - ln(close) AS fwd, lag(ln(close), 21) OVER o - lag(ln(close), 252) OVER o AS mom
-  FROM mv WINDOW o AS (PARTITION BY ticker ORDER BY t),
-         w9 AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 8 PRECEDING AND CURRENT ROW),
-         w14 AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW),
-         w21 AS (PARTITION BY ticker ORDER BY t ROWS BETWEEN 20 PRECEDING AND CURRENT ROW)),
+  SELECT r.ticker, r.t, r.d, r.close, r.r, e.ema9 AS fast, e.ema21 AS slow, e.rsi14 AS osc,
+         lead(ln(r.close), 5) OVER o - ln(r.close) AS fwd, lag(ln(r.close), 21) OVER o - lag(ln(r.close), 252) OVER o AS mom
+  FROM rets r JOIN ema_rsi e ON e.ticker = r.ticker AND e.t = r.t WINDOW o AS (PARTITION BY r.ticker ORDER BY r.t)),
 buck AS (
   SELECT *, concat(CASE WHEN fast > slow THEN 'bullish' ELSE 'bearish' END, '_', CASE WHEN osc < 40 THEN 'low' WHEN osc > 60 THEN 'high' ELSE 'mid' END) AS bucket,
          CASE WHEN mom > 0 THEN 'mom_up' WHEN mom IS NOT NULL THEN 'mom_down' END AS mbucket
-  FROM feat WHERE t >= 22)"""
+  FROM feat WHERE slow IS NOT NULL AND osc IS NOT NULL)"""
 
 
 @plan
@@ -40,27 +34,11 @@ def px_annualized(d: Dialect) -> str:
        round(100 * exp(sum(r)), 6) AS rebuilt FROM rets GROUP BY ticker"""
 
 
-_BARS_SQL = f"WITH {BARS} SELECT ticker, t, close FROM bars"
-
-
-@query(f"""WITH RECURSIVE {BARS},
-mv AS (SELECT ticker, t, close, ln(close) - lag(ln(close)) OVER o AS r, greatest(close - lag(close) OVER o, 0) AS up, greatest(lag(close) OVER o - close, 0) AS dn FROM bars WINDOW o AS (PARTITION BY ticker ORDER BY t)),
-seed AS (
-  SELECT ticker, avg(close) FILTER (WHERE t <= 9) AS s9, avg(close) FILTER (WHERE t <= 21) AS s21, avg(up) FILTER (WHERE t BETWEEN 2 AND 15) AS su, avg(dn) FILTER (WHERE t BETWEEN 2 AND 15) AS sd,
-         var_pop(r) FILTER (WHERE t BETWEEN 2 AND 21) AS sv FROM mv GROUP BY ticker),
-walk AS (
-  SELECT m.ticker, m.t, m.close, CAST(NULL AS DOUBLE) AS e9, CAST(NULL AS DOUBLE) AS e21, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS dn, CAST(NULL AS DOUBLE) AS v FROM mv m WHERE m.t = 1
-  UNION ALL
-  SELECT m.ticker, m.t, m.close, CASE WHEN m.t = 9 THEN s9 ELSE e9 + 0.2E0 * (m.close - e9) END, CASE WHEN m.t = 21 THEN s21 ELSE e21 + 2E0 / 22 * (m.close - e21) END,
-         CASE WHEN m.t = 15 THEN su ELSE w.u + (m.up - w.u) / 14 END, CASE WHEN m.t = 15 THEN sd ELSE w.dn + (m.dn - w.dn) / 14 END, CASE WHEN m.t = 21 THEN sv ELSE 0.94E0 * v + 0.06E0 * m.r * m.r END
-  FROM walk w JOIN mv m ON m.ticker = w.ticker AND m.t = w.t + 1 JOIN seed s ON s.ticker = w.ticker)
-SELECT ticker, t, round(e9, 6) AS ema9, round(e21, 6) AS ema21, round(CASE WHEN dn = 0 THEN CASE WHEN u > 0 THEN 100E0 ELSE 50E0 END ELSE 100 - 100 / (1 + u / dn) END, 6) AS rsi14,
-       round(sqrt(252 * v), 6) AS ewma_sigma, CASE WHEN e9 > e21 THEN 'bullish' WHEN e21 IS NOT NULL THEN 'bearish' END AS trend FROM walk""")
-def feat_ema_rsi(spark: SparkSession, sf_dir: str) -> DataFrame:
-    views(spark, sf_dir)
-    x = with_recurrences(spark.sql(_BARS_SQL))
-    trend = F.when(F.col("ema9") > F.col("ema21"), "bullish").when(F.col("ema21").isNotNull(), "bearish")
-    return x.select("ticker", "t", F.round("ema9", 6).alias("ema9"), F.round("ema21", 6).alias("ema21"), F.round("rsi14", 6).alias("rsi14"), F.round(F.sqrt(252 * F.col("ewma_var")), 6).alias("ewma_sigma"), trend.alias("trend"))
+@plan
+def feat_ema_rsi(d: Dialect) -> str:
+    """The recurrences, seeded by means of their first values; undefined before."""
+    return """WITH x AS (SELECT * FROM ema_rsi) SELECT ticker, t, round(ema9, 6) AS ema9, round(ema21, 6) AS ema21, round(rsi14, 6) AS rsi14, round(sqrt(252 * ewma_var), 6) AS ewma_sigma,
+       CASE WHEN ema9 > ema21 THEN 'bullish' WHEN ema21 IS NOT NULL THEN 'bearish' END AS trend FROM x"""
 
 
 @plan
@@ -78,9 +56,14 @@ SELECT ticker, t, CASE WHEN t > 60 THEN round(stddev_pop(r) OVER (PARTITION BY t
 FROM x"""
 
 
+FLIPS = """tf AS (SELECT ticker, t, d, fast > slow AS up, lag(fast > slow) OVER (PARTITION BY ticker ORDER BY t) AS was FROM feat WHERE slow IS NOT NULL),
+flips AS (SELECT ticker, t, d, up FROM tf WHERE up <> was)"""
+
+
 @plan
 def feat_flips(d: Dialect) -> str:
-    return f"WITH {FEATURES}, f AS (SELECT ticker, t, d, fast > slow AS up, lag(fast > slow) OVER (PARTITION BY ticker ORDER BY t) AS was FROM feat WHERE t >= 21) SELECT ticker, t, d, CASE WHEN up THEN 'long' ELSE 'short' END AS side FROM f WHERE t >= 22 AND up <> was"
+    """Bars whose trend differs from the bar before."""
+    return f"WITH {FEATURES}, {FLIPS} SELECT ticker, t, d, CASE WHEN up THEN 'long' ELSE 'short' END AS side FROM flips"
 
 
 def _newey_west(source: str, key: str, lags: int = 4) -> str:

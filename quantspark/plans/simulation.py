@@ -84,12 +84,16 @@ def mc_block_bootstrap(d: Dialect) -> str:
     return _bootstrap(d, f"CAST((CAST(floor({start} * n) AS BIGINT) + (step - 1) % 5) % n AS BIGINT)")
 
 
+#: Jumps a step at most: of the intensities used here, more have a chance below 1e-14.
+JUMPS = 5
+
+
 def _poisson(u: str, lam: float) -> str:
-    """Inverse distribution function up to three jumps a step."""
+    """Inverse distribution function up to JUMPS jumps a step."""
     import math
 
-    c = [math.exp(-lam) * sum(lam**i / math.factorial(i) for i in range(k + 1)) for k in range(3)]
-    return f"(CASE WHEN {u} < {c[0]!r}E0 THEN 0 WHEN {u} < {c[1]!r}E0 THEN 1 WHEN {u} < {c[2]!r}E0 THEN 2 ELSE 3 END)"
+    c = [math.exp(-lam) * sum(lam**i / math.factorial(i) for i in range(k + 1)) for k in range(JUMPS)]
+    return "(CASE " + " ".join(f"WHEN {u} < {x!r}E0 THEN {k}" for k, x in enumerate(c)) + f" ELSE {JUMPS} END)"
 
 
 @plan
@@ -102,9 +106,9 @@ def mc_merton(d: Dialect) -> str:
 
 @plan
 def mc_kou(d: Dialect) -> str:
-    """Double-exponential jumps; each of up to three jumps has its own sign and size."""
+    """Double-exponential jumps; each jump of a step has its own sign and size."""
     k = _poisson(d.uniform(6, "'n'", "path", "step"), 1 / 252)
-    jump = " + ".join(f"(CASE WHEN {k} > {i} THEN CASE WHEN {d.uniform(6, repr('s'), 'path', 'step', i)} < 0.4E0 THEN -ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 25 ELSE ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 15 END ELSE 0E0 END)" for i in range(3))
+    jump = " + ".join(f"(CASE WHEN {k} > {i} THEN CASE WHEN {d.uniform(6, repr('s'), 'path', 'step', i)} < 0.4E0 THEN -ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 25 ELSE ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 15 END ELSE 0E0 END)" for i in range(JUMPS))
     comp = "(0.4E0 * 25 / 24 + 0.6E0 * 15 / 16 - 1)"
     return f"WITH {_terminal(d, f'(0.08E0 - 0.03125E0 - {comp}) * {_DT} + 0.25E0 * sqrt({_DT}) * {d.normal(6, repr("z"), "path", "step")} + {jump}')} {_summary(d)}"
 
@@ -189,8 +193,8 @@ def evt_tail(d: Dialect) -> str:
 th AS (SELECT {d.quantile("loss", 0.95)} AS u, CAST(count(*) AS DOUBLE) AS n FROM l),
 f AS (SELECT u, n, CAST(count(*) AS DOUBLE) AS k, avg(loss - u) AS m, var_samp(loss - u) AS v FROM l CROSS JOIN th WHERE loss > u GROUP BY u, n),
 g AS (SELECT u, n, k, 0.5E0 * (1 - m * m / v) AS xi, 0.5E0 * m * (m * m / v + 1) AS beta FROM f),
-q AS (SELECT lev, u, xi, beta, k, u + beta / xi * (pow((1 - lev) * n / k, -xi) - 1) AS var FROM g CROSS JOIN ({lv}) a)
-SELECT round(lev, 4) AS level, CAST(k AS BIGINT) AS exceedances, round(xi, 6) AS xi, round(beta, 6) AS beta, round(var, 6) AS var, round((var + beta - xi * u) / (1 - xi), 6) AS es FROM q"""
+q AS (SELECT lev, u, xi, beta, k, CASE WHEN abs(xi) < 1E-9 THEN u - beta * ln((1 - lev) * n / k) ELSE u + beta / xi * (pow((1 - lev) * n / k, -xi) - 1) END AS var FROM g CROSS JOIN ({lv}) a)
+SELECT round(lev, 4) AS level, CAST(k AS BIGINT) AS exceedances, round(xi, 6) AS xi, round(beta, 6) AS beta, round(var, 6) AS var, CASE WHEN xi >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE round((var + beta - xi * u) / (1 - xi), 6) END AS es FROM q"""
 
 
 @plan

@@ -11,7 +11,7 @@ from ..functions.dialect import Dialect
 from ..operators.meta_label import meta_labels
 from ..registry import plan, query
 from ..sources.tables import BARS, views
-from .signals import FEATURES
+from .signals import FEATURES, FLIPS
 
 
 def _paths(d: Dialect, n: int = 400, steps: int = 15) -> str:
@@ -81,8 +81,8 @@ SELECT mu, round(pnl, 8) AS pnl, CASE WHEN pnl < 0 AND pnl2 >= 0 THEN round(mu +
 
 @plan
 def rule_windows(d: Dialect) -> str:
-    """A stop-and-hold rule over sliding windows of history, five bars apart."""
-    return f"""WITH {BARS}, st AS (SELECT ticker, t AS t0, close AS e FROM bars WHERE t % 5 = 0),
+    """A stop-and-hold rule over sliding windows of history, one from each bar."""
+    return f"""WITH {BARS}, st AS (SELECT ticker, t AS t0, close AS e FROM bars),
 h AS (SELECT st.ticker, t0, e, b.t - t0 AS k, b.close AS s FROM st JOIN bars b ON b.ticker = st.ticker AND b.t > t0 AND b.t <= t0 + 10 WHERE b.close <= 0.98E0 * e OR b.t = t0 + 10),
 f AS (SELECT ticker, t0, min(k) AS k FROM h GROUP BY ticker, t0),
 x AS (SELECT h.ticker, h.k, h.s AS x, h.e FROM h JOIN f ON h.ticker = f.ticker AND h.t0 = f.t0 AND h.k = f.k)
@@ -107,18 +107,48 @@ def gbm_bands(d: Dialect) -> str:
 SELECT ticker, CAST(count(*) AS BIGINT) AS n, round(avg(CASE WHEN abs(f - 5 * m) <= 1.6448536269514722E0 * s * sqrt(5E0) THEN 1E0 ELSE 0E0 END), 6) AS inside90 FROM x WHERE t > 252 AND f IS NOT NULL AND t % 5 = 0 GROUP BY ticker"""
 
 
-#: Decisions every fifth bar see only trades of their bucket that ended before: running sums by bucket, no self-join.
+def running_sums(lags: int, window: str, value: str = "x") -> str:
+    """Sums, over a window of a bucket's past returns, that Newey-West errors about the window's own mean are made of."""
+    own = [f"sum({value}) {window} AS sx", f"sum({value} * {value}) {window} AS sxx", f"count({value}) {window} AS n"]
+    for l in range(1, lags + 1):
+        both = f"CASE WHEN {value} IS NOT NULL THEN x{l} END"
+        own += [f"sum({value} * x{l}) {window} AS p{l}", f"sum({both}) {window} AS a{l}", f"sum(CASE WHEN x{l} IS NOT NULL THEN {value} END) {window} AS b{l}"]
+    return ", ".join(own)
+
+
+def shrunk_drift(source: str, columns: str, variance: str) -> str:
+    """Relations that end in one of ``columns`` and mu: the mean, zero where its t statistic is below 1, shrunk otherwise.
+
+    ``variance``: the long-run variance, from g0 and the autocovariances g1, g2, ... about the mean m.
+    """
+    return f"""(SELECT {columns}, CASE WHEN abs(m / sqrt(lrv / n)) < 1 THEN 0E0 ELSE m * least(CAST(n AS DOUBLE), greatest(1E0, n * v / lrv)) / (least(CAST(n AS DOUBLE), greatest(1E0, n * v / lrv)) + 60) END AS mu
+FROM (SELECT *, (sxx - n * m * m) / (n - 1) AS v, greatest({variance}, 1E-18) AS lrv FROM (SELECT *, sx / n AS m, sxx / n - sx / n * sx / n AS g0 FROM {source} WHERE n > 2) q0) q1)"""
+
+
+def autocovariance(l: int) -> str:
+    return f"((coalesce(p{l}, 0E0) - m * (coalesce(a{l}, 0E0) + coalesce(b{l}, 0E0)) + greatest(n - {l}, 0) * m * m) / n)"
+
+
+_LAGS = 4
+_PAST = "OVER (PARTITION BY ticker, bucket ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING)"
+_BARTLETT = "g0 + " + " + ".join(f"{2 * (1 - l / (_LAGS + 1))!r}E0 * {autocovariance(l)}" for l in range(1, _LAGS + 1))
+#: Walk-forward decisions every fifth bar from the 313th on. The side is the trend; it is taken where the drift of its bucket,
+#: known from returns that ended before, favours it after Newey-West errors and shrinkage, and where momentum agrees
+#: (``trades``; ``favoured`` leaves momentum aside). r fills at the next open and five bars later, rc at the closes. Running sums by
+#: bucket, no self-join.
 TRADES = f"""{FEATURES},
-smp AS (SELECT ticker, bucket, t, d, fwd, close FROM buck WHERE fwd IS NOT NULL),
-known AS (
-  SELECT ticker, bucket, t, d, fwd, close, sum(fwd) OVER w AS sx, count(fwd) OVER w AS n FROM smp
-  WINDOW w AS (PARTITION BY ticker, bucket ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING)),
-trades AS (SELECT ticker, bucket, t, d, CASE WHEN sx > 0 THEN 1 ELSE -1 END AS side, CASE WHEN sx > 0 THEN exp(fwd) - 1 ELSE 1 - exp(fwd) END AS r FROM known WHERE t % 5 = 0 AND n >= 30 AND abs(sx / n) > 0.0005E0)"""
+fills AS (SELECT ticker, t, lead(open, 6) OVER (PARTITION BY ticker ORDER BY t) / lead(open, 1) OVER (PARTITION BY ticker ORDER BY t) - 1 AS rx FROM ohlc),
+smp AS (SELECT ticker, bucket, t, d, fwd AS x, mom, CASE WHEN fast > slow THEN 1 ELSE -1 END AS side, {", ".join(f"lag(fwd, {l}) OVER (PARTITION BY ticker, bucket ORDER BY t) AS x{l}" for l in range(1, _LAGS + 1))} FROM buck WHERE fwd IS NOT NULL),
+known AS (SELECT *, {running_sums(_LAGS, _PAST)} FROM smp),
+drift AS {shrunk_drift("known", "ticker, bucket, t, d, side, x, mom", _BARTLETT)},
+favoured AS (SELECT g.ticker, g.bucket, g.t, g.d, g.side, g.side * f.rx AS r, g.side * (exp(g.x) - 1) AS rc, coalesce(sign(g.mom) = g.side, false) AS both_lenses
+  FROM drift g JOIN fills f ON f.ticker = g.ticker AND f.t = g.t WHERE g.t >= 313 AND (g.t - 313) % 5 = 0 AND f.rx IS NOT NULL AND g.side * g.mu > 0),
+trades AS (SELECT * FROM favoured WHERE both_lenses)"""
 
 
 @plan
 def wf_trades(d: Dialect) -> str:
-    return f"WITH {TRADES} SELECT ticker, bucket, t, d, side, round(r, 8) AS r FROM trades"
+    return f"WITH {TRADES} SELECT ticker, bucket, t, d, side, round(r, 8) AS r, round(rc, 8) AS r_close FROM trades"
 
 
 @plan
@@ -187,14 +217,20 @@ SELECT round(avg(dd), 6) AS mean_dd, round({d.quantile("dd", 0.05)}, 6) AS p05,
 
 @plan
 def triple_barrier(d: Dialect) -> str:
-    """Entry at the next open; barriers of 1.5 volatilities; the stop wins ties; else the close ten bars on; net of cost."""
-    return f"""WITH {BARS}, v AS (SELECT ticker, t, stddev_pop(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS s FROM rets),
-sg AS (SELECT v.ticker, v.t, v.s, o.open AS e FROM v JOIN ohlc o ON o.ticker = v.ticker AND o.t = v.t + 1 WHERE v.t > 60 AND v.t % 10 = 0),
-b AS (SELECT sg.ticker, sg.t, e, o.t AS x, o.close, CASE WHEN o.low <= e * (1 - 1.5E0 * s) THEN e * (1 - 1.5E0 * s) WHEN o.high >= e * (1 + 1.5E0 * s) THEN e * (1 + 1.5E0 * s) WHEN o.t = sg.t + 11 THEN o.close END AS px,
-      CASE WHEN o.low <= e * (1 - 1.5E0 * s) THEN 'stop' WHEN o.high >= e * (1 + 1.5E0 * s) THEN 'target' ELSE 'time' END AS why
-      FROM sg JOIN ohlc o ON o.ticker = sg.ticker AND o.t BETWEEN sg.t + 1 AND sg.t + 11),
-f AS (SELECT ticker, t, min(x) AS x FROM b WHERE px IS NOT NULL GROUP BY ticker, t)
-SELECT b.ticker, b.t, b.x AS exit_t, b.why AS exit_reason, round(b.px / b.e - 1 - 0.001E0, 8) AS net, b.px / b.e - 1 - 0.001E0 > 0 AS label FROM b JOIN f ON b.ticker = f.ticker AND b.t = f.t AND b.x = f.x"""
+    """Every change of trend, long or short: entry at the next open, barriers of 1.5 volatilities over ten bars.
+
+    The stop wins ties; else the close ten bars on, or the last one; net of cost at both ends.
+    """
+    out = "CASE WHEN stop_hit THEN e * (1 - dir * w) WHEN goal_hit THEN e * (1 + dir * w) WHEN t = last THEN close END"
+    return f"""WITH {FEATURES}, {FLIPS},
+v AS (SELECT ticker, t, 1.5E0 * sqrt(10E0) * stddev_pop(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) AS w, max(t) OVER (PARTITION BY ticker) AS n FROM rets),
+sg AS (SELECT v.ticker, v.t AS t0, v.w, CASE WHEN f.up THEN 1 ELSE -1 END AS dir, o.open AS e, least(v.t + 11, v.n) AS last FROM v JOIN flips f ON f.ticker = v.ticker AND f.t = v.t JOIN ohlc o ON o.ticker = v.ticker AND o.t = v.t + 1 WHERE v.t > 60 AND v.w > 0),
+b AS (SELECT sg.ticker, t0, dir, e, w, last, o.t, o.close, CASE WHEN dir = 1 THEN o.low <= e * (1 - w) ELSE o.high >= e * (1 + w) END AS stop_hit, CASE WHEN dir = 1 THEN o.high >= e * (1 + w) ELSE o.low <= e * (1 - w) END AS goal_hit
+      FROM sg JOIN ohlc o ON o.ticker = sg.ticker AND o.t BETWEEN sg.t0 + 1 AND sg.last),
+x AS (SELECT *, {out} AS px, CASE WHEN stop_hit THEN 'stop' WHEN goal_hit THEN 'target' ELSE 'time' END AS why FROM b),
+f AS (SELECT ticker, t0, min(t) AS t FROM x WHERE px IS NOT NULL GROUP BY ticker, t0),
+y AS (SELECT x.*, (1 + dir * (px / e - 1)) * (1 - 0.0005E0) * (1 - 0.0005E0) - 1 AS net FROM x JOIN f ON f.ticker = x.ticker AND f.t0 = x.t0 AND f.t = x.t)
+SELECT ticker, t0 AS t, CASE dir WHEN 1 THEN 'long' ELSE 'short' END AS side, t AS exit_t, why AS exit_reason, round(net, 8) AS net, net > 0 AS label FROM y"""
 
 
 @plan
@@ -208,9 +244,9 @@ SELECT round(sr, 6) AS sharpe, round(sk, 5) AS skew, round(ku, 5) AS kurt, round
 
 @plan
 def pbo_cscv(d: Dialect) -> str:
-    """Probability of overfitting: the in-sample winner's out-of-sample rank over all halvings of six blocks."""
-    combos = " UNION ALL ".join(f"SELECT {i} AS cb, {b} AS blk" for i, c in enumerate(combinations(range(6), 3)) for b in c)
-    return f"""WITH {BARS}, c AS ({combos}), x AS (SELECT ticker AS cfg, r, CAST((row_number() OVER (PARTITION BY ticker ORDER BY t) - 1) % 6 AS INT) AS blk FROM rets WHERE r IS NOT NULL),
+    """Probability of overfitting: the in-sample winner's out-of-sample rank over all halvings of eight blocks in a row."""
+    combos = " UNION ALL ".join(f"SELECT {i} AS cb, {b} AS blk" for i, c in enumerate(combinations(range(8), 4)) for b in c)
+    return f"""WITH {BARS}, c AS ({combos}), x AS (SELECT ticker AS cfg, r, CAST(ntile(8) OVER (PARTITION BY ticker ORDER BY t) - 1 AS INT) AS blk FROM rets WHERE r IS NOT NULL),
 s AS (SELECT k.cb, x.cfg, avg(CASE WHEN c.blk IS NOT NULL THEN r END) / stddev_samp(CASE WHEN c.blk IS NOT NULL THEN r END) AS a, avg(CASE WHEN c.blk IS NULL THEN r END) / stddev_samp(CASE WHEN c.blk IS NULL THEN r END) AS b
       FROM (SELECT DISTINCT cb FROM c) k CROSS JOIN x LEFT JOIN c ON c.cb = k.cb AND c.blk = x.blk GROUP BY k.cb, x.cfg),
 w AS (SELECT cb, cfg, b, row_number() OVER (PARTITION BY cb ORDER BY a DESC, cfg) AS k FROM s),

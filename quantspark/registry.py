@@ -7,12 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, SPARK, Dialect
-from .sources.tables import views
+from .sources.tables import RECURRENCES, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 
+def oracle(sql: str) -> str:
+    """The oracle's text; the recurrences come first where it reads them."""
+    if "ema_rsi" not in sql:
+        return sql
+    body = sql.strip()
+    return f"WITH RECURSIVE {RECURRENCES}, {body.removeprefix('WITH').strip().removeprefix('RECURSIVE').strip()}"
+
+
 def plan(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
     """Register a plan that both dialects can state. Catalyst gets the whole relational plan; nothing is collected."""
     name = build.__name__
@@ -21,17 +29,17 @@ def plan(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
         views(spark, sf_dir)
         return spark.sql(build(SPARK))
 
-    QUERIES[name], ORACLES[name] = run, build(DUCK)
+    QUERIES[name], ORACLES[name] = run, oracle(build(DUCK))
     return build
 
 
-def query(oracle: str | None = None):
+def query(sql: str | None = None):
     """Register a DataFrame query, with its oracle where SQL has one."""
 
     def add(f: Callable[[SparkSession, str], DataFrame]):
         QUERIES[f.__name__] = f
-        if oracle:
-            ORACLES[f.__name__] = oracle
+        if sql:
+            ORACLES[f.__name__] = sql
         return f
 
     return add

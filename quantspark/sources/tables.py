@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from ..operators.recurrences import with_recurrences
+
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
 
 
@@ -12,8 +14,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def views(spark: SparkSession, sf_dir: str) -> None:
+    """The input tables by name, and ``ema_rsi``: the recurrences by ticker and bar."""
     for name in TABLES:
         read(spark, sf_dir, name).createOrReplaceTempView(name)
+    with_recurrences(spark.sql(f"WITH {BARS} SELECT ticker, t, close FROM bars")).createOrReplaceTempView("ema_rsi")
 
 
 #: Daily bars: a ticker for each order priority, an index level that follows the day's average order total.
@@ -33,3 +37,18 @@ ohlc AS (
   FROM bars),
 rets AS (SELECT ticker, t, d, close, ln(close) - lag(ln(close)) OVER (PARTITION BY ticker ORDER BY t) AS r FROM bars)
 """
+
+
+#: ``ema_rsi`` in the oracle's SQL, by a recursive relation.
+RECURRENCES = f"""eb AS (WITH {BARS} SELECT ticker, t, close FROM bars),
+em AS (SELECT ticker, t, close, ln(close) - lag(ln(close)) OVER o AS r, greatest(close - lag(close) OVER o, 0) AS up, greatest(lag(close) OVER o - close, 0) AS dn FROM eb WINDOW o AS (PARTITION BY ticker ORDER BY t)),
+es AS (
+  SELECT ticker, avg(close) FILTER (WHERE t <= 9) AS s9, avg(close) FILTER (WHERE t <= 21) AS s21, avg(up) FILTER (WHERE t BETWEEN 2 AND 15) AS su, avg(dn) FILTER (WHERE t BETWEEN 2 AND 15) AS sd,
+         var_pop(r) FILTER (WHERE t BETWEEN 2 AND 21) AS sv FROM em GROUP BY ticker),
+ew AS (
+  SELECT m.ticker, m.t, m.close, CAST(NULL AS DOUBLE) AS e9, CAST(NULL AS DOUBLE) AS e21, CAST(NULL AS DOUBLE) AS u, CAST(NULL AS DOUBLE) AS dn, CAST(NULL AS DOUBLE) AS v FROM em m WHERE m.t = 1
+  UNION ALL
+  SELECT m.ticker, m.t, m.close, CASE WHEN m.t = 9 THEN s9 ELSE e9 + 0.2E0 * (m.close - e9) END, CASE WHEN m.t = 21 THEN s21 ELSE e21 + 2E0 / 22 * (m.close - e21) END,
+         CASE WHEN m.t = 15 THEN su ELSE w.u + (m.up - w.u) / 14 END, CASE WHEN m.t = 15 THEN sd ELSE w.dn + (m.dn - w.dn) / 14 END, CASE WHEN m.t = 21 THEN sv ELSE 0.94E0 * v + 0.06E0 * m.r * m.r END
+  FROM ew w JOIN em m ON m.ticker = w.ticker AND m.t = w.t + 1 JOIN es s ON s.ticker = w.ticker),
+ema_rsi AS (SELECT ticker, t, close, e9 AS ema9, e21 AS ema21, CASE WHEN dn = 0 THEN CASE WHEN u > 0 THEN 100E0 ELSE 50E0 END ELSE 100 - 100 / (1 + u / dn) END AS rsi14, v AS ewma_var FROM ew)"""

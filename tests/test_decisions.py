@@ -55,13 +55,14 @@ def test_gates_and_stress(spark):
     assert runs["One-day crash -20%"].expected_value < runs["One-day crash -10%"].expected_value < runs["Half historical drift"].expected_value
 
 
-def test_sweep_agrees_with_a_join_to_the_past(spark):
+def test_sweep_agrees_with_the_walk_forward_trades(spark):
+    """At five bars the sweep's clock gives the trades of the range frames, with the same returns."""
     from quantspark.plans.decisions import _sweep
     from quantspark.plans.signals import FEATURES
+    from quantspark.plans.validation import TRADES
     from quantspark.sources.tables import views
 
     views(spark, SF)
-    fast = spark.sql(f"WITH {FEATURES}, {_sweep((5,))} SELECT ticker, t, side FROM swept").collect()
-    slow = spark.sql(f"""WITH {FEATURES}, s AS (SELECT ticker, bucket, t, fwd FROM buck WHERE fwd IS NOT NULL)
-SELECT a.ticker, a.t, CASE WHEN sum(b.fwd) > 0 THEN 1 ELSE -1 END AS side FROM s a JOIN s b ON b.ticker = a.ticker AND b.bucket = a.bucket AND b.t + 5 < a.t WHERE a.t % 5 = 0 GROUP BY a.ticker, a.t HAVING count(*) >= 30""").collect()
-    assert fast and sorted(map(tuple, fast)) == sorted(map(tuple, slow))
+    clock = spark.sql(f"WITH {FEATURES}, {_sweep((4, 5, 6))} SELECT ticker, t, side, round(r, 9) FROM swept WHERE taken AND h = 5").collect()
+    frames = spark.sql(f"WITH {TRADES} SELECT ticker, t, side, round(r, 9) FROM trades").collect()
+    assert clock and sorted(map(tuple, clock)) == sorted(map(tuple, frames))
