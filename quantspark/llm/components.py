@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from .common import checkpoint
 
 
+#: Links that a task takes on average, and tasks at least: small sets of links do not go through all shuffle partitions.
+TASK_LINKS, TASKS = 200_000, 8
+
+
 def _state(edges: DataFrame) -> tuple:
     return tuple(edges.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
 
@@ -22,12 +26,14 @@ def connected_components(edges: DataFrame) -> DataFrame:
     now = checkpoint(edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(now)
     while state[0]:
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        tasks = max(TASKS, -(-state[0] // TASK_LINKS))
+        now = now.coalesce(tasks)
+        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v"))).coalesce(tasks)
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v")).coalesce(tasks).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        now = checkpoint(small.unionAll(least.select("u", F.col("m").alias("v"))).distinct())
+        now = checkpoint(small.unionAll(least.select("u", F.col("m").alias("v"))).coalesce(tasks).distinct().coalesce(tasks))
         last, state = state, _state(now)
         if last == state:
             break

@@ -133,9 +133,12 @@ def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold
         return connected_components(links)
     wide = whole.join(large.select("component"), "component", "left_semi")
     heads = wide.join(links.select(F.col("u").alias("node")), "node", "left_anti")
-    links = links.unionAll(dealt(heads, count(heads), 2))
-    found = connected_components(links)
-    parts = checkpoint(wide.select("node", "component", "bytes").join(found.withColumnRenamed("component", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")))
+    upper = dealt(heads, count(heads), 2)
+    # both steps name a member's first one, so two lookups give its part
+    parts = wide.select("node", "component", "bytes").join(links.select(F.col("u").alias("node"), F.col("v").alias("head")), "node", "left").withColumn("head", F.coalesce("head", "node"))
+    parts = parts.join(upper.select(F.col("u").alias("head"), F.col("v").alias("label")), "head", "left")
+    parts = checkpoint(parts.select("node", "component", "bytes", F.coalesce("label", "head").alias("label")))
+    links = links.unionAll(upper)
     sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = sizes.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
     main = main.select("component", "main.label", chunks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("few"), chunks(F.col("main.n"), F.col("main.bytes")).alias("many")).withColumnRenamed("label", "main")
