@@ -27,6 +27,8 @@ PIECE_WINDOWS = 64
 SEGMENT = 2 << 20
 #: Text of one group of documents, and what one bucket of minimizers stands for, on average.
 GROUP_BYTES = 24 << 20
+#: Documents of one slice that hold a minimizer, from which on its bucket is not asked about each of them.
+COMMON = 8
 #: Shares of a bucket, which are indexed some at a time, up to about so many bytes.
 SHARES, INDEX_BYTES = 256, 1 << 20
 _A, _B, _C, _D = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93))
@@ -249,7 +251,7 @@ def _packed_docs(doc: np.ndarray) -> tuple[np.ndarray, ...]:
 def _seeds(buckets: int, groups: int):
     """Pass 1: the minimizers of each document, 40 bits each, dealt to buckets.
 
-    What several documents of a slice hold is known to be shared at once: those documents' groups are told (buckets from
+    What COMMON documents of a slice hold is known to be shared at once: those documents' groups are told (buckets from
     ``buckets`` on), and the minimizer's bucket gets one entry for all of them. So a common minimizer's bucket grows with
     the slices, not with the documents.
     """
@@ -264,10 +266,11 @@ def _seeds(buckets: int, groups: int):
                 d, h = d[order], h[order]
                 keep = np.r_[True, (h[1:] != h[:-1]) | (d[1:] != d[:-1])][: len(h)]
                 d, h = d[keep], h[keep]
-                again = h[1:] == h[:-1]
-                many, first = np.r_[False, again] | np.r_[again, False], np.r_[True, ~again]
                 if not len(h):
                     continue
+                first = np.r_[True, h[1:] != h[:-1]]
+                held = np.diff(np.r_[np.flatnonzero(first), len(h)])
+                many = np.repeat(held >= COMMON, held)
                 out = []
                 for bucket, part in _split((h % np.uint64(buckets)).astype(np.int64)):
                     one, all_ = part[~many[part]], part[many[part] & first[part]]
@@ -275,7 +278,7 @@ def _seeds(buckets: int, groups: int):
                 told = np.flatnonzero(many)
                 for g, part in _split(d[told] % groups):
                     part = told[part]
-                    out.append((buckets + g, _dump(_key(h[part], buckets), *_packed_docs(d[part]))))
+                    out.append((buckets + g, _dump(np.array([0], "u1"), _key(h[part], buckets), *_packed_docs(d[part]))))
                 yield _rows(out)
 
     return run
@@ -308,7 +311,7 @@ def _shared(buckets: int, groups: int):
         shared = (np.r_[False, again] | np.r_[again, False])[: len(key)] | np.isin(key, many)
         key, doc = key[shared], doc[shared]
         for g, part in _split(doc % groups):
-            yield g, _dump(key[part] << np.uint64(24) | np.uint64(bucket), *_packed_docs(doc[part]))
+            yield g, _dump(np.array([1], "u1"), _u40(key[part]), np.array([bucket], "<u8"), *_packed_docs(doc[part]))
 
     return _by_bucket(one)
 
@@ -359,7 +362,11 @@ def _pieces(buckets: int):
             return pa.Table.from_batches([_rows([])])
         wanted = []
         for p in shared.column("data").to_pylist():
-            key, base, width, off = _load(p, "<u8", "<i8", "<u1", "u1")
+            if p[8]:  # the first array is the kind: 40 bits of each key and one bucket, or whole keys
+                _, raw, bucket, base, width, off = _load(p, "u1", "u1", "<u8", "<i8", "<u1", "u1")
+                key = _from_u40(raw) << np.uint64(24) | bucket
+            else:
+                _, key, base, width, off = _load(p, "u1", "<u8", "<i8", "<u1", "u1")
             wanted.append(_mix(off.view(f"<u{width[0]}").astype(np.int64) + base[0], key))
         wanted = np.unique(np.concatenate(wanted))
         texts, ids = utf8(docs.column("text")), docs.column("doc_id").to_numpy()
@@ -385,11 +392,11 @@ def _pieces(buckets: int):
         np.maximum.at(most, piece, ids[doc])
         group, own = int(docs.column("g")[0].as_py()), h[one]
         share = (own >> np.uint64(40)) % np.uint64(SHARES)
-        out = [(buckets + group, _dump(np.array([0], "u1"), *_packed_docs(ids[doc]), _ordinals(ids, texts)[doc].astype("<u4"), first.astype("<u4"), piece.astype("<u4")))]
+        out = [(buckets + group, _dump(np.array([0], "u1"), *_packed_docs(ids[doc]), _ordinals(ids, texts)[doc].astype("<u4"), first.astype("<u4"), np.diff(piece, prepend=0).astype("<i4")))]
         for bucket, part in _split((own % np.uint64(buckets)).astype(np.int64)):
             part = part[np.argsort(share[part], kind="stable")]
             data = np.frombuffer(b"".join([strings[i] for i in part.tolist()]), np.uint8)
-            out.append((bucket, _dump(np.array([group], "<i8"), part.astype("<u4"), least[part], most[part], size[one[part]].astype("<u2"), share[part].astype("u1"), data)))
+            out.append((bucket, _dump(np.array([group], "<i8"), part.astype("<u4"), *_packed_docs(least[part]), *_packed_docs(most[part]), size[one[part]].astype("<u2"), share[part].astype("u1"), data)))
         return pa.Table.from_batches([_rows(out)])
 
     return run
@@ -405,7 +412,8 @@ def _marks(buckets: int):
         text, group, piece, least, most, size, share, at = [], [], [], [], [], [], [], []
         done = 0
         for p in parts:
-            g, i, a, z, n, k, data = _load(p, "<i8", "<u4", "<i8", "<i8", "<u2", "u1", "u1")
+            g, i, *ends, n, k, data = _load(p, "<i8", "<u4", "<i8", "<u1", "u1", "<i8", "<u1", "u1", "<u2", "u1", "u1")
+            a, z = (off.view(f"<u{width[0]}").astype(np.int64) + base[0] for base, width, off in (ends[:3], ends[3:]))
             n = n.astype(np.int64)
             at.append(np.cumsum(n) - n + done)
             done += len(data)
@@ -484,7 +492,8 @@ def _apply(docs: pa.Table, marks: pa.Table) -> pa.Table:
             _, base, width, off, *rest = _load(p, "u1", "<i8", "<u1", "u1", "<u4", "<u2", "<u2")
             into = said
         else:
-            _, base, width, off, *rest = _load(p, "u1", "<i8", "<u1", "u1", "<u4", "<u4", "<u4")
+            _, base, width, off, *rest = _load(p, "u1", "<i8", "<u1", "u1", "<u4", "<u4", "<i4")
+            rest[2] = np.cumsum(rest[2], dtype=np.int64)
             into = where
         into.append((off.view(f"<u{width[0]}").astype(np.int64) + base[0], *(x.astype(np.int64) for x in rest)))
     if len(texts) and where and said:
