@@ -395,7 +395,7 @@ def _pieces(buckets: int):
         out = [(buckets + group, _dump(np.array([0], "u1"), *_packed_docs(ids[doc]), _ordinals(ids, texts)[doc].astype("<u4"), first.astype("<u4"), np.diff(piece, prepend=0).astype("<i4")))]
         for bucket, part in _split((own % np.uint64(buckets)).astype(np.int64)):
             part = part[np.argsort(share[part], kind="stable")]
-            data = np.frombuffer(b"".join([strings[i] for i in part.tolist()]), np.uint8)
+            data = np.frombuffer(pa.compress(b"".join([strings[i] for i in part.tolist()]), codec="zstd", asbytes=True), np.uint8)
             out.append((bucket, _dump(np.array([group], "<i8"), part.astype("<u4"), *_packed_docs(least[part]), *_packed_docs(most[part]), size[one[part]].astype("<u2"), share[part].astype("u1"), data)))
         return pa.Table.from_batches([_rows(out)])
 
@@ -416,8 +416,8 @@ def _marks(buckets: int):
             a, z = (off.view(f"<u{width[0]}").astype(np.int64) + base[0] for base, width, off in (ends[:3], ends[3:]))
             n = n.astype(np.int64)
             at.append(np.cumsum(n) - n + done)
-            done += len(data)
-            text.append(data.tobytes())
+            text.append(pa.decompress(data.tobytes(), decompressed_size=int(n.sum()), codec="zstd", asbytes=True))
+            done += len(text[-1])
             group.append(np.full(len(i), g[0])), piece.append(i), least.append(a), most.append(z), size.append(n), share.append(k)
         data = b"".join(text)
         del text
