@@ -24,7 +24,7 @@ _PRINTED = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _SHOWN = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in _PRINTED)}
 #: Bytes of the pieces that a worker remembers (a piece counts its characters, its ids and what Python's objects take), and
 #: texts taken from a batch together.
-CACHE_BYTES, ENTRY_BYTES, TOGETHER = 48 << 20, 220, 256
+CACHE_BYTES, ENTRY_BYTES, TOGETHER = 112 << 20, 220, 256
 
 
 class TokenIds(dict):
