@@ -1,6 +1,7 @@
 """Language-model scores: a log-bilinear model trained by noise-contrastive estimation, with exact corpus counts for rare words.
 
-Every training document is learned from, in each task's order, and the tasks' parameters are averaged. A word outside the
+Every training document is learned from: texts are dealt to shards by a hash of their row, each shard is learned in the order
+of these hashes, and the shards' parameters are averaged in their order, so the model does not depend on the file layout. A word outside the
 model's vocabulary is the class UNK times its smoothed share of the rare words' counts, so each document's tokens have
 normalised chances.
 """
@@ -11,6 +12,8 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from itertools import groupby
+from math import isqrt
 
 import numpy as np
 import pyarrow as pa
@@ -20,10 +23,12 @@ from pyspark.sql import functions as F
 from .common import checkpoint, shuffle_partitions, slices, table, utf8
 
 #: Vocabulary, dimensions, words of context, shared noise words a batch, positions a batch, learning rate, rounds.
-VOCABULARY, DIM, CONTEXT, NOISE, BATCH, RATE, ROUNDS = 1024, 24, 2, 32, 4096, 0.08, 1
+VOCABULARY, DIM, CONTEXT, NOISE, BATCH, RATE, ROUNDS = 1024, 24, 2, 64, 512, 0.05, 1
 END, UNK = 0, 1
 #: Most frequent words whose counts every task knows; only rarer ones are asked for.
 COUNTED = 16384
+#: Tokens that a shard of the training texts holds, the most shards there are, and the parts that their means are taken in.
+SHARD, SHARDS, GROUPS = 1_000_000, 4096, 64
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -175,14 +180,14 @@ class LogBilinear:
     def hidden(self, context: np.ndarray) -> np.ndarray:
         return sum(self.r[context[:, i]] * self.c[i] for i in range(CONTEXT))
 
-    def learn(self, context: np.ndarray, word: np.ndarray, noise_log: np.ndarray, noise_cdf: np.ndarray, rng, state: list[np.ndarray]) -> None:
-        """One step of noise-contrastive estimation: true words against NOISE words that the whole batch shares."""
+    def learn(self, context: np.ndarray, word: np.ndarray, weight: np.ndarray, noise_log: np.ndarray, noise_cdf: np.ndarray, rng, state: list[np.ndarray]) -> None:
+        """One step of noise-contrastive estimation: true words against NOISE words that the whole batch shares; ``weight``: how many rows a position stands for."""
         noise = np.searchsorted(noise_cdf, rng.random(NOISE)).astype(np.int32)
         h = self.hidden(context)
         true = (h * self.q[word]).sum(axis=1) + self.b[word] - noise_log[word] - np.log(NOISE)
         false = h @ self.q[noise].T + (self.b[noise] - noise_log[noise] - np.log(NOISE)).astype(np.float32)
-        gt = 1 / (1 + np.exp(np.clip(true, -30, 30)))
-        gf = -1 / (1 + np.exp(-np.clip(false, -30, 30)))
+        gt = weight / (1 + np.exp(np.clip(true, -30, 30)))
+        gf = -weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
         gh = gt[:, None] * self.q[word] + gf @ self.q[noise]
         n = len(self.b)
         gq, gb, gr = np.zeros_like(self.q), np.bincount(word, gt, n), np.zeros_like(self.r)
@@ -220,49 +225,95 @@ class LogBilinear:
         return (s - self._norm[code]).astype(np.float64) / np.log(10)
 
 
-def _trainer(words: list[bytes], unigram: np.ndarray, start: bytes):
+def _numbered(words: list[bytes], shards: int):
+    """Training texts as numbers, dealt to shards by doc_key. Equal rows of a batch travel once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary, kind = Vocabulary(words), _width(len(words) + 2)
+        for batch in batches:
+            for b in slices(batch, 1, 4 << 20):
+                held: Counter = Counter()
+                for key, text in zip(b.column(0).to_pylist(), utf8(b.column(1)), strict=True):
+                    held[key, vocabulary.numbers(tokens(text)).astype(kind).tobytes()] += 1
+                keys, data = zip(*held, strict=True) if held else ((), ())
+                yield pa.record_batch(
+                    [pa.array([k % shards for k in keys], pa.int32()), pa.array(keys, pa.int64()), pa.array(data, pa.binary()), pa.array(held.values(), pa.int64())],
+                    ["shard", "doc_key", "data", "times"],
+                )
+
+    return run
+
+
+def _width(n: int) -> str:
+    return "<u2" if n <= 65536 else "<u4"
+
+
+def _documents(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, int, bytes, int]]:
+    """Sorted rows (shard, doc_key, numbers, times); equal neighbours are one."""
+    held = None
+    for b in batches:
+        for *row, times in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            if held and held[0] == row:
+                held[1] += times
+                continue
+            if held:
+                yield *held[0], held[1]
+            held = [row, times]
+    if held:
+        yield *held[0], held[1]
+
+
+def _trainer(unigram: np.ndarray, start: bytes):
+    """Parameters after one pass over each shard, always from the same start and in the same order."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, n = Vocabulary(words), len(unigram)
-        model = LogBilinear.load(np.frombuffer(start, "<f4"), n)
-        state = [np.zeros_like(x) for x in (model.r, model.q, model.b, model.c)]
-        rng, log, cdf = np.random.default_rng(11), np.log(unigram).astype(np.float32), np.cumsum(unigram)
+        n, kind = len(unigram), _width(len(unigram))
+        log, cdf = np.log(unigram).astype(np.float32), np.cumsum(unigram)
         cdf[-1] = 1.0
-        seen, held, size = 0, [], 0
-        for b in batches:
-            for text in utf8(b.column(0)):
-                x = vocabulary.numbers(tokens(text))
-                held.append(x)
+        for shard, rows in groupby(_documents(batches), key=lambda r: r[0]):
+            model = LogBilinear.load(np.frombuffer(start, "<f4"), n)
+            state = [np.zeros_like(x) for x in (model.r, model.q, model.b, model.c)]
+            rng = np.random.default_rng((11, shard))
+            seen, held, size = 0, [], 0
+            for _, _, data, times in rows:
+                x = np.frombuffer(data, kind).astype(np.int32)
+                held.append((x, times))
                 size += len(x) - CONTEXT
                 if size >= 16 * BATCH:
                     seen += _learn(model, held, log, cdf, rng, state)
                     held, size = [], 0
-        if held:
-            seen += _learn(model, held, log, cdf, rng, state)
-        if seen:
-            yield pa.record_batch([pa.array([seen], pa.int64()), pa.array([model.dump()], pa.binary())], ["n", "data"])
+            if held:
+                seen += _learn(model, held, log, cdf, rng, state)
+            yield pa.record_batch([pa.array([shard % GROUPS], pa.int32()), pa.array([shard], pa.int32()), pa.array([seen], pa.int64()), pa.array([model.dump()], pa.binary())], ["part", "shard", "n", "data"])
 
     return run
 
 
-def _learn(model: LogBilinear, held: list[np.ndarray], log, cdf, rng, state) -> int:
-    context = np.concatenate([np.stack([x[i : len(x) - CONTEXT + i] for i in range(CONTEXT)], axis=1) for x in held])
-    word = np.concatenate([x[CONTEXT:] for x in held])
+def _learn(model: LogBilinear, held: list[tuple[np.ndarray, int]], log, cdf, rng, state) -> int:
+    context = np.concatenate([np.stack([x[i : len(x) - CONTEXT + i] for i in range(CONTEXT)], axis=1) for x, _ in held])
+    word = np.concatenate([x[CONTEXT:] for x, _ in held])
+    weight = np.repeat(np.array([t for _, t in held], np.float32), [len(x) - CONTEXT for x, _ in held])
     order = rng.permutation(len(word))
     for at in range(0, len(word), BATCH):
         k = order[at : at + BATCH]
-        model.learn(context[k], word[k], log, cdf, rng, state)
-    return len(word)
+        model.learn(context[k], word[k], weight[k], log, cdf, rng, state)
+    return int(weight.sum(dtype=np.float64))
 
 
 def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    total, mean = 0, None
-    for b in batches:
-        for n, data in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+    """Means of parameters by part, weighted by tokens, in the order of shards."""
+
+    def rows():
+        for b in batches:
+            yield from zip(*(b.column(i).to_pylist() for i in range(4)), strict=True)
+
+    for part, found in groupby(rows(), key=lambda r: r[0]):
+        total, mean = 0, None
+        for _, _, n, data in found:
             x = np.frombuffer(data, "<f4").astype(np.float64)
-            mean = x.copy() if mean is None else mean + (x - mean) * (n / (total + n))
+            mean = x if mean is None else mean + (x - mean) * (n / (total + n))
             total += n
-    if total:
-        yield pa.record_batch([pa.array([total], pa.int64()), pa.array([mean.astype("<f4").tobytes()], pa.binary())], ["n", "data"])
+        yield pa.record_batch([pa.array([0], pa.int32()), pa.array([part], pa.int32()), pa.array([total], pa.int64()), pa.array([mean.astype("<f4").tobytes()], pa.binary())], ["part", "shard", "n", "data"])
 
 
 # -- scoring ---------------------------------------------------------------------------------------------------------------
@@ -372,7 +423,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int =
     held_out: crc32(doc_id as text) mod 7 is 2 (a null doc_id counts as the empty text, so it trains). Counts are exact
     over all training documents: tasks send their sums in packed tables, and documents send the words outside the
     model's vocabulary to the tables' buckets and get sums back, so no word's rows meet as rows. A null or empty text is
-    its end token. Equal rows ask twice and share the answer. Without training documents every count is 0.
+    its end token. Equal rows ask twice, share the answer, and weigh as often as they come in training. Without training documents every count is 0.
     """
     spark = docs.sparkSession
     buckets = shuffle_partitions(spark)
@@ -384,7 +435,7 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int =
     merged = checkpoint(merged)
     stats = merged.agg(F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum(F.when(F.col("bucket") == -1, F.col("n"))).alias("docs")).first()
     n_docs, total, distinct = stats["docs"] or 0, stats["n"] or 0, (stats["v"] or 0) + (1 if stats["docs"] else 0)
-    best = merged.select(F.inline(F.arrays_zip("words", "counts"))).orderBy(F.desc("counts"), "words").limit(max(vocabulary, COUNTED))
+    best = merged.select(F.inline(F.arrays_zip("words", "counts"))).coalesce(max(1, isqrt(buckets))).orderBy(F.desc("counts"), "words").limit(max(vocabulary, COUNTED))
     best = checkpoint(best).collect()  # COUNTED rows; cut down on executors, not on the driver
     counted, times = [bytes(r[0]) for r in best], [r[1] for r in best]
     words, counts = counted[:vocabulary], times[:vocabulary]
@@ -392,11 +443,15 @@ def score_documents(docs: DataFrame, vocabulary: int = VOCABULARY, rounds: int =
     mass = np.array([n_docs, rare_n, *counts], np.float64) + 1
     unigram = mass / mass.sum()
     params = LogBilinear.start(unigram).dump()
+    keyed = rows.withColumn("doc_key", F.xxhash64("doc_id", "text"))
+    shards = min(SHARDS, max(1, total // SHARD))
+    model = "part int, shard int, n long, data binary"
+    dealt = keyed.where("not held_out").select("doc_key", "text").mapInArrow(_numbered(words, shards), "shard int, doc_key long, data binary, times long")
+    dealt = dealt.repartition(min(shards, buckets), "shard").sortWithinPartitions("shard", "doc_key", "data")
     for _ in range(rounds):
-        found = training.mapInArrow(_trainer(words, unigram, params), "n long, data binary").repartition(16).mapInArrow(_average, "n long, data binary")
-        got = found.repartition(1).mapInArrow(_average, "n long, data binary").first()
+        means = dealt.mapInArrow(_trainer(unigram, params), model).repartition(min(shards, GROUPS), "part").sortWithinPartitions("part", "shard").mapInArrow(_average, model)
+        got = means.repartition(1).sortWithinPartitions("shard").mapInArrow(_average, model).first()
         params = bytes(got["data"]) if got else params
-    keyed = rows.withColumn("doc_key", F.xxhash64("doc_id", "text"))
     both = checkpoint(keyed.select("doc_key", "text").mapInArrow(_score(counted, times, n_docs, params, len(unigram), buckets), _KIND))
     tables = merged.where("bucket >= 0").select("bucket", F.lit(0).alias("kind"), "data")
     answers = meet(both.where("bucket >= 0").unionAll(tables)).mapInArrow(_answer(buckets), _KIND)

@@ -573,6 +573,54 @@ def test_scores(docs, rows):
     assert sum(r.score for r in out) > sum(r.base_score for r in out)
 
 
+def test_scores_do_not_depend_on_the_layout(docs):
+    one, other = ({tuple(r)[:5]: r.score for r in log_bilinear.score_documents(docs.select("doc_id", "text").repartition(n)).collect()} for n in (3, 7))
+    assert one.keys() == other.keys() and np.allclose(list(one.values()), [other[k] for k in one], rtol=1e-5)
+
+
+def test_scores_against_a_plain_model(spark):
+    """One shard, learned in the order of the rows' hashes; chances are plain softmax sums."""
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{i}" for i in rng.zipf(1.4, 30) % 60) for _ in range(60)]
+    data = [*enumerate(texts), (7, texts[7]), (7, texts[7]), (60, "never seen w1"), (61, None)]
+    docs = spark.createDataFrame(data, "doc_id long, text string").repartition(3)
+    got = Counter((r.doc_id, round(r.score, 3)) for r in log_bilinear.score_documents(docs, vocabulary=20).collect())
+    train = [(d, t or "") for d, t in data if zlib.crc32(str(d).encode()) % 7 != 2]
+    counts = Counter(w.encode() for _, t in train for w in t.split())
+    top = sorted(counts, key=lambda w: (-counts[w], w))[:20]
+    outside = sum(k for w, k in counts.items() if w not in top)
+    mass = np.array([len(train), outside, *(counts[w] for w in top)], float) + 1
+    u = mass / mass.sum()
+    number = lambda t: [0, 0, *(top.index(w) + 2 if w in top else 1 for w in t.encode().split()), 0]
+    by_hash = docs.select(F.xxhash64("doc_id", F.coalesce("text", F.lit(""))).alias("h"), "doc_id", "text").collect()
+    held = Counter((r.h, r.text or "") for r in by_hash if zlib.crc32(str(r.doc_id).encode()) % 7 != 2)
+    model = log_bilinear.LogBilinear.start(u)
+    state = [np.zeros_like(x) for x in (model.r, model.q, model.b, model.c)]
+    steps = [(x[i], x[i + 1], x[i + 2], k) for (_, t), k in sorted(held.items()) for x in [number(t)] for i in range(len(x) - 2)]
+    a, b, w, k = (np.array(x) for x in zip(*steps, strict=True))
+    noise, cdf = np.random.default_rng((11, 0)), np.cumsum(u)
+    cdf[-1] = 1
+    order = noise.permutation(len(w))
+    for at in range(0, len(order), log_bilinear.BATCH):
+        o = order[at : at + log_bilinear.BATCH]
+        model.learn(np.stack([a[o], b[o]], axis=1), w[o], k[o].astype(np.float32), np.log(u).astype(np.float32), cdf, noise, state)
+    rare = len(counts) - len(top)
+
+    def score(t):
+        x, words, total = number(t), [*t.encode().split(), None], 0.0
+        for i, word in enumerate(words):
+            h = model.r[x[i]].astype(float) * model.c[0] + model.r[x[i + 1]] * model.c[1]
+            s = model.q @ h + model.b
+            total += math.log10(math.exp(s[x[i + 2]]) / np.exp(s).sum())
+            if x[i + 2] == 1:
+                total += math.log10((counts[word] + 1) / max(1, outside + rare + 1))
+        return total
+
+    want = [(d, score(t or "")) for d, t in data]
+    for (d, s), k in got.items():
+        assert sum(d == e and abs(s - v) < 2e-3 for e, v in want) >= k
+
+
 def test_log_bilinear_is_normalised():
     rng = np.random.default_rng(7)
     model = log_bilinear.LogBilinear.start(np.full(40, 1 / 40))
@@ -581,7 +629,7 @@ def test_log_bilinear_is_normalised():
     u = np.full(40, 1 / 40)
     state = [np.zeros_like(x) for x in (model.r, model.q, model.b, model.c)]
     for _ in range(400):
-        model.learn(context, word, np.log(u).astype(np.float32), np.cumsum(u), rng, state)
+        model.learn(context, word, np.ones(5000, np.float32), np.log(u).astype(np.float32), np.cumsum(u), rng, state)
     for a, b in ((3, 4), (39, 0)):
         p = [10 ** model.log10(np.array([a, b, w], np.int32))[0] for w in range(40)]
         assert math.isclose(sum(p), 1, rel_tol=1e-4) and int(np.argmax(p)) == (a + 1) % 40
