@@ -46,7 +46,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from .plans import decisions, events, pricing, quasi, signals, simulation, validation  # noqa: F401
+    from .plans import decisions, events, pricing, quasi, signals, simulation, tactical, validation  # noqa: F401
 
 
 load()
