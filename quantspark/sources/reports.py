@@ -1,9 +1,11 @@
-"""Sinks: reports as JSON, CSV and Markdown, matrices, append-only logs, and the latest alert beside its history."""
+"""Sinks and stores: reports as JSON, CSV and Markdown, matrices, append-only logs, the latest alert beside its history, calibrations with an age."""
 
 from __future__ import annotations
 
 import json
 import uuid
+import warnings
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,11 +57,14 @@ def rewrite_log(entries: DataFrame, path: str) -> str:
     return new
 
 
-def save_alerts(alerts: DataFrame, path: str, key: str = "ticker", time: str = "ts", id: str = "event_id") -> None:
-    """For ``foreachBatch``: appends the batch to the history and writes the latest alert of each key, ties to the higher id."""
+def save_alerts(alerts: DataFrame, path: str, batch: int | None = None, key: str = "ticker", time: str = "ts", id: str = "event_id") -> None:
+    """For ``foreachBatch``: puts the batch into the history and writes the latest alert of each key, ties to the higher id.
+
+    A batch that is replayed under its number replaces itself; without a number every call is a batch of its own.
+    """
     spark = alerts.sparkSession
-    alerts.write.mode("append").parquet(f"{path}/history")
-    history = spark.read.parquet(f"{path}/history")
+    alerts.write.mode("overwrite").parquet(f"{path}/history/batch={uuid.uuid4().hex if batch is None else batch}")
+    history = spark.read.parquet(f"{path}/history").drop("batch")
     row = F.struct(*history.columns)
     latest = history.groupBy(key).agg(F.max_by(row, F.struct(time, id)).alias("r")).select("r.*")
     latest.write.mode("overwrite").parquet(f"{path}/latest")
@@ -68,3 +73,41 @@ def save_alerts(alerts: DataFrame, path: str, key: str = "ticker", time: str = "
 def describe(config: object) -> str:
     """A configuration as JSON with sorted keys, for reports and for its hash."""
     return json.dumps({k: v for k, v in vars(config).items() if not k.startswith("_")}, sort_keys=True)
+
+
+# Days after which a stored calibration warns and is refused.
+WARN_DAYS, REFUSE_DAYS = 30, 120
+
+
+class StaleCalibration(ValueError):
+    """The stored table is too old to be trusted."""
+
+
+def save_calibration(table: DataFrame, path: str, created: datetime | None = None) -> None:
+    """Buckets ``table(ticker, bucket, ...)`` with the time of their making, a folder a ticker; only the tickers given are replaced."""
+    at = F.lit(created or datetime.now(timezone.utc))
+    table.withColumn("created_at", at).repartition("ticker").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("ticker").parquet(path)
+
+
+def load_calibration(spark: SparkSession, path: str, ticker: str, now: datetime | None = None, warn_days: int = WARN_DAYS, refuse_days: int = REFUSE_DAYS) -> DataFrame:
+    """A ticker's buckets. None stored: FileNotFoundError; older than ``refuse_days``: StaleCalibration; than ``warn_days``: a warning."""
+    found = spark.read.parquet(path).where(F.col("ticker") == ticker)
+    made = found.agg(F.min(F.unix_seconds("created_at")).alias("t"), F.count("*").alias("n")).first()
+    if not made["n"]:
+        raise FileNotFoundError(f"no calibration of {ticker} in {path}")
+    if made["t"] is None:
+        raise ValueError(f"the calibration of {ticker} has no time")
+    age = ((now or datetime.now(timezone.utc)).timestamp() - made["t"]) / 86400
+    if age > refuse_days:
+        raise StaleCalibration(f"the calibration of {ticker} is {age:.0f} days old")
+    if age > warn_days:
+        warnings.warn(f"the calibration of {ticker} is {age:.0f} days old", UserWarning, stacklevel=2)
+    return found
+
+
+def read_archive(spark: SparkSession, path: str, schema: str, ticker: str | None = None) -> DataFrame:
+    """A folder of saved alerts, one JSON object a file in any layout; files that are no objects are skipped, the name ignores case."""
+    whole = spark.read.option("pathGlobFilter", "*.json").text(path, wholetext=True).select(F.trim(F.regexp_replace("value", r"^\s+", "")).alias("t"), F.col("_metadata.file_path").alias("file"))
+    x = whole.where(F.col("t").startswith("{")).select("file", F.from_json("t", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r._bad is null")
+    rows = x.select("file", "r.*").drop("_bad")
+    return rows if ticker is None else rows.where(F.upper("ticker") == ticker.upper())

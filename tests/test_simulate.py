@@ -144,3 +144,6 @@ def test_alerts_keep_the_latest(spark, tmp_path):
     reports.save_alerts(batch((4, "A", 12, "bearish"), (3, "A", 12, "neutral"), (5, "B", 1, "neutral")), f"{tmp_path}/s")
     assert {r.ticker: r.event_id for r in spark.read.parquet(f"{tmp_path}/s/latest").collect()} == {"A": 4, "B": 2}
     assert spark.read.parquet(f"{tmp_path}/s/history").count() == 5
+    for _ in range(2):
+        reports.save_alerts(batch((6, "B", 9, "bullish")), f"{tmp_path}/s", 7)
+    assert spark.read.parquet(f"{tmp_path}/s/history").count() == 6
