@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kneser_ney, log_bilinear, lsh, mixing, packing, pii, rules, simhash, substrings, token_store
+from . import kneser_ney, log_bilinear, lsh, mixing, packing, pii, rules, simhash, substrings, token_store, treaps
 
 
 def queries() -> dict:
@@ -17,8 +17,9 @@ def queries() -> dict:
         "op8_tokens": token_store.op8_tokens,
         "op9_packing": packing.op9_packing,
         "op10_substrings": substrings.op10_substrings,
+        "op11_search": treaps.op11_search,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op6_rules": rules.SQL}
+    return {"op4_mixing": mixing.SQL, "op6_rules": rules.SQL, "op11_search": treaps.SQL}
