@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import kneser_ney, log_bilinear, lsh, mixing, multi_index, packing, pii, rules, simhash, substrings, token_store, treaps
+from . import kneser_ney, log_bilinear, lsh, mixing, multi_index, packing, pii, repair, rules, simhash, substrings, token_store, treaps
 
 
 def queries() -> dict:
@@ -18,6 +18,7 @@ def queries() -> dict:
         "op9_packing": packing.op9_packing,
         "op10_substrings": substrings.op10_substrings,
         "op11_search": treaps.op11_search,
+        "op12_repair": repair.op12_repair,
         "op13_neighbours": multi_index.op13_neighbours,
     }
 
