@@ -35,6 +35,14 @@ def text_col(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 
 
+def own_prefix(docs: DataFrame) -> str:
+    """What no column name of ``docs`` starts with, for columns that come and go within an operator."""
+    prefix = "__"
+    while any(c.lower().startswith(prefix) for c in docs.columns):
+        prefix += "_"
+    return prefix
+
+
 def words_col(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(f"({WORD})"), 1)
 

@@ -13,7 +13,7 @@ from math import log
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import table, text_col
+from .common import own_prefix, table, text_col
 
 KINDS = ("email", "ip", "card", "phone", "secret")
 #: The base patterns. A match can only begin where its first run of characters does, or where the match
@@ -203,15 +203,15 @@ def find_pii(docs: DataFrame, model: Model | None = None) -> DataFrame:
     span. Offsets are code points, end exclusive. A null or empty text has no spans; rows are never dropped or joined.
     """
     model = train(docs) if model is None else model
-    text = text_col()
-    x = docs.withColumns({f"__{k}": base_spans(text, k) for k in KINDS[:4]} | {"__c": candidate_spans(text)})
-    base = F.concat(*[F.col(f"__{k}") for k in KINDS[:4]])
+    text, own = text_col(), own_prefix(docs)
+    x = docs.withColumns({own + k: base_spans(text, k) for k in KINDS[:4]} | {own + "c": candidate_spans(text)})
+    base = F.concat(*[F.col(own + k) for k in KINDS[:4]])
     free = lambda c: ~F.exists(base, lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"]))
     weights = F.array(*map(F.lit, model.weights))
     odds = lambda c: F.aggregate(c["features"], F.lit(model.prior), lambda acc, f: acc + F.get(weights, f))
-    chosen = F.filter("__c", lambda c: (odds(c) > log(ACCEPT / (1 - ACCEPT))) & free(c))
+    chosen = F.filter(own + "c", lambda c: (odds(c) > log(ACCEPT / (1 - ACCEPT))) & free(c))
     secret = F.transform(chosen, lambda c: F.struct(c["start"].alias("start"), c["end"].alias("end")))
-    return x.withColumn("pii", F.struct(*[F.col(f"__{k}").alias(k) for k in KINDS[:4]], secret.alias("secret"))).drop("__c", *[f"__{k}" for k in KINDS[:4]])
+    return x.withColumn("pii", F.struct(*[F.col(own + k).alias(k) for k in KINDS[:4]], secret.alias("secret"))).drop(own + "c", *[own + k for k in KINDS[:4]])
 
 
 def listed(kinds: tuple[str, ...]) -> Column:
