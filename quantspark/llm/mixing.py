@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, checkpoint, table, text_col
+from .common import WORD, checkpoint, sent_if_small, table, text_col
 
 WEIGHTS, SHARE, MOST_EPOCHS = (3, 1, 2), 1.5, 2
 #: Rows in a slice of a source's key range on average, and slices at least.
@@ -44,21 +44,37 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, most
     return x.select("s", "source_size", F.least(F.col("w") * F.max("level").over(every), F.col("cap")).alias("target"))
 
 
+def _bands(rows: DataFrame) -> DataFrame:
+    """``(s, bands)``: a source's rows by quality weight, as shares of at most eleven bands and their mean weights."""
+    one = rows.groupBy("s", F.round(1 / F.col("w")).alias("band")).agg(F.count("*").alias("n"), F.avg("w").alias("w"))
+    return one.groupBy("s").agg(F.collect_list(F.struct("n", "w")).alias("bands"))
+
+
+def _below(k: Column, bands: Column) -> Column:
+    """The share of a source's keys that are expected below k: keys of weight w are exponential with rate w."""
+    zero = F.struct(F.lit(0.0).alias("below"), F.lit(0.0).alias("n"))
+    add = lambda a, b: F.struct((a["below"] + b["n"] * (1 - F.exp(-k * b["w"]))).alias("below"), (a["n"] + b["n"]).alias("n"))
+    return F.aggregate(bands, zero, add, lambda a: a["below"] / a["n"])
+
+
 def mix_sources(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: int = MOST_EPOCHS, keep: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, size, source_size, target, taken)`` for each row of ``docs(doc_id, text, source)``; columns of ``keep`` come first.
 
     Each document draws an exponential key -ln(u) / quality weight, u from its doc_id, so reruns agree. A source's target
     holds floor(target / source_size) complete epochs; the rest goes to documents by ascending key while their sizes'
     prefix sum stays within it, and the document on the border gives the words still missing. Keys are cut into slices
-    by a monotone map: sums of slices give each slice's offset, and sorting happens within a slice, so a source with
+    by a monotone map that makes them even, whatever the weights: sums of slices give each slice's offset, and sorting happens within a slice, so a source with
     most of the rows is sorted in parts. Their number follows the number of rows. A null text has size 0; a null source is a source of its own; equal rows draw
     equal keys and follow one another; an empty table gives no rows.
     """
     text = text_col()
-    key = -F.log(uniform(F.col("doc_id"), text)) / quality_weight(text)
-    rows = checkpoint(docs.select(*keep, "doc_id", F.col("source").alias("s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("k")))
+    weight = quality_weight(text)
+    key = -F.log(uniform(F.col("doc_id"), text)) / weight
+    rows = checkpoint(docs.select(*keep, "doc_id", F.col("source").alias("s"), F.regexp_count(text, F.lit(WORD)).cast("long").alias("size"), key.alias("k"), weight.alias("w")))
     slices = max(SLICES, rows.count() // SLICE_ROWS)
-    rows = rows.withColumn("slice", F.least(F.floor((1 - F.exp(-F.col("k"))) * slices), F.lit(slices - 1)).cast("int"))
+    own = F.least(F.floor(_below(F.col("k"), F.col("bands")) * slices), F.lit(slices - 1)).cast("int")
+    bands = sent_if_small(checkpoint(_bands(rows).withColumnRenamed("s", "bs")))
+    rows = rows.join(bands, F.col("s").eqNullSafe(F.col("bs"))).withColumn("slice", own).drop("bs", "bands", "w")
     parts = rows.groupBy("s", "slice").agg(F.sum("size").alias("n"))
     targets = source_targets(parts.groupBy("s").agg(F.sum("n").alias("source_size")), weights, share, most)
     before = F.sum("n").over(Window.partitionBy("s").orderBy("slice").rowsBetween(Window.unboundedPreceding, -1))
