@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import acos, ceil, log1p, log2, pi
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,11 @@ from .common import checkpoint, table, union_roots
 from .components import connected_components
 
 THRESHOLD, TABLES, PLANES, SEED = 0.93, 18, 12, 7
+#: Different vectors of a block on average, which sets the number of planes beyond PLANES, and planes at most.
+BLOCK_VECTORS, MOST_PLANES = 64, 24
 CHUNK = 1024
+#: Types of codes up to 16 planes and beyond.
+CODES = ("<u2", "<u4")
 
 
 def _unit(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -30,6 +35,17 @@ def sign_codes(unit: np.ndarray, tables: int, planes: int, seed: int = SEED) ->
     return (bits << np.arange(planes)).sum(axis=2).astype(np.int32)
 
 
+def tables_for(n: int, threshold: float = THRESHOLD) -> tuple[int, int]:
+    """(tables, planes) for a label of n vectors: blocks stay as small when n grows, and recall at the threshold as high.
+
+    Two vectors at the threshold agree in a plane with chance 1 - angle / pi; the tables follow from what TABLES of PLANES miss.
+    """
+    planes = min(MOST_PLANES, max(PLANES, ceil(log2(max(n, 1) / BLOCK_VECTORS))))
+    same = 1 - acos(threshold) / pi
+    missed = TABLES * log1p(-(same**PLANES))
+    return TABLES if planes == PLANES else ceil(missed / log1p(-(same**planes))), planes
+
+
 def _tables(tables: int, planes: int, kind: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -41,18 +57,18 @@ def _tables(tables: int, planes: int, kind: str):
                     own = np.flatnonzero(dims == dim)
                     codes = sign_codes(_unit(np.concatenate([vectors[i] for i in own]), int(dim)), tables, planes)
                     sub = b.take(pa.array(own))
-                    packed, raw = [c.tobytes() for c in codes.astype("<u2")], [vectors[i].astype(kind).tobytes() for i in own]
+                    packed, raw = [c.tobytes() for c in codes.astype(CODES[planes > 16])], [vectors[i].astype(kind).tobytes() for i in own]
                     for t in range(tables):
-                        key = pa.array((np.int64(t) << 40) | (np.int64(dim & 0xFFFFF) << 20) | codes[:, t].astype(np.int64))
+                        key = pa.array((np.int64(t) << 48) | (np.int64(dim & 0xFFFFFF) << 24) | codes[:, t].astype(np.int64))
                         yield pa.record_batch([sub.column(0), key, sub.column(1), sub.column(2), pa.array(raw, pa.binary()), pa.array(packed, pa.binary())], ["label", "key", "node", "n", "vector", "codes"])
 
     return run
 
 
-def _verify(threshold: float, kind: str):
+def _verify(threshold: float, kind: str, wide: bool):
     def group(label, key, lo, hi, side, ids, n, vectors, codes):
         unit = _unit(np.frombuffer(b"".join(vectors), kind), len(vectors[0]) // np.dtype(kind).itemsize)
-        code = np.frombuffer(b"".join(codes), "<u2").reshape(len(ids), -1)[:, : key >> 40]
+        code = np.frombuffer(b"".join(codes), CODES[wide]).reshape(len(ids), -1)[:, : key >> 48]
         a = np.flatnonzero(side == lo)
         b = a if lo == hi else np.flatnonzero(side == hi)
         near = unit[a] @ unit[b].T >= threshold
@@ -99,8 +115,8 @@ def embedding_links(distinct: DataFrame, threshold: float = THRESHOLD, tables: i
     pair of chunks is compared in a group of its own, in sorted order, so a task holds two chunks at most. Single
     precision vectors travel as such.
     """
-    if not 0 < planes <= 16:
-        raise ValueError("planes must be 1 to 16")
+    if not 0 < planes <= MOST_PLANES:
+        raise ValueError(f"planes must be 1 to {MOST_PLANES}")
     kind = "<f4" if isinstance(distinct.schema["embedding"].dataType.elementType, FloatType) else "<f8"
     schema = "label string, key long, node long, n long, vector binary, codes binary"
     rows = distinct.select(F.col("label").cast("string"), "node", "n", F.col("embedding").cast("array<double>")).mapInArrow(_tables(tables, planes, kind), schema)
@@ -110,10 +126,10 @@ def embedding_links(distinct: DataFrame, threshold: float = THRESHOLD, tables: i
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.coalesce(F.col("g") - 1, F.lit(0)))))
     rows = rows.select("label", "key", F.least("c", "o").alias("lo"), F.greatest("c", "o").alias("hi"), F.col("c").alias("side"), "node", "n", "vector", "codes")
     rows = rows.repartition("label", "key", "lo", "hi").sortWithinPartitions("label", "key", "lo", "hi")
-    return rows.mapInArrow(_verify(threshold, kind), "node long, links long, root long")
+    return rows.mapInArrow(_verify(threshold, kind, planes > 16), "node long, links long, root long")
 
 
-def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tables: int = TABLES, planes: int = PLANES) -> DataFrame:
+def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, tables: int | None = None, planes: int | None = None) -> DataFrame:
     """``(vec_id, n_links, component_id, kept)`` for each row of ``vectors(vec_id, embedding, label)``.
 
     A vector that is null, empty, all zero, or holds a null or non-finite component, one without label and one without
@@ -127,6 +143,9 @@ def embedding_components(vectors: DataFrame, threshold: float = THRESHOLD, table
     rows = vectors.select(F.col("vec_id").cast("long"), x.alias("embedding"), "label", sound.alias("sound"))
     good = rows.where("sound")
     distinct = checkpoint(good.groupBy("label", "embedding").agg(F.min("vec_id").alias("least"), F.count("*").alias("n")).withColumn("node", F.monotonically_increasing_id()))
+    if tables is None or planes is None:
+        most = distinct.groupBy("label").count().agg(F.max("count")).first()[0]
+        tables, planes = tables_for(most or 0, threshold)
     links = checkpoint(embedding_links(distinct, threshold, tables, planes))
     root = connected_components(links.select(F.col("node").alias("u"), F.col("root").alias("v")))
     found = distinct.join(links.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").join(root, "node", "left")

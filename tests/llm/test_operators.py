@@ -169,6 +169,17 @@ def test_mixing_prefers_quality(spark):
     assert clean > 1.5 * sum(r.taken for r in got if r.doc_id % 2)
 
 
+def test_mixing_slices_are_even(spark):
+    """Keys of every quality weight spread evenly over a source's slices."""
+    text = F.concat(F.lit("word "), F.repeat(F.lit("#"), (F.col("id") % 40).cast("int")))
+    docs = spark.range(60_000).select(F.col("id").alias("doc_id"), text.alias("text"), F.lit("a").alias("source"))
+    w = mixing.quality_weight(F.col("text"))
+    rows = docs.select(F.col("source").alias("s"), w.alias("w"), (-F.log(mixing.uniform(F.col("doc_id"), F.col("text"))) / w).alias("k"))
+    x = rows.join(mixing._bands(rows), "s").withColumn("slice", F.floor(mixing._below(F.col("k"), F.col("bands")) * 100)).groupBy("slice").count()
+    assert x.count() >= 99 and x.agg(F.max("count")).first()[0] < 1.5 * 600
+    assert rows.withColumn("slice", F.floor((1 - F.exp(-F.col("k"))) * 100)).groupBy("slice").count().agg(F.max("count")).first()[0] > 4 * 600
+
+
 # -- SimHash ---------------------------------------------------------------------------------------------------------------
 
 
@@ -301,6 +312,20 @@ def test_embeddings(spark):
         assert got[i].n_links == 0 and got[i].component_id == i and got[i].kept
 
 
+def test_embedding_planes_follow_the_rows(spark):
+    assert lsh.tables_for(1000) == (18, 12) and lsh.tables_for(200_000) == (18, 12) and lsh.tables_for(10**12)[1] == 24
+    for n in (10**6, 10**8):
+        tables, planes = lsh.tables_for(n)
+        same = 1 - math.acos(0.93) / math.pi
+        assert n / 2**planes <= 64 and 1 - (1 - same**planes) ** tables >= 1 - (1 - same**12) ** 18
+    rng = np.random.default_rng(9)
+    centre = rng.normal(size=(200, 12))
+    rows = [(i, (centre[i % 200] + rng.normal(size=12) * 0.05).tolist(), 1) for i in range(800)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")
+    few = lsh.embedding_components(df, tables=lsh.tables_for(10**7)[0], planes=lsh.tables_for(10**7)[1]).agg(F.sum("n_links")).first()[0]
+    assert few >= 0.97 * lsh.embedding_components(df).agg(F.sum("n_links")).first()[0] > 0
+
+
 def test_embedding_chunks(spark):
     rng = np.random.default_rng(4)
     rows = [(i, (np.ones(8) + rng.normal(size=8) * 0.01).tolist(), 1) for i in range(300)]
@@ -647,7 +672,9 @@ def test_empty_tables(spark, docs):
 
 
 def test_clashing_columns(odd, spark):
-    wide = odd.withColumns({c: F.lit(1) for c in ("key", "u", "v", "g", "c", "o", "s", "size", "k", "slice", "h", "w", "t", "l", "n", "data", "label", "pattern", "kept", "doc_key", "rest", "target", "level", "node", "component", "rep")})
+    wide = odd.withColumns({c: F.lit(1) for c in ("key", "u", "v", "g", "c", "o", "s", "size", "k", "slice", "h", "w", "t", "l", "n", "data", "label", "pattern", "kept", "doc_key", "rest", "target", "level", "node", "component", "rep", "__c", "__email", "__ip", "__card", "__phone", "__s", "__lang", "__limit", "__other", "__id", "w", "bands", "bs")})
     labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
     for df in (kneser_ney.classify(wide, labels), pii.find_pii(wide), log_bilinear.score_documents(wide), mixing.mix_sources(wide), simhash.simhash_components(wide), rules.rule_ledger(wide), substrings.remove_repeated(wide), packing.token_pieces(wide)):
         assert df.count() >= 17
+    for df in (kneser_ney.classify(wide, labels), pii.find_pii(wide)):
+        assert set(wide.columns) <= set(df.columns)
