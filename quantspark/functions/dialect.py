@@ -77,6 +77,9 @@ class Spark(Dialect):
     def seconds(self, x: str) -> str:
         return f"unix_seconds(CAST({x} AS TIMESTAMP))"
 
+    def epoch_day(self, x: str) -> str:
+        return f"CAST(unix_date({x}) AS BIGINT)"
+
     def size(self, x: str) -> str:
         return f"size({x})"
 
@@ -121,6 +124,9 @@ class Duck(Dialect):
     def seconds(self, x: str) -> str:
         return f"CAST(floor(epoch({x})) AS BIGINT)"
 
+    def epoch_day(self, x: str) -> str:
+        return f"CAST(date_diff('day', DATE '1970-01-01', {x}) AS BIGINT)"
+
     def size(self, x: str) -> str:
         return f"len({x})"
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from dataclasses import replace
-from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,7 +12,7 @@ from ..operators.simulate import relation
 from ..registry import plan, query
 from ..sources.tables import BARS, views
 from .signals import _SHRINK, FEATURES, _newey_west
-from .validation import TRADES, autocovariance, running_sums, shrunk_drift
+from .validation import RESAMPLES, TRADES, autocovariance, running_sums, shrunk_drift
 
 # Limits of stops and targets, and their defaults; the tolerances' caps on large losses; tax rates.
 STOP_RANGE, TARGET_RANGE, DEFAULT_STOP, DEFAULT_TARGET, ATR_MULTIPLE = (0.005, 0.08), (0.005, 0.15), 0.02, 0.03, 2.0
@@ -159,7 +158,7 @@ def kelly_uncertainty(d: Dialect) -> str:
     """Growth-optimal fractions at the mean weekly edge, its bootstrap bound and half of it, by the sample variance."""
     return f"""WITH {TRADES}, w AS (SELECT CAST(date_trunc('week', d) AS DATE) AS wk, avg(r) AS r FROM trades GROUP BY 1),
 k AS (SELECT CAST(row_number() OVER (ORDER BY wk) - 1 AS BIGINT) AS k, r FROM w), n AS (SELECT count(*) AS n, var_samp(r) AS v, avg(r) AS mean FROM k),
-p AS (SELECT b, CAST(floor({d.uniform(72, "'ku'", "b", "i.k")} * n) AS BIGINT) AS pick FROM {d.rows(200, "b")} r CROSS JOIN k i CROSS JOIN n),
+p AS (SELECT b, CAST(floor({d.uniform(72, "'ku'", "b", "i.k")} * n) AS BIGINT) AS pick FROM {d.rows(RESAMPLES, "b")} r CROSS JOIN k i CROSS JOIN n),
 m AS (SELECT b, avg(r) AS m FROM p JOIN k ON p.pick = k.k GROUP BY b), c AS (SELECT {d.quantile("m", 0.025)} AS lo, {d.quantile("m", 0.975)} AS hi FROM m)
 SELECT CAST(n AS BIGINT) AS n, round(v, 10) AS variance, round(mean, 8) AS edge, round(lo, 8) AS edge_lo, round(hi, 8) AS edge_hi, round(mean / v, 6) AS f_point, round(lo / v, 6) AS f_lo, round(mean / 2 / v, 6) AS f_half,
        round(0.25E0 * mean / v, 6) AS quarter, CASE WHEN mean > 0 THEN 2E0 END AS overbet_if_half FROM n CROSS JOIN c WHERE n >= 5"""
@@ -206,41 +205,6 @@ SELECT a.h AS horizon, CAST(n AS BIGINT) AS trades, {tax.replace("h >=", "a.h >=
        coalesce(sharpe > bench, false) AS beats_benchmark, coalesce(after > 0 AND sharpe > bench, false) AS survives FROM a JOIN sh ON a.h = sh.h CROSS JOIN bm"""
 
 
-@plan
-def gauntlet_gates(d: Dialect) -> str:
-    """Six gates over walk-forward trades, in order: costs, deflated Sharpe, overfitting, plateau, better than unfiltered, holdout.
-
-    The last fifth of the weeks is the holdout and is used by the sixth gate alone. The plateau reruns labels at
-    neighbouring holding times and thresholds; each must keep 0.6 of the base's Sharpe. Overfitting is measured over the
-    nine settings by halvings of eight blocks in a row, weeks without trades counting zero. ``ready`` needs every gate.
-    """
-    thresholds = (0.0004, 0.0005, 0.0006)
-    base = "h = 5 AND th = 0.0005E0"
-    halves = [(i, b) for i, c in enumerate(combinations(range(8), 4)) for b in c]
-    sharpe = lambda x: f"avg({x}) / nullif(stddev_samp({x}), 0E0)"
-    return f"""WITH {FEATURES}, {_sweep((4, 5, 6), thresholds)},
-wks AS (SELECT DISTINCT CAST(date_trunc('week', d) AS DATE) AS w FROM swept),
-cal AS (SELECT w, row_number() OVER (ORDER BY w) AS k, count(*) OVER () AS n FROM wks),
-dev AS (SELECT w, k, n, k > 0.8E0 * n AS holdout FROM cal),
-wr AS (SELECT h, th, CAST(date_trunc('week', d) AS DATE) AS w, avg(CASE WHEN taken THEN r - 0.001E0 END) AS f, avg(r - 0.001E0) AS raw FROM swept GROUP BY 1, 2, 3),
-x AS (SELECT wr.h, wr.th, wr.w, f, raw, holdout FROM wr JOIN dev ON dev.w = wr.w),
-s AS (SELECT h, th, {sharpe("CASE WHEN NOT holdout THEN f END")} AS sr, {sharpe("CASE WHEN NOT holdout THEN raw END")} AS sr_raw, {sharpe("CASE WHEN holdout THEN f END")} AS sr_ho, avg(CASE WHEN NOT holdout THEN f END) AS m, stddev_pop(CASE WHEN NOT holdout THEN f END) AS sd, CAST(count(CASE WHEN NOT holdout THEN f END) AS DOUBLE) AS n FROM x GROUP BY h, th),
-b AS (SELECT * FROM s WHERE {base}),
-mo AS (SELECT avg(pow((f - m) / sd, 3)) AS sk, avg(pow((f - m) / sd, 4)) AS ku FROM (SELECT f FROM x WHERE {base} AND NOT holdout AND f IS NOT NULL) q CROSS JOIN b),
-ds AS (SELECT {d.cdf("q.z")} AS dsr FROM (SELECT (m / sd - sqrt(1 / (n - 1)) * ((1 - 0.5772156649E0) * 1.2206403488E0 + 0.5772156649E0 * 1.7425071E0)) * sqrt(n - 1) / sqrt(greatest(1E-12, 1 - sk * m / sd + (ku - 1) / 4 * m / sd * m / sd)) AS z FROM b CROSS JOIN mo) q),
-pl AS (SELECT min(CASE WHEN b.sr > 0 AND (s.sr IS NULL OR s.sr < 0.6E0 * b.sr) THEN 0 ELSE 1 END) AS ok, min(s.sr) AS worst FROM s CROSS JOIN b WHERE s.h = 5 OR s.th = 0.0005E0),
-cf AS (SELECT DISTINCT h, th FROM wr), cb AS {_values(halves, "cb, blk")},
-db AS (SELECT w, CAST(ntile(8) OVER (ORDER BY w) - 1 AS INT) AS blk FROM dev WHERE NOT holdout),
-mx AS (SELECT cf.h, cf.th, db.blk, coalesce(wr.f, 0E0) AS f FROM cf CROSS JOIN db LEFT JOIN wr ON wr.h = cf.h AND wr.th = cf.th AND wr.w = db.w),
-io AS (SELECT c.cb, mx.h, mx.th, {sharpe("CASE WHEN cb.blk IS NOT NULL THEN f END")} AS a, {sharpe("CASE WHEN cb.blk IS NULL THEN f END")} AS o FROM mx CROSS JOIN (SELECT DISTINCT cb FROM cb) c LEFT JOIN cb ON cb.cb = c.cb AND cb.blk = mx.blk GROUP BY c.cb, mx.h, mx.th),
-wn AS (SELECT cb, o, row_number() OVER (PARTITION BY cb ORDER BY round(coalesce(a, -1E9), 9) DESC, h, th) AS k FROM io),
-rk AS (SELECT wn.cb, avg(CASE WHEN wn.o >= io.o THEN 1E0 ELSE 0E0 END) AS rank FROM wn JOIN io ON io.cb = wn.cb WHERE wn.k = 1 GROUP BY wn.cb),
-pb AS (SELECT avg(CASE WHEN rank < 0.5E0 THEN 1E0 ELSE 0E0 END) AS pbo FROM rk),
-g AS (SELECT '1_costs' AS gate, m AS value, m > 0 AS pass FROM b UNION ALL SELECT '2_sharpe', dsr, sr > 0 AND dsr > 0.5E0 FROM b CROSS JOIN ds UNION ALL SELECT '3_pbo', pbo, pbo < 0.15E0 FROM pb
-  UNION ALL SELECT '4_plateau', worst, ok = 1 FROM pl UNION ALL SELECT '5_beats_raw', sr - sr_raw, sr > coalesce(sr_raw, -1E9) FROM b UNION ALL SELECT '6_holdout', sr_ho, sr_ho > 0 FROM b)
-SELECT gate, round(value, 5) AS value, coalesce(pass, false) AS pass, min(CASE WHEN pass THEN 1 ELSE 0 END) OVER () = 1 AS ready FROM g"""
-
-
 @plan
 def paper_pass(d: Dialect) -> str:
     """One pass over all tickers: the last bar's signal, its calibrated drift, and a verdict with the first gate that fails.

@@ -130,6 +130,10 @@ def autocovariance(l: int) -> str:
 
 
 _LAGS = 4
+#: Settings that were tried: the gauntlet's two sizers at five thresholds.
+TRIALS = 10
+#: Resamples of a bootstrap.
+RESAMPLES = 5000
 _PAST = "OVER (PARTITION BY ticker, bucket ORDER BY t RANGE BETWEEN UNBOUNDED PRECEDING AND 6 PRECEDING)"
 _BARTLETT = "g0 + " + " + ".join(f"{2 * (1 - l / (_LAGS + 1))!r}E0 * {autocovariance(l)}" for l in range(1, _LAGS + 1))
 #: Walk-forward decisions every fifth bar from the 313th on. The side is the trend; it is taken where the drift of its bucket,
@@ -199,7 +203,7 @@ def boot_ci(d: Dialect) -> str:
     """Bootstrap of the mean weekly return: keyed picks joined by position."""
     return f"""WITH {TRADES}, w AS (SELECT CAST(date_trunc('week', d) AS DATE) AS wk, avg(r) AS r FROM trades GROUP BY 1),
 k AS (SELECT CAST(row_number() OVER (ORDER BY wk) - 1 AS BIGINT) AS k, r FROM w), n AS (SELECT count(*) AS n FROM k),
-p AS (SELECT b, CAST(floor({d.uniform(43, "'bc'", "b", "i.k")} * n) AS BIGINT) AS pick FROM {d.rows(200, "b")} r CROSS JOIN k i CROSS JOIN n),
+p AS (SELECT b, CAST(floor({d.uniform(43, "'bc'", "b", "i.k")} * n) AS BIGINT) AS pick FROM {d.rows(RESAMPLES, "b")} r CROSS JOIN k i CROSS JOIN n),
 m AS (SELECT b, avg(r) AS m FROM p JOIN k ON p.pick = k.k GROUP BY b)
 SELECT round(avg(m), 8) AS mean, round({d.quantile("m", 0.025)}, 8) AS lo, round({d.quantile("m", 0.975)}, 8) AS hi, round(avg(CASE WHEN m > 0 THEN 1E0 ELSE 0E0 END), 6) AS p_positive FROM m"""
 
@@ -235,21 +239,28 @@ SELECT ticker, t0 AS t, CASE dir WHEN 1 THEN 'long' ELSE 'short' END AS side, t
 
 @plan
 def deflated_sharpe(d: Dialect) -> str:
-    """Sharpe against the expected best of ten trials, with skewness and raw kurtosis by moments written out."""
+    """Sharpe against the expected best of as many trials as the gauntlet's grid has, with skewness and raw kurtosis by moments written out."""
+    p, q = 1 - 1 / TRIALS, 1 - 1 / (TRIALS * 2.718281828459045)
     return f"""WITH {TRADES}, w AS (SELECT CAST(date_trunc('week', d) AS DATE) AS wk, avg(r) AS r FROM trades GROUP BY 1), a AS (SELECT avg(r) AS m, stddev_pop(r) AS s, CAST(count(*) AS DOUBLE) AS n FROM w),
 g AS (SELECT m / s AS sr, n, avg(pow((r - m) / s, 3)) AS sk, avg(pow((r - m) / s, 4)) AS ku FROM w CROSS JOIN a GROUP BY m, s, n),
-z AS (SELECT sr, n, sk, ku, sqrt(1 / (n - 1)) * ((1 - 0.5772156649E0) * 1.2815515655E0 + 0.5772156649E0 * 1.7892395E0) AS sr0 FROM g)
+z AS (SELECT sr, n, sk, ku, sqrt(1 / (n - 1)) * ((1 - 0.5772156649E0) * {d.ppf(f'CAST({p!r} AS DOUBLE)')} + 0.5772156649E0 * {d.ppf(f'CAST({q!r} AS DOUBLE)')}) AS sr0 FROM g)
 SELECT round(sr, 6) AS sharpe, round(sk, 5) AS skew, round(ku, 5) AS kurt, round(sr0, 6) AS expected_best, round({d.cdf("((sr - sr0) * sqrt(n - 1) / sqrt(1 - sk * sr + (ku - 1) / 4 * sr * sr))")}, 5) AS dsr FROM z"""
 
 
 @plan
 def pbo_cscv(d: Dialect) -> str:
-    """Probability of overfitting: the in-sample winner's out-of-sample rank over all halvings of eight blocks in a row."""
+    """Probability of overfitting: the in-sample winner's out-of-sample rank over all halvings of eight blocks in a row.
+
+    Halves are made of sums of blocks, eight rows a setting; ratios are compared to nine digits, so equal settings tie.
+    """
     combos = " UNION ALL ".join(f"SELECT {i} AS cb, {b} AS blk" for i, c in enumerate(combinations(range(8), 4)) for b in c)
+    ratio = lambda n, s, q: f"round(({s}) / ({n}) / nullif(sqrt((({q}) - ({s}) * ({s}) / ({n})) / (({n}) - 1)), 0E0), 9)"
     return f"""WITH {BARS}, c AS ({combos}), x AS (SELECT ticker AS cfg, r, CAST(ntile(8) OVER (PARTITION BY ticker ORDER BY t) - 1 AS INT) AS blk FROM rets WHERE r IS NOT NULL),
-s AS (SELECT k.cb, x.cfg, avg(CASE WHEN c.blk IS NOT NULL THEN r END) / stddev_samp(CASE WHEN c.blk IS NOT NULL THEN r END) AS a, avg(CASE WHEN c.blk IS NULL THEN r END) / stddev_samp(CASE WHEN c.blk IS NULL THEN r END) AS b
-      FROM (SELECT DISTINCT cb FROM c) k CROSS JOIN x LEFT JOIN c ON c.cb = k.cb AND c.blk = x.blk GROUP BY k.cb, x.cfg),
-w AS (SELECT cb, cfg, b, row_number() OVER (PARTITION BY cb ORDER BY a DESC, cfg) AS k FROM s),
+g AS (SELECT cfg, blk, CAST(count(*) AS DOUBLE) AS n, sum(r) AS s, sum(r * r) AS q FROM x GROUP BY cfg, blk),
+al AS (SELECT cfg, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM g GROUP BY cfg),
+h AS (SELECT c.cb, g.cfg, sum(n) AS n, sum(s) AS s, sum(q) AS q FROM g JOIN c ON c.blk = g.blk GROUP BY c.cb, g.cfg),
+s AS (SELECT h.cb, h.cfg, {ratio("h.n", "h.s", "h.q")} AS a, {ratio("al.n - h.n", "al.s - h.s", "al.q - h.q")} AS b FROM h JOIN al ON al.cfg = h.cfg),
+w AS (SELECT cb, cfg, b, row_number() OVER (PARTITION BY cb ORDER BY a DESC, cfg) AS k FROM s WHERE a IS NOT NULL),
 o AS (SELECT w.cb, avg(CASE WHEN w.b >= s.b THEN 1E0 ELSE 0E0 END) AS rank FROM w JOIN s ON w.cb = s.cb WHERE w.k = 1 GROUP BY w.cb)
 SELECT CAST(count(*) AS BIGINT) AS splits, round(avg(CASE WHEN rank < 0.5E0 THEN 1E0 ELSE 0E0 END), 6) AS pbo, round(avg(rank), 6) AS mean_rank FROM o"""
 
