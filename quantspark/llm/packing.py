@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpoint, table
-from .tokens import encoded, token_ids, tokenizer_path
+from .tokens import CACHE_BYTES, encoded, token_ids, tokenizer_path
 
 CAPACITY = 2048
 #: Pieces that one task packs; each group leaves at most a few bins underfull.
@@ -162,9 +162,9 @@ def pack(sizes: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.nd
     return where, offset
 
 
-def _pieces(path_of, name: str, end_id: int, capacity: int):
+def _pieces(path_of, name: str, end_id: int, capacity: int, cache: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = token_ids(path_of(name), False), np.array([end_id], "<u4").tobytes()
+        encoder, end = token_ids(path_of(name), False, cache), np.array([end_id], "<u4").tobytes()
         for b in batches:
             out: list[tuple] = []
             for doc, ids in encoded(b, encoder):
@@ -178,9 +178,12 @@ def _pieces(path_of, name: str, end_id: int, capacity: int):
     return run
 
 
-def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = CAPACITY, path_of=tokenizer_path) -> DataFrame:
-    """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and its end id, cut only where longer than the capacity."""
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path_of, tokenizer, end_id, capacity), PIECES)
+def token_pieces(docs: DataFrame, tokenizer: str = "word_bpe_49k.json", end_id: int = 0, capacity: int = CAPACITY, path_of=tokenizer_path, cache: int = CACHE_BYTES) -> DataFrame:
+    """``(doc_id, piece, start, length, ids_crc32)``: each text's ids and its end id, cut only where longer than the capacity.
+
+    ``cache`` bounds the bytes of pieces that a worker remembers.
+    """
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_pieces(path_of, tokenizer, end_id, capacity, cache), PIECES)
 
 
 def pack_pieces(pieces: DataFrame, capacity: int = CAPACITY, group: int = GROUP) -> DataFrame:

@@ -31,17 +31,17 @@ class TokenIds(dict):
     """``encode(text)`` gives the ids as little-endian unsigned 32-bit bytes.
 
     ``path`` names a tokenizer file; ``byte_level`` tells which kind it is. The object is the cache of pieces: looking
-    up a new one encodes it, and pieces are remembered until they take CACHE_BYTES.
+    up a new one encodes it, and pieces are remembered until they take ``cache`` bytes.
     """
 
-    def __init__(self, path: str, byte_level: bool):
+    def __init__(self, path: str, byte_level: bool, cache: int = CACHE_BYTES):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.model, self.byte_level, self.held = self.tokenizer.model, byte_level, 0
+        self.model, self.byte_level, self.held, self.most = self.tokenizer.model, byte_level, 0, cache
         self.pieces = _BYTE_PIECES if byte_level else _WORD_PIECES
         self.letters = re.compile(f" ?{_LETTERS}" if byte_level else _LETTERS)
 
@@ -54,7 +54,7 @@ class TokenIds(dict):
         else:
             ids = self._whole(piece)
         out = pack(f"<{len(ids)}I", *ids)
-        if self.held < CACHE_BYTES:
+        if self.held < self.most:
             self.held += ENTRY_BYTES + 2 * len(piece) + len(out)
             self[piece] = out
         return out
@@ -69,12 +69,12 @@ class TokenIds(dict):
 
 
 @lru_cache(maxsize=4)
-def token_ids(path: str, byte_level: bool) -> TokenIds:
+def token_ids(path: str, byte_level: bool, cache: int = CACHE_BYTES) -> TokenIds:
     """One encoder for each Python worker; its cache outlives the task."""
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return TokenIds(path, byte_level)
+    return TokenIds(path, byte_level, cache)
 
 
 def encoded(batch: pa.RecordBatch, encoder: TokenIds) -> Iterator[tuple[int | None, bytes]]:
