@@ -16,6 +16,9 @@ from quantspark.llm.common import SPACE, checkpoint, sent_if_small, shared_path,
 ORACLE_SQL = None
 
 
+PIECE_CACHE = 32 << 20
+
+
 def _row(docs: DataFrame) -> Column:
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
 
@@ -80,8 +83,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents, packed into sequences."""
-    return packing.pack_pieces(packing.token_pieces(docs.select("doc_id", "text")))
+    """Pieces of all documents, packed into sequences. Workers still hold what earlier stages left: they remember fewer pieces."""
+    return packing.pack_pieces(packing.token_pieces(docs.select("doc_id", "text"), cache=PIECE_CACHE))
 
 
 STAGES = [("quality classifier", quality), ("SimHash near-dedup", near_dedup), ("PII", personal_data), ("mixing sources to target weights", mix), ("best-fit packing", pack)]
