@@ -46,7 +46,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from .plans import decisions, events, gauntlet, pricing, quasi, signals, simulation, statistics, tactical, validation  # noqa: F401
+    from .plans import configured, decisions, events, gauntlet, pricing, quasi, signals, simulation, statistics, tactical, validation  # noqa: F401
 
 
 load()
