@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 from quantspark.config import Simulation
 from quantspark.operators.rules import apply_rule, outcomes, price_paths, rule_statistics, run_tactical
 from quantspark.operators.simulate import simulate
-from quantspark.tactical import Rule, Tactical, apply_signal, preset, trend_side
+from quantspark.tactical import Rule, Tactical, preset, trend_side
 
 RULES = [
-    Rule(), Rule(side="short", stop=0.03), Rule(entry_condition="enter SHORT now", target=0.02, trail=0.015, hold=9), Rule(target=0.03, trail=0.01, hold=7, entry_day=4), Rule(stop=0.0, hold=50),
+    Rule(), Rule(side="short", stop=0.03), Rule(entry="enter SHORT now", target=0.02, trail=0.015, hold=9), Rule(target=0.03, trail=0.01, hold=7, entry_day=4), Rule(stop=0.0, hold=50),
     Rule(hold=3, reentry=True, max_trades=4), Rule(side="short", hold=4, target=0.02, reentry=True, max_trades=9, entry_day=2), Rule(entry_day=99),
 ]
 
@@ -87,7 +87,7 @@ def test_price_paths_end_where_the_simulation_does(spark):
             assert len(r.prices) == 7 and r.prices[0] == 100 and math.isclose(r.prices[-1], ends[r.path], rel_tol=1e-9)
 
 
-def test_runs_settings_and_alerts(spark):
+def test_runs_and_settings(spark):
     t = preset("10 days", "x", paths=200, s0=50.0, sigma=0.3)
     trades, stats = run_tactical(spark, t)
     assert stats.first().total_trades == trades.count() == 200
@@ -96,7 +96,4 @@ def test_runs_settings_and_alerts(spark):
         with pytest.raises((ValueError, KeyError)):
             bad()
     assert (trend_side("Bullish"), trend_side("down"), trend_side("flat"), trend_side(None)) == ("long", "short", None, None)
-    u, rule, c = apply_signal(t, Rule(), {"symbol": "abc", "close": "12.5", "direction": "BEARISH", "rsi": 100}, 0.07, scale_vol=True)
-    assert (u.ticker, u.s0, u.drift, rule.direction, c.vol_multiplier, c.jump_multiplier) == ("ABC", 12.5, 0.07, "short", 1.4, 1.5) and math.isclose(u.sigma, 0.42)
-    assert not apply_signal(t, Rule(side="long"), {"trend": "bearish"}, align=False, block_against=True)[2].allowed
-    assert apply_signal(t, Rule(), None)[:2] == (t, Rule()) and apply_signal(t, Rule(), {"ticker": "UNKNOWN", "price": "-1", "rsi": "x"}, None)[0] == t
+    assert Rule(entry="short the rally").direction == "short" and Rule(entry="short", side="long").direction == Rule().direction == "long"
