@@ -83,13 +83,16 @@ def _factorial(n: int) -> float:
     return float(n * _factorial(n - 1)) if n > 1 else 1.0
 
 
-def runs(d: Dialect, source: str, name: str = "runs", models: tuple[str, ...] = MODELS, keep: tuple[str, ...] = (), history: bool = False, most_paths: int | None = None) -> str:
-    """Relation ``name(run, keep..., s0, path, s, low, high, drawdown)`` of a ``complete`` source; ``h`` holds centred returns where ``history``.
+def runs(d: Dialect, source: str, name: str = "runs", models: tuple[str, ...] = MODELS, keep: tuple[str, ...] = (), history: bool = False, most_paths: int | None = None, averages: bool = False) -> str:
+    """Relation ``name(run, keep..., s0, path, s, low, high, drawdown)`` (with ``averages`` also mean and geometric, without the start) of a ``complete`` source; ``h`` holds centred returns where ``history``.
 
     With ``most_paths`` a few configurations are sent to tasks that deal out path numbers; without it each configuration's row makes
     its own paths where it is, which suits many configurations.
     """
     state, move = _steps(d, models)
+    if averages:  # these trail the price by a step, as the extremes do
+        state |= {"sa": "0", "sg": "0"}
+        move |= {"sa": "{sa} + (CASE WHEN {step} > 1 THEN exp({x}) ELSE 0E0 END)", "sg": "{sg} + {x}"}
     kept = ["run", *keep, "path", "paths", "horizon", "model", *_USED, *(["h"] if history else [])]
     kept = list(dict.fromkeys(kept))
     if most_paths:
@@ -102,7 +105,7 @@ def runs(d: Dialect, source: str, name: str = "runs", models: tuple[str, ...] =
         read = {k: f"a.{k}" for k in state}
         init = ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in state.items())
         after = ", ".join(f"'{k}', CAST({move[k].format(**read, step='step')} AS DOUBLE)" for k in state)
-        out = ", ".join(dict.fromkeys(["run", *keep, "path", "s0", "cost"]))
+        out = ", ".join(dict.fromkeys(["run", *keep, "path", "s0", "cost", "horizon"]))
         walk = f"{name}_w AS (SELECT {out}, f.* FROM (SELECT {out}, aggregate(sequence(1, horizon), named_struct({init}), (a, step) -> named_struct({after})) AS f FROM {rows} r) w)"
     else:
         init = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in state.items())
@@ -110,4 +113,5 @@ def runs(d: Dialect, source: str, name: str = "runs", models: tuple[str, ...] =
         own = ", ".join(kept)
         walk = f"{name}_r AS (SELECT {own}, 0 AS step, {init} FROM {rows} r UNION ALL SELECT {own}, step + 1 AS step, {after} FROM {name}_r WHERE step < horizon), {name}_w AS (SELECT * FROM {name}_r WHERE step = horizon)"
     shown = ", ".join(dict.fromkeys(["run", *keep, "s0", "path"]))
-    return f"{walk}, {name} AS (SELECT {shown}, s0 * exp(x) * (1 - cost) - s0 * cost AS s, s0 * exp(least(lo, x)) AS low, s0 * exp(greatest(hi, x)) AS high, exp(least(dd, x - greatest(hi, x))) - 1 AS drawdown FROM {name}_w)"
+    more = ", s0 * (sa + exp(x)) / horizon AS mean, s0 * exp((sg + x) / horizon) AS geometric" if averages else ""
+    return f"{walk}, {name} AS (SELECT {shown}{more}, s0 * exp(x) * (1 - cost) - s0 * cost AS s, s0 * exp(least(lo, x)) AS low, s0 * exp(greatest(hi, x)) AS high, exp(least(dd, x - greatest(hi, x))) - 1 AS drawdown FROM {name}_w)"

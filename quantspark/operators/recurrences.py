@@ -53,6 +53,35 @@ def ewma_variance(returns: np.ndarray, lam: float = 0.94, seed: int = 20) -> np.
     return _run(returns**2, float(np.var(returns[:seed])), seed - 1, 1 - lam)
 
 
+def directional_index(high: np.ndarray, low: np.ndarray, close: np.ndarray, length: int = 14) -> np.ndarray:
+    """Wilder's average directional index: averaged moves up and down over the averaged true range, their relative difference averaged again.
+
+    0 where no move was averaged; undefined in the first ``2 * length - 1`` bars.
+    """
+    out = np.full(len(close), np.nan)
+    if len(close) < 2 * length:
+        return out
+    up, down = np.diff(high), -np.diff(low)
+    ranges = np.maximum(high[1:] - low[1:], np.maximum(np.abs(high[1:] - close[:-1]), np.abs(low[1:] - close[:-1])))
+    plus, minus, true = (_run(x, float(np.mean(x[:length])), length - 1, 1 / length) for x in (np.where((up > down) & (up > 0), up, 0.0), np.where((down > up) & (down > 0), down, 0.0), ranges))
+    both = (plus + minus)[length - 1 :]
+    known = true[length - 1 :] > 0
+    dx = np.where(known & (both > 0), 100 * np.abs(plus - minus)[length - 1 :] / np.where(both > 0, both, 1.0), 0.0)
+    out[length:] = _run(dx, float(np.mean(dx[:length])), length - 1, 1 / length)
+    return out
+
+
+def with_directional_index(bars: DataFrame) -> DataFrame:
+    """``bars(ticker, t, high, low, close)`` -> ``(ticker, t, adx14)``; null where undefined."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("t", ignore_index=True)
+        pdf["adx14"] = directional_index(*(pdf[c].to_numpy() for c in ("high", "low", "close")))
+        return pdf[["ticker", "t", "adx14"]].replace({np.nan: None})
+
+    return bars.select("ticker", "t", "high", "low", "close").groupBy("ticker").applyInPandas(run, "ticker string, t int, adx14 double")
+
+
 def with_recurrences(bars: DataFrame) -> DataFrame:
     """``bars(ticker, t, close)`` -> adds ema9, ema21, rsi14 and ewma_var; null where undefined."""
 

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+
 from ..config import MODELS
-from ..functions.dialect import Dialect
+from ..functions.dialect import DUCK, SPARK, Dialect
 from ..operators.configured import complete, runs
-from ..registry import plan
-from ..sources.tables import BARS
+from ..registry import oracle, plan, query
+from ..sources.scratch import stored
+from ..sources.tables import BARS, views
 from .events import _NAMED, ALERTS
 from .signals import _SHRINK, FEATURES, _newey_west
 
@@ -84,21 +87,26 @@ compared AS (SELECT f.{key}, f.model, m AS expected_ending_value, med AS median_
   row_number() OVER (PARTITION BY f.{key} ORDER BY round(v99, 9) DESC, f.model) = 1 AS most_conservative FROM far f LEFT JOIN ev ON ev.{key} = f.{key} AND ev.model = f.model)"""
 
 
-def by_ticker(d: Dialect, models: tuple[str, ...], paths: int, horizon: int, seed: int, more: dict[str, str] | None = None) -> str:
-    """Relations that end in ``runs(run, ticker, model, ...)``: every model for every ticker, with the ticker's drift, volatility and history."""
+def by_ticker(d: Dialect, models: tuple[str, ...], paths: int, horizon: int, seed: int, more: dict[str, str] | None = None, averages: bool = False) -> str:
+    """Relations ``mkt`` and more that end in ``runs(run, ticker, model, ...)``: every model for every ticker, with the ticker's drift, volatility and history."""
     more = {"jumps": "3E0"} | (more or {})
+    mu = more.pop("mu", "m.mu")
     history = any(m.endswith("bootstrap") for m in models)
     names = " UNION ALL ".join(f"SELECT '{m}' AS model" for m in models)
     h = f", CASE WHEN k.model LIKE '%bootstrap' THEN hist.h END AS h FROM mkt m CROSS JOIN ({names}) k JOIN hist ON hist.ticker = m.ticker" if history else f" FROM mkt m CROSS JOIN ({names}) k"
     own = "".join(f", {v} AS {c}" for c, v in more.items())
-    source = f"(SELECT concat(m.ticker, ':', k.model) AS run, m.ticker, k.model, {paths} AS paths, {horizon} AS horizon, m.mu, m.sigma, 100E0 AS s0, {seed} AS seed{own}{h})"
+    source = f"(SELECT concat(m.ticker, ':', k.model) AS run, m.ticker, k.model, {paths} AS paths, {horizon} AS horizon, {mu} AS mu, m.sigma, 100E0 AS s0, {seed} AS seed{own}{h})"
     kept = ("ticker",)
     cfg = complete(source, ("mu", "sigma", "s0", "seed", *more), kept, history)
-    return f"{market(d, history)}, cfg AS {cfg}, {runs(d, 'cfg', models=models, keep=('ticker', 'model'), history=history, most_paths=paths)}"
+    return f"{market(d, history)}, cfg AS {cfg}, {runs(d, 'cfg', models=models, keep=('ticker', 'model'), history=history, most_paths=paths, averages=averages)}"
 
 
-@plan
-def comparison_table(d: Dialect) -> str:
+_TABLE = "SELECT ticker, " + ", ".join(c if c in ("model", "disagreement_rank", "runtime_seconds", "chunk_safe") else f"round({c}, 5) AS {c}" for c in COMPARISON) + ", most_conservative FROM compared"
+
+
+@query(oracle(f"WITH {_recursive(DUCK)}{BARS}, {by_ticker(DUCK, MODELS, 200, 12, 101)}, {compared(DUCK)} {_TABLE}"))
+def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The nine models on each ticker's own figures and history, as the 22 columns of the comparison."""
-    cols = ", ".join(c if c in ("model", "disagreement_rank", "runtime_seconds", "chunk_safe") else f"round({c}, 5) AS {c}" for c in COMPARISON)
-    return f"WITH {_recursive(d)}{BARS}, {by_ticker(d, MODELS, 200, 12, 101)}, {compared(d)} SELECT ticker, {cols}, most_conservative FROM compared"
+    views(spark, sf_dir)
+    paths = stored(spark.sql(f"WITH {BARS}, {by_ticker(SPARK, MODELS, 200, 12, 101)} SELECT * FROM runs"), "runs")
+    return spark.sql(f"WITH runs AS (SELECT * FROM {{runs}}), {compared(SPARK)} {_TABLE}", runs=paths)

@@ -2,20 +2,20 @@
 
 from __future__ import annotations
 
-from dataclasses import replace
-
 from pyspark.sql import DataFrame, SparkSession
 
-from ..config import Simulation
 from ..functions.dialect import Dialect
-from ..operators.simulate import relation
+from ..operators.configured import complete, runs
 from ..registry import plan, query
 from ..sources.tables import BARS, views
+from .configured import _recursive, market
 from .signals import _SHRINK, FEATURES, _newey_west
 from .validation import RESAMPLES, TRADES, autocovariance, running_sums, shrunk_drift
 
 # Limits of stops and targets, and their defaults; the tolerances' caps on large losses; tax rates.
 STOP_RANGE, TARGET_RANGE, DEFAULT_STOP, DEFAULT_TARGET, ATR_MULTIPLE = (0.005, 0.08), (0.005, 0.15), 0.02, 0.03, 2.0
+#: Below this average directional index no trend is believed.
+TREND_LEAST = 20.0
 LOSS_CAPS = {"Conservative": 0.08, "Moderate": 0.18, "Aggressive": 0.30}
 SHORT_TAX, LONG_TAX = 0.35, 0.15
 HORIZONS = (5, 21, 63, 126, 252)
@@ -98,7 +98,7 @@ def chart_levels(d: Dialect) -> str:
 
     Levels are extremes of the last 10, 20 and 60 bars with strengths .4, .7 and .9. A stop from a level is at least one true
     range; without a level it is twice the range, without that the default. Targets default to 1.5 stops. Then the soft
-    drift, the scale of volatility, the size under its caps and the action under the risk limits.
+    drift, which an average directional index below 20 forces to zero, the scale of volatility, the size under its caps and the action under the risk limits.
     """
     o = "(PARTITION BY ticker ORDER BY t ROWS BETWEEN {} PRECEDING AND CURRENT ROW)"
     spans = ((10, 0.4), (20, 0.7), (60, 0.9))
@@ -107,6 +107,7 @@ def chart_levels(d: Dialect) -> str:
     return f"""WITH {FEATURES},
 x AS (SELECT h.ticker, h.t, f.close, f.osc, f.fast > f.slow AS up, CASE WHEN h.t > 14 THEN avg(h.high - h.low) OVER (PARTITION BY h.ticker ORDER BY h.t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW) END AS atr,
       least(1E0, 0.3E0 + abs(f.osc - 50) / 50) AS conf, {extremes.replace("ticker", "h.ticker").replace("BY t ", "BY h.t ").replace("(low)", "(h.low)").replace("(high)", "(h.high)")} FROM ohlc h JOIN feat f ON f.ticker = h.ticker AND f.t = h.t),
+ax AS (SELECT ticker, t, adx14, coalesce(adx14 < {TREND_LEAST}E0, false) AS gated FROM dmi),
 side AS (SELECT *, CASE WHEN osc BETWEEN 48 AND 52 THEN 'flat' WHEN up THEN 'long' ELSE 'short' END AS side FROM x),
 lv AS ({levels}),
 rk AS (SELECT s.ticker, s.t, lv.px, (lv.kind = 'support') = (s.side = 'long') AS is_stop,
@@ -117,10 +118,10 @@ st AS (SELECT s.ticker, s.t, s.side, s.close, s.osc, s.conf, pk.tp, CASE WHEN sp
        FROM side s LEFT JOIN pk ON pk.ticker = s.ticker AND pk.t = s.t),
 z AS (SELECT *, {_clip(f"CASE WHEN tp IS NOT NULL THEN abs(tp - close) / close ELSE greatest({DEFAULT_TARGET}E0, 1.5E0 * stop) END", TARGET_RANGE)} AS target,
       least(100000 * 0.01E0 / stop * conf, 20000E0, 100000 * 0.25E0) AS notional FROM st)
-SELECT ticker, t, side, round(stop, 8) AS stop, round(target, 8) AS target, round(CASE side WHEN 'long' THEN close * (1 - stop) WHEN 'short' THEN close * (1 + stop) END, 6) AS stop_price,
-       round((CASE side WHEN 'long' THEN 0.05E0 WHEN 'short' THEN -0.05E0 ELSE 0E0 END + CASE WHEN osc >= 70 THEN -0.01E0 WHEN osc <= 30 THEN 0.01E0 ELSE 0E0 END) * conf, 8) AS drift,
+SELECT z.ticker, z.t, side, round(adx14, 6) AS adx, gated AND side <> 'flat' AS drift_gated, round(stop, 8) AS stop, round(target, 8) AS target, round(CASE side WHEN 'long' THEN close * (1 - stop) WHEN 'short' THEN close * (1 + stop) END, 6) AS stop_price,
+       round(CASE WHEN gated THEN 0E0 ELSE 1E0 END * (CASE side WHEN 'long' THEN 0.05E0 WHEN 'short' THEN -0.05E0 ELSE 0E0 END + CASE WHEN osc >= 70 THEN -0.01E0 WHEN osc <= 30 THEN 0.01E0 ELSE 0E0 END) * conf, 8) AS drift,
        round({_clip("1 + 0.25E0 * abs(osc - 50) / 50", (0.7, 1.4))}, 6) AS vol_scale, round(CASE WHEN conf < 0.4E0 THEN 0E0 ELSE notional / close END, 6) AS shares,
-       CASE WHEN conf < 0.4E0 THEN 'confidence_block' WHEN notional >= 20000 THEN 'max_order_notional' ELSE 'none' END AS capped_by, CASE WHEN side = 'flat' OR conf < 0.4E0 THEN 'flat' ELSE side END AS action FROM z"""
+       CASE WHEN conf < 0.4E0 THEN 'confidence_block' WHEN notional >= 20000 THEN 'max_order_notional' ELSE 'none' END AS capped_by, CASE WHEN side = 'flat' OR conf < 0.4E0 THEN 'flat' ELSE side END AS action FROM z LEFT JOIN ax ON ax.ticker = z.ticker AND ax.t = z.t"""
 
 
 #: Candidates of the reversal rule: a three-bar fall of more than 1.5 population deviations of the twenty returns before.
@@ -225,18 +226,17 @@ SELECT ticker, bucket, CAST(n AS BIGINT) AS n, round(mu, 8) AS mu, CASE WHEN t I
 
 @plan
 def stress_suite(d: Dialect) -> str:
-    """Seven overlays of one configuration over common draws, and the scenario with the lowest expected value."""
-    c = Simulation(paths=400, horizon=12, mu=0.12, sigma=0.3, seed=73)
-    runs = {
-        "Zero drift": replace(c, drift_mode="zero"), "Half historical drift": replace(c, drift_mode="half"), "Volatility doubled": replace(c, vol_multiplier=2.0), "One-day crash -10%": replace(c, crash=0.1),
-        "One-day crash -20%": replace(c, crash=0.2), "Bear regime": replace(c, model="regime", drift_mode="zero"), "Combined": replace(c, drift_mode="zero", vol_multiplier=2.0, crash=0.2),
-    }
-    body = ", ".join(relation(d, r, "", f"sc{i}") for i, r in enumerate(runs.values()))
-    arms = " UNION ALL ".join(f"SELECT '{name}' AS scenario, s, low FROM sc{i}" for i, name in enumerate(runs))
+    """Seven overlays of each ticker's own figures as rows of one plan, over common draws, and the scenario with the lowest expected value."""
+    scenarios = [
+        ("Zero drift", "gbm", 0.0, 1.0, 0.0), ("Half historical drift", "gbm", 0.5, 1.0, 0.0), ("Volatility doubled", "gbm", 1.0, 2.0, 0.0), ("One-day crash -10%", "gbm", 1.0, 1.0, 0.1),
+        ("One-day crash -20%", "gbm", 1.0, 1.0, 0.2), ("Bear regime", "regime", 0.0, 1.0, 0.0), ("Combined", "gbm", 0.0, 2.0, 0.2),
+    ]
+    source = f"(SELECT concat(ticker, ':', scenario) AS run, ticker, scenario, x.model, 100 AS paths, 12 AS horizon, mu * drift AS mu, sigma * vol AS sigma, x.crash, 73 AS seed FROM mkt CROSS JOIN {_values(scenarios, 'scenario, model, drift, vol, crash')} x)"
+    keep = ("ticker", "scenario")
     p = lambda x: f"round(avg(CASE WHEN {x} THEN 1E0 ELSE 0E0 END), 6)"
-    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{body},
-z AS (SELECT scenario, avg(s) AS m, {d.quantile("s", 0.5)} AS med, {p("s < 100")} AS prob_loss, {p("s <= 80")} AS prob_loss_20, {p("low <= 50")} AS prob_ruin FROM ({arms}) q GROUP BY scenario)
-SELECT scenario, round(m, 6) AS expected_value, round(med, 6) AS median_value, prob_loss, prob_loss_20, prob_ruin, m = min(m) OVER () AS worst FROM z"""
+    return f"""WITH {_recursive(d)}{BARS}, {market(d)}, cfg AS {complete(source, ("mu", "sigma", "crash", "seed"), keep)}, {runs(d, "cfg", models=("gbm", "regime"), keep=keep, most_paths=100)},
+z AS (SELECT ticker, scenario, avg(s) AS m, {d.quantile("s", 0.5)} AS med, {p("s < 100")} AS prob_loss, {p("s <= 80")} AS prob_loss_20, {p("low <= 50")} AS prob_ruin FROM runs GROUP BY ticker, scenario)
+SELECT ticker, scenario, round(m, 6) AS expected_value, round(med, 6) AS median_value, prob_loss, prob_loss_20, prob_ruin, m = min(m) OVER (PARTITION BY ticker) AS worst FROM z"""
 
 
 @plan

@@ -8,10 +8,11 @@ from collections import deque
 from pyspark.sql import DataFrame, SparkSession
 
 from ..config import MODELS, Simulation
-from ..functions.dialect import Dialect
+from ..functions.dialect import SPARK, Dialect
 from ..operators.simulate import number, relation, simulate, summarize
 from ..registry import plan, query
-from ..sources.tables import BARS
+from ..sources.tables import BARS, views
+from .configured import market
 
 # Primitive polynomials (degree, coefficients) and initial direction numbers of dimensions 2 to 8.
 _POLYNOMIALS = ((1, 0, (1,)), (2, 1, (1, 3)), (3, 1, (1, 3, 1)), (3, 2, (1, 1, 1)), (4, 1, (1, 1, 3, 3)), (4, 4, (1, 3, 5, 13)), (5, 2, (1, 1, 5, 5, 17)))
@@ -65,26 +66,25 @@ def sobol(d: Dialect, bits: int, dimensions: int, shifts: int) -> str:
 
 @plan
 def mc_qmc_bridge(d: Dialect) -> str:
-    """Root mean square errors over replicates of keyed draws, Sobol points by step, and Sobol points by bridge, against closed forms.
+    """Root mean square errors over replicates of keyed draws, Sobol points by step, and Sobol points by bridge, against closed forms on two tickers' volatility.
 
     A path is one row: levels are fixed linear combinations of its normals, so there is no window and no shuffle but the means'.
     """
     n, bits, reps = 8, 9, 8
     step = [[1 / math.sqrt(n) if j <= t else 0.0 for j in range(n)] for t in range(n)]
     level = lambda row: " + ".join(f"{number(w)} * z{j}" for j, w in enumerate(row) if w)
-    path = lambda rows: ", ".join(f"100 * exp({number(0.01875 * (t + 1) / n)} + 0.25E0 * ({level(r)})) AS s{t}" for t, r in enumerate(rows))
+    path = lambda rows: ", ".join(f"100 * exp((0.05E0 - v * v / 2) * {number((t + 1) / n)} + v * ({level(r)})) AS s{t}" for t, r in enumerate(rows))
     zs = ", ".join(f"{d.ppf(f'u{k}')} AS z{k}" for k in range(n))
     keyed = ", ".join(f"{d.normal(52, repr('plain'), 'rep', 'path', k)} AS z{k}" for k in range(n))
     logs = " + ".join(f"ln(s{t})" for t in range(n))
-    sg, mg = 0.25 * math.sqrt((n + 1) * (2 * n + 1) / (6 * n * n)), 0.01875 * (n + 1) / (2 * n)
-    d1 = number((mg + sg * sg) / sg)
-    geometric = f"exp(-0.05E0) * (100 * {number(math.exp(mg + sg * sg / 2))} * {d.cdf(d1)} - 100 * {d.cdf(number(mg / sg))})"
-    european = f"(100 * {d.cdf(number((0.05 + 0.03125) / 0.25))} - 100 * exp(-0.05E0) * {d.cdf(number(0.01875 / 0.25))})"
-    return f"""WITH q AS ({sobol(d, bits, n, reps)}), zq AS (SELECT rep, path, {zs} FROM q),
+    sg, mg = f"(v * {number(math.sqrt((n + 1) * (2 * n + 1) / (6 * n * n)))})", f"((0.05E0 - v * v / 2) * {number((n + 1) / (2 * n))})"
+    geometric = f"exp(-0.05E0) * (100 * exp({mg} + {sg} * {sg} / 2) * {d.cdf(f'(({mg} + {sg} * {sg}) / {sg})')} - 100 * {d.cdf(f'({mg} / {sg})')})"
+    european = f"(100 * {d.cdf('((0.05E0 + v * v / 2) / v)')} - 100 * exp(-0.05E0) * {d.cdf('((0.05E0 - v * v / 2) / v)')})"
+    return f"""WITH {BARS}, {market(d)}, vt AS (SELECT ticker, sigma AS v FROM mkt WHERE ticker IN ('1-URGENT', '5-LOW')), q AS ({sobol(d, bits, n, reps)}), zq AS (SELECT rep, path, {zs} FROM q),
 zp AS (SELECT rep, path, {keyed} FROM {d.rows(1 << bits, "path")} p CROSS JOIN {d.rows(reps, "rep")} r),
-s AS (SELECT 'plain' AS method, rep, {path(step)} FROM zp UNION ALL SELECT 'sobol', rep, {path(step)} FROM zq UNION ALL SELECT 'sobol_bridge', rep, {path(bridge_weights(n))} FROM zq),
-m AS (SELECT method, rep, exp(-0.05E0) * avg(greatest(s{n - 1} - 100, 0)) AS e, exp(-0.05E0) * avg(greatest(exp(({logs}) / {n}) - 100, 0)) AS g FROM s GROUP BY method, rep)
-SELECT method, CAST(count(*) AS BIGINT) AS replicates, round(avg(e), 6) AS european, round(sqrt(avg(pow(e - {european}, 2))), 6) AS european_rms, round(avg(g), 6) AS geometric, round(sqrt(avg(pow(g - {geometric}, 2))), 6) AS geometric_rms FROM m GROUP BY method"""
+s AS (SELECT 'plain' AS method, ticker, v, rep, {path(step)} FROM zp CROSS JOIN vt UNION ALL SELECT 'sobol', ticker, v, rep, {path(step)} FROM zq CROSS JOIN vt UNION ALL SELECT 'sobol_bridge', ticker, v, rep, {path(bridge_weights(n))} FROM zq CROSS JOIN vt),
+m AS (SELECT method, ticker, v, rep, exp(-0.05E0) * avg(greatest(s{n - 1} - 100, 0)) AS e, exp(-0.05E0) * avg(greatest(exp(({logs}) / {n}) - 100, 0)) AS g FROM s GROUP BY method, ticker, v, rep)
+SELECT method, ticker, CAST(count(*) AS BIGINT) AS replicates, round(avg(e), 6) AS european, round(sqrt(avg(pow(e - {european}, 2))), 6) AS european_rms, round(avg(g), 6) AS geometric, round(sqrt(avg(pow(g - {geometric}, 2))), 6) AS geometric_rms FROM m GROUP BY method, ticker"""
 
 
 _SMALL = {"paths": 300, "horizon": 12, "seed": 61}
@@ -108,5 +108,7 @@ def risk_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The summary that `summarize` gives of one configured run, as the report's metric rows."""
     from ..sources.reports import metric_rows
 
-    c = Simulation(model="heston", paths=2000, horizon=20, seed=62).check()
+    views(spark, sf_dir)
+    own = spark.sql(f"WITH {BARS}, {market(SPARK)} SELECT mu, sigma FROM mkt WHERE ticker = '1-URGENT'").first()
+    c = Simulation(model="heston", paths=2000, horizon=20, mu=own.mu, sigma=own.sigma, seed=62).check()
     return metric_rows(summarize(simulate(spark, c), c))

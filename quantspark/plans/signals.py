@@ -56,6 +56,12 @@ SELECT ticker, t, CASE WHEN t > 60 THEN round(stddev_pop(r) OVER (PARTITION BY t
 FROM x"""
 
 
+@plan
+def feat_adx(d: Dialect) -> str:
+    """Wilder's average directional index of highs and lows, undefined in the first 27 bars."""
+    return "WITH x AS (SELECT * FROM dmi) SELECT ticker, t, round(adx14, 6) AS adx14, adx14 >= 20 AS trending FROM x"
+
+
 FLIPS = """tf AS (SELECT ticker, t, d, fast > slow AS up, lag(fast > slow) OVER (PARTITION BY ticker ORDER BY t) AS was FROM feat WHERE slow IS NOT NULL),
 flips AS (SELECT ticker, t, d, up FROM tf WHERE up <> was)"""
 

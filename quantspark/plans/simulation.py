@@ -6,27 +6,31 @@ them. Models with state are folds within a path's row, so no step is shuffled.
 
 from __future__ import annotations
 
-from ..config import Simulation
-from ..functions.dialect import Dialect
-from ..operators.simulate import relation
-from ..registry import plan
-from ..sources.tables import BARS
+from pyspark.sql import DataFrame, SparkSession
+
+from ..config import MODELS
+from ..functions.dialect import DUCK, SPARK, Dialect
+from ..registry import oracle, plan, query
+from ..sources.scratch import stored
+from ..sources.tables import BARS, views
+from .configured import _recursive, by_ticker, compared, market
 
 PATHS, STEPS = 2000, 20
+_CONSENSUS = """md AS (SELECT ticker, median(expected_ending_value) AS mm, median(percentile_5) AS mq FROM compared GROUP BY ticker)
+SELECT c.ticker, model, round(expected_ending_value, 5) AS mean, round(percentile_5, 5) AS p05, round(mm, 5) AS consensus_mean, round(mq, 5) AS consensus_p05, round(distance, 5) AS distance, disagreement_rank AS disagreement, most_conservative FROM compared c JOIN md ON md.ticker = c.ticker"""
 _DT = "(1E0 / 252)"
 
 
-def _terminal(d: Dialect, log_return: str, extra: str = "", paths: int = PATHS, steps: int = STEPS) -> str:
-    """Relations up to ``term(path, s)``: a path's value from 100 after all steps, of a per-step log return."""
+def _summary(d: Dialect, by: str = "") -> str:
+    first, last = (f"{by}, ", f" GROUP BY {by}") if by else ("", "")
     return f"""
-g AS (SELECT path, step FROM {d.rows(paths, "path")} p CROSS JOIN {d.steps(steps, "step")} q){extra},
-term AS (SELECT path, 100 * exp(sum({log_return})) AS s FROM g GROUP BY path)"""
+SELECT {first}CAST(count(*) AS BIGINT) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd, round({d.quantile("s", 0.05)}, 6) AS p05,
+       round({d.quantile("s", 0.5)}, 6) AS p50, round({d.quantile("s", 0.95)}, 6) AS p95, round(avg(CASE WHEN s < 100 THEN 1E0 ELSE 0E0 END), 6) AS prob_loss FROM {"runs" if by else "term"}{last}"""
 
 
-def _summary(d: Dialect) -> str:
-    return f"""
-SELECT CAST(count(*) AS BIGINT) AS n, round(avg(s), 6) AS mean, round(stddev_samp(s), 6) AS sd, round({d.quantile("s", 0.05)}, 6) AS p05,
-       round({d.quantile("s", 0.5)}, 6) AS p50, round({d.quantile("s", 0.95)}, 6) AS p95, round(avg(CASE WHEN s < 100 THEN 1E0 ELSE 0E0 END), 6) AS prob_loss FROM term"""
+def _model(d: Dialect, model: str, paths: int, seed: int, more: dict[str, str] | None = None) -> str:
+    """One model for every ticker, with the drift and volatility of its history."""
+    return f"WITH {_recursive(d)}{BARS}, {by_ticker(d, (model,), paths, STEPS, seed, more)} {_summary(d, 'ticker')}"
 
 
 @plan
@@ -50,17 +54,15 @@ FROM term CROSS JOIN lev"""
 
 @plan
 def risk_percentiles(d: Dialect) -> str:
-    z = d.normal(1, "'gbm'", "path", "step")
-    body = _terminal(d, f"(0.08E0 - 0.03125E0) * {_DT} + 0.25E0 * sqrt({_DT}) * {z}")
-    rows = " UNION ALL ".join(f"SELECT {p} AS pct, round({d.quantile('s', p / 100)}, 6) AS value FROM term" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))
-    return f"WITH {body} {rows}"
+    """Percentiles of each ticker's ending values."""
+    rows = " UNION ALL ".join(f"SELECT ticker, {p} AS pct, round({d.quantile('s', p / 100)}, 6) AS value FROM runs GROUP BY ticker" for p in (1, 5, 10, 25, 50, 75, 90, 95, 99))
+    return f"WITH {_recursive(d)}{BARS}, {by_ticker(d, ('gbm',), 800, STEPS, 1)} {rows}"
 
 
 @plan
 def mc_student_t(d: Dialect) -> str:
     """Five degrees of freedom: a normal over the root of a mean of five squared normals, scaled to unit variance."""
-    chi = " + ".join(f"pow({d.normal(2, repr('t'), 'path', 'step', i)}, 2)" for i in range(5))
-    return f"WITH {_terminal(d, f'(0.08E0 - 0.03125E0) * {_DT} + 0.25E0 * sqrt({_DT} * 0.6E0) * {d.normal(2, repr("z"), "path", "step")} / sqrt(({chi}) / 5)', paths=800)} {_summary(d)}"
+    return _model(d, "student_t", 300, 2)
 
 
 def _bootstrap(d: Dialect, index: str) -> str:
@@ -84,153 +86,144 @@ def mc_block_bootstrap(d: Dialect) -> str:
     return _bootstrap(d, f"CAST((CAST(floor({start} * n) AS BIGINT) + (step - 1) % 5) % n AS BIGINT)")
 
 
-#: Jumps a step at most: of the intensities used here, more have a chance below 1e-14.
-JUMPS = 5
-
-
-def _poisson(u: str, lam: float) -> str:
-    """Inverse distribution function up to JUMPS jumps a step."""
-    import math
-
-    c = [math.exp(-lam) * sum(lam**i / math.factorial(i) for i in range(k + 1)) for k in range(JUMPS)]
-    return "(CASE " + " ".join(f"WHEN {u} < {x!r}E0 THEN {k}" for k, x in enumerate(c)) + f" ELSE {JUMPS} END)"
-
-
 @plan
 def mc_merton(d: Dialect) -> str:
-    k = _poisson(d.uniform(5, "'n'", "path", "step"), 3 / 252)
-    comp = "3E0 * (exp(-0.02E0 + 0.00125E0) - 1)"
-    lr = f"(0.08E0 - 0.03125E0 - {comp}) * {_DT} + 0.25E0 * sqrt({_DT}) * {d.normal(5, repr('z'), 'path', 'step')} + {k} * -0.02E0 + sqrt(CAST({k} AS DOUBLE)) * 0.05E0 * {d.normal(5, repr('j'), 'path', 'step')}"
-    return f"WITH {_terminal(d, lr)} {_summary(d)}"
+    """Compensated drift, a Poisson number of normal jumps a step."""
+    return _model(d, "merton", 600, 5)
 
 
 @plan
 def mc_kou(d: Dialect) -> str:
     """Double-exponential jumps; each jump of a step has its own sign and size."""
-    k = _poisson(d.uniform(6, "'n'", "path", "step"), 1 / 252)
-    jump = " + ".join(f"(CASE WHEN {k} > {i} THEN CASE WHEN {d.uniform(6, repr('s'), 'path', 'step', i)} < 0.4E0 THEN -ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 25 ELSE ln({d.uniform(6, repr('m'), 'path', 'step', i)}) / 15 END ELSE 0E0 END)" for i in range(JUMPS))
-    comp = "(0.4E0 * 25 / 24 + 0.6E0 * 15 / 16 - 1)"
-    return f"WITH {_terminal(d, f'(0.08E0 - 0.03125E0 - {comp}) * {_DT} + 0.25E0 * sqrt({_DT}) * {d.normal(6, repr("z"), "path", "step")} + {jump}')} {_summary(d)}"
-
-
-def _fold(d: Dialect, zero: dict, step: dict, paths: int = 500, steps: int = STEPS) -> str:
-    """A recurrence by path: a fold within the row here, a recursive relation for the oracle. ``{name}`` reads the state."""
-    if d.name == "spark":
-        names = {k: f"a.{k}" for k in zero}
-        init = "named_struct(" + ", ".join(f"'{k}', CAST({v} AS DOUBLE)" for k, v in zero.items()) + ")"
-        move = "named_struct(" + ", ".join(f"'{k}', CAST({v.format(**names, step='step')} AS DOUBLE)" for k, v in step.items()) + ")"
-        return f"term AS (SELECT path, 100 * exp(f.x) AS s, f.* FROM (SELECT path, aggregate(sequence(1, {steps}), {init}, (a, step) -> {move}) AS f FROM {d.rows(paths, 'path')} p) w)"
-    move = ", ".join(f"CAST({v.format(**{k: k for k in zero}, step='(step + 1)')} AS DOUBLE) AS {k}" for k, v in step.items())
-    init = ", ".join(f"CAST({v} AS DOUBLE) AS {k}" for k, v in zero.items())
-    return f"walk AS (SELECT path, 0 AS step, {init} FROM {d.rows(paths, 'path')} p UNION ALL SELECT path, step + 1 AS step, {move} FROM walk WHERE step < {steps}), term AS (SELECT path, 100 * exp(x) AS s, {', '.join(zero)} FROM walk WHERE step = {steps})"
+    return _model(d, "kou", 300, 6)
 
 
 @plan
 def mc_heston(d: Dialect) -> str:
     """Full truncation: the price moves with the variance before its update."""
-    z1, z2 = d.normal(7, "'p'", "path", "{step}"), d.normal(7, "'v'", "path", "{step}")
-    x = f"{{x}} + (0.08E0 - {{v}} / 2) * {_DT} + sqrt({{v}} * {_DT}) * {z1}"
-    v = f"greatest(0E0, {{v}} + 1.5E0 * (0.0625E0 - {{v}}) * {_DT} + 0.3E0 * sqrt({{v}} * {_DT}) * (-0.7E0 * {z1} + sqrt(0.51E0) * {z2}))"
-    return f"WITH {'RECURSIVE ' if d.name == 'duckdb' else ''}{_fold(d, {'x': '0', 'v': '0.0625'}, {'x': x, 'v': v})} {_summary(d)}"
+    return _model(d, "heston", 400, 7)
 
 
 @plan
 def mc_garch(d: Dialect) -> str:
-    z = d.normal(8, "'z'", "path", "{step}")
-    h0 = "0.000248015873015873E0"
-    x = f"{{x}} + 0.08E0 / 252 - {{h}} / 2 + sqrt({{h}}) * {z}"
-    h = f"0.02E0 * {h0} + 0.08E0 * {{h}} * {z} * {z} + 0.9E0 * {{h}}"
-    return f"WITH {'RECURSIVE ' if d.name == 'duckdb' else ''}{_fold(d, {'x': '0', 'h': h0}, {'x': x, 'h': h})} {_summary(d)}"
+    """The variance of a step follows from the last shock and the last variance."""
+    return _model(d, "garch", 400, 8)
 
 
 @plan
 def mc_regime(d: Dialect) -> str:
     """Normal, volatile and crash regimes; the transition is drawn first and the new regime drives the step."""
-    c = Simulation(model="regime", mu=0.08, sigma=0.25, paths=300, horizon=STEPS, seed=9)
-    return f"WITH {'RECURSIVE ' if d.name == 'duckdb' else ''}{relation(d, c, name='term')} {_summary(d)}"
+    return _model(d, "regime", 300, 9)
 
 
 @plan
 def mc_antithetic(d: Dialect) -> str:
-    """Plain, antithetic (second half of the paths negates the first) and control-variate means with standard errors."""
-    return f"""WITH z AS (SELECT path, {d.normal(10, repr('a'), 'path')} AS z FROM {d.rows(PATHS, "path")} p),
-s AS (SELECT path, z, 100 * exp(-0.03125E0 + 0.25E0 * z) AS a, 100 * exp(-0.03125E0 - 0.25E0 * z) AS b FROM z),
-b AS (SELECT covar_samp(a, z) / var_samp(z) AS beta FROM s)
-SELECT round(avg(a), 6) AS plain, round(stddev_samp(a) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS plain_se, round(avg((a + b) / 2), 6) AS anti,
+    """Plain, antithetic (second half of the paths negates the first) and control-variate means with standard errors, at two sizes."""
+    return f"""WITH {BARS}, {market(d)}, sizes AS (SELECT 500 AS size UNION ALL SELECT {PATHS}),
+z AS (SELECT path, {d.normal(10, repr('a'), 'path')} AS z FROM {d.rows(PATHS, "path")} p),
+s AS (SELECT ticker, size, path, z, 100 * exp(mu - sigma * sigma / 2 + sigma * z) AS a, 100 * exp(mu - sigma * sigma / 2 - sigma * z) AS b FROM z CROSS JOIN mkt CROSS JOIN sizes WHERE path < size),
+b AS (SELECT ticker, size, covar_samp(a, z) / var_samp(z) AS beta FROM s GROUP BY ticker, size)
+SELECT s.ticker, s.size, round(avg(a), 6) AS plain, round(stddev_samp(a) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS plain_se, round(avg((a + b) / 2), 6) AS anti,
        round(stddev_samp((a + b) / 2) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS anti_se, round(avg(a - beta * z), 6) AS control,
        round(stddev_samp(a - beta * z) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS control_se
-FROM s CROSS JOIN b"""
+FROM s JOIN b ON b.ticker = s.ticker AND b.size = s.size GROUP BY s.ticker, s.size"""
 
 
 @plan
 def mc_drawdown(d: Dialect) -> str:
-    """Running maxima include the start; the longest stretch below a former maximum by gaps and islands."""
+    """Running maxima include the start; the longest stretch below a former maximum by gaps and islands; a path is a group of its own."""
     z = d.normal(11, "'z'", "path", "step")
-    return f"""WITH g AS (SELECT path, step FROM {d.rows(300, "path")} p CROSS JOIN {d.steps(60, "step")} q),
-px AS (SELECT path, step, 100 * exp(sum(0.0001E0 + 0.015E0 * {z} + CASE WHEN step = 1 THEN ln(0.99E0) ELSE 0E0 END) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS s FROM g),
-pk AS (SELECT path, step, s, greatest(100E0, max(s) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS m FROM px),
-isl AS (SELECT path, s, m, sum(CASE WHEN s >= m THEN 1 ELSE 0 END) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS island FROM pk),
-run AS (SELECT path, island, sum(CASE WHEN s < m THEN 1 ELSE 0 END) AS n, min(s / m - 1) AS dd, min(s) AS low FROM isl GROUP BY path, island),
-one AS (SELECT path, max(n) AS longest, min(dd) AS dd, min(low) AS low FROM run GROUP BY path)
-SELECT round(avg(dd), 6) AS mean_dd, round(min(dd), 6) AS worst_dd, round({d.quantile("dd", 0.05)}, 6) AS p05_dd, round(avg(CAST(longest AS DOUBLE)), 6) AS mean_underwater,
-       CAST(max(longest) AS BIGINT) AS max_underwater, round(avg(CASE WHEN low <= 85 THEN 1E0 ELSE 0E0 END), 6) AS prob_ruin FROM one"""
+    o = "(PARTITION BY ticker, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)"
+    return f"""WITH {BARS}, {market(d)}, g AS (SELECT ticker, mu, sigma, path, step FROM {d.rows(150, "path")} p CROSS JOIN {d.steps(60, "step")} q CROSS JOIN mkt),
+px AS (SELECT ticker, path, step, 100 * exp(sum((mu - sigma * sigma / 2) / 252 + sigma * sqrt(1E0 / 252) * {z} + CASE WHEN step = 1 THEN ln(0.99E0) ELSE 0E0 END) OVER {o}) AS s FROM g),
+pk AS (SELECT ticker, path, step, s, greatest(100E0, max(s) OVER {o}) AS m FROM px),
+isl AS (SELECT ticker, path, s, m, sum(CASE WHEN s >= m THEN 1 ELSE 0 END) OVER {o} AS island FROM pk),
+run AS (SELECT ticker, path, island, sum(CASE WHEN s < m THEN 1 ELSE 0 END) AS n, min(s / m - 1) AS dd, min(s) AS low FROM isl GROUP BY ticker, path, island),
+one AS (SELECT ticker, path, max(n) AS longest, min(dd) AS dd, min(low) AS low FROM run GROUP BY ticker, path)
+SELECT ticker, round(avg(dd), 6) AS mean_dd, round(min(dd), 6) AS worst_dd, round({d.quantile("dd", 0.05)}, 6) AS p05_dd, round(avg(CAST(longest AS DOUBLE)), 6) AS mean_underwater,
+       CAST(max(longest) AS BIGINT) AS max_underwater, round(avg(CASE WHEN low <= 85 THEN 1E0 ELSE 0E0 END), 6) AS prob_ruin FROM one GROUP BY ticker"""
 
 
 @plan
 def mc_convergence(d: Dialect) -> str:
-    z = d.normal(1, "'cv'", "path")
-    return f"""WITH s AS (SELECT path + 1 AS n, 100 * exp(-0.03125E0 + 0.25E0 * {z}) AS s FROM {d.rows(PATHS, "path")} p),
-c AS (SELECT n, avg(s) OVER (ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS m FROM s)
-SELECT CAST(n AS BIGINT) AS n, round(m, 6) AS running_mean FROM c WHERE n IN (10, 20, 50, 100, 200, 500, 1000, 2000)"""
+    """Running means at log-spaced numbers of paths: sums between them, then a prefix over eight rows a ticker."""
+    at = (10, 20, 50, 100, 200, 500, 1000, 2000)
+    place = "CASE " + " ".join(f"WHEN path < {n} THEN {n}" for n in at) + " END"
+    return f"""WITH {BARS}, {market(d)}, s AS (SELECT ticker, {place} AS n, 100 * exp(mu - sigma * sigma / 2 + sigma * {d.normal(1, "'cv'", "path")}) AS s FROM {d.rows(PATHS, "path")} p CROSS JOIN mkt),
+g AS (SELECT ticker, n, sum(s) AS s FROM s GROUP BY ticker, n)
+SELECT ticker, CAST(n AS BIGINT) AS n, round(sum(s) OVER (PARTITION BY ticker ORDER BY n) / n, 6) AS running_mean FROM g"""
 
 
 @plan
 def evt_tail(d: Dialect) -> str:
-    """Peaks over the 95th percentile of losses; generalised Pareto by moments; infinite shortfall where xi is 1 or more."""
+    """Peaks of a ticker's yearly losses over their 95th percentile; generalised Pareto by moments; infinite shortfall where xi is 1 or more."""
     z = d.normal(12, "'e'", "path")
     lv = " UNION ALL ".join(f"SELECT {p}E0 AS lev" for p in (0.95, 0.99, 0.995, 0.999))
-    return f"""WITH l AS (SELECT -(exp(-0.03125E0 + 0.25E0 * {z}) - 1) AS loss FROM {d.rows(PATHS, "path")} p),
-th AS (SELECT {d.quantile("loss", 0.95)} AS u, CAST(count(*) AS DOUBLE) AS n FROM l),
-f AS (SELECT u, n, CAST(count(*) AS DOUBLE) AS k, avg(loss - u) AS m, var_samp(loss - u) AS v FROM l CROSS JOIN th WHERE loss > u GROUP BY u, n),
-g AS (SELECT u, n, k, 0.5E0 * (1 - m * m / v) AS xi, 0.5E0 * m * (m * m / v + 1) AS beta FROM f),
-q AS (SELECT lev, u, xi, beta, k, CASE WHEN abs(xi) < 1E-9 THEN u - beta * ln((1 - lev) * n / k) ELSE u + beta / xi * (pow((1 - lev) * n / k, -xi) - 1) END AS var FROM g CROSS JOIN ({lv}) a)
-SELECT round(lev, 4) AS level, CAST(k AS BIGINT) AS exceedances, round(xi, 6) AS xi, round(beta, 6) AS beta, round(var, 6) AS var, CASE WHEN xi >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE round((var + beta - xi * u) / (1 - xi), 6) END AS es FROM q"""
+    return f"""WITH {BARS}, {market(d)}, l AS (SELECT ticker, -(exp(mu - sigma * sigma / 2 + sigma * {z}) - 1) AS loss FROM {d.rows(PATHS, "path")} p CROSS JOIN mkt),
+th AS (SELECT ticker, {d.quantile("loss", 0.95)} AS u, CAST(count(*) AS DOUBLE) AS n FROM l GROUP BY ticker),
+f AS (SELECT l.ticker, u, n, CAST(count(*) AS DOUBLE) AS k, avg(loss - u) AS m, var_samp(loss - u) AS v FROM l JOIN th ON th.ticker = l.ticker WHERE loss > u GROUP BY l.ticker, u, n),
+g AS (SELECT ticker, u, n, k, 0.5E0 * (1 - m * m / v) AS xi, 0.5E0 * m * (m * m / v + 1) AS beta FROM f),
+q AS (SELECT ticker, lev, u, xi, beta, k, CASE WHEN abs(xi) < 1E-9 THEN u - beta * ln((1 - lev) * n / k) ELSE u + beta / xi * (pow((1 - lev) * n / k, -xi) - 1) END AS var FROM g CROSS JOIN ({lv}) a)
+SELECT ticker, round(lev, 4) AS level, CAST(k AS BIGINT) AS exceedances, round(xi, 6) AS xi, round(beta, 6) AS beta, round(var, 6) AS var, CASE WHEN xi >= 1 THEN CAST('Infinity' AS DOUBLE) ELSE round((var + beta - xi * u) / (1 - xi), 6) END AS es FROM q"""
 
 
-@plan
-def portfolio_mc(d: Dialect) -> str:
-    """Correlated assets: shocks times the Cholesky factor's entries, summed by path and asset; then the basket."""
-    chol = " UNION ALL ".join(f"SELECT {i} AS i, {j} AS j, {x}E0 AS w" for i, j, x in ((0, 0, 1), (1, 0, 0.5), (1, 1, 0.8660254037844386), (2, 0, 0.3), (2, 1, 0.2309401076758503), (2, 2, 0.9255628917524166)))
-    return f"""WITH l AS ({chol}),
-z AS (SELECT path, i, sum(w * {d.normal(13, "'c'", 'path', 'j')}) AS e FROM {d.rows(PATHS, "path")} p CROSS JOIN l GROUP BY path, i),
-s AS (SELECT path, i, 100 * exp(0.05E0 - (0.2E0 + 0.05E0 * i) * (0.2E0 + 0.05E0 * i) / 2 + (0.2E0 + 0.05E0 * i) * e) AS s FROM z),
-w AS (SELECT path, max(CASE WHEN i = 0 THEN s END) AS a, max(CASE WHEN i = 1 THEN s END) AS b, max(CASE WHEN i = 2 THEN s END) AS c FROM s GROUP BY path)
-SELECT round(avg((a + b + c) / 3), 6) AS basket, round({d.quantile("(a + b + c) / 3", 0.05)}, 6) AS p05, round(corr(ln(a), ln(b)), 6) AS r01, round(corr(ln(a), ln(c)), 6) AS r02, round(corr(ln(b), ln(c)), 6) AS r12 FROM w"""
+_SHRUNK = """tail AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY t DESC) AS k FROM rets WHERE r IS NOT NULL),
+m AS (SELECT min(n) AS n, count(*) AS k FROM (SELECT ticker, max(k) AS n FROM tail GROUP BY ticker) x),
+al AS (SELECT ticker, tail.k, r FROM tail CROSS JOIN m WHERE tail.k <= m.n),
+c AS (SELECT a.ticker AS a, b.ticker AS b, covar_samp(a.r, b.r) AS c, corr(a.r, b.r) AS rho FROM al a JOIN al b ON a.k = b.k GROUP BY a.ticker, b.ticker),
+sh AS (SELECT a, b, CASE WHEN a = b THEN c ELSE c * (1 - greatest(0.1E0, least(1E0, CAST(m.k AS DOUBLE) / m.n))) END AS cov, rho FROM c CROSS JOIN m)"""
 
 
 @plan
 def cov_shrink(d: Dialect) -> str:
     """Returns aligned by position from the end; covariances shrunk to their diagonal by max(0.1, min(1, k / n))."""
-    return f"""WITH {BARS},
-tail AS (SELECT ticker, r, row_number() OVER (PARTITION BY ticker ORDER BY t DESC) AS k FROM rets WHERE r IS NOT NULL),
-m AS (SELECT min(n) AS n, count(*) AS k FROM (SELECT ticker, max(k) AS n FROM tail GROUP BY ticker) x),
-al AS (SELECT ticker, tail.k, r FROM tail CROSS JOIN m WHERE tail.k <= m.n),
-c AS (SELECT a.ticker AS a, b.ticker AS b, covar_samp(a.r, b.r) AS c, corr(a.r, b.r) AS rho FROM al a JOIN al b ON a.k = b.k GROUP BY a.ticker, b.ticker)
-SELECT a, b, round(CASE WHEN a = b THEN c ELSE c * (1 - greatest(0.1E0, least(1E0, CAST(m.k AS DOUBLE) / m.n))) END * 1000000, 6) AS shrunk, round(rho, 6) AS rho FROM c CROSS JOIN m"""
-
-
-@plan
-def model_compare(d: Dialect) -> str:
-    """Disagreement of models: deviations from the median in units of the median deviation, ranked; median consensus."""
-    arms = []
-    for i, s in enumerate((0.15, 0.2, 0.25, 0.3, 0.4)):
-        arms.append(f"SELECT 'm{i}' AS model, path, 100 * exp({-s * s / 2}E0 + {s}E0 * {d.normal(20 + i, repr('m'), 'path')}) AS s FROM {d.rows(500, 'path')} p")
-    return f"""WITH s AS ({' UNION ALL '.join(arms)}),
-a AS (SELECT model, avg(s) AS m, {d.quantile("s", 0.05)} AS q FROM s GROUP BY model),
-md AS (SELECT {d.quantile("m", 0.5)} AS mm, {d.quantile("q", 0.5)} AS mq FROM a),
-mad AS (SELECT {d.quantile("abs(m - mm)", 0.5)} AS dm, {d.quantile("abs(q - mq)", 0.5)} AS dq FROM a CROSS JOIN md),
-z AS (SELECT model, m, q, abs(m - mm) / dm + abs(q - mq) / dq AS z FROM a CROSS JOIN md CROSS JOIN mad)
-SELECT model, round(m, 6) AS mean, round(q, 6) AS p05, round(z, 6) AS distance, CAST(row_number() OVER (ORDER BY z DESC, model) AS INT) AS disagreement, q = min(q) OVER () AS most_conservative FROM z"""
+    return f"WITH {BARS}, {_SHRUNK} SELECT a, b, round(cov * 1000000, 6) AS shrunk, round(rho, 6) AS rho FROM sh"
+
+
+TICKERS = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
+
+
+def _factor() -> str:
+    """Relations that end in ``fc(i, j, w)``: the triangular factor of the tickers' shrunk covariances, a column of it after the other."""
+    n = len(TICKERS)
+    pivot = ", ".join(f"max(CASE WHEN a = '{TICKERS[i]}' AND b = '{TICKERS[j]}' THEN cov END) AS c{i}{j}" for i in range(n) for j in range(i + 1))
+    out = [f"f0 AS (SELECT {pivot} FROM sh)"]
+    for j in range(n):
+        done = lambda i, j=j: f"c{i}{j}" + "".join(f" - l{i}{k} * l{j}{k}" for k in range(j))
+        out.append(f"g{j} AS (SELECT *, sqrt({done(j)}) AS l{j}{j} FROM f{j})")
+        below = "".join(f", ({done(i)}) / l{j}{j} AS l{i}{j}" for i in range(j + 1, n))
+        out.append(f"f{j + 1} AS (SELECT *{below} FROM g{j})")
+    cells = [(i, j) for i in range(n) for j in range(i + 1)]
+    grid = " UNION ALL ".join(f"SELECT {i} AS i, '{TICKERS[i]}' AS ticker, {j} AS j" for i, j in cells)
+    pick = "CASE " + " ".join(f"WHEN i = {i} AND j = {j} THEN l{i}{j}" for i, j in cells) + " END"
+    return ", ".join(out) + f", fc AS (SELECT i, ticker, j, {pick} AS w FROM f{n} CROSS JOIN ({grid}) g)"
+
+
+@plan
+def portfolio_factor(d: Dialect) -> str:
+    """The triangular factor of the tickers' shrunk covariances; its product with its transpose gives them back."""
+    return f"WITH {BARS}, {_SHRUNK}, {_factor()}, b AS (SELECT x.ticker AS a, y.ticker AS b, sum(x.w * y.w) AS cov FROM fc x JOIN fc y ON y.j = x.j GROUP BY x.ticker, y.ticker) SELECT f.ticker, CAST(f.j AS INT) AS j, round(f.w * 1000, 6) AS w, abs(b.cov - sh.cov) < 1E-15 AS exact FROM fc f JOIN b ON b.a = f.ticker AND b.b = f.ticker JOIN sh ON sh.a = f.ticker AND sh.b = f.ticker"
+
+
+@plan
+def portfolio_mc(d: Dialect) -> str:
+    """Correlated assets from their own returns: shocks times the factor's entries, summed by path and asset; then the basket of equal shares."""
+    pick = ", ".join(f"max(CASE WHEN i = {i} THEN s END) AS s{i}" for i in range(len(TICKERS)))
+    mean = "(" + " + ".join(f"s{i}" for i in range(len(TICKERS))) + f") / {len(TICKERS)}"
+    return f"""WITH {BARS}, {_SHRUNK}, {_factor()}, dr AS (SELECT ticker, avg(r) AS m FROM al GROUP BY ticker),
+z AS (SELECT path, i, ticker, sum(w * {d.normal(13, "'c'", 'path', 'j')}) AS e FROM {d.rows(PATHS, "path")} p CROSS JOIN fc GROUP BY path, i, ticker),
+s AS (SELECT path, i, 100 * exp(21 * m + sqrt(21E0) * e) AS s FROM z JOIN dr ON dr.ticker = z.ticker),
+w AS (SELECT path, {pick} FROM s GROUP BY path), b AS (SELECT *, {mean} AS b FROM w)
+SELECT round(avg(b), 6) AS basket, round({d.quantile("b", 0.05)}, 6) AS p05, round({d.quantile("b", 0.95)}, 6) AS p95, round(100 - {d.quantile("b", 0.01)}, 6) AS var99, round(avg(CASE WHEN b < 100 THEN 1E0 ELSE 0E0 END), 6) AS prob_loss,
+       {", ".join(f"round(avg(s{i}), 6) AS mean_{i}, round(corr(ln(s0), ln(s{i})), 6) AS rho_0{i}" for i in range(len(TICKERS)))} FROM b"""
+
+
+@query(oracle(f"WITH {_recursive(DUCK)}{BARS}, {by_ticker(DUCK, MODELS, 120, 10, 20)}, {compared(DUCK)}, {_CONSENSUS}"))
+def model_compare(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Disagreement of the nine models by ticker: ranks by distance from their medians, median consensus, the most conservative one."""
+    views(spark, sf_dir)
+    paths = stored(spark.sql(f"WITH {BARS}, {by_ticker(SPARK, MODELS, 120, 10, 20)} SELECT * FROM runs"), "runs")
+    return spark.sql(f"WITH runs AS (SELECT * FROM {{runs}}), {compared(SPARK)}, {_CONSENSUS}", runs=paths)
 
 
 @plan

@@ -4,12 +4,13 @@ from __future__ import annotations
 
 import math
 
-from ..config import RISK_LEVELS, Simulation
+from ..config import RISK_LEVELS
 from ..functions.dialect import Dialect
-from ..operators.options import Option, paths_relation, setting
-from ..operators.simulate import number, relation
+from ..operators.options import Option
+from ..operators.simulate import number
 from ..registry import plan
 from ..sources.tables import BARS
+from .configured import _recursive, by_ticker
 
 
 def _share(c: str) -> str:
@@ -18,22 +19,22 @@ def _share(c: str) -> str:
 
 @plan
 def stats_bundle(d: Dialect) -> str:
-    """Net ending values: moments, chances by threshold, the worst hundredth, losses at three levels, ratios, and their annual values."""
-    c = Simulation(paths=2000, horizon=42, mu=0.08, sigma=0.25, cost=0.001, seed=81)
-    ann = number(math.sqrt(1 / (c.horizon * c.dt)))
+    """Net ending values of each ticker: moments, chances by threshold, the worst hundredth, losses at three levels, ratios, and their annual values."""
+    steps = 42
+    ann, per = number(math.sqrt(252 / steps)), number(252 / steps)
     key = lambda v: f"{v:g}".replace(".", "_")
     cuts = ", ".join(f"{d.quantile('s - 100', 1 - v / 100)} AS q{key(v)}" for v in RISK_LEVELS)
     tails = ", ".join(f"coalesce(avg(CASE WHEN s - 100 <= q{key(v)} THEN s - 100 END), min(s - 100)) AS e{key(v)}" for v in RISK_LEVELS)
     risk = ", ".join(f"round(-q{key(v)}, 6) AS var_{key(v)}, round(-q{key(v)} / 100, 8) AS var_pct_{key(v)}, round(-e{key(v)}, 6) AS es_{key(v)}, round(-e{key(v)} / 100, 8) AS es_pct_{key(v)}" for v in RISK_LEVELS)
     ratio = lambda a, b: f"(CASE WHEN {b} > 0 THEN {a} / {b} ELSE 0E0 END)"
-    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{relation(d, c)},
-q AS (SELECT {cuts}, {d.quantile("s", 0.01)} AS p01 FROM sim),
-a AS (SELECT count(*) AS n, avg(s) AS m, {d.quantile("s", 0.5)} AS med, coalesce(stddev_samp(s), 0E0) AS sd, min(s) AS lo, max(s) AS hi, {_share("s > 100")} AS up, {_share("s < 100")} AS down, {_share("s > 120")} AS g20, {_share("s < 90")} AS l10, {_share("s < 80")} AS l20,
-        avg(CASE WHEN s <= p01 THEN s END) AS w1, {tails}, coalesce(sqrt(avg(CASE WHEN s < 100 THEN (s / 100 - 1) * (s / 100 - 1) END)), 0E0) AS dn, -avg(drawdown) AS mdd, {_share("low <= 50")} AS ruin, {_share("drawdown <= -0.5E0")} AS dd50 FROM sim CROSS JOIN q),
-r AS (SELECT a.*, q.*, m / 100 - 1 AS er, sd / 100 AS sr FROM a CROSS JOIN q)
-SELECT CAST(n AS BIGINT) AS paths, round(m, 6) AS expected_value, round(med, 6) AS median_value, round(er, 8) AS expected_return, round(sd, 6) AS std_value, round(lo, 6) AS min_value, round(hi, 6) AS max_value, up AS prob_profit, down AS prob_loss, g20 AS prob_gain_20, l10 AS prob_loss_10, l20 AS prob_loss_20,
+    return f"""WITH {_recursive(d)}{BARS}, {by_ticker(d, ("gbm",), 400, steps, 81, {"cost": "0.001E0"})},
+q AS (SELECT ticker, {cuts}, {d.quantile("s", 0.01)} AS p01 FROM runs GROUP BY ticker),
+a AS (SELECT sim.ticker, count(*) AS n, avg(s) AS m, {d.quantile("s", 0.5)} AS med, coalesce(stddev_samp(s), 0E0) AS sd, min(s) AS lo, max(s) AS hi, {_share("s > 100")} AS up, {_share("s < 100")} AS down, {_share("s > 120")} AS g20, {_share("s < 90")} AS l10, {_share("s < 80")} AS l20,
+        avg(CASE WHEN s <= p01 THEN s END) AS w1, {tails}, coalesce(sqrt(avg(CASE WHEN s < 100 THEN (s / 100 - 1) * (s / 100 - 1) END)), 0E0) AS dn, -avg(drawdown) AS mdd, {_share("low <= 50")} AS ruin, {_share("drawdown <= -0.5E0")} AS dd50 FROM runs sim JOIN q ON q.ticker = sim.ticker GROUP BY sim.ticker),
+r AS (SELECT a.*, {', '.join(f'q.q{key(v)}' for v in RISK_LEVELS)}, m / 100 - 1 AS er, sd / 100 AS sr FROM a JOIN q ON q.ticker = a.ticker)
+SELECT ticker, CAST(n AS BIGINT) AS paths, round(m, 6) AS expected_value, round(med, 6) AS median_value, round(er, 8) AS expected_return, round(sd, 6) AS std_value, round(lo, 6) AS min_value, round(hi, 6) AS max_value, up AS prob_profit, down AS prob_loss, g20 AS prob_gain_20, l10 AS prob_loss_10, l20 AS prob_loss_20,
        round(w1, 6) AS worst_1pct, {risk}, round(sr, 8) AS return_std, round(dn, 8) AS downside_std, round({ratio("er", "sr")}, 6) AS sharpe, round({ratio("er", "dn")}, 6) AS sortino, round({ratio("er", "(sr * sr)")}, 6) AS kelly, round({ann} * {ratio("er", "sr")}, 6) AS sharpe_annual,
-       round({ann} * {ratio("er", "dn")}, 6) AS sortino_annual, round(pow(1 + er, {number(1 / (c.horizon * c.dt))}) - 1, 8) AS annualized_return, round({ratio(f"(pow(1 + er, {number(1 / (c.horizon * c.dt))}) - 1)", "mdd")}, 6) AS calmar, round(mdd, 8) AS mean_max_drawdown, ruin AS prob_ruin, dd50 AS prob_drawdown_50 FROM r"""
+       round({ann} * {ratio("er", "dn")}, 6) AS sortino_annual, round(pow(1 + er, {per}) - 1, 8) AS annualized_return, round({ratio(f"(pow(1 + er, {per}) - 1)", "mdd")}, 6) AS calmar, round(mdd, 8) AS mean_max_drawdown, ruin AS prob_ruin, dd50 AS prob_drawdown_50 FROM r"""
 
 
 _CONTRACTS = {
@@ -44,15 +45,13 @@ _CONTRACTS = {
 
 @plan
 def option_models(d: Dialect) -> str:
-    """Eleven contracts under four models: price and error, and the discounted mean price over its error from the start (the drift's check)."""
-    rate, years = 0.05, 0.5
-    models = ("gbm", "heston", "merton", "regime")
-    sims = ", ".join(paths_relation(d, setting(m, 100.0, rate, 0.25, years, 20, 1000, 90 + i), f"sim{i}") for i, m in enumerate(models))
+    """Eleven contracts under four models on each ticker's volatility: price and error, and the discounted mean price over its error from the start (the drift's check)."""
+    rate, years, steps = 0.05, 0.5, 20
     disc = number(math.exp(-rate * years))
     cols = lambda x, k: f"round(avg({disc} * {x}), 6) AS {k}, round(stddev_samp({disc} * {x}) / sqrt(CAST(count(*) AS DOUBLE)), 6) AS {k}_se"
-    arms = " UNION ALL ".join(f"SELECT '{m}' AS model, s, low, high, mean, geometric FROM sim{i}" for i, m in enumerate(models))
-    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{sims}, z AS ({arms})
-SELECT model, {", ".join(cols(o.payoff(), k) for k, o in _CONTRACTS.items())}, round((avg({disc} * s) - 100) / (stddev_samp({disc} * s) / sqrt(CAST(count(*) AS DOUBLE))), 5) AS drift_z FROM z GROUP BY model"""
+    sims = by_ticker(d, ("gbm", "heston", "merton", "regime"), 250, steps, 90, {"mu": number(rate), "dt": number(years / steps)}, averages=True)
+    return f"""WITH {_recursive(d)}{BARS}, {sims}
+SELECT ticker, model, {", ".join(cols(o.payoff(), k) for k, o in _CONTRACTS.items())}, round((avg({disc} * s) - 100) / (stddev_samp({disc} * s) / sqrt(CAST(count(*) AS DOUBLE))), 5) AS drift_z FROM runs GROUP BY ticker, model"""
 
 
 @plan

@@ -10,6 +10,7 @@ from ..operators.rules import apply_rule
 from ..registry import plan, query
 from ..sources.tables import BARS, views
 from ..tactical import Rule
+from .configured import market
 from .decisions import SHORT_TAX, _values
 from .events import _TAIL, LOG
 from .signals import _SHRINK, FEATURES, FLIPS, _newey_west
@@ -20,36 +21,36 @@ _COST = 0.0005
 _GRID = [
     (1, 0.02, 0.0, 0.0, 5, 0), (-1, 0.02, 0.0, 0.0, 5, 0), (1, 0.03, 0.04, 0.02, 10, 0), (-1, 0.03, 0.04, 0.02, 10, 0), (1, 0.0, 0.03, 0.0, 10, 2), (-1, 0.0, 0.03, 0.0, 10, 2), (1, 0.05, 0.0, 0.015, 8, 20), (-1, 0.0, 0.0, 0.0, 12, 0),
 ]
-_GRID_PATHS, _GRID_DAYS = 400, 12
+_GRID_PATHS, _GRID_DAYS = 100, 12
 
 
 @plan
 def rule_grid(d: Dialect) -> str:
-    """Rules of both sides over the same paths, a fold a path and rule; exits in order, statistics by rule.
+    """Rules of both sides over each ticker's paths, a fold a path and rule; exits in order, statistics by rule.
 
     An iteration decides on the price of the day before its step, then moves it. A rule that enters after the last day has no trade.
     """
     n = _GRID_DAYS
     cells = _values([(i, *map(float, r)) for i, r in enumerate(_GRID)], "rule, side, stop, target, trail, hold, start")
-    source = f"(SELECT rule * 1000 + path AS path, side, stop, target, trail, hold, start FROM {d.rows(_GRID_PATHS, 'path')} p CROSS JOIN {cells} g)"
+    source = f"(SELECT rank * 100000 + rule * 1000 + path AS path, side, stop, target, trail, hold, start, (mu - sigma * sigma / 2) / 252 AS a, sigma * sqrt(1E0 / 252) AS v FROM {d.rows(_GRID_PATHS, 'path')} p CROSS JOIN {cells} g CROSS JOIN ranked)"
     day = "({step} - 1)"
     best = "({side} * greatest({side} * {m}, {side} * {x}))"
     stop, target, trail = "({stop} > 0 AND {side} * {x} <= {side} * {e} * (1 - {side} * {stop}))", "({target} > 0 AND {side} * {x} >= {side} * {e} * (1 + {side} * {target}))", f"({{trail}} > 0 AND {{side}} * {{x}} <= {{side}} * {best} * (1 - {{side}} * {{trail}}))"
     why = f"CASE WHEN {stop} THEN 1 WHEN {target} THEN 2 WHEN {trail} THEN 3 WHEN {day} - {{d}} >= {{hold}} OR {day} = {n} THEN 4 ELSE 0 END"
     closes, opens = f"{{o}} = 1 AND {why} > 0", f"{{o}} = 0 AND {day} >= {{start}} AND {day} < {n}"
-    fixed = ("side", "stop", "target", "trail", "hold", "start")
+    fixed = ("side", "stop", "target", "trail", "hold", "start", "a", "v")
     state = {"x": "100", "o": "0", "e": "0", "m": "0", "d": "0", "y": "0", "r": "0", "k": "0"} | {c: c for c in fixed}
     move = {
-        "x": f"{{x}} * exp(0.0002E0 + 0.02E0 * {d.normal(46, repr('grid'), '(path % 1000)', '{step}')})", "o": f"CASE WHEN {closes} THEN 2 WHEN {opens} THEN 1 ELSE {{o}} END", "e": f"CASE WHEN {opens} THEN {{x}} ELSE {{e}} END",
+        "x": f"{{x}} * exp({{a}} + {{v}} * {d.normal(46, repr('grid'), '(path % 1000)', '{step}')})", "o": f"CASE WHEN {closes} THEN 2 WHEN {opens} THEN 1 ELSE {{o}} END", "e": f"CASE WHEN {opens} THEN {{x}} ELSE {{e}} END",
         "m": f"CASE WHEN {opens} THEN {{x}} ELSE {best} END", "d": f"CASE WHEN {opens} THEN {day} ELSE {{d}} END", "y": f"CASE WHEN {closes} THEN {{x}} ELSE {{y}} END", "r": f"CASE WHEN {closes} THEN {why} ELSE {{r}} END",
         "k": f"CASE WHEN {closes} THEN {day} - {{d}} ELSE {{k}} END",
     } | {c: f"{{{c}}}" for c in fixed}
     share = lambda c: f"round(avg(CASE WHEN {c} THEN 1E0 ELSE 0E0 END), 6)"
-    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{d.fold("f", source, state, move, n + 1, [])},
-p AS (SELECT CAST(floor(path / 1000) AS INT) AS rule, r, k, CASE WHEN o = 2 THEN side * (y - e) - {_COST}E0 * (y + e) ELSE 0E0 END AS pnl, CASE WHEN o = 2 THEN (side * (y - e) - {_COST}E0 * (y + e)) / e ELSE 0E0 END AS pct FROM f)
-SELECT rule, CAST(count(*) AS BIGINT) AS n_paths, {share("pnl > 1E-12")} AS prob_profit, {share("pnl < -1E-12")} AS prob_loss, round(avg(pnl), 6) AS avg_pnl, round({d.quantile("pnl", 0.5)}, 6) AS median_pnl, round(coalesce(stddev_samp(pnl), 0E0), 6) AS std_pnl,
+    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{BARS}, {market(d)}, ranked AS (SELECT ticker, mu, sigma, CAST(row_number() OVER (ORDER BY ticker) AS BIGINT) AS rank FROM mkt), {d.fold("f", source, state, move, n + 1, [])},
+p AS (SELECT ticker, CAST(floor(path / 1000) AS INT) % 100 AS rule, r, k, CASE WHEN o = 2 THEN side * (y - e) - {_COST}E0 * (y + e) ELSE 0E0 END AS pnl, CASE WHEN o = 2 THEN (side * (y - e) - {_COST}E0 * (y + e)) / e ELSE 0E0 END AS pct FROM f JOIN ranked ON ranked.rank = CAST(floor(path / 100000) AS BIGINT))
+SELECT ticker, rule, CAST(count(*) AS BIGINT) AS n_paths, {share("pnl > 1E-12")} AS prob_profit, {share("pnl < -1E-12")} AS prob_loss, round(avg(pnl), 6) AS avg_pnl, round({d.quantile("pnl", 0.5)}, 6) AS median_pnl, round(coalesce(stddev_samp(pnl), 0E0), 6) AS std_pnl,
        round(max(pnl), 6) AS best_pnl, round(min(pnl), 6) AS worst_pnl, round(avg(pct), 8) AS avg_pnl_pct, round({d.quantile("pnl", 0.05)}, 6) AS pnl_p05, round({d.quantile("pnl", 0.95)}, 6) AS pnl_p95, {share("r > 0")} AS frac_with_trade,
-       {share("r = 1")} AS stop_rate, {share("r = 2")} AS target_rate, {share("r = 3")} AS trail_rate, {share("r = 4")} AS hold_rate, round(avg(k), 6) AS avg_days FROM p GROUP BY rule"""
+       {share("r = 1")} AS stop_rate, {share("r = 2")} AS target_rate, {share("r = 3")} AS trail_rate, {share("r = 4")} AS hold_rate, round(avg(k), 6) AS avg_days FROM p GROUP BY ticker, rule"""
 
 
 _SHORT = Rule("short swing", side="short", stop=0.02, target=0.04, trail=0.015, hold=10)

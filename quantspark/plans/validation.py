@@ -11,12 +11,14 @@ from ..functions.dialect import Dialect
 from ..operators.meta_label import meta_labels
 from ..registry import plan, query
 from ..sources.tables import BARS, views
+from .configured import market
 from .signals import FEATURES, FLIPS
 
 
-def _paths(d: Dialect, n: int = 400, steps: int = 15) -> str:
+def _paths(d: Dialect, n: int = 200, steps: int = 15) -> str:
+    """Relations that end in ``px(ticker, path, step, s)``: daily prices from 100 on each ticker's drift and volatility."""
     z = d.normal(41, "'r'", "path", "step")
-    return f"px AS (SELECT path, step, 100 * exp(sum(0.0002E0 + 0.02E0 * {z}) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS s FROM {d.rows(n, 'path')} p CROSS JOIN {d.steps(steps, 'step')} q)"
+    return f"{BARS}, {market(d)}, px AS (SELECT ticker, path, step, 100 * exp(sum((mu - sigma * sigma / 2) / 252 + sigma * sqrt(1E0 / 252) * {z}) OVER (PARTITION BY ticker, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS s FROM {d.rows(n, 'path')} p CROSS JOIN {d.steps(steps, 'step')} q CROSS JOIN mkt)"
 
 
 _PNL = "(x * (1 - 0.0005E0) - e * (1 + 0.0005E0))"
@@ -26,11 +28,11 @@ _PNL = "(x * (1 - 0.0005E0) - e * (1 + 0.0005E0))"
 def rule_exits(d: Dialect) -> str:
     """Long rule: stop, then take profit, then trailing stop, then the holding limit; the trailing peak is updated first."""
     return f"""WITH {_paths(d)},
-k AS (SELECT path, step, s, greatest(100E0, max(s) OVER (PARTITION BY path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM px),
-h AS (SELECT path, step, s, CASE WHEN s <= 97 THEN 'stop_loss' WHEN s >= 104 THEN 'take_profit' WHEN s <= 0.975E0 * peak THEN 'trailing_stop' WHEN step >= 10 THEN 'max_holding' END AS why FROM k),
-f AS (SELECT path, min(step) AS step FROM h WHERE why IS NOT NULL GROUP BY path),
-x AS (SELECT h.path, h.step, h.why, h.s AS x, 100E0 AS e FROM h JOIN f ON h.path = f.path AND h.step = f.step)
-SELECT why AS exit_reason, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(step AS DOUBLE)), 6) AS mean_days, round(avg({_PNL} / e), 6) AS mean_pnl, round(avg(CASE WHEN {_PNL} > 1E-12 THEN 1E0 ELSE 0E0 END), 6) AS win_rate FROM x GROUP BY why"""
+k AS (SELECT ticker, path, step, s, greatest(100E0, max(s) OVER (PARTITION BY ticker, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS peak FROM px),
+h AS (SELECT ticker, path, step, s, CASE WHEN s <= 98.5E0 THEN 'stop_loss' WHEN s >= 102 THEN 'take_profit' WHEN s <= 0.9875E0 * peak THEN 'trailing_stop' WHEN step >= 10 THEN 'max_holding' END AS why FROM k),
+f AS (SELECT ticker, path, min(step) AS step FROM h WHERE why IS NOT NULL GROUP BY ticker, path),
+x AS (SELECT h.ticker, h.path, h.step, h.why, h.s AS x, 100E0 AS e FROM h JOIN f ON h.ticker = f.ticker AND h.path = f.path AND h.step = f.step)
+SELECT ticker, why AS exit_reason, CAST(count(*) AS BIGINT) AS n, round(avg(CAST(step AS DOUBLE)), 6) AS mean_days, round(avg({_PNL} / e), 6) AS mean_pnl, round(avg(CASE WHEN {_PNL} > 1E-12 THEN 1E0 ELSE 0E0 END), 6) AS win_rate FROM x GROUP BY ticker, why"""
 
 
 @plan
@@ -41,10 +43,10 @@ def rule_reentry(d: Dialect) -> str:
     """
     n, hold = 30, 6
     z = d.normal(45, "'re'", "path", "{step}")
-    entry, s = "exp({e})", f"{{x}} + 0.0003E0 + 0.02E0 * {z}"
+    entry, s = "exp({e})", f"{{x}} + {{a}} + {{v}} * {z}"
     now = f"({s})"
     ext = f"greatest({{m}}, {now})"
-    out = f"({now} <= {{e}} + ln(0.97E0) OR {now} >= {{e}} + ln(1.05E0) OR {now} <= {ext} + ln(0.975E0) OR {{step}} - {{d}} >= {hold} OR {{step}} = {n})"
+    out = f"({now} <= {{e}} + ln(0.985E0) OR {now} >= {{e}} + ln(1.025E0) OR {now} <= {ext} + ln(0.9875E0) OR {{step}} - {{d}} >= {hold} OR {{step}} = {n})"
     opens = f"{{o}} = 0 AND {{k}} < 3 AND {now} < {{x}} AND {{step}} < {n}"
     closes = f"{{o}} = 1 AND {out}"
     pnl = f"(exp({now}) * (1 - 0.0005E0) - {entry} * (1 + 0.0005E0)) / {entry}"
@@ -52,8 +54,10 @@ def rule_reentry(d: Dialect) -> str:
         "x": s, "o": f"CASE WHEN {closes} THEN 0 WHEN {opens} THEN 1 ELSE {{o}} END", "e": f"CASE WHEN {opens} THEN {now} ELSE {{e}} END", "m": f"CASE WHEN {opens} THEN {now} ELSE {ext} END",
         "d": f"CASE WHEN {opens} THEN {{step}} ELSE {{d}} END", "k": f"CASE WHEN {opens} THEN {{k}} + 1 ELSE {{k}} END", "p": f"CASE WHEN {closes} THEN {{p}} + {pnl} ELSE {{p}} END", "b": f"CASE WHEN {closes} THEN {{b}} + {{step}} - {{d}} ELSE {{b}} END",
     }
-    f = d.fold("f", d.rows(400, "path"), {k: "0" for k in move}, move, n, [])
-    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{f} SELECT CAST(k AS BIGINT) AS trades, CAST(count(*) AS BIGINT) AS n, round(avg(p), 8) AS mean_pnl, round(avg(CASE WHEN p > 0 THEN 1E0 ELSE 0E0 END), 6) AS win_rate, round(avg(b / nullif(k, 0)), 6) AS mean_days FROM f GROUP BY k"""
+    fixed = {"a": "(mu - sigma * sigma / 2) / 252", "v": "sigma * sqrt(1E0 / 252)", "i": "rank"}
+    source = f"(SELECT rank * 1000 + path AS path, mu, sigma, rank FROM {d.rows(200, 'path')} p CROSS JOIN ranked)"
+    f = d.fold("f", source, {k: "0" for k in move} | fixed, move | {k: f"{{{k}}}" for k in fixed}, n, [])
+    return f"""WITH {"RECURSIVE " if d.name == "duckdb" else ""}{BARS}, {market(d)}, ranked AS (SELECT ticker, mu, sigma, CAST(row_number() OVER (ORDER BY ticker) AS BIGINT) AS rank FROM mkt), {f} SELECT ticker, CAST(k AS BIGINT) AS trades, CAST(count(*) AS BIGINT) AS n, round(avg(p), 8) AS mean_pnl, round(avg(CASE WHEN p > 0 THEN 1E0 ELSE 0E0 END), 6) AS win_rate, round(avg(b / nullif(k, 0)), 6) AS mean_days FROM f JOIN ranked ON ranked.rank = CAST(f.i AS BIGINT) GROUP BY ticker, k"""
 
 
 @plan
@@ -61,11 +65,11 @@ def rule_structures(d: Dialect) -> str:
     """Every pair of stop and target over the same paths: one path relation joined to the grid."""
     grid = " UNION ALL ".join(f"SELECT {a}E0 AS stop, {b}E0 AS tp" for a in (0.02, 0.04) for b in (0.03, 0.06, 0.12))
     return f"""WITH {_paths(d)}, g AS ({grid}),
-h AS (SELECT stop, tp, path, step, s FROM px CROSS JOIN g WHERE s <= 100 * (1 - stop) OR s >= 100 * (1 + tp) OR step = 10),
-f AS (SELECT stop, tp, path, min(step) AS step FROM h GROUP BY stop, tp, path),
-x AS (SELECT h.stop, h.tp, h.s AS x, 100E0 AS e FROM h JOIN f ON h.stop = f.stop AND h.tp = f.tp AND h.path = f.path AND h.step = f.step)
-SELECT stop, tp, round(avg({_PNL} / e), 6) AS expectancy, round(avg(CASE WHEN {_PNL} > 0 THEN 1E0 ELSE 0E0 END), 6) AS p_win, round(avg(CASE WHEN {_PNL} > 0 THEN {_PNL} END) / nullif(-avg(CASE WHEN {_PNL} < 0 THEN {_PNL} END), 0), 6) AS payoff,
-       round(least(1E0, greatest(0E0, avg({_PNL} / e) / var_pop({_PNL} / e))) * 0.25E0, 6) AS kelly FROM x GROUP BY stop, tp"""
+h AS (SELECT ticker, stop, tp, path, step, s FROM px CROSS JOIN g WHERE s <= 100 * (1 - stop) OR s >= 100 * (1 + tp) OR step = 10),
+f AS (SELECT ticker, stop, tp, path, min(step) AS step FROM h GROUP BY ticker, stop, tp, path),
+x AS (SELECT h.ticker, h.stop, h.tp, h.s AS x, 100E0 AS e FROM h JOIN f ON h.ticker = f.ticker AND h.stop = f.stop AND h.tp = f.tp AND h.path = f.path AND h.step = f.step)
+SELECT ticker, stop, tp, round(avg({_PNL} / e), 6) AS expectancy, round(avg(CASE WHEN {_PNL} > 0 THEN 1E0 ELSE 0E0 END), 6) AS p_win, round(avg(CASE WHEN {_PNL} > 0 THEN {_PNL} END) / nullif(-avg(CASE WHEN {_PNL} < 0 THEN {_PNL} END), 0), 6) AS payoff,
+       round(least(1E0, greatest(0E0, avg({_PNL} / e) / var_pop({_PNL} / e))) * 0.25E0, 6) AS kelly FROM x GROUP BY ticker, stop, tp"""
 
 
 @plan
@@ -73,10 +77,10 @@ def rule_breakeven(d: Dialect) -> str:
     """Drifts over common draws in one pass; the break-even lies where the mean crosses zero."""
     z = d.normal(42, "'b'", "path", "step")
     mus = " UNION ALL ".join(f"SELECT {m / 10}E0 AS mu" for m in range(-4, 7, 2))
-    return f"""WITH z AS (SELECT path, sum({z}) AS z FROM {d.rows(2000, "path")} p CROSS JOIN {d.steps(5, "step")} q GROUP BY path), m AS ({mus}),
-e AS (SELECT mu, avg(exp((mu - 0.03125E0) * 5 / 252 + 0.25E0 * sqrt(1E0 / 252) * z) * (1 - 0.0005E0) - (1 + 0.0005E0)) AS pnl FROM z CROSS JOIN m GROUP BY mu),
-n AS (SELECT mu, pnl, lead(mu) OVER (ORDER BY mu) AS mu2, lead(pnl) OVER (ORDER BY mu) AS pnl2 FROM e)
-SELECT mu, round(pnl, 8) AS pnl, CASE WHEN pnl < 0 AND pnl2 >= 0 THEN round(mu + (mu2 - mu) * -pnl / (pnl2 - pnl), 6) END AS breakeven FROM n"""
+    return f"""WITH {BARS}, {market(d)}, z AS (SELECT path, sum({z}) AS z FROM {d.rows(2000, "path")} p CROSS JOIN {d.steps(5, "step")} q GROUP BY path), m AS ({mus}),
+e AS (SELECT ticker, m.mu, avg(exp((m.mu - sigma * sigma / 2) * 5 / 252 + sigma * sqrt(1E0 / 252) * z) * (1 - 0.0005E0) - (1 + 0.0005E0)) AS pnl FROM z CROSS JOIN m CROSS JOIN mkt GROUP BY ticker, m.mu),
+n AS (SELECT ticker, mu, pnl, lead(mu) OVER (PARTITION BY ticker ORDER BY mu) AS mu2, lead(pnl) OVER (PARTITION BY ticker ORDER BY mu) AS pnl2 FROM e)
+SELECT ticker, mu, round(pnl, 8) AS pnl, CASE WHEN pnl < 0 AND pnl2 >= 0 THEN round(mu + (mu2 - mu) * -pnl / (pnl2 - pnl), 6) END AS breakeven FROM n"""
 
 
 @plan

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from .functions.dialect import DUCK, SPARK, Dialect
-from .sources.tables import RECURRENCES, views
+from .sources.tables import DIRECTIONAL, RECURRENCES, views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,10 +16,11 @@ ORACLES: dict[str, str] = {}
 
 def oracle(sql: str) -> str:
     """The oracle's text; the recurrences come first where it reads them."""
-    if "ema_rsi" not in sql:
+    first = [text for name, text in (("ema_rsi", RECURRENCES), ("dmi", DIRECTIONAL)) if re.search(rf"\b{name}\b", sql)]
+    if not first:
         return sql
-    body = sql.strip()
-    return f"WITH RECURSIVE {RECURRENCES}, {body.removeprefix('WITH').strip().removeprefix('RECURSIVE').strip()}"
+    body = sql.strip().removeprefix("WITH").strip().removeprefix("RECURSIVE").strip()
+    return f"WITH RECURSIVE {', '.join(first)}, {body}"
 
 
 def plan(build: Callable[[Dialect], str]) -> Callable[[Dialect], str]:
@@ -46,7 +48,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from .plans import configured, decisions, events, gauntlet, pricing, quasi, signals, simulation, statistics, tactical, validation  # noqa: F401
+    from .plans import configured, decisions, events, gauntlet, messages, pricing, quasi, signals, simulation, statistics, tactical, validation  # noqa: F401
 
 
 load()
