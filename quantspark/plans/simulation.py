@@ -234,3 +234,13 @@ def stream_stats(d: Dialect) -> str:
 k AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY {h}) AS rk FROM events),
 s AS (SELECT event_type, avg(value) AS sample_mean FROM k WHERE rk <= 64 GROUP BY event_type)
 SELECT event_type, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean, round(var, 4) AS var, round(lo, 6) AS lo, round(hi, 6) AS hi, round(med, 6) AS med, round(sample_mean, 6) AS sample_mean FROM m JOIN s USING (event_type)"""
+
+
+@query()
+def stream_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Moments, quantiles and tail losses of event values by type from mergeable sketches of each day; no SQL gives a sketch's answers."""
+    from ..streaming.quantiles import composite_risk, merge, sketches
+
+    views(spark, sf_dir)
+    days = sketches(spark.sql("SELECT event_type, CAST(ts AS DATE) AS day, value - 50 AS pnl FROM events"), "pnl", "event_type", "day")
+    return composite_risk(merge(days, "event_type"), "event_type")

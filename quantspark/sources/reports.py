@@ -57,19 +57,6 @@ def rewrite_log(entries: DataFrame, path: str) -> str:
     return new
 
 
-def save_alerts(alerts: DataFrame, path: str, batch: int | None = None, key: str = "ticker", time: str = "ts", id: str = "event_id") -> None:
-    """For ``foreachBatch``: puts the batch into the history and writes the latest alert of each key, ties to the higher id.
-
-    A batch that is replayed under its number replaces itself; without a number every call is a batch of its own.
-    """
-    spark = alerts.sparkSession
-    alerts.write.mode("overwrite").parquet(f"{path}/history/batch={uuid.uuid4().hex if batch is None else batch}")
-    history = spark.read.parquet(f"{path}/history").drop("batch")
-    row = F.struct(*history.columns)
-    latest = history.groupBy(key).agg(F.max_by(row, F.struct(time, id)).alias("r")).select("r.*")
-    latest.write.mode("overwrite").parquet(f"{path}/latest")
-
-
 def describe(config: object) -> str:
     """A configuration as JSON with sorted keys, for reports and for its hash."""
     return json.dumps({k: v for k, v in vars(config).items() if not k.startswith("_")}, sort_keys=True)

@@ -49,10 +49,11 @@ def test_levels_match_in_order(spark):
 def test_gates_and_stress(spark):
     gates = {r.gate: r for r in rows(spark, "gauntlet_gates")}
     assert len(gates) == 6 and all(r.ready == all(g["pass"] for g in gates.values()) for r in gates.values())
-    runs = {r.scenario: r for r in rows(spark, "stress_suite")}
-    worst = min(runs.values(), key=lambda r: r.expected_value)
-    assert len(runs) == 7 and worst.worst and sum(r.worst for r in runs.values()) == 1
-    assert runs["One-day crash -20%"].expected_value < runs["One-day crash -10%"].expected_value < runs["Half historical drift"].expected_value
+    for ticker in ("1-URGENT", "5-LOW"):
+        runs = {r.scenario: r for r in rows(spark, "stress_suite") if r.ticker == ticker}
+        worst = min(runs.values(), key=lambda r: r.expected_value)
+        assert len(runs) == 7 and worst.worst and sum(r.worst for r in runs.values()) == 1
+        assert runs["One-day crash -20%"].expected_value < runs["One-day crash -10%"].expected_value < runs["Half historical drift"].expected_value
 
 
 def test_sweep_agrees_with_the_walk_forward_trades(spark):

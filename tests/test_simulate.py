@@ -136,14 +136,3 @@ def test_logs(spark, tmp_path):
     assert sorted(tuple(r) for r in rows.collect()) == [(1, "buy"), (2, "wait"), (3, "sell")]
     new = reports.rewrite_log(rows.where("id > 1"), log)
     assert reports.read_log(spark, new, schema).count() == 2 and reports.read_log(spark, log, schema).count() == 3
-
-
-def test_alerts_keep_the_latest(spark, tmp_path):
-    batch = lambda *rows: spark.createDataFrame(rows, "event_id long, ticker string, ts long, trend string")
-    reports.save_alerts(batch((1, "A", 10, "bullish"), (2, "B", 5, "bearish")), f"{tmp_path}/s")
-    reports.save_alerts(batch((4, "A", 12, "bearish"), (3, "A", 12, "neutral"), (5, "B", 1, "neutral")), f"{tmp_path}/s")
-    assert {r.ticker: r.event_id for r in spark.read.parquet(f"{tmp_path}/s/latest").collect()} == {"A": 4, "B": 2}
-    assert spark.read.parquet(f"{tmp_path}/s/history").count() == 5
-    for _ in range(2):
-        reports.save_alerts(batch((6, "B", 9, "bullish")), f"{tmp_path}/s", 7)
-    assert spark.read.parquet(f"{tmp_path}/s/history").count() == 6
