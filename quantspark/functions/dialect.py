@@ -77,6 +77,9 @@ class Spark(Dialect):
     def seconds(self, x: str) -> str:
         return f"unix_seconds(CAST({x} AS TIMESTAMP))"
 
+    def fixed(self, x: str, digits: int) -> str:
+        return f"format_string('%.{digits}f', CAST({x} AS DOUBLE))"
+
     def epoch_day(self, x: str) -> str:
         return f"CAST(unix_date({x}) AS BIGINT)"
 
@@ -124,6 +127,9 @@ class Duck(Dialect):
     def seconds(self, x: str) -> str:
         return f"CAST(floor(epoch({x})) AS BIGINT)"
 
+    def fixed(self, x: str, digits: int) -> str:
+        return f"printf('%.{digits}f', CAST({x} AS DOUBLE))"
+
     def epoch_day(self, x: str) -> str:
         return f"CAST(date_diff('day', DATE '1970-01-01', {x}) AS BIGINT)"
 

@@ -48,7 +48,7 @@ def query(sql: str | None = None):
 
 
 def load() -> None:
-    from .plans import configured, decisions, events, gauntlet, messages, pricing, quasi, signals, simulation, statistics, tactical, validation  # noqa: F401
+    from .plans import configured, decisions, events, gauntlet, messages, pricing, quasi, report, signals, simulation, statistics, tactical, validation  # noqa: F401
 
 
 load()

@@ -98,3 +98,23 @@ def read_archive(spark: SparkSession, path: str, schema: str, ticker: str | None
     x = whole.where(F.col("t").startswith("{")).select("file", F.from_json("t", f"{schema}, _bad string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_bad"}).alias("r")).where("r._bad is null")
     rows = x.select("file", "r.*").drop("_bad")
     return rows if ticker is None else rows.where(F.upper("ticker") == ticker.upper())
+
+
+def rendered(sections: DataFrame, table: DataFrame, columns: list[str]) -> DataFrame:
+    """``(ticker, markdown)`` of ``sections(ticker, place, section, text)`` and the rows of ``table(ticker, ...)``: a few rows a ticker, joined as text."""
+    shown = lambda c: F.when(F.col(c).isNull(), "").otherwise(F.regexp_replace(F.format_number(c, 4) if dict(table.dtypes)[c] == "double" else F.col(c).cast("string"), r"\|", r"\\|"))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(shown, columns)), F.lit(" |"))
+    rows = table.groupBy("ticker").agg(F.array_join(F.array_sort(F.collect_list(line)), "\n").alias("rows"))
+    head = "| " + " | ".join(columns) + " |\n|" + "---|" * len(columns) + "\n"
+    part = F.struct("place", F.concat(F.lit("## "), F.col("section"), F.lit("\n\n"), F.col("text")).alias("text"))
+    texts = sections.groupBy("ticker").agg(F.array_join(F.transform(F.array_sort(F.collect_list(part)), lambda p: p["text"]), "\n\n").alias("texts"))
+    body = F.concat(F.lit("# "), F.col("ticker"), F.lit("\n\n"), F.col("texts"), F.when(F.col("rows").isNotNull(), F.concat(F.lit("\n\n## Models\n\n" + head), F.col("rows"))).otherwise(""), F.lit("\n"))
+    return texts.join(rows, "ticker", "left").select("ticker", body.alias("markdown"))
+
+
+def write_bundle(sections: DataFrame, table: DataFrame, path: str, columns: list[str]) -> None:
+    """The report of every ticker below ``path``: json and csv of the table, md of sections and table, a folder a ticker; no row meets the driver."""
+    kept = ["ticker", *[c for c in columns if c != "ticker"]]
+    table.select(*kept).repartition("ticker").write.mode("overwrite").partitionBy("ticker").json(f"{path}/json")
+    table.select(*kept).repartition("ticker").write.mode("overwrite").option("header", True).partitionBy("ticker").csv(f"{path}/csv")
+    rendered(sections, table, columns).repartition("ticker").write.mode("overwrite").partitionBy("ticker").option("lineSep", "\n\n").text(f"{path}/md")
