@@ -108,6 +108,29 @@ def kill_switch(d: Dialect) -> str:
 SELECT CAST(n AS BIGINT) AS n, round(hit, 6) AS hit_rate, round(tail, 8) AS trailing, total < 0 AND n >= 20 AS killed FROM r CROSS JOIN tl"""
 
 
+@plan
+def track_record(d: Dialect) -> str:
+    """Realised against predicted by ticker: a trade's prediction is the record of trades that had ended twenty days before; the ratio of their means.
+
+    ``trailing20`` is the mean of the ticker's last twenty. Nothing is predicted, and no ratio given, without an earlier trade.
+    """
+    w = f"OVER (PARTITION BY ticker ORDER BY {d.epoch_day('dy')} RANGE BETWEEN UNBOUNDED PRECEDING AND 20 PRECEDING)"
+    return f"""WITH {LOG}, tr AS (SELECT s.id, lg.ticker, lg.d AS dy, s.net, CASE WHEN s.net > 0 THEN 1E0 ELSE 0E0 END AS win FROM settled s JOIN lg ON lg.id = s.id),
+dl AS (SELECT ticker, dy, CAST(count(*) AS DOUBLE) AS n, sum(net) AS net, sum(win) AS win FROM tr GROUP BY ticker, dy),
+pd AS (SELECT ticker, dy, n, net, win, sum(net) {w} / sum(n) {w} AS mu, sum(win) {w} / sum(n) {w} AS p FROM dl),
+ls AS (SELECT ticker, avg(net) AS tail FROM (SELECT ticker, net, row_number() OVER (PARTITION BY ticker ORDER BY id DESC) AS k FROM tr) q WHERE k <= 20 GROUP BY ticker)
+SELECT pd.ticker, CAST(sum(n) AS BIGINT) AS trades, round(sum(win) / sum(n), 6) AS hit_rate, round(sum(CASE WHEN p IS NOT NULL THEN p * n END) / sum(CASE WHEN p IS NOT NULL THEN n END), 6) AS predicted_p_win, round(sum(net) / sum(n), 8) AS mean_realized,
+       round(sum(CASE WHEN mu IS NOT NULL THEN mu * n END) / sum(CASE WHEN mu IS NOT NULL THEN n END), 8) AS mean_predicted, round(sum(net) / sum(n) / nullif(sum(CASE WHEN mu IS NOT NULL THEN mu * n END) / sum(CASE WHEN mu IS NOT NULL THEN n END), 0E0), 5) AS calibration_ratio, round(max(tail), 8) AS trailing20
+FROM pd JOIN ls ON ls.ticker = pd.ticker GROUP BY pd.ticker"""
+
+
+@plan
+def recent_verdicts(d: Dialect) -> str:
+    """The last twelve settled trades, newest first."""
+    return f"""WITH {LOG}, k AS (SELECT id, net, hit, k AS held FROM settled ORDER BY id DESC LIMIT 12)
+SELECT CAST(row_number() OVER (ORDER BY id DESC) AS INT) AS place, id, round(net, 8) AS net, CASE WHEN hit THEN 'stop_loss' ELSE 'max_holding' END AS exit_reason, CAST(held AS INT) AS held FROM k"""
+
+
 @plan
 def snapshot(d: Dialect) -> str:
     """States of the monitored sections by rank good, info, warn, critical, with their figures, and the worst of them.

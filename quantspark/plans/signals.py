@@ -11,6 +11,8 @@ from ..registry import plan, query
 from ..sources.reports import matrix
 from ..sources.tables import BARS, views
 
+# Rows that closes and full bars need, and the drift and volatility of an instrument without enough of them.
+LEAST_CLOSES, LEAST_BARS, FALLBACK = 31, 300, (0.08, 0.20)
 #: Trend by exponential averages of 9 and 21 bars, tercile of Wilder's oscillator, momentum from 252 to 21 bars back.
 FEATURES = f"""{BARS},
 feat AS (
@@ -25,13 +27,19 @@ buck AS (
 
 @plan
 def px_bars(d: Dialect) -> str:
-    return f"WITH {BARS} SELECT ticker, t, d, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close FROM ohlc"
+    """Bars, and whether a ticker has the rows that closes (31) and full bars (300) need."""
+    n = "count(*) OVER (PARTITION BY ticker)"
+    return f"WITH {BARS} SELECT ticker, t, d, round(open, 6) AS open, round(high, 6) AS high, round(low, 6) AS low, round(close, 6) AS close, {n} >= {LEAST_CLOSES} AS closes_suffice, {n} >= {LEAST_BARS} AS bars_suffice FROM ohlc"
 
 
 @plan
 def px_annualized(d: Dialect) -> str:
-    return f"""WITH {BARS} SELECT ticker, CAST(count(r) AS BIGINT) AS n, round(252 * avg(r) + 126 * var_samp(r), 6) AS mu, round(stddev_samp(r) * sqrt(252E0), 6) AS sigma,
-       round(100 * exp(sum(r)), 6) AS rebuilt FROM rets GROUP BY ticker"""
+    """Annual drift and volatility of every instrument that alerts name; one with too short a history, or none, takes the fallback."""
+    named = "(SELECT DISTINCT CASE user_id % 6 WHEN 0 THEN '1-URGENT' WHEN 1 THEN '2-HIGH' WHEN 2 THEN '3-MEDIUM' WHEN 3 THEN '4-NOT SPECIFIED' WHEN 4 THEN '5-LOW' ELSE 'NONE' END AS ticker FROM events)"
+    return f"""WITH {BARS}, e AS (SELECT ticker, count(r) AS n, 252 * avg(r) + 126 * var_samp(r) AS mu, stddev_samp(r) * sqrt(252E0) AS sigma, 100 * exp(sum(r)) AS rebuilt FROM rets GROUP BY ticker),
+a AS (SELECT ticker FROM {named} q UNION SELECT ticker FROM e)
+SELECT a.ticker, CAST(coalesce(n, 0) AS BIGINT) AS n, round(CASE WHEN n >= {LEAST_CLOSES - 1} THEN mu ELSE {FALLBACK[0]}E0 END, 6) AS mu, round(CASE WHEN n >= {LEAST_CLOSES - 1} THEN sigma ELSE {FALLBACK[1]}E0 END, 6) AS sigma,
+       round(rebuilt, 6) AS rebuilt, CASE WHEN n >= {LEAST_CLOSES - 1} THEN 'history' ELSE 'fallback' END AS source FROM a LEFT JOIN e ON e.ticker = a.ticker"""
 
 
 @plan
@@ -43,12 +51,12 @@ def feat_ema_rsi(d: Dialect) -> str:
 
 @plan
 def feat_matrix(d: Dialect) -> str:
-    """Realised volatility by population deviation, true range, momentum, moving-average regime, lagged returns, weekday."""
+    """Realised volatility by population deviation of half its window at least, true range, momentum, moving-average regime, lagged returns, weekday."""
     dow = "weekday(d)" if d.name == "spark" else "(isodow(d) - 1)"
     return f"""WITH {BARS},
 tr AS (SELECT ticker, t, d, close, greatest(high - low, abs(high - lag(close) OVER (PARTITION BY ticker ORDER BY t)), abs(low - lag(close) OVER (PARTITION BY ticker ORDER BY t))) AS tr FROM ohlc),
 x AS (SELECT r.ticker, r.t, r.d, r.close, r.r, tr.tr FROM rets r JOIN tr ON r.ticker = tr.ticker AND r.t = tr.t)
-SELECT ticker, t, CASE WHEN t > 60 THEN round(stddev_pop(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 8) END AS vol60,
+SELECT ticker, t, CASE WHEN count(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW) >= 30 THEN round(stddev_pop(r) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 59 PRECEDING AND CURRENT ROW), 8) END AS vol60,
        CASE WHEN t > 14 THEN round(avg(tr) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) END AS atr14,
        round(lag(ln(close), 21) OVER (PARTITION BY ticker ORDER BY t) - lag(ln(close), 252) OVER (PARTITION BY ticker ORDER BY t), 6) AS mom_12_1,
        CASE WHEN t >= 200 THEN avg(close) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 49 PRECEDING AND CURRENT ROW) > avg(close) OVER (PARTITION BY ticker ORDER BY t ROWS BETWEEN 199 PRECEDING AND CURRENT ROW) END AS regime,
