@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, utf8
+from .common import checkpoint, sent_if_small, utf8
 from .components import connected_components
 
 SEED, SHINGLE, THRESHOLD = 42, 5, 0.8
@@ -115,7 +115,7 @@ def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold
     members outside it: groups of copies cost in proportion to their size. No pair that might join two parts is left out.
     """
     sets = texts.mapInArrow(_sets(size), "node long, members binary").groupBy("node").agg(F.first("members").alias("members"))
-    whole = checkpoint(groups.join(sets, "node").withColumn("bytes", F.octet_length("members").cast("long")))
+    whole = checkpoint(sets.join(sent_if_small(groups), "node").withColumn("bytes", F.octet_length("members").cast("long")))
     chunks = lambda n, size: F.greatest(F.ceil(n / chunk), F.ceil(size / CHUNK_BYTES)).cast("int")
     count = lambda rows: rows.groupBy("component").agg(chunks(F.count("*"), F.sum("bytes")).alias("g"))
     large = checkpoint(count(whole).where("g > 1"))
@@ -126,14 +126,14 @@ def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold
 
     def dealt(rows: DataFrame, by: DataFrame, seed: int) -> DataFrame:
         c = F.pmod(F.xxhash64("node", F.lit(seed)), F.coalesce("g", F.lit(1))).cast("int")
-        return compared(rows.join(by, "component", "left").select("component", c.alias("lo"), c.alias("hi"), c.alias("side"), "node", F.col("node").alias("label"), "fp", "members"))
+        return compared(rows.join(sent_if_small(by), "component", "left").select("component", c.alias("lo"), c.alias("hi"), c.alias("side"), "node", F.col("node").alias("label"), "fp", "members"))
 
     links = dealt(whole, large, 1)
     if large.isEmpty():
         return connected_components(links)
-    wide = whole.join(large.select("component"), "component", "left_semi")
-    heads = wide.join(links.select(F.col("u").alias("node")), "node", "left_anti")
-    upper = dealt(heads, count(heads), 2)
+    wide = whole.join(sent_if_small(large.select("component")), "component", "left_semi")
+    heads = wide.join(sent_if_small(links.select(F.col("u").alias("node"))), "node", "left_anti")
+    upper = dealt(heads, checkpoint(count(heads.drop("members"))), 2)
     # both steps name a member's first one, so two lookups give its part
     parts = wide.select("node", "component", "bytes").join(links.select(F.col("u").alias("node"), F.col("v").alias("head")), "node", "left").withColumn("head", F.coalesce("head", "node"))
     parts = parts.join(upper.select(F.col("u").alias("head"), F.col("v").alias("label")), "head", "left")
@@ -142,7 +142,7 @@ def exact_components(groups: DataFrame, texts: DataFrame, radius: int, threshold
     sizes = parts.groupBy("component", "label").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     main = sizes.groupBy("component").agg(F.max_by(F.struct("label", "n", "bytes"), F.struct("n", "label")).alias("main"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("n > main.n")
     main = main.select("component", "main.label", chunks(F.col("n") - F.col("main.n"), F.col("bytes") - F.col("main.bytes")).alias("few"), chunks(F.col("main.n"), F.col("main.bytes")).alias("many")).withColumnRenamed("label", "main")
-    x = wide.join(parts.select("node", "label"), "node").join(main, "component")
+    x = wide.join(sent_if_small(parts.select("node", "label")), "node").join(sent_if_small(checkpoint(main)), "component")
     h = F.xxhash64("node", F.lit(3))
     x = x.withColumn("side", F.when(F.col("label") != F.col("main"), F.pmod(h, "few")).otherwise(F.col("few") + F.pmod(h, "many")).cast("int"))
     x = x.withColumn("o", F.explode(F.sequence(F.lit(0), F.when(F.col("label") != F.col("main"), F.col("few") + F.col("many") - 1).otherwise(F.col("few") - 1))))
