@@ -87,7 +87,7 @@ def test_prices_near_closed_forms(spark):
         assert abs(mc.european - e.bs_call) < 4 * mc.european_se and abs(mc.digital - e.digital) < 4 * mc.digital_se
         assert math.isclose(mc.down_in + mc.down_out, mc.european, abs_tol=1e-5) and mc.geometric <= mc.asian
     lsm = registry.QUERIES["opt_american_lsm"](spark, SF).first()
-    assert lsm.price > lsm.european and lsm.price >= 4 - 2 * lsm.std_error
+    assert lsm.price > lsm.european and lsm.price >= 40 * math.exp(-0.006) - 36 - 2 * lsm.std_error  # what the first date alone is worth
     for g in registry.QUERIES["greeks"](spark, SF).collect():
         e = exact[g.ticker]
         assert abs(g.pw_delta - e.delta) < 4 * g.pw_delta_se and abs(g.lr_gamma - e.gamma) < 4 * g.lr_gamma_se and abs(g.pw_vega - e.vega) < 4 * g.pw_vega_se
