@@ -63,3 +63,22 @@ def aggregate_scores(scores: DataFrame) -> DataFrame:
     """One row: the number of cases and the means over those with a value; nulls without any."""
     names = {"ticker_accuracy": "ticker_accuracy", "bias_accuracy": "bias_accuracy", "rsi_abs_error": "mean_rsi_abs_error", "level_f1": "mean_level_f1", "level_precision": "mean_level_precision", "level_recall": "mean_level_recall", "timeframe_match": "timeframe_accuracy", "confidence": "mean_pred_confidence"}
     return scores.agg(F.count("*").alias("n"), *[F.avg(c).alias(k) for c, k in names.items()])
+
+
+def level_key(price: Column) -> Column:
+    """A price as text of six significant digits without trailing zeros, by which levels of two readings are compared."""
+    digits = F.lit(5) - F.floor(F.log10(F.abs(price))).cast("int")
+    text = F.format_string("%.10f", F.when(price == 0, F.lit(0.0)).otherwise(F.round(price * F.pow(F.lit(10.0), digits)) / F.pow(F.lit(10.0), digits)))
+    return F.regexp_replace(F.regexp_replace(text, "0+$", ""), r"\.$", "")
+
+
+def signals_of(readings: DataFrame) -> DataFrame:
+    """``readings(case, reading)`` as alerts with both names of every field; a missing overall confidence is the mean of the levels' positive strengths."""
+    r = F.col("reading")
+    strengths = F.transform(F.filter(F.coalesce(r["levels"], F.array().cast("array<struct<price:double,kind:string,strength:double>>")), lambda x: x["strength"] > 0), lambda x: x["strength"])
+    mean = F.when(F.size(strengths) > 0, F.aggregate(strengths, F.lit(0.0), lambda a, x: a + x) / F.size(strengths))
+    pair = lambda value, *names: [value.alias(n) for n in names]
+    return readings.select(
+        "case", F.lit("chart_vision").alias("source"), *pair(F.upper(r["ticker"]), "ticker", "symbol"), *pair(r["bias"], "trend", "direction"), *pair(r["indicators"]["rsi"]["value"], "momentum", "rsi"),
+        *pair(r["timeframe"], "timeframe", "tf"), F.lit("vision").alias("parse_status"), F.coalesce(r["confidence"]["overall"], mean).alias("confidence_overall"), F.transform(r["levels"], lambda x: level_key(x["price"])).alias("levels"),
+    )

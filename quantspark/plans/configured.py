@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..config import MODELS
 from ..functions.dialect import DUCK, SPARK, Dialect
-from ..operators.configured import complete, runs
+from ..operators.configured import DEFAULTS, complete, runs
 from ..registry import oracle, plan, query
 from ..sources.scratch import stored
 from ..sources.tables import BARS, views
@@ -110,3 +110,21 @@ def comparison_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     views(spark, sf_dir)
     paths = stored(spark.sql(f"WITH {BARS}, {by_ticker(SPARK, MODELS, 200, 12, 101)} SELECT * FROM runs"), "runs")
     return spark.sql(f"WITH runs AS (SELECT * FROM {{runs}}), {compared(SPARK)} {_TABLE}", runs=paths)
+
+
+#: What each model assumes besides drift and volatility: names of settings.
+ASSUMES = {
+    "gbm": (), "student_t": ("t_df",), "bootstrap": (), "block_bootstrap": ("block_length",), "merton": ("jumps", "jump_mean", "jump_vol"), "regime": ("regimes",), "heston": ("kappa", "theta", "xi", "rho", "v0"),
+    "garch": ("alpha", "beta", "omega"), "kou": ("jumps", "p_up", "eta_up", "eta_down"),
+}
+
+
+@plan
+def model_assumptions(d: Dialect) -> str:
+    """A row an assumption of every model for every ticker: its drift and volatility, and the settings that the model reads; what is left open follows from them."""
+    derived = {"theta": "sigma * sigma", "v0": "sigma * sigma", "omega": "sigma * sigma / 252 * 0.02E0"}
+    value = lambda k: derived.get(k, f"{DEFAULTS[k]!r}E0" if isinstance(DEFAULTS[k], float) else f"CAST({DEFAULTS[k]} AS DOUBLE)")
+    rows = [(m, "drift", "mu", "'history'") for m in MODELS] + [(m, "volatility", "sigma", "'history'") for m in MODELS]
+    rows += [(m, k, value(k), "'derived'" if k in derived else "'default'") for m, ks in ASSUMES.items() for k in ks if k != "regimes"] + [("regime", "regimes", "CAST(3 AS DOUBLE)", "'stock'")]
+    arms = " UNION ALL ".join(f"SELECT ticker, '{m}' AS model, '{k}' AS assumption, {v} AS value, {o} AS origin FROM mkt" for m, k, v, o in rows)
+    return f"WITH {BARS}, {market(d)}, a AS ({arms}) SELECT ticker, model, assumption, round(value, 8) AS value, origin FROM a"

@@ -144,6 +144,15 @@ SELECT ticker, round(avg(dd), 6) AS mean_dd, round(min(dd), 6) AS worst_dd, roun
        CAST(max(longest) AS BIGINT) AS max_underwater, round(avg(CASE WHEN low <= 85 THEN 1E0 ELSE 0E0 END), 6) AS prob_ruin FROM one GROUP BY ticker"""
 
 
+@plan
+def sample_paths(d: Dialect) -> str:
+    """The first five paths of every ticker, step by step from the last close: what a chart of paths shows."""
+    z = d.normal(14, "'sample'", "path", "step")
+    return f"""WITH {BARS}, {market(d)}, g AS (SELECT ticker, s0, mu, sigma, path, step FROM {d.rows(5, "path")} p CROSS JOIN {d.steps(STEPS, "step")} q CROSS JOIN mkt),
+w AS (SELECT ticker, path, step, s0 * exp(sum((mu - sigma * sigma / 2) * {_DT} + sigma * sqrt({_DT}) * {z}) OVER (PARTITION BY ticker, path ORDER BY step ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS price FROM g)
+SELECT ticker, path, CAST(step AS INT) AS step, round(price, 6) AS price FROM w UNION ALL SELECT ticker, path, 0, round(s0, 6) FROM {d.rows(5, "path")} p CROSS JOIN mkt"""
+
+
 @plan
 def mc_convergence(d: Dialect) -> str:
     """Running means at log-spaced numbers of paths: sums between them, then a prefix over eight rows a ticker."""

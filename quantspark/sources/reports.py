@@ -118,3 +118,18 @@ def write_bundle(sections: DataFrame, table: DataFrame, path: str, columns: list
     table.select(*kept).repartition("ticker").write.mode("overwrite").partitionBy("ticker").json(f"{path}/json")
     table.select(*kept).repartition("ticker").write.mode("overwrite").option("header", True).partitionBy("ticker").csv(f"{path}/csv")
     rendered(sections, table, columns).repartition("ticker").write.mode("overwrite").partitionBy("ticker").option("lineSep", "\n\n").text(f"{path}/md")
+
+
+def markdown_text(title: str, table: DataFrame, order: list[str]) -> DataFrame:
+    """One row with a small table as Markdown (``value``), sorted by ``order``; made by a grouped aggregate, for summaries of some hundred rows."""
+    kinds = dict(table.dtypes)
+    shown = lambda c: F.coalesce(F.format_string("%.6g", F.col(c)) if kinds[c] == "double" else F.regexp_replace(F.col(c).cast("string"), r"\|", r"\\|"), F.lit(""))
+    line = F.concat(F.lit("| "), F.concat_ws(" | ", *map(shown, table.columns)), F.lit(" |"))
+    rows = table.agg(F.array_sort(F.collect_list(F.struct(*order, line.alias("line_")))).alias("rows"))
+    head = f"# {title}\n\n| " + " | ".join(table.columns) + " |\n|" + "---|" * len(table.columns) + "\n"
+    return rows.select(F.concat(F.lit(head), F.array_join(F.transform("rows", lambda r: r["line_"]), "\n"), F.lit("\n")).alias("value"))
+
+
+def write_outcomes(by_path: DataFrame, path: str) -> None:
+    """Outcomes of every path, as ``rules.outcomes`` gives them, as CSV parts with a header."""
+    by_path.write.mode("overwrite").option("header", True).csv(path)
