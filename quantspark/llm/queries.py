@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.SQL, "op6_rules": rules.SQL, "op11_search": treaps.SQL}
+    return {"op4_mixing": mixing.SQL, "op6_rules": rules.SQL, "op11_search": treaps.SQL, "op12_repair": repair.SQL}

@@ -325,3 +325,41 @@ def damage(conversations: DataFrame) -> DataFrame:
 
 def op12_repair(spark, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
+
+
+def _sql() -> str:
+    """The contract in DuckDB SQL: a recursive relation over rows keeps, for each grammar state, the least (cost, audit) and its lines."""
+    none = "CAST(NULL AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[]))"
+    edit = lambda b, cost, letter, line=None: f"CASE WHEN {b} IS NOT NULL THEN struct_pack(c := {b}.c + {cost}, a := {b}.a || '{letter}', t := {f'list_append({b}.t, {line})' if line else f'{b}.t'}) END"
+    best = lambda *options: f"list_min([{', '.join(options)}])"
+    free = lambda x, condition="true": f"CASE WHEN NOT f.gone AND {condition} THEN {x} END"
+    kept = lambda b, s: free(edit(b, "f.extra", "K", "f.role || ':' || f.text"), f"f.initial = '{s}'")
+    turned = lambda b, role: free(edit(b, "f.extra + 1", "R", f"'{role}:' || f.text"))
+    step = {
+        0: [edit("b0", 2, "D")], 1: [edit("b1", 2, "D"), kept("b0", "s")], 2: [edit("b2", 2, "D"), *(f(b, k) for b in ("b0", "b1", "b3") for f, k in ((kept, "u"), (turned, "user")))],
+        3: [edit("b3", 2, "D"), kept("b2", "a"), turned("b2", "assistant")],
+    }
+    moved = ", ".join(f"{best(*options)} AS n{s}" for s, options in step.items())
+    two = best("n2", *(edit(b, 5, "I", "'user:'") for b in ("n0", "n1", "n3")))
+    spaces = "' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
+    crc = "xor(4294967295, list_reduce(list_prepend(CAST(4294967295 AS BIGINT), flatten(list_transform(string_split(k, ''), lambda x: [CAST(ascii(x) AS BIGINT), 0, 0, 0, 0, 0, 0, 0]))), lambda a, x: xor(xor(a, x) // 2, CASE WHEN xor(a, x) % 2 = 1 THEN 3988292384 ELSE 0 END)))"
+    return f"""WITH RECURSIVE c AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, coalesce(CAST(conv_id AS VARCHAR), ' ') AS cid, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+h AS (SELECT *, {crc} % 20 AS kind FROM c),
+d AS (SELECT cid, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN replace(replace(replace(text, '.', ''), '!', ''), '?', '') ELSE text END AS text FROM (SELECT * FROM h WHERE kind <> 0 UNION ALL SELECT * FROM h WHERE kind = 3) q),
+o AS (SELECT *, row_number() OVER (PARTITION BY cid ORDER BY turn NULLS FIRST, role, text) AS i, rtrim(text, {spaces}) AS body FROM d),
+w AS (SELECT *, CASE WHEN body = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY cid, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN right(body, 1) NOT IN ('.', '!', '?') THEN 'truncated' END AS fault, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY cid ORDER BY i) AS before FROM o),
+f AS (SELECT *, coalesce(fault IN ('blank', 'duplicate'), false) AS gone, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS extra FROM w),
+walk AS (
+  SELECT cid, CAST(0 AS BIGINT) AS i, b0, CAST(b1 AS STRUCT(c BIGINT, a VARCHAR, t VARCHAR[])) AS b1, b2, {edit("b2", 5, "I", "'assistant:'")} AS b3
+  FROM (SELECT cid, b0, {none} AS b1, {edit("b0", 5, "I", "'user:'")} AS b2 FROM (SELECT DISTINCT cid, struct_pack(c := CAST(0 AS BIGINT), a := '', t := CAST([] AS VARCHAR[])) AS b0 FROM c) p) q
+  UNION ALL
+  SELECT cid, i, n0, n1, m2, {best("n3", edit("m2", 5, "I", "'assistant:'"))} FROM (SELECT *, {two} AS m2 FROM (SELECT walk.cid, f.i, {moved} FROM walk JOIN f ON f.cid = walk.cid AND f.i = walk.i + 1) x) y),
+e AS (SELECT cid, arg_max({best("b0", "b3")}, i) AS r FROM walk GROUP BY cid),
+g AS (SELECT cid, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault = 'blank') AS blank, count(*) FILTER (WHERE fault = 'duplicate') AS duplicate, count(*) FILTER (WHERE fault = 'truncated') AS truncated,
+  count(*) FILTER (WHERE before IS NOT NULL AND before || initial NOT IN ('su', 'ua', 'au')) AS illegal FROM w GROUP BY cid)
+SELECT n.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal,
+       CAST(r.c AS BIGINT) AS cost, r.a AS audit, sha256(array_to_string(r.t, chr(10))) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, cid FROM c) n JOIN e ON e.cid = n.cid LEFT JOIN g ON g.cid = n.cid"""
+
+
+SQL = _sql()

@@ -124,3 +124,13 @@ def test_texts_and_clashing_columns(spark, talks):
     assert rp.repair(df.where("false")).count() == 0
     gone = rp.repair(df.where("conv_id = 900").withColumn("copies", F.lit(0))).first()
     assert tuple(gone) == (900, 0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+
+
+def test_sql_says_the_same(talks):
+    import duckdb
+    import pyarrow as pa
+
+    rows = list(map(tuple, talks.collect()))
+    con = duckdb.connect()
+    con.register("conversations", pa.table(dict(zip(("conv_id", "turn", "role", "text"), zip(*rows, strict=True), strict=True))))
+    assert sorted(con.execute(rp.SQL).fetchall(), key=key) == sorted(plain(rows), key=key)
