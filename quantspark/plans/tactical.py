@@ -13,7 +13,7 @@ from ..tactical import Rule
 from .configured import market
 from .decisions import SHORT_TAX, _values
 from .events import _TAIL, LOG
-from .signals import _SHRINK, FEATURES, FLIPS, _newey_west
+from .signals import FEATURES, FLIPS, _newey_west
 from .validation import TRADES
 
 _COST = 0.0005
