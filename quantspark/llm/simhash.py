@@ -12,7 +12,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, sent_if_small, table, union_roots, utf8, whole_groups
+from .common import checkpoint, sent_if_small, shuffles_dropped, table, union_roots, utf8, whole_groups
 from .components import connected_components
 from .jaccard import exact_components, set_key, shingles
 
@@ -21,8 +21,11 @@ SEED, SHINGLE, RADIUS, BITS = 42, 4, 4, 64
 CHUNK = 1024
 #: Distinct fingerprints that blocks of one table may hold on average, by which keys are made longer.
 SPREAD = 1024
-#: Bits of the fingerprints that name pairs for an exact check of similarity.
-WIDE = 128
+#: Bits of the fingerprints that name pairs for an exact check of similarity. Texts that have nothing in common come within
+#: the radius by chance: of 128 bits 4 pairs in 10^7, so that a few million texts hang together; of 192 bits 4 in 10^12.
+WIDE = 192
+#: Masks whose keys lie on disk at once, in the first round of a search and in every other.
+FIRST_ROUND, ROUND = 4, 16
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
@@ -234,6 +237,23 @@ def simhash_edges(distinct: DataFrame, masks: list[list[int]], radius: int = RAD
     return rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi").mapInArrow(_compare(radius), "u long, v long")
 
 
+def candidate_components(known: DataFrame, masks: list[list[int]], radius: int, first: int = FIRST_ROUND, most: int = ROUND) -> DataFrame:
+    """``known(node, fp)`` and more -> the same rows with ``component``, the smallest node that links join them to.
+
+    The masks are taken a few a round, so disk holds the keys of one round whatever their number. Rows carry the component
+    that earlier rounds have found: a large group of near copies is linked in the first round and by its name from then on.
+    """
+    now = known.withColumn("component", F.col("node"))
+    at = 0
+    while at < len(masks):
+        to = at + (most if at else first)
+        found = connected_components(simhash_edges(now.select(F.col("component").alias("node"), "fp"), masks[at:to], radius))
+        found = sent_if_small(found.select(F.col("node").alias("component"), F.col("component").alias("joined")))
+        now = checkpoint(now.join(found, "component", "left").withColumn("component", F.coalesce("joined", "component")).select(*known.columns, "component"))
+        at = to
+    return now
+
+
 def simhash_components(docs: DataFrame) -> DataFrame:
     """``(doc_id, fp, component_id)`` of every row of ``docs(doc_id, text)``.
 
@@ -294,16 +314,17 @@ def near_copies(docs: DataFrame, threshold: float = 0.8, size: int = 5) -> DataF
     Equal sets are collapsed before anything is compared. A row whose doc_id is null gets the component of its set, null
     if no row with a doc_id has that set; repeated rows stay; an empty table gives none.
     """
-    prints = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_wide_prints(size), "doc_id long, key long, fp binary"))
-    distinct = checkpoint(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
-    known = distinct.where("rep is not null").select(F.col("key").alias("node"), "fp", "rep")
-    radius = wide_radius(threshold)
-    near = connected_components(simhash_edges(known, sampled_masks(threshold, known.count()), radius))
-    near = near.unionAll(near.select(F.col("component").alias("node"), "component").distinct())
-    groups = checkpoint(near.join(known, "node"))
-    reps = checkpoint(groups.select("rep").distinct())
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent_if_small(reps), "rep", "left_semi")
-    found = exact_components(groups.select("node", "component", "fp"), texts.select("text"), radius, threshold, size)
+    with shuffles_dropped(docs.sparkSession):
+        prints = checkpoint(docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(_wide_prints(size), "doc_id long, key long, fp binary"))
+        distinct = checkpoint(prints.groupBy("key").agg(F.min("doc_id").alias("rep"), F.first("fp").alias("fp")))
+        known = distinct.where("rep is not null").select(F.col("key").alias("node"), "fp", "rep")
+        radius = wide_radius(threshold)
+        near = candidate_components(known, sampled_masks(threshold, known.count()), radius)
+        joined = checkpoint(near.where("node <> component").select("component").distinct())
+        groups = checkpoint(near.join(sent_if_small(joined), "component", "left_semi"))
+        reps = checkpoint(groups.select("rep").distinct())
+        texts = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(sent_if_small(reps), "rep", "left_semi")
+        found = exact_components(groups.select("node", "component", "fp"), texts.select("text"), radius, threshold, size)
     return prints.join(_least(known, found).withColumnRenamed("node", "key"), "key", "left").select("doc_id", "component_id")
 
 

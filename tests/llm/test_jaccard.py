@@ -5,7 +5,7 @@ import random
 import numpy as np
 
 import corpus_pipeline
-from quantspark.llm import jaccard, simhash
+from quantspark.llm import components, jaccard, simhash
 
 
 def test_stage_joins_near_copies_of_any_fingerprint(spark):
@@ -71,3 +71,37 @@ def test_large_groups_in_three_steps(spark):
         for k in nodes:
             parts.setdefault(found.get(k, k), []).append(name[k])
         assert sorted(map(sorted, parts.values())) == sorted(sorted(d for d in want if want[d] == r) for r in set(want.values()))
+
+
+def test_unrelated_fingerprints_are_no_candidates():
+    """In 7 * 10^7 pairs of random fingerprints none comes within the radius: candidates do not hang together as tables grow."""
+    prints = np.random.default_rng(9).integers(0, 2**64, (12_000, simhash.WIDE // 64), np.uint64)
+    a, _ = simhash.bit_sliced_links(prints, np.zeros(len(prints), int), simhash.wide_radius(0.8))
+    assert not len(a)
+
+
+def test_rounds_of_masks(spark, monkeypatch):
+    """Any number of masks a round gives the components of all masks at once, and no round has the keys of all of them."""
+    rng = np.random.default_rng(10)
+    prints = np.repeat(rng.integers(0, 2**64, (40, simhash.WIDE // 64), np.uint64), 12, axis=0)
+    for x in prints:
+        for k in rng.choice(simhash.WIDE, 16, replace=False):
+            x[k // 64] ^= np.uint64(1 << int(k % 64))
+    known = spark.createDataFrame([(i, bytearray(x.tobytes()), -i) for i, x in enumerate(prints)], "node long, fp binary, rep long")
+    masks, radius = simhash.sampled_masks(0.8, 300_000), simhash.wide_radius(0.8)
+    whole = {r.node: r.component for r in simhash.connected_components(simhash.simhash_edges(known, masks, radius)).collect()}
+    assert len(masks) > simhash.ROUND and len(set(whole.values())) == 40
+    plain, taken = simhash.simhash_edges, []
+    monkeypatch.setattr(simhash, "simhash_edges", lambda rows, part, *a: taken.append(len(part)) or plain(rows, part, *a))
+    got = simhash.candidate_components(known, masks, radius).collect()
+    assert {r.node: r.component for r in got} == {i: whole.get(i, i) for i in range(len(prints))} and all(r.rep == -r.node for r in got)
+    assert max(taken) == simhash.ROUND and sum(taken) == len(masks)
+
+
+def test_stars_take_no_round(spark, monkeypatch):
+    """Links that are stars already are given back as they are; a chain and a node of two roots are not taken for stars."""
+    kept, written = components.checkpoint, []
+    monkeypatch.setattr(components, "checkpoint", lambda df: written.append(1) or kept(df))
+    found = lambda rows: sorted(tuple(r) for r in components.connected_components(spark.createDataFrame(rows, "u long, v long")).collect())
+    assert found([(1, 2), (3, 1), (5, 4)]) == [(2, 1), (3, 1), (5, 4)] and len(written) == 1
+    assert found([(2, 1), (3, 2)]) == [(2, 1), (3, 1)] and found([(3, 1), (3, 2)]) == [(2, 1), (3, 1)] and found([]) == []
