@@ -77,6 +77,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    for df in tables:
+        spark, files = df.sparkSession, df.inputFiles()
+        if files:
+            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 @contextmanager
 def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
     """Within, a query's shuffle files go when it ends: for queries that are checkpointed or collected once, and not run again."""
