@@ -12,6 +12,7 @@ import struct
 import zlib
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 from itertools import groupby
 from math import isqrt
 
@@ -155,6 +156,14 @@ class Vocabulary(dict):
         return out
 
 
+def _by_row(rows: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Which rows there are, ascending, and the sums of their values."""
+    order = np.argsort(rows.astype(np.uint16) if rows.max() < 65536 else rows, kind="stable")
+    rows = rows[order]
+    head = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    return rows[head], np.add.reduceat(values[order], head)
+
+
 class LogBilinear:
     """score(w | h) = sum_i C_i * R[h_i] . Q[w] + b[w]; chances are softmax over the vocabulary, UNK and END."""
 
@@ -183,29 +192,30 @@ class LogBilinear:
     def learn(self, context: np.ndarray, word: np.ndarray, weight: np.ndarray, noise_log: np.ndarray, noise_cdf: np.ndarray, rng, state: list[np.ndarray]) -> None:
         """One step of noise-contrastive estimation: true words against NOISE words that the whole batch shares; ``weight``: how many rows a position stands for."""
         noise = np.searchsorted(noise_cdf, rng.random(NOISE)).astype(np.int32)
-        h = self.hidden(context)
-        true = (h * self.q[word]).sum(axis=1) + self.b[word] - noise_log[word] - np.log(NOISE)
-        false = h @ self.q[noise].T + (self.b[noise] - noise_log[noise] - np.log(NOISE)).astype(np.float32)
+        h, qw, qn = self.hidden(context), self.q[word], self.q[noise]
+        log_k = np.float32(np.log(NOISE))
+        true = np.einsum("ij,ij->i", h, qw) + (self.b[word] - noise_log[word] - log_k)
+        false = h @ qn.T
+        false += self.b[noise] - noise_log[noise] - log_k
         gt = weight / (1 + np.exp(np.clip(true, -30, 30)))
-        gf = -weight[:, None] / (1 + np.exp(-np.clip(false, -30, 30)))
-        gh = gt[:, None] * self.q[word] + gf @ self.q[noise]
-        n = len(self.b)
-        gq, gb, gr = np.zeros_like(self.q), np.bincount(word, gt, n), np.zeros_like(self.r)
-        order = np.argsort(word, kind="stable")
-        heads = np.flatnonzero(np.r_[True, np.diff(word[order]) != 0])
-        gq[word[order][heads]] = np.add.reduceat((gt[:, None] * h)[order], heads)
-        np.add.at(gq, noise, gf.T @ h)
-        np.add.at(gb, noise, gf.sum(axis=0))
-        gc = np.empty_like(self.c)
-        for i in range(CONTEXT):
-            gc[i] = (gh * self.r[context[:, i]]).sum(axis=0)
-            order = np.argsort(context[:, i], kind="stable")
-            heads = np.flatnonzero(np.r_[True, np.diff(context[order, i]) != 0])
-            gr[context[order, i][heads]] += np.add.reduceat((gh * self.c[i])[order], heads)
-        for x, g, s in zip((self.r, self.q, self.b, self.c), (gr, gq, gb, gc), state, strict=True):
-            g = (g / np.sqrt(len(word))).astype(np.float32)
-            s += g * g
-            x += RATE * g / np.sqrt(s + 1e-6)
+        np.clip(false, -30, 30, out=false)
+        np.exp(np.negative(false, out=false), out=false)
+        false += 1
+        gf = np.divide(-weight[:, None], false, out=false)
+        gh = gt[:, None] * qw + gf @ qn
+        k, dim = len(word), h.shape[1]
+        out = np.empty((k + NOISE, dim + 1), np.float32)  # gradients of q and, in the last column, of b
+        np.multiply(gt[:, None], h, out=out[:k, :dim])
+        out[k:, :dim], out[:k, dim], out[k:, dim] = gf.T @ h, gt, gf.sum(axis=0)
+        gc = np.stack([np.einsum("ij,ij->j", gh, self.r[context[:, i]]) for i in range(CONTEXT)])
+        scale = np.float32(1 / np.sqrt(k))
+        rows, g = _by_row(np.concatenate([word, noise]), out)
+        at, gr = _by_row(context.T.ravel(), np.concatenate([gh * self.c[i] for i in range(CONTEXT)]))
+        for x, s, i, g in zip((self.r, self.q, self.b, self.c), state, (at, rows, rows, slice(None)), (gr, g[:, :dim], g[:, dim], gc), strict=True):
+            g = g * scale
+            t = s[i] + g * g
+            s[i] = t
+            x[i] += RATE * g / np.sqrt(t + 1e-6)  # rows without a gradient stay as they are
 
     def log10(self, numbers: np.ndarray) -> np.ndarray:
         """Normalised log10 chances of numbers[CONTEXT:]. Normalisers of contexts are found by batched products, once each."""
@@ -319,12 +329,18 @@ def _average(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 # -- scoring ---------------------------------------------------------------------------------------------------------------
 
 
+@lru_cache(maxsize=1)
+def _model(params: bytes, n: int) -> LogBilinear:
+    """One model for all tasks of a worker: they share the normalisers that are found."""
+    return LogBilinear.load(np.frombuffer(params, "<f4"), n)
+
+
 def _score(words: list[bytes], counts: list[int], end: int, params: bytes, n: int, buckets: int):
     """``words`` and their counts: the model's vocabulary (numbers below n) and more. What a row's own task finds (kind 0: doc_key and figures) and what it asks the count tables (kind 1)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocabulary = Vocabulary(words)
-        model = LogBilinear.load(np.frombuffer(params, "<f4"), n)
+        model = _model(params, n)
         known = np.array([end, 0, *counts], np.float64)
         for batch in batches:
             for b in slices(batch, 1, 4 << 20):
@@ -338,7 +354,7 @@ def _score(words: list[bytes], counts: list[int], end: int, params: bytes, n: in
                     x = vocabulary.numbers(t)
                     held.append(np.where(x < n, x, UNK))
                     every.append(x[CONTEXT:])
-                    rare = Counter(w for w, k in zip(t, x[CONTEXT:-1].tolist(), strict=True) if k == UNK)
+                    rare = Counter([t[k] for k in np.flatnonzero(x[CONTEXT:-1] == UNK).tolist()])
                     asked += rare
                     times += rare.values()
                     owner += [i] * len(rare)
