@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import islice
+from itertools import islice, pairwise
 from operator import eq
 
 import numpy as np
@@ -126,9 +126,11 @@ def train(trusted: DataFrame) -> list[tuple[np.ndarray, ...]] | None:
     whole = tables[0]
     for t in tables[1:]:
         whole = whole.unionAll(t)
-    pdf = whole.toPandas()  # at most 64^4 + 64^3 + 64^2 + 64 rows, by the alphabet
-    pdf = pdf.sort_values(["order", "code"])
-    return [tuple(pdf.loc[pdf["order"] == k, c].to_numpy(t) for c, t in (("code", np.int32), ("part", np.float64), ("back", np.float64))) for k in range(1, ORDER + 1)]
+    # At most 64^4 + 64^3 + 64^2 + 64 rows, by the alphabet; as Arrow, so neither the JVM nor Python makes objects of their values.
+    t = whole.toArrow().sort_by([("order", "ascending"), ("code", "ascending")])
+    cuts = np.searchsorted(t.column("order").to_numpy(), range(1, ORDER + 2))
+    columns = [t.column(c).to_numpy().astype(kind) for c, kind in (("code", np.int32), ("part", np.float64), ("back", np.float64))]
+    return [tuple(x[a:b].copy() for x in columns) for a, b in pairwise(cuts)]
 
 
 def log_table(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:

@@ -411,10 +411,11 @@ def score(texts: DataFrame, table: DataFrame, unseen: int, letters: Broadcast) -
         if rows + c > KNOWN:
             break
         rows, least = rows + c, n
-    top = table.where(F.col("n") >= least if least else F.lit(False)).select("key", "v", "one").toPandas()  # at most KNOWN rows
-    key = top["key"].to_numpy(np.int64).view(np.uint64)
+    top = table.where(F.col("n") >= least if least else F.lit(False)).select("key", "v", "one").toArrow()  # at most KNOWN rows; no objects of their values
+    key = top.column("key").to_numpy().view(np.uint64)
     order = np.argsort(key)
-    known = spark.sparkContext.broadcast((key[order], top["v"].to_numpy(np.int64)[order], top["one"].to_numpy(bool)[order]))
+    known = spark.sparkContext.broadcast((key[order], top.column("v").to_numpy()[order], top.column("one").to_numpy()[order]))
+    del top, key, order
     shards = max(8, sum(c for _, c in by_count) // SHARD_ROWS)
     rest = table.where(F.col("n") < least if least else F.lit(True)).select("key", "v", "one").mapInArrow(_table_blobs(shards), _SENT)
     scores = None
@@ -425,4 +426,5 @@ def score(texts: DataFrame, table: DataFrame, unseen: int, letters: Broadcast) -
         with shuffles_dropped(spark):
             found = stored(found, "scores")
         scores = found if scores is None else scores.unionAll(found)
+    known.destroy()  # all scores are stored
     return scores
