@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
-from itertools import islice, pairwise
+from itertools import islice
 from operator import eq
 
 import numpy as np
@@ -17,8 +17,6 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint
-
 ORDER, CLASSES = 4, 64
 #: Characters of one class each from 27 on, after the classes 1 to 26 of a to z.
 _SINGLE = "äöüßéèêçàñóíáúâîôûëï .,!|\n"
@@ -100,37 +98,34 @@ def discounts(c: Sequence[int]) -> list[float]:
     return [max(0.05, min(k - 0.05, k - (k + 1) * y * c[k] / c[k - 1])) if c[k - 1] and c[k] else 0.5 * k for k in (1, 2, 3)]
 
 
-def _discounted(rows: DataFrame) -> DataFrame:
-    """``(code, n)`` of one order -> ``(ctx, code, part, back)``: the discounted share and the context's back-off weight."""
-    d = discounts(rows.agg(*[F.count_if(F.col("n") == k) for k in (1, 2, 3, 4)]).first())
-    x = rows.withColumn("ctx", F.floor(F.col("code") / CLASSES))
-    own = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-    x = x.withColumn("own", F.least(own, F.col("n").cast("double")))
-    ctx = x.groupBy("ctx").agg(F.sum("n").alias("total"), F.sum("own").alias("freed"))
-    return x.join(ctx, "ctx").select("ctx", "code", ((F.col("n") - F.col("own")) / F.col("total")).alias("part"), (F.col("freed") / F.col("total")).alias("back"))
+def _discounted(code: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Codes of one order in ascending order with their counts -> (code, part, back): the discounted share and the context's back-off weight."""
+    d = discounts([int((n == k).sum()) for k in (1, 2, 3, 4)])
+    own = np.minimum(np.array([0.0, *d])[np.minimum(n, 3)], n)
+    _, head, of = np.unique(code // CLASSES, return_index=True, return_inverse=True)
+    total, freed = np.add.reduceat(n, head), np.add.reduceat(own, head)
+    return code.astype(np.int32), (n - own) / total[of], (freed / total)[of]
 
 
 def train(trusted: DataFrame) -> list[tuple[np.ndarray, ...]] | None:
     """For each order, (code, part, back) arrays of what trusted text holds; None without trusted text.
 
     ``trusted(text)``: every trusted text counts in full. Below the highest order a code's count is the number of
-    classes seen before it, gathered from the next higher order's codes.
+    classes seen before it, gathered from the next higher order's codes. All texts are counted by Spark, in one query; the
+    counts, at most 64^4 by the alphabet, come as Arrow, and the lower orders and the discounts follow from them. As joins
+    of the counts they were a dozen queries over a few rows, whose plans took more of the driver's memory than the counts.
     """
-    n = checkpoint(trusted.select("text").mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")))
-    if n.isEmpty():
+    t = trusted.select("text").mapInArrow(_counts, "code long, n long").groupBy("code").agg(F.sum("n").alias("n")).toArrow()
+    code, n = (t.column(c).to_numpy() for c in ("code", "n"))
+    if not len(code):
         return None
-    tables, rows = [], n
-    for order in range(ORDER, 0, -1):
-        tables.append(_discounted(rows).select(F.lit(order).alias("order"), "code", "part", "back"))
-        rows = rows.groupBy(F.pmod("code", F.lit(CLASSES ** (order - 1))).alias("code")).agg(F.count("*").alias("n"))
-    whole = tables[0]
-    for t in tables[1:]:
-        whole = whole.unionAll(t)
-    # At most 64^4 + 64^3 + 64^2 + 64 rows, by the alphabet; as Arrow, so neither the JVM nor Python makes objects of their values.
-    t = whole.toArrow().sort_by([("order", "ascending"), ("code", "ascending")])
-    cuts = np.searchsorted(t.column("order").to_numpy(), range(1, ORDER + 2))
-    columns = [t.column(c).to_numpy().astype(kind) for c, kind in (("code", np.int32), ("part", np.float64), ("back", np.float64))]
-    return [tuple(x[a:b].copy() for x in columns) for a, b in pairwise(cuts)]
+    order = np.argsort(code)
+    code, n = code[order], n[order]
+    tables = []
+    for size in range(ORDER, 0, -1):
+        tables.append(_discounted(code, n))
+        code, n = np.unique(code % CLASSES ** (size - 1), return_counts=True)
+    return tables[::-1]
 
 
 def log_table(model: list[tuple[np.ndarray, ...]]) -> np.ndarray:
