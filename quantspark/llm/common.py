@@ -78,11 +78,11 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def removed(*tables: DataFrame) -> None:
-    """Delete tables that ``stored`` wrote, once nothing reads them any more."""
+    """Delete tables that ``stored`` wrote, or unions of them, once nothing reads them any more."""
     for df in tables:
-        spark, files = df.sparkSession, df.inputFiles()
-        if files:
-            path = spark._jvm.org.apache.hadoop.fs.Path(files[0]).getParent()
+        spark = df.sparkSession
+        for folder in {f.rpartition("/")[0] for f in df.inputFiles()}:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 

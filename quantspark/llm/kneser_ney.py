@@ -39,7 +39,6 @@ def classify(docs: DataFrame, labels: DataFrame, quantile: float = QUANTILE, mar
     words, unseen = word_model.train(trusted, held)
     key = F.xxhash64(text_col())
     scores = word_model.score(docs.select(key.alias("key"), text_col().alias("text")), words, unseen, held)
-    removed(words)
     held.destroy()
     # Rows of a few numbers: which documents there are, by id, language and text.
     rows = docs.select(F.col("doc_id").alias(own + "id"), F.col("lang").alias(own + "lang"), key.alias(own + "key")).distinct()

@@ -32,6 +32,8 @@ REPEAT = REPEATED.encode()
 KNOWN, SHARD_ROWS, SHARD_BYTES, COUNTED, SLICE = 500_000, 1_000_000, 8 << 20, 4 << 20, 2 << 20
 #: Parts of the texts, one after the other: only one part's questions are on disk.
 PARTS = 3
+#: Parts of the pairs, one after the other: only one part's shuffle to its second words is on disk.
+VALUE_PARTS = 2
 _P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
@@ -257,10 +259,13 @@ def train(trusted: DataFrame, held: Broadcast) -> tuple[DataFrame, int]:
         added = F.when(F.col("c") > 0, F.log10(chance) - float(np.log10(share)) + F.col("base") / SCALE).otherwise(0.0)
         singles = words.select(F.col("w").alias("key"), "n", steps(added + F.coalesce("back", F.lit(0.0))).alias("v"), "one")
         ratio = (_left(F.col("n"), d2) / freed).cast("float")
-        # A pair's row in the shuffle: both words, its count, and the ratio, below 0 where a single document holds it.
-        more = two.select("u", "w", "n", F.when(F.col("one"), -ratio).otherwise(ratio).alias("r")).join(words.where("c > 0").select("w", chance.cast("float").alias("p")), "w")
         v = steps(F.log10(1 + F.abs("r").cast("double") / F.col("p")))
-        table = stored(more.select(F.xxhash64("u", "w").alias("key"), "n", v.alias("v"), (F.col("r") < 0).alias("one")).unionAll(singles), "values")
+        table = stored(singles, "values")
+        for part in range(VALUE_PARTS):
+            mine = F.pmod("w", F.lit(VALUE_PARTS)) == part
+            # A pair's row in the shuffle: both words, its count, and the ratio, below 0 where a single document holds it.
+            more = two.where(mine).select("u", "w", "n", F.when(F.col("one"), -ratio).otherwise(ratio).alias("r")).join(words.where(mine & (F.col("c") > 0)).select("w", chance.cast("float").alias("p")), "w")
+            table = table.unionAll(stored(more.select(F.xxhash64("u", "w").alias("key"), "n", v.alias("v"), (F.col("r") < 0).alias("one")), "values"))
     removed(pairs, words)
     return table, round(float(np.log10(share)) * SCALE)
 
@@ -403,7 +408,9 @@ def _sum_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def score(texts: DataFrame, table: DataFrame, unseen: int, letters: Broadcast) -> DataFrame:
     """``(key, n, v, alone)`` for each key of ``texts(key, text)``: tokens with the end, log10 of the chance in steps of
-    1 / SCALE, and the part of it that is due to n-grams which a single trusted document holds."""
+    1 / SCALE, and the part of it that is due to n-grams which a single trusted document holds.
+
+    ``table`` is removed once its rows lie packed by shards, as each part of the texts meets them."""
     spark = texts.sparkSession
     by_count = [tuple(r) for r in table.groupBy(F.least("n", F.lit(1 << 20)).alias("n")).count().orderBy(F.desc("n")).collect()]
     rows, least = 0, None
@@ -417,7 +424,9 @@ def score(texts: DataFrame, table: DataFrame, unseen: int, letters: Broadcast) -
     known = spark.sparkContext.broadcast((key[order], top.column("v").to_numpy()[order], top.column("one").to_numpy()[order]))
     del top, key, order
     shards = max(8, sum(c for _, c in by_count) // SHARD_ROWS)
-    rest = table.where(F.col("n") < least if least else F.lit(True)).select("key", "v", "one").mapInArrow(_table_blobs(shards), _SENT)
+    rest = table.where(F.col("n") < least if least else F.lit(True)).select("key", "v", "one")
+    rest = stored(rest.mapInArrow(_table_blobs(shards), _SENT), "packed")
+    removed(table)
     scores = None
     for part in range(PARTS):
         asked = texts.where(F.pmod("key", F.lit(PARTS)) == part).select("key", "text").mapInArrow(_asked(known, letters, unseen, shards), _SENT)
@@ -426,5 +435,6 @@ def score(texts: DataFrame, table: DataFrame, unseen: int, letters: Broadcast) -
         with shuffles_dropped(spark):
             found = stored(found, "scores")
         scores = found if scores is None else scores.unionAll(found)
+    removed(rest)
     known.destroy()  # all scores are stored
     return scores

@@ -1,6 +1,7 @@
 """The word model of the quality classifier against plain formulas, with tables small enough to be sent and without."""
 
 import math
+import os
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -88,3 +89,21 @@ def test_keys_of_pairs_are_sparks(spark):
     got = [r[0] for r in spark.createDataFrame(rows, "u long, w long").selectExpr("xxhash64(u, w)").collect()]
     u, w = (np.array(x, np.int64).view(np.uint64) for x in zip(*rows, strict=True))
     assert word_model.pair_keys(u, w).view(np.int64).tolist() == got
+
+
+def test_tables_are_shuffled_in_parts_and_packed_once(spark, monkeypatch):
+    """What lies on disk at once: half of the pairs on the way to their words; then the table packed once for all parts of the texts."""
+    names, shared = [], spark.sparkContext
+    stored = word_model.stored
+    monkeypatch.setattr(word_model, "stored", lambda df, name: names.append(name) or stored(df, name))
+    monkeypatch.setattr(word_model, "KNOWN", 12)
+    docs = spark.createDataFrame([(t,) for t in TRUSTED], "text string").repartition(3)
+    trusted = stored(docs, "trusted")
+    held = shared.broadcast(kneser_ney.train(trusted))
+    table, unseen = word_model.train(trusted, held)
+    files = table.inputFiles()
+    scores = word_model.score(docs.selectExpr("xxhash64(text) key", "text"), table, unseen, held)
+    assert names.count("packed") == 1 and names.count("values") >= 3 and names[-word_model.PARTS :] == ["scores"] * word_model.PARTS
+    folders = {f.rpartition("/")[0] for f in files}
+    assert len(folders) >= 3 and not any(os.path.exists(f.removeprefix("file:").replace("///", "/")) for f in folders)
+    assert scores.count() == len(TRUSTED)
