@@ -13,7 +13,9 @@ from __future__ import annotations
 
 import hashlib
 import struct
+from collections import defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -37,18 +39,12 @@ VALUE_PARTS = 2
 _P = [np.uint64(p) for p in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5)]
 
 
-class _Numbers(dict):
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        return n
-
-
 def tokens(texts: list[bytes], mark: bool = False) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """Distinct words, first BEGIN, END and REPEAT; the number of each token, BEGIN and END around every text; its document.
 
     With ``mark``, a word equal to the one before becomes REPEAT, which training never sees.
     """
-    of = _Numbers({BEGIN: 0, END: 1, REPEAT: 2})
+    of = defaultdict(count(3).__next__, {BEGIN: 0, END: 1, REPEAT: 2})
     out = []
     for t in texts:
         w = t.lower().split()
@@ -80,9 +76,18 @@ def pair_keys(before: np.ndarray, word: np.ndarray) -> np.ndarray:
 
 def spelled(table: np.ndarray, words: list[bytes]) -> np.ndarray:
     """-log10 of each word's spelling with the space after it, in steps of 1 / SCALE."""
-    strings = [w.decode("utf-8", "replace") if w != BEGIN else "" for w in words]
-    size = np.fromiter(map(len, strings), np.int64, len(strings))
-    total = np.concatenate([[0], np.cumsum(table[codes("   ".join(strings), False)], dtype=np.int64)])
+    words = [b"" if w == BEGIN else w for w in words[:1]] + words[1:]
+    joined = b"   ".join(words)
+    size = np.fromiter(map(len, words), np.int64, len(words))
+    try:
+        text = joined.decode("utf-8")
+    except UnicodeDecodeError:
+        return spelled(table, [w.decode("utf-8", "replace").encode() for w in words])
+    if len(text) < len(joined):  # characters: bytes that do not continue one
+        begun = np.r_[0, np.cumsum((np.frombuffer(joined, np.uint8) & 0xC0) != 0x80)]
+        at = np.cumsum(size + 3) - size - 3
+        size = begun[at + size] - begun[at]
+    total = np.concatenate([[0], np.cumsum(table[codes(text, False)], dtype=np.int64)])
     at = np.cumsum(size + 3) - size - 3
     return np.minimum(total[at + size + 1] - total[at], 2**31 - 1)
 
@@ -138,7 +143,8 @@ def _word_rows(held: Broadcast):
         for batch in _joined(batches, 0, COUNTED):
             words, x, doc = tokens(utf8(batch.column(0)))
             n = np.bincount(x, minlength=len(words))
-            docs = np.bincount(np.unique(doc * len(words) + x) % len(words), minlength=len(words))
+            held_by = np.sort(doc * len(words) + x)
+            docs = np.bincount(held_by[_runs(held_by)] % len(words), minlength=len(words))
             yield pa.record_batch([pa.array(word_keys(words).view(np.int64)), pa.array(spelled(table_of(held), words)), pa.array(n), pa.array(docs)], ["w", "base", "n", "docs"]).filter(pa.array(n > 0))
 
     return run
@@ -165,12 +171,12 @@ def _pair_blobs(shards: int):
         for batch in _joined(batches, 0, COUNTED):
             words, x, doc = tokens(utf8(batch.column(0)))
             at = np.flatnonzero(x[1:] != 0)
-            pair, doc = x[at].astype(np.int64) * len(words) + x[at + 1], doc[at]
-            order = np.argsort(pair, kind="stable")
-            pair, doc = pair[order], doc[order]
+            pair, docs = x[at].astype(np.int64) * len(words) + x[at + 1], doc[-1] + 1
+            found = np.sort(pair * docs + doc[at])  # below 2^63: a slice's words and documents are few, as it has some megabytes
+            pair, doc = np.divmod(found, docs)
             head = _runs(pair)
             n = np.diff(np.r_[head, len(pair)])
-            many = np.add.reduceat(np.r_[False, (pair[1:] == pair[:-1]) & (doc[1:] != doc[:-1])].astype(np.int64), head) > 0
+            many = doc[head] != doc[head + n - 1]
             key, pair = word_keys(words), pair[head]
             u, w = key[pair // len(words)], key[pair % len(words)]
             order = np.lexsort((w, u))
