@@ -1,17 +1,21 @@
 """Runs whose settings are columns against single runs; alerts applied to settings against a plain version; the comparison's figures."""
 
 import math
+import os
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
 
+from quantspark import registry
 from quantspark.config import MODELS, Simulation
 from quantspark.functions.dialect import SPARK
 from quantspark.operators.alerts import apply_alerts
 from quantspark.operators.configured import complete, runs
 from quantspark.operators.simulate import simulate
 from quantspark.plans.configured import COMPARISON, compared
+from quantspark.sources.tables import TABLES
 
 SETTINGS = [
     Simulation(model=m, paths=30, horizon=4 + i, mu=0.1 + 0.02 * i, sigma=0.2 + 0.02 * i, seed=i, cost=0.001 * (i % 2), crash=0.1 * (i % 3 == 0), jumps=40.0 + i, t_df=5 + i % 3, antithetic=i % 4 == 0, regimes="crypto" if i % 2 else "stock", xi=0.2 + 0.1 * i, s0=50.0 + i)
@@ -36,6 +40,39 @@ def test_rows_equal_single_runs(spark, most_paths):
         assert got[i].keys() == want.keys() and all(np.allclose(got[i][p], want[p], rtol=1e-9, atol=1e-12) for p in want), c.model
 
 
+@pytest.mark.parametrize("models", [("merton", "heston", "block_bootstrap"), ("gbm", "student_t", "bootstrap", "garch"), ("kou",), ("regime",)])
+def test_shared_draws_equal_each_rows_own(spark, models):
+    """Draws that are made once, and steps that are written out, change no bit: rows differ in paths, steps, settings and antithetic halves."""
+    rows = [(f"{m}{i}", m, 4 + i, 1 + (i + j) % 3, 0.1 + i, 0.3 + 0.1 * i, 40.0 * i, 0.1 * (i == 2), i % 2 == 1, [0.01, -0.02, 0.03]) for j, m in enumerate(models) for i in range(4)]
+    given = ("mu", "sigma", "jumps", "crash", "antithetic")
+    cfg = spark.createDataFrame(rows, "run string, model string, paths int, horizon int, mu double, sigma double, jumps double, crash double, antithetic boolean, h array<double>")
+    text = lambda **more: f"WITH cfg AS {complete('{given}', given, history=True)}, {runs(SPARK, 'cfg', models=models, history=True, averages=True, **more)} SELECT * FROM runs"
+    want, got = (sorted(map(tuple, spark.sql(t, given=cfg).collect())) for t in (text(), text(shared=(0, 8, 3))))
+    assert len(got) == sum(r[2] for r in rows) and got == want
+
+
+def test_alerts_share_their_draws(spark, sf):
+    """Draws are made for paths, not for alerts, and alerts are not dealt out by their few names."""
+    plan = str(registry.QUERIES["alert_runs"](spark, sf)._jdf.queryExecution().optimizedPlan()).splitlines()
+    made = [i for i, node in enumerate(plan) if "md5(" in node]
+    assert len(made) == 1 and any("Range (0, 8" in node for node in plan[made[0] + 1 : made[0] + 3]) and not any("aggregate(" in node for node in plan)
+    assert sum("LeftOuter" in node and "rightHint=(strategy=broadcast)" in node for node in plan) == 2
+
+
+def test_alert_runs_of_odd_events(spark, tmp_path):
+    """Events that repeat or lack values, against the oracle."""
+    con, at = duckdb.connect(), "/root/testdata/sf0.001"
+    con.execute(f"CREATE TABLE events AS SELECT * FROM (SELECT * FROM '{at}/events.parquet' WHERE event_id < 40 UNION ALL SELECT event_id, ts, user_id + 1, 'error', 99.5, props FROM '{at}/events.parquet' WHERE event_id < 6)")
+    odd = [(None, 3, "view", 10.0, '{"k": 5}'), (1001, None, "view", 10.0, '{"k": 5}'), (1002, 3, None, None, None), (1003, 3, "view", math.nan, '{"k": 0}'), (1004, -1, "error", -math.inf, '{"k": -3}'), (-7, 1, "purchase", math.inf, "{}")]
+    con.executemany("INSERT INTO events SELECT $1, NULL, $2, $3, $4, $5", odd)
+    con.execute(f"COPY events TO '{tmp_path}/events.parquet' (FORMAT parquet)")
+    for t in set(TABLES) - {"events"}:
+        os.symlink(f"{at}/{t}.parquet", tmp_path / f"{t}.parquet")
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{at}/{t}.parquet'")
+    want = con.execute(registry.ORACLES["alert_runs"]).fetchall()
+    assert len(want) == 45 and sorted(map(tuple, registry.QUERIES["alert_runs"](spark, str(tmp_path)).collect())) == sorted(want)
+
+
 def test_alerts_change_settings(spark):
     settings = [
         ("plain", "AAA", 50.0, "long", 0.1, 0.3, True, False, False, True, True), ("fixed", "BBB", 60.0, "long", 0.1, 0.3, False, True, True, False, False), ("bare", "CCC", 70.0, None, 0.1, None, True, True, True, True, True),
